@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.bins import bin_table
 from veiltab.functions.hashing import fast_uniform
+from veiltab.functions.literals import array_lit
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import SET_SHIFT, Marginals
 from veiltab.session import lookup, small_side
 
 MUTATE, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "continuous", "swap", "cross1", "cross2"
 QUANTILE_POINTS = 32
+ROWS_PER_TASK = 100_000
+SLOTS = 1000
 
 
 def expand_operators(names: tuple[str, ...], domain: Domain) -> list[str]:
@@ -81,7 +84,9 @@ class Edits:
     # ---- proposals ----
 
     def _u(self, tag: str, round_no: int, *keys) -> C:
-        return fast_uniform(F.lit(str(self.seed)), tag, self.run, round_no, *keys)
+        # Seed, run and round travel as one string: a string is not part of the generated code, so
+        # every round reuses the compiled code of the first.
+        return fast_uniform(f"{self.seed}|{self.run}|{round_no}", tag, *keys)
 
     def quantiles(self, state: DataFrame) -> list[list[float]]:
         """Per column 0, 32 quantiles of the current table and the size; a few numbers each."""
@@ -106,24 +111,28 @@ class Edits:
         mask = 1 + (round_no * 0x9E3779B1) % ((1 << bits) - 1) if bits > 1 else 1
         partner = F.col("row_id").bitwiseXOR(F.lit(mask).cast("long"))
         members = F.sort_array(F.collect_list(F.struct("row_id", "v", "b"))).alias("m")
-        grouped = state.groupBy(F.least("row_id", partner).alias("pair_id")).agg(members)
+        spread = state.withColumn("pair_id", F.least("row_id", partner))
+        spread = spread.repartition(self.partitions(state.sparkSession), "pair_id")
+        grouped = spread.groupBy("pair_id").agg(members)
         each = grouped.select("pair_id", "m", F.posexplode("m").alias("side", "me"))
         other = F.when(F.size("m") == 2, F.get("m", 1 - F.col("side")))
         return each.select(
             "pair_id", "me.row_id", "me.v", "me.b", other.v.alias("pv"), other.b.alias("pb")
         )
 
+    def partitions(self, spark: SparkSession) -> int:
+        """Tasks of a round. Scoring multiplies the rows, so bytes on the way in say too little."""
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n_rows // ROWS_PER_TASK))
+
     def choose_operator(self, paired: DataFrame, round_no: int, weights: list[float]) -> DataFrame:
         """One operator per pair; without a partner there is nothing to swap or copy."""
-        u, acc, op = self._u("op", round_no, F.col("pair_id")), 0.0, F.lit(None).cast("string")
-        steps = []
-        for name, w in zip(self.operators, mixed_weights(weights)):
+        slots, acc = [], 0.0
+        for i, w in enumerate(mixed_weights(weights)):
             acc += w
-            steps.append((acc, name))
-        op = F.lit(steps[-1][1])
-        for top, name in reversed(steps[:-1]):
-            op = F.when(u < top, F.lit(name)).otherwise(op)
-        paired = paired.withColumn("op", op)
+            slots += [i] * (round(acc * SLOTS) - len(slots))
+        u = self._u("op", round_no, F.col("pair_id"))
+        i = F.get(array_lit(slots), F.floor(u * F.lit(SLOTS)).cast("int"))
+        paired = paired.withColumn("op", F.get(array_lit(self.operators), i))
         alone = F.col("op").isin(SWAP, COPY1, COPY2) & F.col("pv").isNull()
         return paired.withColumn("op", F.when(~alone, F.col("op")))
 
@@ -140,7 +149,7 @@ class Edits:
 
         def pick(ids: list[int], tag: str, key: C) -> C:
             i = F.floor(self._u(tag, round_no, key) * F.lit(len(ids))).cast("int")
-            return F.get(F.lit(ids), i)
+            return F.get(array_lit(ids), i)
 
         c1 = (
             F.when(op == MUTATE, pick(by_weight, "mutate.col", row))
@@ -195,17 +204,17 @@ class Edits:
                 edges.append([])
             n_bins.append(len(edges[-1]) - 1 if edges[-1] else c.size)
         c1, ua, ub = F.col("c1"), F.col("ua"), F.col("ub")
-        at = lambda values: F.get(F.lit(values), c1)
+        at = lambda values: F.get(array_lit(values), c1)
         n = at(n_bins)
         i = F.floor(ua * (n + at([int(c.has_nulls) for c in cols]))).cast("int")
         top = at([float(c.size - 1) for c in cols])
         whole = at([c.role != CONTINUOUS for c in cols])
-        table = F.array(*[F.lit(e).cast("array<double>") for e in edges])
+        table = array_lit(edges)
         left, right = F.get(F.get(table, c1), i), F.get(F.get(table, c1), i + 1)
         stepped = F.least(left + F.floor(ub * F.greatest(right - left, F.lit(1.0))), top)
         inside = F.when(whole, stepped).otherwise(left + ub * (right - left))
         mutated = F.when(i < n, F.coalesce(inside, i.cast("double")))
-        q = F.array(*[F.lit([float(x) for x in qs]) for qs in quantiles])
+        q = array_lit([[float(x) for x in qs] for qs in quantiles])
         j = F.floor(ua * F.lit(QUANTILE_POINTS + 1)).cast("int")
         low, high = F.get(F.get(q, c1), j), F.get(F.get(q, c1), j + 1)
         between = low + ub * (high - low)
