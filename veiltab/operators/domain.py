@@ -171,7 +171,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col(f.name)
         floating = isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
-        fractional = F.count_if(c != F.floor(c)) if floating else F.lit(0)
+        fractional = F.count_if(c != F.floor(c)) if floating else F.count_if(F.lit(False))
         rows.append(
             F.struct(
                 F.lit(f.name).alias("col"),
@@ -184,17 +184,20 @@ def column_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("p")).select(F.inline("p"))
 
 
-def infer_roles(df: DataFrame, max_labels: int = 50) -> dict[str, str]:
+def role_table(df: DataFrame, max_labels: int = 50) -> DataFrame:
     """Strings and booleans are categories; whole numbers with few values too, else ordinal."""
-    roles = {}
-    for p in column_profile(df).collect():  # one row per column
-        if p["dtype"] in ("string", "boolean", "date", "timestamp"):
-            roles[p["col"]] = CATEGORICAL
-        elif p["n_fractional"] > 0:
-            roles[p["col"]] = CONTINUOUS
-        else:
-            roles[p["col"]] = CATEGORICAL if p["n_distinct"] <= max_labels else ORDINAL
-    return roles
+    named = F.col("dtype").isin("string", "boolean", "date", "timestamp")
+    role = (
+        F.when(named, F.lit(CATEGORICAL))
+        .when(F.col("n_fractional") > 0, F.lit(CONTINUOUS))
+        .when(F.col("n_distinct") <= max_labels, F.lit(CATEGORICAL))
+        .otherwise(F.lit(ORDINAL))
+    )
+    return column_profile(df).withColumn("role", role)
+
+
+def infer_roles(df: DataFrame, max_labels: int = 50) -> dict[str, str]:
+    return {r["col"]: r["role"] for r in role_table(df, max_labels).collect()}  # one row per column
 
 
 def label_table(df: DataFrame, names: list[str]) -> DataFrame:
