@@ -13,6 +13,9 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+SAME = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def normal(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v + 0.0, 9)
@@ -35,6 +38,10 @@ def compare(spark_df, con, sql: str) -> str | None:
     cols = [c[0] for c in cur.description]
     if sorted(cols) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(cols)}"
+    kinds = {c[0]: str(c[1]).upper() for c in cur.description}
+    for name, kind in spark_df.dtypes:
+        if SAME.get(kind) != kinds[name]:
+            return f"type of {name}: {kind} != {kinds[name]}"
     order = sorted(cols)
     at = [cols.index(c) for c in order]
     want = sorted((repr(tuple(normal(r[i]) for i in at)) for r in cur.fetchall()))

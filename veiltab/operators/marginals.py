@@ -16,7 +16,8 @@ from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltab.functions.bins import bin_table
+from veiltab.functions.bins import add_bins, bin_table
+from veiltab.functions.literals import array_lit
 from veiltab.operators.domain import CATEGORICAL, Column, Domain
 from veiltab.session import small_side
 
@@ -333,3 +334,71 @@ class Marginals(StatModule):
                 if d.nullable:
                     rows.append((w.workload_id, i + 1, d.n, None, None))
         return spark.createDataFrame(rows, "workload_id int, dim int, bin long, lo double, hi double")
+
+
+# ---- histograms and boxes over given edges ---------------------------------------------------
+
+
+def dense_histogram(df: DataFrame, edges: dict[str, list[float]], n_rows: int) -> DataFrame:
+    """k-dimensional histogram over given edges: b1..bk, lo1..hik and the fraction of rows."""
+    names = list(edges)
+    binned = add_bins(df.select(*names), {f"b_{n}": (n, edges[n]) for n in names})
+    keys = [f"b{i + 1}" for i in range(len(names))]
+    counts = (
+        binned.select(*[F.col(f"b_{n}").cast("long").alias(k) for n, k in zip(names, keys)])
+        .dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    widths = [len(edges[n]) - 1 for n in names]
+    total, strides = math.prod(widths), _strides(widths)
+    grid = df.sparkSession.range(total)
+    for k, at, w in zip(keys, strides, widths):
+        grid = grid.withColumn(k, (F.floor(F.col("id") / at) % w).cast("long"))
+    full = grid.join(counts, keys, "left")
+    bounds = []
+    for i, n in enumerate(names):
+        e, b = array_lit([float(x) for x in edges[n]]), F.col(keys[i]).cast("int")
+        bounds += [F.get(e, b).alias(f"lo{i + 1}"), F.get(e, b + 1).alias(f"hi{i + 1}")]
+    return full.select(*keys, *bounds, (F.coalesce("cnt", F.lit(0)) / F.lit(float(n_rows))).alias("stat"))
+
+
+def box_queries(df: DataFrame, boxes: list[tuple[int, dict[str, tuple[float, float]]]], n_rows: int) -> DataFrame:
+    """(query_id, stat): fraction of rows in each box of half-open intervals.
+
+    All bounds of a column set cut its space into elementary cells. Rows are counted per cell once;
+    each box then sums the cells it covers, joined on the first column's bin. Rows are never paired
+    with boxes.
+    """
+    spark = df.sparkSession
+    groups: dict[tuple[str, ...], list] = {}
+    for q, box in boxes:
+        groups.setdefault(tuple(sorted(box)), []).append((q, box))
+    inf = float("inf")
+    out = spark.createDataFrame([(q,) for q, _ in boxes], "query_id int")
+    found = None
+    for cols, members in groups.items():
+        cuts = {c: sorted({x for _, box in members for x in map(float, box[c])}) for c in cols}
+        binned = add_bins(df.select(*cols), {f"b_{c}": (c, [-inf, *cuts[c], inf]) for c in cols})
+        keys = [f"b_{c}" for c in cols]
+        counts = binned.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+        rows = []
+        for q, box in members:
+            row = [q]
+            for c in cols:  # bins of [lo, hi): after lo's cut, up to and including hi's
+                row += [cuts[c].index(float(box[c][0])) + 1, cuts[c].index(float(box[c][1]))]
+            if all(row[i] <= row[i + 1] for i in range(1, len(row), 2)):
+                rows.append(tuple(row))
+        if not rows:
+            continue
+        schema = "query_id int, " + ", ".join(f"from_{i} int, to_{i} int" for i in range(len(cols)))
+        asked = spark.createDataFrame(rows, schema)
+        asked = asked.withColumn(keys[0], F.explode(F.expr("sequence(from_0, to_0)")))
+        inside = reduce(
+            lambda a, b: a & b,
+            [F.col(keys[i]).between(F.col(f"from_{i}"), F.col(f"to_{i}")) for i in range(len(cols))],
+        )
+        part = counts.join(asked, keys[0]).where(inside).groupBy("query_id").agg(F.sum("cnt").alias("cnt"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query_id int, cnt long")
+    stat = F.coalesce("cnt", F.lit(0)) / F.lit(float(n_rows))
+    return out.join(found, "query_id", "left").select("query_id", stat.alias("stat"))
