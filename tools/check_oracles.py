@@ -32,24 +32,24 @@ def connect(sf_dir: str):
     return con
 
 
-def compare(spark_df, con, sql: str) -> str | None:
-    """None if equal, else what differs."""
+def compare(spark_df, con, sql: str) -> tuple[str | None, int]:
+    """(what differs or None, rows)."""
     cur = con.execute(sql)
     cols = [c[0] for c in cur.description]
     if sorted(cols) != sorted(spark_df.columns):
-        return f"columns {sorted(spark_df.columns)} != {sorted(cols)}"
+        return f"columns {sorted(spark_df.columns)} != {sorted(cols)}", 0
     kinds = {c[0]: str(c[1]).upper() for c in cur.description}
     for name, kind in spark_df.dtypes:
         if SAME.get(kind) != kinds[name]:
-            return f"type of {name}: {kind} != {kinds[name]}"
+            return f"type of {name}: {kind} != {kinds[name]}", 0
     order = sorted(cols)
     at = [cols.index(c) for c in order]
     want = sorted((repr(tuple(normal(r[i]) for i in at)) for r in cur.fetchall()))
     got = sorted(repr(tuple(normal(r[c]) for c in order)) for r in spark_df.collect())
     if want == got:
-        return None
+        return None, len(got)
     diff = [(g, w) for g, w in zip(got, want) if g != w][:3]
-    return f"rows {len(got)} vs {len(want)}; first differences {diff}"
+    return f"rows {len(got)} vs {len(want)}; first differences {diff}", len(got)
 
 
 def main() -> int:
@@ -65,8 +65,8 @@ def main() -> int:
         try:
             df = QUERIES[n](spark, sf_dir)
             if n in ORACLES:
-                problem = compare(df, con, ORACLES[n])
-                state = "ok" if problem is None else f"DIFF {problem[:1500]}"
+                problem, rows = compare(df, con, ORACLES[n])
+                state = f"ok {rows}" if problem is None else f"DIFF {problem[:1500]}"
             else:
                 problem, rows = None, df.count()
                 state = f"rows={rows}"

@@ -76,7 +76,11 @@ def from_state(state: DataFrame, domain: Domain) -> DataFrame:
 class Edits:
     """Proposals and scores for one measurement target over a set of marginals."""
 
-    def __init__(self, marginals: Marginals, n_rows: int, operators: list[str], seed, run: str = "run"):
+    def __init__(
+        self, marginals: Marginals, n_rows: int, operators: list[str], seed, run: str = "run",
+        draw=fast_uniform,
+    ):
+        self.draw = draw
         self.marginals, self.domain, self.n_rows = marginals, marginals.domain, n_rows
         self.operators, self.seed, self.run = operators, seed, run
         self.max_level = max(1, math.ceil(math.log2(max(n_rows, 2))) + 2)
@@ -86,7 +90,7 @@ class Edits:
     def _u(self, tag: str, round_no: int, *keys) -> C:
         # Seed, run and round travel as one string: a string is not part of the generated code, so
         # every round reuses the compiled code of the first.
-        return fast_uniform(f"{self.seed}|{self.run}|{round_no}", tag, *keys)
+        return self.draw(f"{self.seed}|{self.run}|{round_no}", tag, *keys)
 
     def quantiles(self, state: DataFrame) -> list[list[float]]:
         """Per column 0, 32 quantiles of the current table and the size; a few numbers each."""

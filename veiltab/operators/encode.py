@@ -83,14 +83,17 @@ def numeric_code(col: Column, x: C) -> C:
     return (ordinal_code if col.role == ORDINAL else unit_code)(x, col.lo, col.hi)
 
 
-def encode(df: DataFrame, domain: Domain, labels: DataFrame | None = None) -> DataFrame:
-    """Typed encoded table with the domain's columns only. NaN is NULL."""
+def encode(
+    df: DataFrame, domain: Domain, labels: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Typed encoded table with the domain's columns (and ``keep``) only. NaN is NULL."""
     check_columns(df, domain.names)
-    df = clean_nan(df.select(*domain.names))
+    df = clean_nan(df.select(*keep, *domain.names))
     cats = domain.of_role(CATEGORICAL)
     if cats:
         df = encode_labels(df, labels, cats, domain)
     return df.select(
+        *keep,
         *[
             F.col(c.name) if c.role == CATEGORICAL else numeric_code(c, F.col(c.name)).alias(c.name)
             for c in domain.columns
