@@ -49,3 +49,22 @@ def gumbel(seed, tag: str, *keys) -> Column:
 def laplace(seed, tag: str, *keys) -> Column:
     u = uniform(seed, tag, *keys) - F.lit(0.5)
     return -F.signum(u) * F.ln(F.lit(1.0) - F.lit(2.0) * F.abs(u))
+
+
+# The same draws as SQL text, for expressions that are rebuilt every round.
+
+
+def _text(value) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def uniform_sql(seed, tag: str, *keys: str) -> str:
+    """``uniform`` with SQL expressions as keys."""
+    parts = [_text(seed), _text(tag), *[f"string({k})" for k in keys]]
+    bits = f"cast(conv(substring(md5(concat_ws('|', {', '.join(parts)})), 1, 13), 16, 10) as bigint)"
+    return f"((cast({bits} as double) + 0.5D) / {float(1 << 52)!r}D)"
+
+
+def fast_uniform_sql(seed, tag: str, *keys: str) -> str:
+    bits = f"shiftrightunsigned(xxhash64({', '.join([_text(seed), _text(tag), *keys])}), 12)"
+    return f"((cast({bits} as double) + 0.5D) / {float(1 << 52)!r}D)"

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veiltab.functions.literals import small_table
+
 CATEGORICAL, ORDINAL, CONTINUOUS = "categorical", "ordinal", "continuous"
 # The type names accepted in meta_data for each role.
 ROLE_NAMES = {
@@ -120,7 +122,7 @@ class Domain:
              None if c.edges is None else list(c.edges))
             for i, c in enumerate(self.columns)
         ]
-        return spark.createDataFrame(rows, schema)
+        return small_table(spark, rows, schema)
 
 
 def check_columns(df: DataFrame, names: Iterable[str]) -> None:
@@ -203,7 +205,7 @@ def infer_roles(df: DataFrame, max_labels: int = 50) -> dict[str, str]:
 def label_table(df: DataFrame, names: list[str]) -> DataFrame:
     """(col, value) of every distinct category, counted on the map side first."""
     if not names:
-        return df.sparkSession.createDataFrame([], "col string, value string")
+        return small_table(df.sparkSession, [], "col string, value string")
     pairs = F.array(
         *[F.struct(F.lit(n).alias("col"), F.col(n).cast("string").alias("value")) for n in names]
     )

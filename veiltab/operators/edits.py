@@ -2,23 +2,23 @@
 
 State is ``(row_id, v, b)``: encoded values and their finest bins, one array slot per column. Arrays
 keep the generated code the same size however wide the table is. A round pairs rows by
-``row_id ^ mask``, so a swap or a copy finds its partner with one shuffle; everything up to the score
-of a row stays in the partition of its pair.
+``row_id ^ mask``, so a swap or a copy finds its partner with one shuffle; everything up to the choice
+of an edit stays in the partition of its pair. Expressions are SQL text, since they are rebuilt every
+round and one text is cheaper to send than many calls.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cached_property
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veiltab.functions.bins import bin_table
-from veiltab.functions.hashing import fast_uniform
-from veiltab.functions.literals import array_lit
+from veiltab.functions.hashing import fast_uniform_sql
+from veiltab.functions.literals import array_sql
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import SET_SHIFT, Marginals
 from veiltab.session import lookup, small_side
@@ -27,6 +27,7 @@ MUTATE, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "continuous", "swap", "cross1",
 QUANTILE_POINTS = 32
 ROWS_PER_TASK = 100_000
 SLOTS = 1000
+PROPOSAL = ["pair_id", "side", "row_id", "cand", "v", "b", "op", "c1", "c2", "x1", "x2", "y1", "y2"]
 
 
 def expand_operators(names: tuple[str, ...], domain: Domain) -> list[str]:
@@ -78,28 +79,33 @@ class Edits:
 
     def __init__(
         self, marginals: Marginals, n_rows: int, operators: list[str], seed, run: str = "run",
-        draw=fast_uniform,
+        candidates: int = 1, draw=fast_uniform_sql,
     ):
-        self.draw = draw
         self.marginals, self.domain, self.n_rows = marginals, marginals.domain, n_rows
         self.operators, self.seed, self.run = operators, seed, run
+        self.candidates, self.draw = candidates, draw
+        self._touch: DataFrame | None = None
         self.max_level = max(1, math.ceil(math.log2(max(n_rows, 2))) + 2)
 
     # ---- proposals ----
 
-    def _u(self, tag: str, round_no: int, *keys) -> C:
+    def _u(self, tag: str, round_no: int, *keys: str) -> str:
         # Seed, run and round travel as one string: a string is not part of the generated code, so
         # every round reuses the compiled code of the first.
         return self.draw(f"{self.seed}|{self.run}|{round_no}", tag, *keys)
 
-    def quantiles(self, state: DataFrame) -> list[list[float]]:
-        """Per column 0, 32 quantiles of the current table and the size; a few numbers each."""
-        probs = list(linspace(0.0, 1.0, QUANTILE_POINTS))
-        aggs = [
-            F.percentile_approx(F.get("v", F.lit(i)), probs, 10_000).alias(f"q{i}")
+    def quantile_aggregates(self, value) -> list[C]:
+        """Approximate quantiles of ``value(i)`` for every numeric column i."""
+        probs = array_sql(list(linspace(0.0, 1.0, QUANTILE_POINTS)))
+        return [
+            F.expr(f"percentile_approx({value(i)}, {probs}, 10000) as q{i}")
             for i, c in enumerate(self.domain.columns)
             if c.numeric
         ]
+
+    def quantiles(self, state: DataFrame) -> list[list[float]]:
+        """Per column 0, 32 quantiles of the current table and the size; a few numbers each."""
+        aggs = self.quantile_aggregates(lambda i: f"get(v, {i})")
         return self.read_quantiles(state.agg(*aggs).first().asDict() if aggs else {})
 
     def read_quantiles(self, found: dict) -> list[list[float]]:
@@ -109,96 +115,95 @@ class Edits:
             out.append([0.0, *(q or [0.0] * QUANTILE_POINTS), float(c.size)])
         return out
 
+    def partitions(self, spark: SparkSession) -> int:
+        """Tasks of a round. Scoring multiplies the rows, so bytes on the way in say too little."""
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n_rows // ROWS_PER_TASK))
+
     def pairs(self, state: DataFrame, round_no: int) -> DataFrame:
         """Rows with their partner of this round: one shuffle, groups of at most two rows."""
         bits = max(1, math.ceil(math.log2(max(self.n_rows, 2))))
         mask = 1 + (round_no * 0x9E3779B1) % ((1 << bits) - 1) if bits > 1 else 1
-        partner = F.col("row_id").bitwiseXOR(F.lit(mask).cast("long"))
-        members = F.sort_array(F.collect_list(F.struct("row_id", "v", "b"))).alias("m")
-        spread = state.withColumn("pair_id", F.least("row_id", partner))
-        spread = spread.repartition(self.partitions(state.sparkSession), "pair_id")
-        grouped = spread.groupBy("pair_id").agg(members)
-        each = grouped.select("pair_id", "m", F.posexplode("m").alias("side", "me"))
-        other = F.when(F.size("m") == 2, F.get("m", 1 - F.col("side")))
-        return each.select(
-            "pair_id", "me.row_id", "me.v", "me.b", other.v.alias("pv"), other.b.alias("pb")
+        return (
+            state.selectExpr("*", f"least(row_id, row_id ^ {mask}L) as pair_id")
+            .repartition(self.partitions(state.sparkSession), "pair_id")
+            .groupBy("pair_id")
+            .agg(F.expr("sort_array(collect_list(struct(row_id, v, b))) as m"))
+            .selectExpr("pair_id", "m", "posexplode(m) as (side, me)")
+            .selectExpr(
+                "pair_id", "side", "me.row_id", "me.v", "me.b",
+                "if(size(m) = 2, get(m, 1 - side).v, null) as pv",
+                "if(size(m) = 2, get(m, 1 - side).b, null) as pb",
+            )
         )
 
-    def partitions(self, spark: SparkSession) -> int:
-        """Tasks of a round. Scoring multiplies the rows, so bytes on the way in say too little."""
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n_rows // ROWS_PER_TASK))
-
-    def choose_operator(self, paired: DataFrame, round_no: int, weights: list[float]) -> DataFrame:
-        """One operator per pair; without a partner there is nothing to swap or copy."""
+    def operator_slots(self, weights: list[float]) -> list[int]:
+        """Operator numbers in proportion to their weights; drawing one is an array access."""
         slots, acc = [], 0.0
         for i, w in enumerate(mixed_weights(weights)):
             acc += w
             slots += [i] * (round(acc * SLOTS) - len(slots))
-        u = self._u("op", round_no, F.col("pair_id"))
-        i = F.get(array_lit(slots), F.floor(u * F.lit(SLOTS)).cast("int"))
-        paired = paired.withColumn("op", F.get(array_lit(self.operators), i))
-        alone = F.col("op").isin(SWAP, COPY1, COPY2) & F.col("pv").isNull()
-        return paired.withColumn("op", F.when(~alone, F.col("op")))
+        return slots
 
     def propose(
         self, state: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]]
     ) -> DataFrame:
-        """Adds op, edited columns c1/c2, their new values x1/x2 and bins y1/y2."""
-        d, names = self.domain, self.domain.names
-        df = self.choose_operator(self.pairs(state, round_no), round_no, weights)
-        row, pair, op = F.col("row_id"), F.col("pair_id"), F.col("op")
+        """Adds op, edited columns c1/c2, their new values x1/x2 and bins y1/y2.
+
+        Each row gets ``candidates`` proposals. The operator is drawn per pair, as both rows of a
+        swap must agree; a row without a partner has nothing to swap or copy.
+        """
+        d, u = self.domain, lambda tag, *keys: self._u(tag, round_no, *keys, "cand")
         by_weight = [i for i, c in enumerate(d.columns) for _ in range(c.weight)]
         numeric = [d.position(n) for n in d.of_role(CONTINUOUS) + d.of_role(ORDINAL)] or [0]
         cats = [d.position(n) for n in d.of_role(CATEGORICAL)] or [0]
 
-        def pick(ids: list[int], tag: str, key: C) -> C:
-            i = F.floor(self._u(tag, round_no, key) * F.lit(len(ids))).cast("int")
-            return F.get(array_lit(ids), i)
-
-        c1 = (
-            F.when(op == MUTATE, pick(by_weight, "mutate.col", row))
-            .when(op == QUANTILE, pick(numeric, "quantile.col", row))
-            .when(op == SWAP, pick(list(range(len(names))), "swap.col", pair))
-            .when(op.isin(COPY1, COPY2), pick(cats, "copy.col1", row))
-        )
-        c2 = F.when(op == COPY2, pick(cats, "copy.col2", row))
-        df = df.withColumns({"c1": c1, "c2": c2})
-        df = df.withColumn("c2", F.when(F.col("c2") != F.col("c1"), F.col("c2")))
-        df = df.withColumns(
-            {
-                "ua": self._u("value.bin", round_no, row),
-                "ub": self._u("value.in", round_no, row),
-            }
-        )
-        df = df.withColumn("x1", self._new_value(quantiles)).withColumn(
-            "x2", F.get("pv", F.col("c2"))
-        )
-        borrowed = F.col("op").isin(SWAP, COPY1, COPY2)
-        fresh = df.select(
-            "*",
-            *[
-                F.when(~borrowed & (F.col("c1") == i), F.col("x1")).alias(f"x_{n}")
-                for i, n in enumerate(names)
-            ],
-        )
-        fresh = self._bins_of(fresh)
-        y1 = F.when(borrowed, F.get("pb", F.col("c1"))).otherwise(F.get("y", F.col("c1")))
-        return fresh.withColumns({"y1": y1, "y2": F.get("pb", F.col("c2"))}).drop(
-            "y", "ua", "ub", "pv", *[f"x_{n}" for n in names]
+        def pick(ids: list, tag: str, key: str) -> str:
+            return f"get({array_sql(ids)}, cast(floor({u(tag, key)} * {len(ids)}) as int))"
+
+        slots = self.operator_slots(weights)
+        borrowed = f"op in ('{SWAP}', '{COPY1}', '{COPY2}')"
+        df = (
+            self.pairs(state, round_no)
+            .selectExpr("*", f"explode(sequence(0, {self.candidates - 1})) as cand")
+            .selectExpr("*", f"get({array_sql(self.operators)}, {pick(slots, 'op', 'pair_id')}) as op0")
+            .selectExpr("* except (op0)", f"if({borrowed.replace('op', 'op0', 1)} and pv is null, null, op0) as op")
+            .selectExpr(
+                "*",
+                f"case op when '{MUTATE}' then {pick(by_weight, 'mutate.col', 'row_id')} "
+                f"when '{QUANTILE}' then {pick(numeric, 'quantile.col', 'row_id')} "
+                f"when '{SWAP}' then {pick(list(range(len(d.columns))), 'swap.col', 'pair_id')} "
+                f"when '{COPY1}' then {pick(cats, 'copy.col1', 'row_id')} "
+                f"when '{COPY2}' then {pick(cats, 'copy.col1', 'row_id')} end as c1",
+                f"if(op = '{COPY2}', {pick(cats, 'copy.col2', 'row_id')}, null) as c2_",
+                f"{u('value.bin', 'row_id')} as ua",
+                f"{u('value.in', 'row_id')} as ub",
+            )
+            .selectExpr("* except (c2_)", "if(c2_ <> c1, c2_, null) as c2")
+            .selectExpr("*", *self._bin_choice(quantiles))
+            .selectExpr("* except (i, j)", *self._new_value(quantiles), "get(pv, c2) as x2", "get(pb, c2) as y2")
         )
+        return self._with_bin(df, borrowed).drop("ua", "ub", "pv", "xb", "at")
+
+    def _bin_choice(self, quantiles: list[list[float]]) -> list[str]:
+        """i: bin to draw from (the null bin counts as one); j: quantile interval."""
+        n = [self._n_bins(c) + c.has_nulls for c in self.domain.columns]
+        return [
+            f"cast(floor(ua * get({array_sql(n)}, c1)) as int) as i",
+            f"cast(floor(ua * {QUANTILE_POINTS + 1}) as int) as j",
+        ]
+
+    @staticmethod
+    def _n_bins(c) -> int:
+        if c.edges is not None:
+            return len(c.edges) - 1
+        return 1 if c.role == CONTINUOUS else c.size
 
-    def _bins_of(self, df: DataFrame) -> DataFrame:
-        """Bins of the values in the x_<name> columns, as an array ``y``."""
-        names, keep = self.domain.names, [c for c in df.columns if not c.startswith("x_")]
-        renamed = df.select(*keep, *[F.col(f"x_{n}").alias(n) for n in names], *[f"x_{n}" for n in names])
-        binned = bin_table(renamed, self.domain, self.marginals.depth, names, "y_")
-        y = F.array(*[F.col(f"y_{n}").cast("int") for n in names]).alias("y")
-        return binned.select(*df.columns, y)
-
-    def _new_value(self, quantiles: list[list[float]]) -> C:
-        """New value of column c1: from its bins (mutate), its quantiles, or the partner's row."""
-        cols = self.domain.columns
-        edges, n_bins = [], []
+    def _new_value(self, quantiles: list[list[float]]) -> list[str]:
+        """x1 of column c1: from its bins (mutate), its quantiles, or the partner's row.
+
+        Columns without edges take the bin number itself.
+        """
+        cols, edges = self.domain.columns, []
         for c in cols:
             if c.role == CONTINUOUS:
                 edges.append([float(e) for e in (c.edges or (0.0, 1.0))])
@@ -206,158 +211,180 @@ class Edits:
                 edges.append([float(math.ceil(e)) for e in c.edges])
             else:
                 edges.append([])
-            n_bins.append(len(edges[-1]) - 1 if edges[-1] else c.size)
-        c1, ua, ub = F.col("c1"), F.col("ua"), F.col("ub")
-        at = lambda values: F.get(array_lit(values), c1)
-        n = at(n_bins)
-        i = F.floor(ua * (n + at([int(c.has_nulls) for c in cols]))).cast("int")
-        top = at([float(c.size - 1) for c in cols])
-        whole = at([c.role != CONTINUOUS for c in cols])
-        table = array_lit(edges)
-        left, right = F.get(F.get(table, c1), i), F.get(F.get(table, c1), i + 1)
-        stepped = F.least(left + F.floor(ub * F.greatest(right - left, F.lit(1.0))), top)
-        inside = F.when(whole, stepped).otherwise(left + ub * (right - left))
-        mutated = F.when(i < n, F.coalesce(inside, i.cast("double")))
-        q = array_lit([[float(x) for x in qs] for qs in quantiles])
-        j = F.floor(ua * F.lit(QUANTILE_POINTS + 1)).cast("int")
-        low, high = F.get(F.get(q, c1), j), F.get(F.get(q, c1), j + 1)
-        between = low + ub * (high - low)
-        between = F.when(whole, F.least(F.floor(between).cast("double"), top)).otherwise(between)
-        op = F.col("op")
-        return F.when(op == MUTATE, mutated).when(op == QUANTILE, between).otherwise(F.get("pv", c1))
+        e, q = f"get({array_sql(edges)}, c1)", f"get({array_sql(quantiles)}, c1)"
+        whole = f"get({array_sql([c.role != CONTINUOUS for c in cols])}, c1)"
+        top = f"get({array_sql([float(c.size - 1) for c in cols])}, c1)"
+        left, right = f"get({e}, i)", f"get({e}, i + 1)"
+        stepped = f"least({left} + floor(ub * greatest({right} - {left}, 1.0D)), {top})"
+        inside = f"if({whole}, {stepped}, {left} + ub * ({right} - {left}))"
+        real = f"i < get({array_sql([self._n_bins(c) for c in cols])}, c1)"
+        mutated = f"if({real}, if({left} is null, cast(i as double), {inside}), null)"
+        low, high = f"get({q}, j)", f"get({q}, j + 1)"
+        between = f"{low} + ub * ({high} - {low})"
+        between = f"if({whole}, least(cast(floor({between}) as double), {top}), {between})"
+        return [f"case op when '{MUTATE}' then {mutated} when '{QUANTILE}' then {between} else get(pv, c1) end as x1"]
+
+    def _with_bin(self, df: DataFrame, borrowed: str) -> DataFrame:
+        """y1: finest bin of x1, by binary search in the edges of column c1."""
+        depth, cols = self.marginals.depth, self.domain.columns
+        searched = [list(c.bin_edges(depth)) if c.numeric and not self._direct(c) else [] for c in cols]
+        n = [c.finest(depth) for c in cols]
+        edges, last = f"get({array_sql(searched)}, c1)", f"get({array_sql([k - 1 for k in n])}, c1)"
+        df = df.selectExpr("*", "x1 as xb", "0 as at")
+        step = 1 << max(0, max((len(e) for e in searched), default=1) - 1).bit_length()
+        while step >= 1:
+            up = f"at + {step} <= {last} and xb >= get({edges}, at + {step})"
+            df = df.selectExpr("* except (at)", f"if({up}, at + {step}, at) as at")
+            step //= 2
+        direct = f"get({array_sql([self._direct(c) for c in cols])}, c1)"
+        own = f"case when x1 is null then get({array_sql(n)}, c1) when {direct} then cast(x1 as int) else at end"
+        return df.selectExpr("*", f"if({borrowed}, get(pb, c1), if(c1 is null, null, {own})) as y1")
+
+    @staticmethod
+    def _direct(c) -> bool:
+        """The bin is the value itself."""
+        return c.role == CATEGORICAL or (c.role == ORDINAL and c.edges is None)
 
     # ---- scoring ----
 
+    @cached_property
+    def _touch_rows(self) -> int:
+        return sum(len(w.dims) for w in self.marginals.workloads)
+
     def touch(self, spark: SparkSession) -> DataFrame:
-        """(edit, workload...): the workloads that contain each column."""
-        w = self.marginals.frame(spark)
-        positions = F.slice(F.array(*[f"pos{i}" for i in range(self.marginals.k)]), 1, F.size("cols"))
-        w = w.withColumn("members", positions).drop("cols", "n_cells", "sensitivity", "set_id", "level")
-        return w.select(F.explode("members").alias("edit"), "*").withColumn("edit", F.col("edit").cast("int"))
-
-    def _cell_key(self, bins: str) -> C:
-        m = self.marginals
-        parts = [
-            m.level_bin(i, F.get(bins, F.col(f"pos{i}").cast("int")).cast("long")) * F.col(f"at{i}")
-            for i in range(m.k)
-        ]
-        cell = reduce(lambda a, b: a + b, parts).cast("long")
-        return F.shiftleft(F.col("workload_id").cast("long"), SET_SHIFT) + cell
+        """(edit, workload...): the workloads that contain each column. Built once per run."""
+        if self._touch is not None:
+            return self._touch
+        k = self.marginals.k
+        positions = ", ".join(f"pos{i}" for i in range(k))
+        w = self.marginals.frame(spark).drop("n_cells", "sensitivity", "set_id", "level")
+        self._touch = w.selectExpr("* except (cols)", f"slice(array({positions}), 1, size(cols)) as members").selectExpr(
+            "*", "explode(members) as edit"
+        ).selectExpr("* except (edit)", "cast(edit as int) as edit")
+        return self._touch
+
+    def _cell_key(self, bins: str) -> str:
+        """Packed (workload, cell) of a row's bins; the null bin stays its own bin."""
+        parts = []
+        for i in range(self.marginals.k):
+            b = f"get({bins}, cast(pos{i} as int))"
+            parts.append(f"if({b} = n0{i}, n{i}, least({b} div stride{i}, n{i} - 1)) * at{i}")
+        return f"shiftleft(cast(workload_id as bigint), {SET_SHIFT}) + {' + '.join(parts)}"
 
     def touched(self, proposals: DataFrame, carry: list[str], keep_all: bool) -> DataFrame:
         """(carry, old, new): the cell a row leaves and enters in each workload it moves in.
 
         ``keep_all`` also keeps rows without any move, with NULL cells.
         """
-        spark, d = proposals.sparkSession, len(self.domain.columns)
-        nb = F.array(
-            *[
-                F.when(F.col("c1") == i, F.col("y1")).when(F.col("c2") == i, F.col("y2"))
-                .otherwise(F.get("b", F.lit(i)))
-                for i in range(d)
-            ]
+        nb = ", ".join(
+            f"case when c1 = {i} then y1 when c2 = {i} then y2 else get(b, {i}) end"
+            for i in range(len(self.domain.columns))
         )
-        edits = F.array_compact(F.array("c1", "c2"))
-        each = proposals.withColumn("nb", nb).withColumn(
-            "edit", (F.explode_outer if keep_all else F.explode)(edits)
-        )
-        touch = self.touch(spark)
-        rows = sum(len(w.dims) for w in self.marginals.workloads)
-        joined = each.join(
-            small_side(touch, rows, 64 + 56 * self.marginals.k), "edit", "left" if keep_all else "inner"
+        explode = "explode_outer" if keep_all else "explode"
+        each = proposals.selectExpr(
+            "*", f"array({nb}) as nb", f"{explode}(array_compact(array(c1, c2))) as edit"
         )
+        touch = small_side(self.touch(proposals.sparkSession), self._touch_rows, 64 + 56 * self.marginals.k)
+        joined = each.join(touch, "edit", "left" if keep_all else "inner")
         # A set holding both edited columns is seen from the first one only.
-        counted = (F.col("edit") == F.col("c1")) | ~F.array_contains("members", F.col("c1").cast("long"))
-        old, new = self._cell_key("b"), self._cell_key("nb")
-        moved = joined.select(*carry, counted.alias("counted"), old.alias("old"), new.alias("new"),
-                              *([self._cell_key("pb").alias("partner")] if "pb" in proposals.columns else []))
-        real = F.col("counted") & (F.col("old") != F.col("new"))
+        real = "counted and old <> new"
+        cells = [f"{self._cell_key('b')} as old", f"{self._cell_key('nb')} as new"]
         if "pb" in proposals.columns:
             # A swap between rows that agree in the other columns of a set moves nothing there.
-            real = real & ~((F.col("op") == SWAP) & (F.col("new") == F.col("partner")))
+            cells.append(f"{self._cell_key('pb')} as partner")
+            real += f" and not (op = '{SWAP}' and new = partner)"
+        moved = joined.selectExpr(
+            *carry, "edit = c1 or not array_contains(members, cast(c1 as bigint)) as counted", *cells
+        )
         if keep_all:
-            return moved.select(
-                *carry, F.when(real, F.col("old")).alias("old"), F.when(real, F.col("new")).alias("new")
-            )
+            return moved.selectExpr(*carry, f"if({real}, old, null) as old", f"if({real}, new, null) as new")
         return moved.where(real).select(*carry, "old", "new")
 
-    def score(self, proposals: DataFrame, residuals: DataFrame, n_residuals: int, keep: list[str]) -> DataFrame:
+    def score(self, proposals: DataFrame, residuals: DataFrame, n_residuals: int) -> DataFrame:
         """Exact change of the squared distance if a unit alone is applied.
 
         With r = target - count/N', moving one row from cell a to cell b changes the distance by
         (2 r_a + 1/N') / N' - (2 r_b - 1/N') / N'. Cells without a target add nothing. A swap is one
         unit of two rows; the two rows share no cell they move in, so their changes add up.
         """
-        n = float(self.n_rows)
-        moves = self.touched(proposals, keep, keep_all=True)
-        r_old = residuals.select(F.col("key").alias("old"), F.col("r").alias("r_old"))
-        r_new = residuals.select(F.col("key").alias("new"), F.col("r").alias("r_new"))
+        n = f"{float(self.n_rows)!r}D"
+        moves = self.touched(proposals, PROPOSAL, keep_all=True)
+        r_old = residuals.selectExpr("key as old", "r as r_old")
+        r_new = residuals.selectExpr("key as new", "r as r_new")
         moves = lookup(lookup(moves, r_old, ["old"], n_residuals), r_new, ["new"], n_residuals)
-        change = F.coalesce((2.0 * F.col("r_old") + 1.0 / n) / n, F.lit(0.0)) - F.coalesce(
-            (2.0 * F.col("r_new") - 1.0 / n) / n, F.lit(0.0)
+        change = (
+            f"coalesce((2.0D * r_old + 1.0D / {n}) / {n}, 0.0D) - coalesce((2.0D * r_new - 1.0D / {n}) / {n}, 0.0D)"
+        )
+        scored = moves.groupBy(*PROPOSAL).agg(F.expr(f"sum({change}) as own"))
+        unit = f"if(op = '{SWAP}', sum(own) over (partition by pair_id, cand), own) as change"
+        return scored.selectExpr("* except (own)", unit)
+
+    def choose(self, scored: DataFrame) -> DataFrame:
+        """One edit per row: the pair's best swap, or the best edit of each row on its own."""
+        if self.candidates == 1:
+            return scored
+        single, over = f"op <> '{SWAP}'", "over (partition by pair_id)"
+        best = [
+            f"min(if({single} and side = {s}, struct(change, cand), null)) {over} as best{s}" for s in (0, 1)
+        ]
+        best.append(f"min(if(op = '{SWAP}', struct(change, cand), null)) {over} as swap")
+        alone = "least(coalesce(best0.change, 0D), 0D) + least(coalesce(best1.change, 0D), 0D)"
+        return (
+            scored.selectExpr("*", *best)
+            .selectExpr("*", f"coalesce(swap.change < {alone}, false) as together")
+            .selectExpr("*", "if(together, swap.cand, coalesce(if(side = 0, best0.cand, best1.cand), swap.cand, 0)) as pick")
+            .where("cand = pick")
+            # A row left with a swap its partner did not choose keeps its values.
+            .selectExpr("* except (change)", f"if(op = '{SWAP}' and not together, 0D, change) as change")
+            .drop("best0", "best1", "swap", "together", "pick")
         )
-        scored = moves.groupBy(*keep).agg(F.sum(change).alias("change"))
-        both = F.sum("change").over(W.partitionBy("pair_id"))
-        return scored.withColumn("change", F.when(F.col("op") == SWAP, both).otherwise(F.col("change")))
 
     def with_levels(self, scored: DataFrame, round_no: int) -> DataFrame:
         """Improving units get a level with P(level >= j) = 2^-j; others none."""
-        unit = F.when(F.col("op") == SWAP, -1 - F.col("pair_id")).otherwise(F.col("row_id"))
-        u = self._u("level", round_no, unit)
-        level = F.least(F.floor(-F.log2(u)), F.lit(self.max_level)).cast("int")
-        return scored.withColumn("level", F.when(F.col("change") < -1e-15, level))
+        u = self._u("level", round_no, f"if(op = '{SWAP}', -1 - pair_id, row_id)")
+        level = f"least(cast(floor(-log2({u})) as int), {self.max_level})"
+        return scored.selectExpr("*", f"if(change < -1e-15D, {level}, null) as level")
 
     # ---- acceptance ----
 
     def set_deltas(self, scored: DataFrame) -> DataFrame:
         """(key, d0..dJ): count change of every cell if all units of level >= j are applied."""
-        better = scored.where("level is not null")
-        moves = self.touched(better, ["op", "level"], keep_all=False)
-        flat = moves.select(
-            "level",
-            F.explode(
-                F.array(
-                    F.struct(F.col("old").alias("key"), F.lit(-1).cast("long").alias("d")),
-                    F.struct(F.col("new").alias("key"), F.lit(1).cast("long").alias("d")),
-                )
-            ).alias("m"),
-        ).select("level", "m.*")
-        sums = [
-            F.sum(F.when(F.col("level") >= j, F.col("d")).otherwise(F.lit(0))).alias(f"d{j}")
-            for j in range(self.max_level + 1)
-        ]
-        return flat.groupBy("key").agg(*sums)
+        moves = self.touched(scored.where("level is not null"), ["op", "level"], keep_all=False)
+        both = "inline(array(struct(old as key, -1L as d), struct(new as key, 1L as d)))"
+        sums = [F.expr(f"sum(if(level >= {j}, d, 0L)) as d{j}") for j in range(self.max_level + 1)]
+        return moves.selectExpr("level", both).groupBy("key").agg(*sums)
 
     def set_changes(self, merged: DataFrame) -> DataFrame:
         """One row e0..eJ: exact change of the distance for each nested set of units."""
-        n = float(self.n_rows)
-        out = []
-        for j in range(self.max_level + 1):
-            d = F.coalesce(F.col(f"d{j}"), F.lit(0)) / F.lit(n)
-            out.append(F.sum(d * d - 2.0 * F.col("r") * d).alias(f"e{j}"))
-        return merged.agg(*out)
+        n = f"{float(self.n_rows)!r}D"
+        return merged.selectExpr(
+            *[
+                f"sum(coalesce(d{j}, 0L) / {n} * (coalesce(d{j}, 0L) / {n} - 2.0D * r)) as e{j}"
+                for j in range(self.max_level + 1)
+            ]
+        )
+
+    def taken(self, j: int | None) -> str:
+        return "false" if j is None else f"coalesce(level >= {j}, false)"
 
     def apply_set(self, scored: DataFrame, j: int | None) -> DataFrame:
         """The next state: units of level >= j take their new values."""
         if j is None:
             return scored.select("row_id", "v", "b")
-        take = F.coalesce(F.col("level") >= j, F.lit(False))
-
-        def new(array: str, first: str, second: str) -> C:
-            return F.array(
-                *[
-                    F.when(take & (F.col("c1") == i), F.col(first))
-                    .when(take & (F.col("c2") == i), F.col(second))
-                    .otherwise(F.get(array, F.lit(i)))
-                    for i in range(len(self.domain.columns))
-                ]
+        take = self.taken(j)
+
+        def new(array: str, first: str, second: str) -> str:
+            slots = ", ".join(
+                f"case when {take} and c1 = {i} then {first} when {take} and c2 = {i} then {second} "
+                f"else get({array}, {i}) end"
+                for i in range(len(self.domain.columns))
             )
+            return f"array({slots}) as {array}"
 
-        return scored.select("row_id", new("v", "x1", "x2").alias("v"), new("b", "y1", "y2").alias("b"))
+        return scored.selectExpr("row_id", new("v", "x1", "x2"), new("b", "y1", "y2"))
 
     def apply_counts(self, merged: DataFrame, j: int | None) -> DataFrame:
         """Residuals after the accepted edits, from counts of rows removed and added."""
         if j is None:
             return merged.select("key", "r")
-        d = F.coalesce(F.col(f"d{j}"), F.lit(0)) / F.lit(float(self.n_rows))
-        return merged.select("key", (F.col("r") - d).alias("r"))
+        return merged.selectExpr("key", f"r - coalesce(d{j}, 0L) / {float(self.n_rows)!r}D as r")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.hashing import uniform
 from veiltab.operators.domain import (
     CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, check_columns, clean_nan, label_table,
@@ -25,7 +26,7 @@ def fit_labels(df: DataFrame, names: list[str], public: dict[str, list] | None =
     if public:
         rows = [(n, str(v)) for n, vs in public.items() for v in sorted(set(map(str, vs)))]
         found = found.unionByName(
-            df.sparkSession.createDataFrame(rows, "col string, value string")
+            small_table(df.sparkSession, rows, "col string, value string")
         )
     rank = F.row_number().over(W.partitionBy("col").orderBy("value")) - 1
     return found.select("col", "value", rank.cast("int").alias("label"))

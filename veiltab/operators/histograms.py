@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.bins import add_bins
 from veiltab.functions.budget import sigma_of
 from veiltab.functions.hashing import gaussian, laplace
@@ -86,7 +87,7 @@ def bin_counts(df: DataFrame, edges: dict[str, list[float]], outside: bool = Fal
 
 def bin_grid(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
     """Every (col, bin), empty or not."""
-    d = spark.createDataFrame(list(sizes.items()), "col string, n int")
+    d = small_table(spark, list(sizes.items()), "col string, n int")
     return d.select("col", F.explode(F.expr("sequence(0, n - 1)")).alias("bin"))
 
 
@@ -171,8 +172,7 @@ def adaptive_histogram(
         step = 1.0 if domain[n].role == ORDINAL else granularity
         sigma = sigma_of(math.sqrt(2.0 * (heights[n] + 1)) / n_rows, rho)
         meta_rows.append((n, lo, hi, heights[n], step, sigma))
-    meta = spark.createDataFrame(
-        meta_rows, "col string, lo double, hi double, height int, step double, sigma double"
+    meta = small_table(spark, meta_rows, "col string, lo double, hi double, height int, step double, sigma double"
     )
 
     def noised(nodes: DataFrame, level: int, stat: C) -> DataFrame:
@@ -292,7 +292,7 @@ def cdf(df: DataFrame, thresholds: dict[str, list[float]], n_rows: int) -> DataF
         .groupBy("col", "bin").agg(F.count(F.lit(1)).alias("cnt"))
     )
     rows = [(n, i, t) for n, ts in cuts.items() for i, t in enumerate(ts)]
-    asked = df.sparkSession.createDataFrame(rows, "col string, bin int, threshold double")
+    asked = small_table(df.sparkSession, rows, "col string, bin int, threshold double")
     full = asked.join(counts, ["col", "bin"], "left")
     run = W.partitionBy("col").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum(F.coalesce("cnt", F.lit(0))).over(run)
@@ -351,7 +351,7 @@ def exact_quantiles(df: DataFrame, names: list[str], probs: list[float]) -> Data
             at = p * (sizes[n] - 1)
             low = int(math.floor(at))
             rows.append((n, i, low, min(low + 1, max(sizes[n] - 1, 0)), at - low))
-    asked = spark.createDataFrame(rows, "col string, i int, r0 long, r1 long, frac double")
+    asked = small_table(spark, rows, "col string, i int, r0 long, r1 long, frac double")
     want = asked.groupBy("col").agg(
         F.array_distinct(F.flatten(F.array(F.collect_list("r0"), F.collect_list("r1")))).alias("ranks")
     )
@@ -368,7 +368,7 @@ def quantile_grid(df: DataFrame, domain: Domain, names: list[str], points: int =
     """(col, i, value): 0, ``points`` evenly spaced quantiles, and the column's size."""
     q = exact_quantiles(df, names, list(linspace(0.0, 1.0, points)))
     ends = [(n, 0, 0.0) for n in names] + [(n, points + 1, float(domain[n].size)) for n in names]
-    ends = df.sparkSession.createDataFrame(ends, "col string, i int, value double")
+    ends = small_table(df.sparkSession, ends, "col string, i int, value double")
     return q.withColumn("i", F.col("i") + 1).unionByName(ends)
 
 
@@ -393,7 +393,7 @@ def private_bounds(df: DataFrame, names: list[str], epsilon: float, seed, beta:
     )
     counts = binned.groupBy("col", "sign", "e").agg(F.count(F.lit(1)).alias("cnt"))
     spark = df.sparkSession
-    grid = spark.createDataFrame([(n,) for n in names], "col string")
+    grid = small_table(spark, [(n,) for n in names], "col string")
     grid = grid.select("col", F.explode(F.array(F.lit(-1), F.lit(1))).alias("sign")).select(
         "col", "sign", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("e")
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veiltab.functions.bins import add_bins, bin_table
-from veiltab.functions.literals import array_lit
+from veiltab.functions.literals import array_lit, small_table
 from veiltab.operators.domain import CATEGORICAL, Column, Domain
 from veiltab.session import small_side
 
@@ -211,7 +211,7 @@ class Marginals(StatModule):
                 else:
                     row += [0, 1, 1, 1, 1, 0, 0]
             rows.append(tuple(row))
-        return spark.createDataFrame(rows, schema)
+        return small_table(spark, rows, schema)
 
     def level_bin(self, i: int, finest: C) -> C:
         """Bin of dimension i at the workload's level; the null bin stays its own bin."""
@@ -333,7 +333,7 @@ class Marginals(StatModule):
                     rows.append((w.workload_id, i + 1, b, float(left), float(right)))
                 if d.nullable:
                     rows.append((w.workload_id, i + 1, d.n, None, None))
-        return spark.createDataFrame(rows, "workload_id int, dim int, bin long, lo double, hi double")
+        return small_table(spark, rows, "workload_id int, dim int, bin long, lo double, hi double")
 
 
 # ---- histograms and boxes over given edges ---------------------------------------------------
@@ -373,7 +373,7 @@ def box_queries(df: DataFrame, boxes: list[tuple[int, dict[str, tuple[float, flo
     for q, box in boxes:
         groups.setdefault(tuple(sorted(box)), []).append((q, box))
     inf = float("inf")
-    out = spark.createDataFrame([(q,) for q, _ in boxes], "query_id int")
+    out = small_table(spark, [(q,) for q, _ in boxes], "query_id int")
     found = None
     for cols, members in groups.items():
         cuts = {c: sorted({x for _, box in members for x in map(float, box[c])}) for c in cols}
@@ -390,7 +390,7 @@ def box_queries(df: DataFrame, boxes: list[tuple[int, dict[str, tuple[float, flo
         if not rows:
             continue
         schema = "query_id int, " + ", ".join(f"from_{i} int, to_{i} int" for i in range(len(cols)))
-        asked = spark.createDataFrame(rows, schema)
+        asked = small_table(spark, rows, schema)
         asked = asked.withColumn(keys[0], F.explode(F.expr("sequence(from_0, to_0)")))
         inside = reduce(
             lambda a, b: a & b,
@@ -399,6 +399,6 @@ def box_queries(df: DataFrame, boxes: list[tuple[int, dict[str, tuple[float, flo
         part = counts.join(asked, keys[0]).where(inside).groupBy("query_id").agg(F.sum("cnt").alias("cnt"))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], "query_id int, cnt long")
+        found = small_table(spark, [], "query_id int, cnt long")
     stat = F.coalesce("cnt", F.lit(0)) / F.lit(float(n_rows))
     return out.join(found, "query_id", "left").select("query_id", stat.alias("stat"))

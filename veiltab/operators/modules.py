@@ -8,6 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.bins import add_bins
 from veiltab.operators.domain import CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import StatModule
@@ -29,8 +30,7 @@ class _Rates(StatModule):
     def frame(self, spark: SparkSession, selected: list[int] | None = None) -> DataFrame:
         keep = range(len(self.names)) if selected is None else selected
         rows = [(i, 0, 1, math.sqrt(2.0), [self.names[i]]) for i in keep]
-        return spark.createDataFrame(
-            rows, "workload_id int, level int, n_cells long, sensitivity double, cols array<string>"
+        return small_table(spark, rows, "workload_id int, level int, n_cells long, sensitivity double, cols array<string>"
         )
 
     def grid(self, spark: SparkSession, selected: list[int] | None = None) -> DataFrame:
@@ -89,8 +89,7 @@ class Covariance(StatModule):
     def frame(self, spark: SparkSession, selected: list[int] | None = None) -> DataFrame:
         keep = range(len(self.pairs)) if selected is None else selected
         rows = [(i, 0, self.n_edges - 1, math.sqrt(2.0), list(self.pairs[i])) for i in keep]
-        return spark.createDataFrame(
-            rows, "workload_id int, level int, n_cells long, sensitivity double, cols array<string>"
+        return small_table(spark, rows, "workload_id int, level int, n_cells long, sensitivity double, cols array<string>"
         )
 
     def grid(self, spark: SparkSession, selected: list[int] | None = None) -> DataFrame:

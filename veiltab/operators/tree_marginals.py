@@ -9,6 +9,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.hashing import gaussian
 from veiltab.operators.domain import Domain
 from veiltab.operators.histograms import dyadic_edges
@@ -57,8 +58,7 @@ class TreeMarginals:
             sigma = math.sqrt(2.0) / n_rows / math.sqrt(2.0 * each)
             share = None if max_size is None else max_size // len(self.sets)
             rows.append((",".join(w.cols), w.level, math.prod(w.bins), each, sigma, share))
-        return spark.createDataFrame(
-            rows, "cols string, level int, n_cells long, rho double, sigma double, max_size long"
+        return small_table(spark, rows, "cols string, level int, n_cells long, rho double, sigma double, max_size long"
         )
 
     def _finest(self, encoded: DataFrame) -> DataFrame:
@@ -99,8 +99,7 @@ class TreeMarginals:
                 finest = self._bins(c, self.height)
                 row += [w.bins[j], finest // w.bins[j], math.prod(w.bins[j + 1:])]
             rows.append(tuple(row))
-        loads = spark.createDataFrame(
-            rows, f"set_id int, cols string, level int, sigma double, n_cells long, {fields}"
+        loads = small_table(spark, rows, f"set_id int, cols string, level int, sigma double, n_cells long, {fields}"
         )
         keys = [f"b{j + 1}" for j in range(k)]
         up = [F.floor(F.col(f"f{j + 1}") / F.col(f"d{j + 1}")).cast("long").alias(f"b{j + 1}") for j in range(k)]

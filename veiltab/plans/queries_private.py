@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.budget import cdp_rho, split_budget
 from veiltab.operators import marginals as mg
 from veiltab.operators import measure as ms
@@ -126,7 +127,7 @@ _G5_PICK = (
 def g5(spark, sf):
     """Half of the budget picks four workloads that were not picked before, half measures them."""
     e, n, real, other = both(spark, sf)
-    done = spark.createDataFrame([("marginals", 0), ("marginals", 1)], "module string, workload_id int")
+    done = small_table(spark, [("marginals", 0), ("marginals", 1)], "module string, workload_id int")
     m = ms.select_and_measure(CHAIN, e, real, other, n, G5_RHO, G5_K, SEED, RUN, 1, done)
     return m.select("workload_id", "cell", F.round("noised", 6).alias("noised"), "round")
 
@@ -173,6 +174,6 @@ def g8(spark, sf):
 )
 def g8_reset(spark, sf):
     """What is left after the measurements of two workloads are withdrawn."""
-    gone = spark.createDataFrame([("marginals", 0), ("marginals", 7)], "module string, workload_id int")
+    gone = small_table(spark, [("marginals", 0), ("marginals", 7)], "module string, workload_id int")
     left = ms.without(measured(spark, sf), gone)
     return left.groupBy("workload_id").agg(F.count(F.lit(1)).alias("n_cells"))

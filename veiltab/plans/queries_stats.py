@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from veiltab.functions.literals import small_table
 from veiltab.functions.bins import bin_table
 from veiltab.operators import encode as enc
 from veiltab.operators import histograms as hist
@@ -273,7 +274,7 @@ def _noisy_tree(spark, sf):
 @query("e7_tree_quantiles")
 def e7_cuts(spark, sf):
     cuts = hist.tree_quantiles(_noisy_tree(spark, sf), 1.0, TREE_H, 16)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(cuts)], "i int, edge double")
+    return small_table(spark, [(i, c) for i, c in enumerate(cuts)], "i int, edge double")
 
 
 CDF_AT = {"l_extendedprice": [0.05, 0.25, 0.5, 0.9, 1.0], "l_quantity": [0.0, 1.0, 10.0, 25.5, 49.0, 60.0]}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veiltab.functions.hashing import uniform
+from veiltab.functions.hashing import uniform_sql
 from veiltab.functions.ranking import bucket_count, with_position
 from veiltab.operators import encode as enc
 from veiltab.operators import evaluate as ev
@@ -81,7 +81,7 @@ def h1(spark, sf):
 
 
 def _edits(n: int, ops: list[str]) -> Edits:
-    return Edits(PAIRS, n, ops, SEED, RUN, draw=uniform)
+    return Edits(PAIRS, n, ops, SEED, RUN, draw=uniform_sql)
 
 
 def _proposals(spark, sf, ops: list[str], quantiles=None):
@@ -92,7 +92,7 @@ def _proposals(spark, sf, ops: list[str], quantiles=None):
 
 
 def _pick_sql(ids: list[int], tag: str, key: str) -> str:
-    return f"[{', '.join(map(str, ids))}][CAST(floor({sql.u(STREAM, tag, key)} * {len(ids)}) AS INTEGER) + 1]"
+    return f"[{', '.join(map(str, ids))}][CAST(floor({sql.u(STREAM, tag, key, '0')} * {len(ids)}) AS INTEGER) + 1]"
 
 
 def _case(per_column: list[str], on: str = "c1") -> str:
@@ -110,7 +110,7 @@ def _bin_of_new(x: str) -> str:
     return _case(parts)
 
 
-UA, UB = sql.u(STREAM, "value.bin", "row_id"), sql.u(STREAM, "value.in", "row_id")
+UA, UB = sql.u(STREAM, "value.bin", "row_id", "0"), sql.u(STREAM, "value.in", "row_id", "0")
 BY_WEIGHT = [i for i, c in enumerate(FINE.columns) for _ in range(c.weight)]
 
 
@@ -200,7 +200,7 @@ def h4(spark, sf):
 
 
 CAT_IDS = [FINE.position(n) for n in FINE.of_role(CATEGORICAL)]
-_OP = f"CASE WHEN floor({sql.u(STREAM, 'op', 'pair_id')} * 1000) < 500 THEN 'cross1' ELSE 'cross2' END"
+_OP = f"CASE WHEN floor({sql.u(STREAM, 'op', 'pair_id', '0')} * 1000) < 500 THEN 'cross1' ELSE 'cross2' END"
 
 
 @query(
@@ -230,8 +230,8 @@ _TARGET = (
     "LEFT JOIN cc c USING (workload_id, cell))"
 )
 _MIX_OP = (
-    f"CASE WHEN floor({sql.u(STREAM, 'op', 'pair_id')} * 1000) < 333 THEN 'mutate' "
-    f"WHEN floor({sql.u(STREAM, 'op', 'pair_id')} * 1000) < 667 THEN 'swap' ELSE 'cross2' END"
+    f"CASE WHEN floor({sql.u(STREAM, 'op', 'pair_id', '0')} * 1000) < 333 THEN 'mutate' "
+    f"WHEN floor({sql.u(STREAM, 'op', 'pair_id', '0')} * 1000) < 667 THEN 'swap' ELSE 'cross2' END"
 )
 _MIX_SQL = (
     f"o AS (SELECT *, {_MIX_OP} AS op0 FROM paired), "
@@ -271,8 +271,7 @@ def _scored(spark, sf):
     res = g.residuals(targets, t)
     e = _edits(n, MIX)
     p = e.propose(to_state(t, FINE, DEPTH), 1, [1.0 / 3] * 3, e.read_quantiles({}))
-    keep = ["pair_id", "row_id", "v", "b", "op", "c1", "c2", "x1", "x2", "y1", "y2"]
-    return e, res, e.score(p, res, PAIRS.n_cells, keep)
+    return e, res, e.score(p, res, PAIRS.n_cells)
 
 
 @query(
