@@ -10,7 +10,6 @@ round and one text is cheaper to send than many calls.
 from __future__ import annotations
 
 import math
-from functools import cached_property
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veiltab.functions.bins import bin_table
 from veiltab.functions.hashing import fast_uniform_sql
-from veiltab.functions.literals import array_sql
+from veiltab.functions.literals import array_sql, small_table
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import SET_SHIFT, Marginals
 from veiltab.session import lookup, small_side
@@ -27,7 +26,9 @@ MUTATE, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "continuous", "swap", "cross1",
 QUANTILE_POINTS = 32
 ROWS_PER_TASK = 100_000
 SLOTS = 1000
-PROPOSAL = ["pair_id", "side", "row_id", "cand", "v", "b", "op", "c1", "c2", "x1", "x2", "y1", "y2"]
+# The order of the draws of one candidate.
+DRAWS = ["op", "mutate.col", "quantile.col", "swap.col", "copy.col1", "copy.col2", "value.bin", "value.in"]
+EDIT = ["pair_id", "side", "cand", "op", "c1", "c2", "x1", "x2", "y1", "y2"]
 
 
 def expand_operators(names: tuple[str, ...], domain: Domain) -> list[str]:
@@ -84,7 +85,9 @@ class Edits:
         self.marginals, self.domain, self.n_rows = marginals, marginals.domain, n_rows
         self.operators, self.seed, self.run = operators, seed, run
         self.candidates, self.draw = candidates, draw
+        self.code = {o: operators.index(o) if o in operators else -1 for o in (MUTATE, QUANTILE, SWAP, COPY1, COPY2)}
         self._touch: DataFrame | None = None
+        self._touch_rows = 0
         self.max_level = max(1, math.ceil(math.log2(max(n_rows, 2))) + 2)
 
     # ---- proposals ----
@@ -94,6 +97,17 @@ class Edits:
         # every round reuses the compiled code of the first.
         return self.draw(f"{self.seed}|{self.run}|{round_no}", tag, *keys)
 
+    def _draws(self, round_no: int):
+        """Draws per (row or pair, candidate): exact ones for checks, else mixed from one hash each."""
+        if self.draw is not fast_uniform_sql:
+            return [], lambda tag, key: self._u(tag, round_no, key, "cand")
+        stream = f"'{self.seed}|{self.run}|{round_no}'"
+        base = [f"xxhash64({stream}, {k}, cand) as h_{k}" for k in ("row_id", "pair_id")]
+        scale = f"{float(1 << 52)!r}D"
+        return base, lambda tag, key: (
+            f"((shiftrightunsigned(xxhash64(h_{key}, {DRAWS.index(tag)}), 12) + 0.5D) / {scale})"
+        )
+
     def quantile_aggregates(self, value) -> list[C]:
         """Approximate quantiles of ``value(i)`` for every numeric column i."""
         probs = array_sql(list(linspace(0.0, 1.0, QUANTILE_POINTS)))
@@ -120,7 +134,7 @@ class Edits:
         return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n_rows // ROWS_PER_TASK))
 
     def pairs(self, state: DataFrame, round_no: int) -> DataFrame:
-        """Rows with their partner of this round: one shuffle, groups of at most two rows."""
+        """(pair_id, m): the rows of each pair of this round; one shuffle, at most two rows each."""
         bits = max(1, math.ceil(math.log2(max(self.n_rows, 2))))
         mask = 1 + (round_no * 0x9E3779B1) % ((1 << bits) - 1) if bits > 1 else 1
         return (
@@ -128,12 +142,6 @@ class Edits:
             .repartition(self.partitions(state.sparkSession), "pair_id")
             .groupBy("pair_id")
             .agg(F.expr("sort_array(collect_list(struct(row_id, v, b))) as m"))
-            .selectExpr("pair_id", "m", "posexplode(m) as (side, me)")
-            .selectExpr(
-                "pair_id", "side", "me.row_id", "me.v", "me.b",
-                "if(size(m) = 2, get(m, 1 - side).v, null) as pv",
-                "if(size(m) = 2, get(m, 1 - side).b, null) as pb",
-            )
         )
 
     def operator_slots(self, weights: list[float]) -> list[int]:
@@ -145,14 +153,14 @@ class Edits:
         return slots
 
     def propose(
-        self, state: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]]
+        self, pairs: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]]
     ) -> DataFrame:
         """Adds op, edited columns c1/c2, their new values x1/x2 and bins y1/y2.
 
         Each row gets ``candidates`` proposals. The operator is drawn per pair, as both rows of a
         swap must agree; a row without a partner has nothing to swap or copy.
         """
-        d, u = self.domain, lambda tag, *keys: self._u(tag, round_no, *keys, "cand")
+        d, (base, u) = self.domain, self._draws(round_no)
         by_weight = [i for i, c in enumerate(d.columns) for _ in range(c.weight)]
         numeric = [d.position(n) for n in d.of_role(CONTINUOUS) + d.of_role(ORDINAL)] or [0]
         cats = [d.position(n) for n in d.of_role(CATEGORICAL)] or [0]
@@ -160,21 +168,28 @@ class Edits:
         def pick(ids: list, tag: str, key: str) -> str:
             return f"get({array_sql(ids)}, cast(floor({u(tag, key)} * {len(ids)}) as int))"
 
-        slots = self.operator_slots(weights)
-        borrowed = f"op in ('{SWAP}', '{COPY1}', '{COPY2}')"
+        slots, code = self.operator_slots(weights), self.code
+        pairwise = f"({code[SWAP]}, {code[COPY1]}, {code[COPY2]})"
+        borrowed = f"op in {pairwise}"
         df = (
-            self.pairs(state, round_no)
-            .selectExpr("*", f"explode(sequence(0, {self.candidates - 1})) as cand")
-            .selectExpr("*", f"get({array_sql(self.operators)}, {pick(slots, 'op', 'pair_id')}) as op0")
-            .selectExpr("* except (op0)", f"if({borrowed.replace('op', 'op0', 1)} and pv is null, null, op0) as op")
+            pairs.selectExpr("pair_id", "m", "posexplode(m) as (side, me)")
+            .selectExpr(
+                "pair_id", "side", "me.row_id", "me.v", "me.b",
+                "if(size(m) = 2, get(m, 1 - side).v, null) as pv",
+                "if(size(m) = 2, get(m, 1 - side).b, null) as pb",
+            )
+            .selectExpr("*", f"{self._agreement()} as eq")
+            .selectExpr("* except (pb)", "pb", f"explode(sequence(0, {self.candidates - 1})) as cand")
+            .selectExpr("*", *base)
+            .selectExpr("*", f"{pick(slots, 'op', 'pair_id')} as op0")
+            .selectExpr("* except (op0)", f"if(op0 in {pairwise} and pv is null, null, op0) as op")
             .selectExpr(
                 "*",
-                f"case op when '{MUTATE}' then {pick(by_weight, 'mutate.col', 'row_id')} "
-                f"when '{QUANTILE}' then {pick(numeric, 'quantile.col', 'row_id')} "
-                f"when '{SWAP}' then {pick(list(range(len(d.columns))), 'swap.col', 'pair_id')} "
-                f"when '{COPY1}' then {pick(cats, 'copy.col1', 'row_id')} "
-                f"when '{COPY2}' then {pick(cats, 'copy.col1', 'row_id')} end as c1",
-                f"if(op = '{COPY2}', {pick(cats, 'copy.col2', 'row_id')}, null) as c2_",
+                f"case op when {code[MUTATE]} then {pick(by_weight, 'mutate.col', 'row_id')} "
+                f"when {code[QUANTILE]} then {pick(numeric, 'quantile.col', 'row_id')} "
+                f"when {code[SWAP]} then {pick(list(range(len(d.columns))), 'swap.col', 'pair_id')} "
+                f"else if(op is null, null, {pick(cats, 'copy.col1', 'row_id')}) end as c1",
+                f"if(op = {code[COPY2]}, {pick(cats, 'copy.col2', 'row_id')}, null) as c2_",
                 f"{u('value.bin', 'row_id')} as ua",
                 f"{u('value.in', 'row_id')} as ub",
             )
@@ -182,7 +197,37 @@ class Edits:
             .selectExpr("*", *self._bin_choice(quantiles))
             .selectExpr("* except (i, j)", *self._new_value(quantiles), "get(pv, c2) as x2", "get(pb, c2) as y2")
         )
-        return self._with_bin(df, borrowed).drop("ua", "ub", "pv", "xb", "at")
+        df = self._with_bin(df, borrowed).drop("ua", "ub", "pv", "pb", "at", "h_row_id", "h_pair_id")
+        return df.selectExpr("*", f"{self._level_mask('c1', 'y1')} as m1", f"{self._level_mask('c2', 'y2')} as m2")
+
+    @property
+    def _all_levels(self) -> int:
+        return (1 << self.marginals.depth) - 1
+
+    def _merged_bin(self, col: str, b: str) -> str:
+        """Bin of finest bin ``b`` of column number ``col`` at level ``v``; a null bin stays its own."""
+        cols, depth = self.domain.columns, self.marginals.depth
+        n0 = f"get({array_sql([c.finest(depth) for c in cols])}, {col})"
+        coarse = [[c.coarse(depth, v) for v in range(depth)] for c in cols]
+        stride = f"get(get({array_sql([[x for x, _ in c] for c in coarse])}, {col}), v)"
+        n = f"get(get({array_sql([[x for _, x in c] for c in coarse])}, {col}), v)"
+        return f"if({b} = {n0}, {n}, least(cast({b} / {stride} as int), {n} - 1))"
+
+    def _levels_where(self, condition: str) -> str:
+        """Bit mask of the levels ``v`` on which a condition holds."""
+        return f"aggregate(sequence(0, {self.marginals.depth - 1}), 0, (m, v) -> if({condition}, m | shiftleft(1, v), m))"
+
+    def _level_mask(self, col: str, y: str) -> str:
+        """Levels on which column ``col`` changes its bin when it goes to finest bin ``y``."""
+        old = f"get(b, {col})"
+        moves = f"{self._merged_bin(col, old)} <> {self._merged_bin(col, y)}"
+        return f"if({col} is null, null, {self._levels_where(moves)})"
+
+    def _agreement(self) -> str:
+        """Per column the levels on which a row and its partner share a bin."""
+        same = f"{self._merged_bin('i', 'get(b, i)')} = {self._merged_bin('i', 'get(pb, i)')}"
+        each = f"transform(sequence(0, {len(self.domain.columns) - 1}), i -> {self._levels_where(same)})"
+        return f"if(pb is null, null, {each})"
 
     def _bin_choice(self, quantiles: list[list[float]]) -> list[str]:
         """i: bin to draw from (the null bin counts as one); j: quantile interval."""
@@ -222,20 +267,23 @@ class Edits:
         low, high = f"get({q}, j)", f"get({q}, j + 1)"
         between = f"{low} + ub * ({high} - {low})"
         between = f"if({whole}, least(cast(floor({between}) as double), {top}), {between})"
-        return [f"case op when '{MUTATE}' then {mutated} when '{QUANTILE}' then {between} else get(pv, c1) end as x1"]
+        first, second = self.code[MUTATE], self.code[QUANTILE]
+        return [f"case op when {first} then {mutated} when {second} then {between} else get(pv, c1) end as x1"]
 
     def _with_bin(self, df: DataFrame, borrowed: str) -> DataFrame:
-        """y1: finest bin of x1, by binary search in the edges of column c1."""
+        """y1: finest bin of x1, by binary search in the edges of column c1.
+
+        The lambda also keeps the code generated for a round in pieces small enough for the JVM to
+        compile; as one piece a round runs several times slower.
+        """
         depth, cols = self.marginals.depth, self.domain.columns
         searched = [list(c.bin_edges(depth)) if c.numeric and not self._direct(c) else [] for c in cols]
         n = [c.finest(depth) for c in cols]
         edges, last = f"get({array_sql(searched)}, c1)", f"get({array_sql([k - 1 for k in n])}, c1)"
-        df = df.selectExpr("*", "x1 as xb", "0 as at")
-        step = 1 << max(0, max((len(e) for e in searched), default=1) - 1).bit_length()
-        while step >= 1:
-            up = f"at + {step} <= {last} and xb >= get({edges}, at + {step})"
-            df = df.selectExpr("* except (at)", f"if({up}, at + {step}, at) as at")
-            step //= 2
+        top = 1 << max(0, max((len(e) for e in searched), default=1) - 1).bit_length()
+        steps = array_sql([top >> i for i in range(top.bit_length())])
+        up = f"at + s <= {last} and x1 >= get({edges}, at + s)"
+        df = df.selectExpr("*", f"aggregate({steps}, 0, (at, s) -> if({up}, at + s, at)) as at")
         direct = f"get({array_sql([self._direct(c) for c in cols])}, c1)"
         own = f"case when x1 is null then get({array_sql(n)}, c1) when {direct} then cast(x1 as int) else at end"
         return df.selectExpr("*", f"if({borrowed}, get(pb, c1), if(c1 is null, null, {own})) as y1")
@@ -247,32 +295,34 @@ class Edits:
 
     # ---- scoring ----
 
-    @cached_property
-    def _touch_rows(self) -> int:
-        return sum(len(w.dims) for w in self.marginals.workloads)
-
     def touch(self, spark: SparkSession) -> DataFrame:
-        """(edit, workload...): the workloads that contain each column. Built once per run."""
+        """(edit, set...): the column sets that contain each column. Built once per run."""
         if self._touch is not None:
             return self._touch
-        k = self.marginals.k
-        positions = ", ".join(f"pos{i}" for i in range(k))
-        w = self.marginals.frame(spark).drop("n_cells", "sensitivity", "set_id", "level")
-        self._touch = w.selectExpr("* except (cols)", f"slice(array({positions}), 1, size(cols)) as members").selectExpr(
-            "*", "explode(members) as edit"
-        ).selectExpr("* except (edit)", "cast(edit as int) as edit")
+        m, rows = self.marginals, []
+        by_set: dict[int, list] = {}
+        for w in m.workloads:
+            by_set.setdefault(w.set_id, []).append(w)
+        for set_id, levels in by_set.items():
+            first = levels[0]
+            strides = [math.prod(d.width0 for d in first.dims[i + 1:]) for i in range(len(first.dims))]
+            dims = []
+            for i in range(m.k):  # a missing dimension repeats the first with stride 0
+                dims += [first.dims[i].pos, strides[i]] if i < len(first.dims) else [first.dims[0].pos, 0]
+            members = [d.pos for d in first.dims]
+            rows += [(pos, set_id, members, *dims) for pos in members]
+        fields = "".join(f", pos{i} int, at0{i} long" for i in range(m.k))
+        self._touch_rows = len(rows)
+        self._touch = small_table(spark, rows, f"edit int, set_id int, members array<int>{fields}")
         return self._touch
 
-    def _cell_key(self, bins: str) -> str:
-        """Packed (workload, cell) of a row's bins; the null bin stays its own bin."""
-        parts = []
-        for i in range(self.marginals.k):
-            b = f"get({bins}, cast(pos{i} as int))"
-            parts.append(f"if({b} = n0{i}, n{i}, least({b} div stride{i}, n{i} - 1)) * at{i}")
-        return f"shiftleft(cast(workload_id as bigint), {SET_SHIFT}) + {' + '.join(parts)}"
+    def _finest_key(self, bins: str) -> str:
+        """Packed (set, finest cell) of a row's bins."""
+        parts = [f"get({bins}, pos{i}) * at0{i}" for i in range(self.marginals.k)]
+        return f"shiftleft(cast(set_id as bigint), {SET_SHIFT}) + {' + '.join(parts)}"
 
-    def touched(self, proposals: DataFrame, carry: list[str], keep_all: bool) -> DataFrame:
-        """(carry, old, new): the cell a row leaves and enters in each workload it moves in.
+    def touched(self, edits: DataFrame, carry: list[str], keep_all: bool) -> DataFrame:
+        """(carry, old, new, moved): the finest cell a row leaves and enters in each touched set.
 
         ``keep_all`` also keeps rows without any move, with NULL cells.
         """
@@ -281,67 +331,91 @@ class Edits:
             for i in range(len(self.domain.columns))
         )
         explode = "explode_outer" if keep_all else "explode"
-        each = proposals.selectExpr(
+        each = edits.selectExpr(
             "*", f"array({nb}) as nb", f"{explode}(array_compact(array(c1, c2))) as edit"
         )
-        touch = small_side(self.touch(proposals.sparkSession), self._touch_rows, 64 + 56 * self.marginals.k)
+        touch = self.touch(edits.sparkSession)
+        touch = small_side(touch, self._touch_rows, 64 + 20 * self.marginals.k)
         joined = each.join(touch, "edit", "left" if keep_all else "inner")
         # A set holding both edited columns is seen from the first one only.
-        real = "counted and old <> new"
-        cells = [f"{self._cell_key('b')} as old", f"{self._cell_key('nb')} as new"]
-        if "pb" in proposals.columns:
-            # A swap between rows that agree in the other columns of a set moves nothing there.
-            cells.append(f"{self._cell_key('pb')} as partner")
-            real += f" and not (op = '{SWAP}' and new = partner)"
-        moved = joined.selectExpr(
-            *carry, "edit = c1 or not array_contains(members, cast(c1 as bigint)) as counted", *cells
+        real = "(edit = c1 or not array_contains(members, c1))"
+        cells = [f"{self._finest_key('b')} as old", f"{self._finest_key('nb')} as new"]
+        if not keep_all:
+            return joined.where(real).selectExpr(*carry, *cells).where("old <> new")
+        # One edited column moves the row on its own levels; two do on the levels of either. Where
+        # the rows of a swap agree in all other columns of the set, nothing moves.
+        both = "if(edit = c1, m1 | if(c2 is not null and array_contains(members, c2), m2, 0), m2)"
+        agree = " & ".join(
+            f"if(pos{i} = c1, {self._all_levels}, get(eq, pos{i}))" for i in range(self.marginals.k)
+        )
+        moved = f"if(op = {self.code[SWAP]}, {both} & ~({agree}), {both})"
+        return joined.selectExpr(*carry, f"if({real}, {moved}, 0) as moved", *cells).selectExpr(
+            *carry, "moved", "if(moved > 0, old, null) as old", "if(moved > 0, new, null) as new"
+        )
+
+    def potentials(self, cell_map: DataFrame, residuals: DataFrame) -> DataFrame:
+        """(key, p, levels) of every finest cell: sum of 2 r / N' over its levels that have a target.
+
+        With it a row needs one look-up per column set instead of one per set and level.
+        """
+        n = f"{float(self.n_rows)!r}D"
+        return (
+            cell_map.join(residuals, "key").groupBy(F.col("fkey").alias("key"))
+            .agg(F.expr(f"sum(2.0D * r / {n}) as p"), F.expr("bit_or(shiftleft(1, level)) as levels"))
         )
-        if keep_all:
-            return moved.selectExpr(*carry, f"if({real}, old, null) as old", f"if({real}, new, null) as new")
-        return moved.where(real).select(*carry, "old", "new")
 
-    def score(self, proposals: DataFrame, residuals: DataFrame, n_residuals: int) -> DataFrame:
+    def score(self, proposals: DataFrame, potentials: DataFrame) -> DataFrame:
         """Exact change of the squared distance if a unit alone is applied.
 
         With r = target - count/N', moving one row from cell a to cell b changes the distance by
-        (2 r_a + 1/N') / N' - (2 r_b - 1/N') / N'. Cells without a target add nothing. A swap is one
-        unit of two rows; the two rows share no cell they move in, so their changes add up.
+        (2 r_a + 1/N') / N' - (2 r_b - 1/N') / N'. Cells without a target add nothing, and levels on
+        which the row stays in its cell cancel. A swap is one unit of two rows; the two rows share no
+        cell they move in, so their changes add up.
         """
-        n = f"{float(self.n_rows)!r}D"
-        moves = self.touched(proposals, PROPOSAL, keep_all=True)
-        r_old = residuals.selectExpr("key as old", "r as r_old")
-        r_new = residuals.selectExpr("key as new", "r as r_new")
-        moves = lookup(lookup(moves, r_old, ["old"], n_residuals), r_new, ["new"], n_residuals)
-        change = (
-            f"coalesce((2.0D * r_old + 1.0D / {n}) / {n}, 0.0D) - coalesce((2.0D * r_new - 1.0D / {n}) / {n}, 0.0D)"
+        m, n = self.marginals, float(self.n_rows)
+        moves = self.touched(proposals, EDIT, keep_all=True)
+        p_old = potentials.selectExpr("key as old", "p as p_old", "levels as l_old")
+        p_new = potentials.selectExpr("key as new", "p as p_new", "levels as l_new")
+        moves = lookup(lookup(moves, p_old, ["old"], m.n_finest), p_new, ["new"], m.n_finest)
+        own = (
+            "coalesce(p_old, 0D) - coalesce(p_new, 0D) + "
+            f"(coalesce(bit_count(l_old & moved), 0) + coalesce(bit_count(l_new & moved), 0)) * {1.0 / n / n!r}D"
         )
-        scored = moves.groupBy(*PROPOSAL).agg(F.expr(f"sum({change}) as own"))
-        unit = f"if(op = '{SWAP}', sum(own) over (partition by pair_id, cand), own) as change"
+        scored = moves.groupBy(*EDIT).agg(F.expr(f"sum({own}) as own"))
+        unit = f"if(op = {self.code[SWAP]}, sum(own) over (partition by pair_id, cand), own) as change"
         return scored.selectExpr("* except (own)", unit)
 
     def choose(self, scored: DataFrame) -> DataFrame:
         """One edit per row: the pair's best swap, or the best edit of each row on its own."""
         if self.candidates == 1:
             return scored
-        single, over = f"op <> '{SWAP}'", "over (partition by pair_id)"
+        swap = f"op = {self.code[SWAP]}"
+        over = "over (partition by pair_id)"
         best = [
-            f"min(if({single} and side = {s}, struct(change, cand), null)) {over} as best{s}" for s in (0, 1)
+            f"min(if(not ({swap}) and side = {s}, struct(change, cand), null)) {over} as best{s}" for s in (0, 1)
         ]
-        best.append(f"min(if(op = '{SWAP}', struct(change, cand), null)) {over} as swap")
+        best.append(f"min(if({swap}, struct(change, cand), null)) {over} as swap")
         alone = "least(coalesce(best0.change, 0D), 0D) + least(coalesce(best1.change, 0D), 0D)"
+        mine = "coalesce(if(side = 0, best0.cand, best1.cand), swap.cand, 0)"
         return (
             scored.selectExpr("*", *best)
             .selectExpr("*", f"coalesce(swap.change < {alone}, false) as together")
-            .selectExpr("*", "if(together, swap.cand, coalesce(if(side = 0, best0.cand, best1.cand), swap.cand, 0)) as pick")
-            .where("cand = pick")
+            .where(f"cand = if(together, swap.cand, {mine})")
             # A row left with a swap its partner did not choose keeps its values.
-            .selectExpr("* except (change)", f"if(op = '{SWAP}' and not together, 0D, change) as change")
-            .drop("best0", "best1", "swap", "together", "pick")
+            .selectExpr("* except (change)", f"if({swap} and not together, 0D, change) as change")
+            .drop("best0", "best1", "swap", "together")
+        )
+
+    def with_rows(self, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Put the rows back: both sides are already partitioned by pair, so nothing is moved."""
+        return chosen.join(pairs.hint("merge"), "pair_id").selectExpr(
+            "pair_id", "get(m, side).row_id as row_id", "get(m, side).v as v", "get(m, side).b as b",
+            *EDIT[2:], "change",
         )
 
     def with_levels(self, scored: DataFrame, round_no: int) -> DataFrame:
         """Improving units get a level with P(level >= j) = 2^-j; others none."""
-        u = self._u("level", round_no, f"if(op = '{SWAP}', -1 - pair_id, row_id)")
+        u = self._u("level", round_no, f"if(op = {self.code[SWAP]}, -1 - pair_id, row_id)")
         level = f"least(cast(floor(-log2({u})) as int), {self.max_level})"
         return scored.selectExpr("*", f"if(change < -1e-15D, {level}, null) as level")
 
@@ -349,10 +423,13 @@ class Edits:
 
     def set_deltas(self, scored: DataFrame) -> DataFrame:
         """(key, d0..dJ): count change of every cell if all units of level >= j are applied."""
-        moves = self.touched(scored.where("level is not null"), ["op", "level"], keep_all=False)
+        moves = self.touched(scored.where("level is not null"), ["level"], keep_all=False)
         both = "inline(array(struct(old as key, -1L as d), struct(new as key, 1L as d)))"
+        names = tuple(f"d{j}" for j in range(self.max_level + 1))
         sums = [F.expr(f"sum(if(level >= {j}, d, 0L)) as d{j}") for j in range(self.max_level + 1)]
-        return moves.selectExpr("level", both).groupBy("key").agg(*sums)
+        finest = moves.selectExpr("level", both).groupBy("key").agg(*sums)
+        key = f"shiftleft(cast(workload_id as bigint), {SET_SHIFT}) + cell as key"
+        return self.marginals.roll_up(finest, sums=names).selectExpr(key, *names)
 
     def set_changes(self, merged: DataFrame) -> DataFrame:
         """One row e0..eJ: exact change of the distance for each nested set of units."""

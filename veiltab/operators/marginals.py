@@ -260,26 +260,53 @@ class Marginals(StatModule):
         keys = self._finest_keys(binned, set_ids)
         return keys.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("cnt"))
 
-    def roll_up(self, finest: DataFrame, selected: list[int] | None = None) -> DataFrame:
-        """Counts of every level from the finest counts."""
-        spark = finest.sparkSession
-        split = finest.select(
-            F.shiftright("key", SET_SHIFT).cast("int").alias("set_id"),
-            F.col("key").bitwiseAND(F.lit((1 << SET_SHIFT) - 1)).alias("finest"),
-            "cnt",
-        )
-        w = small_side(self.frame(spark, selected), self.n_workloads, 64 + 56 * self.k)
-        each = split.join(w, "set_id")
+    def _level_cell(self) -> C:
+        """Cell of a workload row (see ``frame``) from the finest cell number in ``finest``."""
         cell = F.lit(0).cast("long")
         for i in range(self.k):
             at0 = F.greatest(F.col(f"at0{i}"), F.lit(1))
             b0 = F.floor(F.col("finest") / at0) % F.col(f"width0{i}")
             cell = cell + self.level_bin(i, b0) * F.col(f"at{i}")
+        return cell.cast("long")
+
+    def roll_up(
+        self, finest: DataFrame, selected: list[int] | None = None, sums: tuple[str, ...] = ("cnt",)
+    ) -> DataFrame:
+        """Sums of every level from sums of the finest cells."""
+        split = finest.select(
+            F.shiftright("key", SET_SHIFT).cast("int").alias("set_id"),
+            F.col("key").bitwiseAND(F.lit((1 << SET_SHIFT) - 1)).alias("finest"),
+            *sums,
+        )
+        w = small_side(self.frame(finest.sparkSession, selected), self.n_workloads, 64 + 56 * self.k)
         return (
-            each.select("workload_id", cell.cast("long").alias("cell"), "cnt")
+            split.join(w, "set_id")
+            .select("workload_id", self._level_cell().alias("cell"), *sums)
             .groupBy("workload_id", "cell")
-            .agg(F.sum("cnt").alias("cnt"))
+            .agg(*[F.sum(c).alias(c) for c in sums])
+        )
+
+    def cell_map(self, spark: SparkSession) -> DataFrame:
+        """(finest key, level, key): which cell of every level each finest cell belongs to."""
+        sizes = {w.set_id: math.prod(d.width0 for d in w.dims) for w in self.workloads}
+        sets = small_table(spark, list(sizes.items()), "set_id int, n long")
+        chunks = sets.select(
+            "set_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {GRID_CHUNK})")).alias("chunk")
         )
+        if sum(sizes.values()) > 50 * GRID_CHUNK:
+            chunks = chunks.repartition("set_id", "chunk")
+        cells = F.expr(f"sequence(chunk * {GRID_CHUNK}, least((chunk + 1) * {GRID_CHUNK}, n) - 1)")
+        grid = chunks.select("set_id", F.explode(cells).alias("finest"))
+        w = small_side(self.frame(spark), self.n_workloads, 64 + 56 * self.k)
+        return grid.join(w, "set_id").select(
+            (F.shiftleft(F.col("set_id").cast("long"), SET_SHIFT) + F.col("finest")).alias("fkey"),
+            "level",
+            (F.shiftleft(F.col("workload_id").cast("long"), SET_SHIFT) + self._level_cell()).alias("key"),
+        )
+
+    @property
+    def n_finest(self) -> int:
+        return sum({w.set_id: math.prod(d.width0 for d in w.dims) for w in self.workloads}.values())
 
     def counts(self, encoded: DataFrame, selected: list[int] | None = None) -> DataFrame:
         """A selection of workloads is applied before counting: only their sets are exploded."""

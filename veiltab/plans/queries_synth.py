@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform_sql
+from veiltab.functions.literals import array_lit
 from veiltab.functions.ranking import bucket_count, with_position
 from veiltab.operators import encode as enc
 from veiltab.operators import evaluate as ev
@@ -88,7 +89,9 @@ def _proposals(spark, sf, ops: list[str], quantiles=None):
     t, n = current_table(spark, sf)
     e = _edits(n, ops)
     q = quantiles or e.read_quantiles({})
-    return e, e.propose(to_state(t, FINE, DEPTH), 1, [1.0 / len(ops)] * len(ops), q)
+    pairs = e.pairs(to_state(t, FINE, DEPTH), 1)
+    p = e.propose(pairs, 1, [1.0 / len(ops)] * len(ops), q)
+    return e, p.withColumn("op", F.get(array_lit(ops), "op"))
 
 
 def _pick_sql(ids: list[int], tag: str, key: str) -> str:
@@ -173,7 +176,8 @@ def h3(spark, sf):
     for r in quantile_grid(t, FINE, numeric, QUANTILE_POINTS).orderBy("col", "i").collect():  # 34 per column
         grid.setdefault(r["col"], []).append(r["value"])
     q = [grid.get(n_, [0.0] * (QUANTILE_POINTS + 2)) for n_ in NAMES]
-    p = _edits(n, [QUANTILE]).propose(to_state(t, FINE, DEPTH), 1, [1.0], q)
+    e = _edits(n, [QUANTILE])
+    p = e.propose(e.pairs(to_state(t, FINE, DEPTH), 1), 1, [1.0], q)
     return p.select("row_id", "c1", F.round("x1", 6).alias("x1"))
 
 
@@ -270,8 +274,10 @@ def _scored(spark, sf):
     g = Generator(PAIRS, n, SEED, run=RUN)
     res = g.residuals(targets, t)
     e = _edits(n, MIX)
-    p = e.propose(to_state(t, FINE, DEPTH), 1, [1.0 / 3] * 3, e.read_quantiles({}))
-    return e, res, e.score(p, res, PAIRS.n_cells)
+    pairs = e.pairs(to_state(t, FINE, DEPTH), 1)
+    p = e.propose(pairs, 1, [1.0 / 3] * 3, e.read_quantiles({}))
+    scored = e.choose(e.score(p, e.potentials(PAIRS.cell_map(spark), res)))
+    return e, res, e.with_rows(scored, pairs)
 
 
 @query(
@@ -282,7 +288,7 @@ def _scored(spark, sf):
 def h6(spark, sf):
     """Exact change of the squared distance for a mix of edits over every row."""
     _, _, s = _scored(spark, sf)
-    return s.select("row_id", "op", (F.round("change", 13) + 0.0).alias("change"))
+    return s.select("row_id", F.get(array_lit(MIX), "op").alias("op"), (F.round("change", 13) + 0.0).alias("change"))
 
 
 _LEVELS = (
