@@ -13,11 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 1 << 16
+MIN_BUCKETS, MAX_BUCKETS = 16, 1 << 16
 
 
 def bucket_count(rows: int) -> int:
-    return max(1, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
 def hash_bucket(u: Column, buckets: int) -> Column:
@@ -25,7 +25,7 @@ def hash_bucket(u: Column, buckets: int) -> Column:
 
 
 def with_position(
-    df: DataFrame, order: list, bucket: Column, buckets: int, group: list[str] = (), out: str = "pos"
+    df: DataFrame, order: list, bucket: Column, group: list[str] = (), out: str = "pos"
 ) -> DataFrame:
     """Add the 0-based position in ``order``, within ``group`` when given.
 
@@ -33,8 +33,6 @@ def with_position(
     (group, bucket); the broadcast choice is left to Spark since groups are the caller's.
     """
     group = list(group)
-    if buckets <= 1 and not group:
-        return df.withColumn(out, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
     cut = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

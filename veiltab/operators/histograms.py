@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veiltab.functions.literals import small_table
+from veiltab.functions.literals import array_sql, small_table
 from veiltab.functions.bins import add_bins
 from veiltab.functions.budget import sigma_of
 from veiltab.functions.hashing import gaussian, laplace
@@ -310,58 +310,60 @@ def max_coverage(df: DataFrame, edges: dict[str, list[float]], n_rows: int) -> D
 def exact_quantiles(df: DataFrame, names: list[str], probs: list[float]) -> DataFrame:
     """(col, i, value): exact quantiles with linear interpolation.
 
-    Approximate cut points split every column into ranges that are counted; equal values are merged
-    before they are ranked inside their range. No task sees a whole column of a large table.
+    Approximate cut points split every column into ranges, which are counted. Only the ranges that
+    hold a wanted rank are looked at value by value; equal values are merged before they are ranked,
+    so a value with a third of the rows is one row.
     """
     spark = df.sparkSession
-    sizes = df.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
-    buckets = bucket_count(max(sizes.values()))
-    cuts: dict[str, list[float]] = {n: [] for n in names}
-    if buckets > 1:
-        buckets = min(buckets, 10_000)
-        probe = [i / buckets for i in range(1, buckets)]
-        found = df.agg(
-            *[F.percentile_approx(F.col(n).cast("double"), probe, 10 * buckets).alias(n) for n in names]
-        ).first()
-        cuts = {n: sorted(set(found[n])) for n in names}
-    spec = {f"b_{n}": (n, [float("-inf"), *cuts[n], float("inf")]) for n in names}
-    binned = add_bins(df.select(*names), spec)
-    each = F.array(
-        *[
-            F.struct(F.lit(n).alias("col"), F.col(f"b_{n}").alias("bucket"), F.col(n).cast("double").alias("x"))
-            for n in names
-        ]
+    df = df.select(*[F.col(n).cast("double").alias(n) for n in names])
+    rows = df.count()
+    buckets = min(10_000, max(1024, bucket_count(rows)))
+    probe = array_sql([i / buckets for i in range(1, buckets)])
+    found = df.agg(
+        *[F.expr(f"percentile_approx(`{n}`, {probe}, {10 * buckets}) as `{n}`") for n in names]
+    ).first()
+    inf = float("inf")
+    edges = {n: [-inf, *sorted(set(found[n] or [])), inf] for n in names}
+    sizes: dict[str, dict[int, int]] = {n: {} for n in names}
+    for r in bin_counts(df, edges).collect():  # at most 10,000 counts per column
+        sizes[r["col"]][r["bin"]] = r["cnt"]
+    asked, wanted = [], []
+    for n in names:
+        total = sum(sizes[n].values())
+        if total == 0:
+            continue
+        ranks = set()
+        for i, p in enumerate(probs):
+            low = int(math.floor(p * (total - 1)))
+            high = min(low + 1, total - 1)
+            asked.append((n, i, low, high, p * (total - 1) - low))
+            ranks |= {low, high}
+        before = 0
+        for b in sorted(sizes[n]):
+            mine = sorted(r for r in ranks if before <= r < before + sizes[n][b])
+            if mine:
+                wanted.append((n, b, before, mine))
+            before += sizes[n][b]
+    want = small_table(spark, wanted, "col string, bin int, before long, ranks array<long>")
+    binned = add_bins(df, {f"b_{n}": (n, edges[n]) for n in names})
+    pairs = F.array(
+        *[F.struct(F.lit(n).alias("col"), F.col(f"b_{n}").alias("bin"), F.col(n).alias("x")) for n in names]
     )
     values = (
-        binned.select(F.explode(each).alias("p")).select("p.*").where("x is not null")
-        .groupBy("col", "bucket", "x").agg(F.count(F.lit(1)).alias("cnt"))
+        binned.select(F.explode(pairs).alias("p")).select("p.*")
+        .join(F.broadcast(want.select("col", "bin")), ["col", "bin"], "left_semi")
+        .groupBy("col", "bin", "x").agg(F.count(F.lit(1)).alias("cnt"))
     )
-    run = W.partitionBy("col", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    totals = values.groupBy("col", "bucket").agg(F.sum("cnt").alias("n"))
-    before = W.partitionBy("col").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("col", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    ranked = values.withColumn("hi", F.sum("cnt").over(run)).join(offsets, ["col", "bucket"])
-    ranked = ranked.select(
-        "col", "x", (F.col("hi") + F.col("off")).alias("hi"),
-        (F.col("hi") - F.col("cnt") + F.col("off")).alias("lo"),
-    )
-    rows = []
-    for n in names:
-        for i, p in enumerate(probs):
-            at = p * (sizes[n] - 1)
-            low = int(math.floor(at))
-            rows.append((n, i, low, min(low + 1, max(sizes[n] - 1, 0)), at - low))
-    asked = small_table(spark, rows, "col string, i int, r0 long, r1 long, frac double")
-    want = asked.groupBy("col").agg(
-        F.array_distinct(F.flatten(F.array(F.collect_list("r0"), F.collect_list("r1")))).alias("ranks")
+    run = W.partitionBy("col", "bin").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = values.withColumn("hi", F.sum("cnt").over(run)).join(F.broadcast(want), ["col", "bin"])
+    hit = ranked.selectExpr(
+        "col", "x", "explode(filter(ranks, r -> r >= before + hi - cnt and r < before + hi)) as rank"
     )
-    hit = ranked.join(F.broadcast(want), "col").select(
-        "col", "x", F.explode(F.expr("filter(ranks, r -> r >= lo and r < hi)")).alias("rank")
+    asked_df = small_table(spark, asked, "col string, i int, r0 long, r1 long, frac double")
+    v0, v1 = hit.selectExpr("col", "rank as r0", "x as x0"), hit.selectExpr("col", "rank as r1", "x as x1")
+    return asked_df.join(v0, ["col", "r0"]).join(v1, ["col", "r1"]).selectExpr(
+        "col", "i", "x0 + frac * (x1 - x0) as value"
     )
-    v0 = hit.select("col", F.col("rank").alias("r0"), F.col("x").alias("x0"))
-    v1 = hit.select("col", F.col("rank").alias("r1"), F.col("x").alias("x1"))
-    value = F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))
-    return asked.join(v0, ["col", "r0"]).join(v1, ["col", "r1"]).select("col", "i", value.alias("value"))
 
 
 def quantile_grid(df: DataFrame, domain: Domain, names: list[str], points: int = 32) -> DataFrame:

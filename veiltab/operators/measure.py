@@ -128,7 +128,7 @@ def trim(measurement: DataFrame, keep: int, max_cells: int) -> DataFrame:
         .otherwise(between)
         .cast("long")
     )
-    ranked = with_position(measurement, order, bucket, 2, WORKLOAD, "_rank")
+    ranked = with_position(measurement, order, bucket, WORKLOAD, "_rank")
     return ranked.where(F.col("_rank") < keep).drop("_rank")
 
 

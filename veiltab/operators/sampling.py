@@ -45,18 +45,32 @@ def shuffled(df: DataFrame, seed, tag: str, key: list[str], rows: int, out: str
     buckets = bucket_count(rows)
     df = df.withColumn("_u", _u(seed, tag, key))
     order = ["_u", *key]
-    return with_position(df, order, hash_bucket(F.col("_u"), buckets), buckets, group, out).drop("_u")
+    return with_position(df, order, hash_bucket(F.col("_u"), buckets), group, out).drop("_u")
 
 
 def sample_n(df: DataFrame, n: int, seed, key: list[str], replace: bool | None = None) -> DataFrame:
-    """Exactly n rows; repeats are allowed when n exceeds the table or on request."""
+    """Exactly n rows; repeats are allowed when n exceeds the table or on request.
+
+    Without repeats these are the n smallest hashes. Bucket sizes tell in which hash bucket the n-th
+    one lies: rows below it are kept by a filter alone, and only that bucket is sorted.
+    """
     rows = df.count()
     if replace is None:
         replace = n > rows
-    placed = shuffled(df, seed, "sample_n", key, rows)
     if not replace:
-        return placed.where(F.col("pos") < n).drop("pos")
+        hashed = df.withColumn("_u", _u(seed, "sample_n", key))
+        bucket = hash_bucket(F.col("_u"), bucket_count(rows))
+        counts = hashed.groupBy(bucket.alias("b")).count().collect()  # at most MAX_BUCKETS numbers
+        left, last = n, 0
+        for last, size in sorted((r["b"], r["count"]) for r in counts):
+            if size >= left:
+                break
+            left -= size
+        below = hashed.where(bucket < last)
+        rest = hashed.where(bucket == last).orderBy("_u", *key).limit(left)
+        return below.unionByName(rest).drop("_u")
     # Draws are counted per position first: a row drawn often is one row with a count.
+    placed = shuffled(df, seed, "sample_n", key, rows)
     draw = F.floor(uniform(seed, "draw", F.col("id")) * F.lit(rows)).cast("long")
     draws = df.sparkSession.range(n).groupBy(draw.alias("pos")).agg(F.count(F.lit(1)).alias("_times"))
     return (
