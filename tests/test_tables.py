@@ -63,6 +63,13 @@ def test_public_labels_do_not_depend_on_the_table(spark, mixed):
     assert sorted(r["value"] for r in labels.collect()) == ["ash", "yew"]
 
 
+def test_labels_ranked_by_range_equal_one_window(spark):
+    df = spark.range(3000).select((F.col("id") % 997).cast("string").alias("a"), (F.col("id") % 5).cast("string").alias("b"))
+    one = enc.fit_labels(df, ["a", "b"], size_bound=1000)
+    parted = enc.fit_labels(df, ["a", "b"])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, parted.collect()))
+
+
 def test_domain_operations():
     d = Domain((Column("a", CATEGORICAL, 2), Column("b", ORDINAL, 5), Column("c", CONTINUOUS)))
     assert d.project(["c", "a"]).names == ["c", "a"]

@@ -12,14 +12,20 @@ from veiltab.functions.hashing import uniform
 from veiltab.operators.domain import (
     CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, check_columns, clean_nan, label_table,
 )
-from veiltab.session import lookup
+from veiltab.functions.ranking import with_position
+from veiltab.session import Workspace, lookup
 
+ONE_TASK_LABELS = 1_000_000
 
-def fit_labels(df: DataFrame, names: list[str], public: dict[str, list] | None = None) -> DataFrame:
+
+def fit_labels(
+    df: DataFrame, names: list[str], public: dict[str, list] | None = None, size_bound: int | None = None
+) -> DataFrame:
     """Dense labels 0..n-1 in value order.
 
-    Labels learned from the table reveal which values occur; a public value list does not. The
-    window runs over distinct values of one column, already deduplicated.
+    Labels learned from the table reveal which values occur; a public value list does not. With a
+    known ``size_bound`` per column that fits one task's sort, the distinct values are ranked by one
+    window. Otherwise they are range-partitioned and written, and ranked partition by partition.
     """
     public = public or {}
     found = label_table(df, [n for n in names if n not in public])
@@ -28,8 +34,13 @@ def fit_labels(df: DataFrame, names: list[str], public: dict[str, list] | None =
         found = found.unionByName(
             small_table(df.sparkSession, rows, "col string, value string")
         )
-    rank = F.row_number().over(W.partitionBy("col").orderBy("value")) - 1
-    return found.select("col", "value", rank.cast("int").alias("label"))
+    if size_bound is not None and size_bound <= ONE_TASK_LABELS:
+        rank = F.row_number().over(W.partitionBy("col").orderBy("value")) - 1
+        return found.select("col", "value", rank.cast("int").alias("label"))
+    parted = found.repartitionByRange("col", "value").withColumn("_part", F.spark_partition_id())
+    parted = Workspace(df.sparkSession, "labels").write(parted, "values")  # fixes the partition numbers
+    placed = with_position(parted, ["value"], F.col("_part"), ["col"], "label")
+    return placed.select("col", "value", F.col("label").cast("int").alias("label"))
 
 
 def encode_labels(df: DataFrame, labels: DataFrame, names: list[str], domain: Domain) -> DataFrame:

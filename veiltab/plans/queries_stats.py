@@ -16,7 +16,7 @@ from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, D
 from veiltab.operators.modules import Chain, Covariance, NullCounts, SparseCounts, _Rates
 from veiltab.operators.tree_marginals import TreeMarginals
 from veiltab.plans import oracle as sql
-from veiltab.plans.queries_tables import DOC_SQL, LINE, SEED, doc_labels, encoded_line
+from veiltab.plans.queries_tables import DOC_SQL, LINE, SEED, doc_labels, encoded_line, largest
 from veiltab.plans.registry import query, table
 from veiltab.streaming.changes import apply_changes
 
@@ -452,7 +452,7 @@ NULL_PAIRS = mg.Marginals(NULL_DOMAIN, mg.column_sets(NULL_DOMAIN, 2), DEPTH)
 
 def encoded_docs(spark, sf, domain: Domain = NULL_DOMAIN):
     t = doc_labels(spark, sf)
-    return enc.encode(t, domain, enc.fit_labels(t, domain.of_role(CATEGORICAL)))
+    return enc.encode(t, domain, enc.fit_labels(t, domain.of_role(CATEGORICAL), size_bound=largest(domain)))
 
 
 @query(

@@ -25,7 +25,7 @@ from veiltab.plans.queries_private import (
     CHAIN, DENSE, EACH, FINE, N, OTHER, PAIRS, RHO, RUN, both,
 )
 from veiltab.plans.queries_stats import DEPTH
-from veiltab.plans.queries_tables import LINE, LINE_KEY, SEED, encoded_line
+from veiltab.plans.queries_tables import LINE, LINE_KEY, SEED, encoded_line, largest
 from veiltab.plans.registry import query, table
 from veiltab.plans.synthesizer import TableSynthesizer, fit_dp_adaptive, fit_zcdp
 
@@ -41,7 +41,7 @@ def current_table(spark, sf):
     top = t.agg(F.max("l_orderkey")).first()[0] + 1
     bucket = F.floor(F.col("l_orderkey") * buckets / F.lit(top)).cast("int")
     placed = with_position(t, LINE_KEY, bucket, out="row_id")
-    labels = enc.fit_labels(t, FINE.of_role(CATEGORICAL))
+    labels = enc.fit_labels(t, FINE.of_role(CATEGORICAL), size_bound=largest(FINE))
     return enc.encode(placed, FINE, labels, ("row_id",)), rows
 
 

@@ -44,9 +44,14 @@ LINE_CONFIG = {
 }
 
 
+def largest(domain: Domain) -> int:
+    """Declared size of the largest categorical column."""
+    return max(domain[n].size for n in domain.of_role(CATEGORICAL))
+
+
 def encoded_line(spark: SparkSession, sf: str, domain: Domain = LINE) -> DataFrame:
     t = table(spark, sf, "lineitem")
-    return enc.encode(t, domain, enc.fit_labels(t, domain.of_role(CATEGORICAL)))
+    return enc.encode(t, domain, enc.fit_labels(t, domain.of_role(CATEGORICAL), size_bound=largest(domain)))
 
 
 def doc_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -344,7 +349,7 @@ def d7_back(spark, sf):
 )
 def d8(spark, sf):
     t = table(spark, sf, "orders")
-    e = enc.encode(t, ORDERS, enc.fit_labels(t, ORDERS.of_role(CATEGORICAL)))
+    e = enc.encode(t, ORDERS, enc.fit_labels(t, ORDERS.of_role(CATEGORICAL), size_bound=largest(ORDERS)))
     return enc.typed(e, ORDERS).withColumn("o_totalprice", F.round("o_totalprice", 9))
 
 
