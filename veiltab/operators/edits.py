@@ -413,11 +413,21 @@ class Edits:
             *EDIT[2:], "change",
         )
 
-    def with_levels(self, scored: DataFrame, round_no: int) -> DataFrame:
-        """Improving units get a level with P(level >= j) = 2^-j; others none."""
+    def with_levels(self, scored: DataFrame, round_no: int, best: float | None) -> DataFrame:
+        """Levels that make nested random sets of the improving units; others get none.
+
+        With gain g relative to the best one and a uniform u, the sets are { g / u >= 2^(j - 3) }: a
+        unit's chance to be in a set is in proportion to its gain. Cells then receive rows in
+        proportion to what they lack, and trying the sets is a line search along that direction.
+        """
+        if best is None or best >= -1e-15:
+            return scored.selectExpr("*", "cast(null as int) as level")
         u = self._u("level", round_no, f"if(op = {self.code[SWAP]}, -1 - pair_id, row_id)")
-        level = f"least(cast(floor(-log2({u})) as int), {self.max_level})"
-        return scored.selectExpr("*", f"if(change < -1e-15D, {level}, null) as level")
+        level = f"cast(floor(log2(change / {best!r}D) - log2({u})) as int) + 3"
+        return (
+            scored.selectExpr("*", f"if(change < -1e-15D, {level}, -1) as raw")
+            .selectExpr("* except (raw)", f"if(raw >= 0, least(raw, {self.max_level}), null) as level")
+        )
 
     # ---- acceptance ----
 

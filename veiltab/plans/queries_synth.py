@@ -292,8 +292,9 @@ def h6(spark, sf):
 
 
 _LEVELS = (
-    f"lv AS (SELECT unit, CAST(floor(-log2({sql.u(STREAM, 'level', 'unit')})) AS INTEGER) AS level FROM scored "
-    "WHERE change < -1e-15), top AS (SELECT greatest(1, CAST(ceil(log2(greatest(n, 2))) AS INTEGER) + 2) AS j FROM bits), "
+    f"lv0 AS (SELECT unit, CAST(floor(log2(change / (SELECT min(change) FROM scored)) - "
+    f"log2({sql.u(STREAM, 'level', 'unit')})) AS INTEGER) + 3 AS level FROM scored WHERE change < -1e-15), "
+    "lv AS (SELECT * FROM lv0 WHERE level >= 0), top AS (SELECT greatest(1, CAST(ceil(log2(greatest(n, 2))) AS INTEGER) + 2) AS j FROM bits), "
     "js AS (SELECT unnest(range(j + 1)) AS j, j AS jmax FROM top)"
 )
 
@@ -311,7 +312,8 @@ _LEVELS = (
 def h7(spark, sf):
     """Exact change of the distance for each nested set of improving edits; the best one is applied."""
     e, res, s = _scored(spark, sf)
-    merged = res.join(e.set_deltas(e.with_levels(s, 1)), "key", "left")
+    top = s.agg(F.min("change").alias("top")).first()["top"]
+    merged = res.join(e.set_deltas(e.with_levels(s, 1, top)), "key", "left")
     row = e.set_changes(merged)
     each = F.array(
         *[
