@@ -50,14 +50,32 @@ def near_codes(seed, n):
 
 
 @pytest.mark.parametrize("blocks", [6, 7, 8])
-def test_links_lose_nothing(spark, monkeypatch, blocks):
-    monkeypatch.setattr(simhash, "blocks_for", lambda codes, distance: blocks)
+def test_links_lose_nothing(spark, blocks):
     codes = near_codes(blocks, 1500)
-    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(k, int(c).to_bytes(8, "big")) for k, c in enumerate(codes)], "id long, code binary")
     ws = workspace(spark, "test")
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, len(codes), ws), ws).collect()}
-    signed = codes.view(np.int64).tolist()
-    assert [got.get(c, c) for c in signed] == brute(signed, codes)
+    links = simhash.links(df, simhash.Copies(blocks, 4), len(codes), ws)
+    got = {r["node"]: r["root"] for r in simhash.components(links, ws).collect()}
+    ids = list(range(len(codes)))
+    assert [got.get(c, c) for c in ids] == brute(ids, codes)
+
+
+def test_similar_texts_are_found(spark):
+    """By similarity: copies with a few words changed go together, texts that share half do not."""
+    rng = np.random.default_rng(5)
+    rows, groups = [], 40
+    for g in range(groups):
+        text = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        rows.append((10 * g, " ".join(text)))
+        for c in range(1, 4):
+            near = list(text)
+            for at in rng.integers(0, 400, 4):
+                near[at] = f"v{rng.integers(0, 10**6)}"
+            rows.append((10 * g + c, " ".join(near)))
+        rows.append((10 * g + 5, " ".join(text[:270] + [f"u{x}" for x in rng.integers(0, 10**6, 130)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()}
+    assert got == {k: k if k % 10 == 5 else k // 10 * 10 for k, _ in rows}
 
 
 def test_more_blocks_for_more_codes():

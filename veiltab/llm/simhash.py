@@ -1,18 +1,24 @@
 """Near-duplicates by SimHash, searched through a Gray-order hierarchical index.
 
-1. Fingerprints: 64 bits over XXH64 of word shingles. Equal fingerprints collapse to one code.
-2. Index copies. The 64 bits are cut into ``blocks`` runs; a copy puts all but ``distance`` of them
-   first. Two codes within ``distance`` bits agree on the leading blocks of at least one copy, so the
-   top nodes of a copy (equal leading bits) only need to be searched at accumulated difference 0.
-   More blocks mean longer leading bits: their number grows with the codes, the links stay the same.
+1. Fingerprints: 64 bits over XXH64 of word shingles, or several such words of bits for a search by
+   similarity. Equal fingerprints collapse to one code.
+2. Index copies, each with another order of the bits. The leading bits of a copy are its top nodes, which
+   are searched at accumulated difference 0. For a fixed distance the 64 bits are cut into blocks and a
+   copy puts all but ``distance`` of them first: two codes within it agree on the leading blocks of at
+   least one copy, so no link is lost. For a similarity the leading bits are drawn by hash, and there are
+   as many copies as find a pair of just that similarity with probability ``RECALL``. The number of
+   leading bits grows with the logarithm of the number of codes, so that few codes meet by chance.
 3. In each copy codes are sorted by Gray rank and dealt out by range, which splits large nodes too.
    A task builds the lower levels: groups of neighbours share masked bit patterns, held once by the
    node above. Queries descend all at once; a group is dropped when its accumulated difference exceeds
-   ``distance``, or when all of it is known to be in the query's component already. So dense groups
+   the distance, or when all of it is known to be in the query's component already. So dense groups
    give a spanning forest, never all their pairs.
 4. A node that crosses a border between tasks is compared segment by segment, again through the index.
 5. Components of the forest: alternating large and small stars, written to shared storage each round.
 
+A similarity is the Jaccard similarity of shingle sets, of which the bits give an estimate: with 256 bits
+its deviation is about 0.03, and links are taken up to one deviation below the similarity asked for.
+
 Defined cases: NULL and wordless texts have fingerprint 0 and are linked like any other; repeated rows
 and ties share their fingerprint; a component is named by its smallest key, NULL keys aside.
 """
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veiltab.llm.shared import plain, workspace
-from veiltab.llm.text import column_bytes, row_chunks, words
+from veiltab.llm.text import column_bytes, follow, mix, row_chunks, same_as, words
 
 FAN = 16  # children of a node
 SMALL = 24  # codes of a node that are compared directly
@@ -38,6 +44,8 @@ SEGMENT = 4096  # codes of a segment that other tasks compare with
 TASK_CODES = 1 << 20
 SALTS = 16
 NODE_CODES = 8  # random codes wanted below a top node, at most
+WIDE = 4  # words of a fingerprint that is searched by similarity
+RECALL = 0.99
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -60,7 +68,8 @@ def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int, wide: int = 1) -> np.ndarray:
+    """Fingerprints of rows, ``wide`` words each. The first is over XXH64 itself, others over it mixed."""
     raw, ends = data.tobytes(), bounds.tolist()
     texts = [b" ".join(raw[a:b].lower().split()) for a, b in zip(ends, ends[1:])]
     joined = b"".join(texts)
@@ -74,20 +83,39 @@ def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarra
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[first].tolist(), stops[last].tolist())
     h = np.fromiter((digest(joined[a:b], 42) for a, b in pairs), np.uint64, int(at[-1]))
-    return majority(h, at)
+    if wide > 1:  # similarity is of sets: a shingle counts once in a text
+        row = np.repeat(np.arange(len(count)), shingles)
+        once = same_as(follow(h, row.astype(np.uint64))) == np.arange(len(h))
+        h, at = h[once], np.concatenate([[0], np.cumsum(once)])[at]
+    return np.stack([majority(mix(h + np.uint64(k)) if k else h, at) for k in range(wide)], axis=1)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(key, fp): A-Z lower-cased, words between ASCII white space, all shingles with repeats."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, wide: int = 1) -> DataFrame:
+    """(key, code): A-Z lower-cased, words between ASCII white space; the words of bits as big-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = column_bytes(batch.column(1))
             for a, b in row_chunks(bounds):
-                fp = _fingerprint_rows(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["key", "fp"])
+                fp = _fingerprint_rows(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], shingle, wide)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), to_binary(fp)], ["key", "code"])
+
+    return plain(docs, key=key, text=text).mapInArrow(run, "key long, code binary")
+
+
+def to_binary(codes: np.ndarray) -> pa.Array:
+    """Rows of words as binary values, big-endian."""
+    rows, wide = codes.shape
+    at = np.arange(rows + 1, dtype=np.int32) * (8 * wide)
+    return pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at), pa.py_buffer(codes.astype(">u8").tobytes())])
+
 
-    return plain(docs, key=key, text=text).mapInArrow(run, "key long, fp long")
+def from_binary(col: pa.Array, wide: int) -> np.ndarray:
+    if not len(col):
+        return np.zeros((0, wide), np.uint64)
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset]
+    raw = np.frombuffer(col.buffers()[2], ">u8", len(col) * wide, int(at))
+    return raw.astype(np.uint64).reshape(-1, wide)
 
 
 # ---------------------------------------------------------------- index
@@ -95,12 +123,19 @@ def block_widths(blocks: int) -> list[int]:
     return [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
 
 
+def gray_rank(code: np.ndarray) -> np.ndarray:
+    for step in (1, 2, 4, 8, 16, 32):
+        code = code ^ (code >> np.uint64(step))
+    return code
+
+
 class Copies:
-    """Bit orders of the index copies: the kept blocks first, then the others."""
+    """Bit orders of the index copies for a distance: the kept blocks first, then the others."""
 
     def __init__(self, blocks: int, distance: int):
         width = block_widths(blocks)
         low = np.cumsum([0, *width]).tolist()
+        self.distance, self.wide = distance, 1
         self.moves, self.head = [], []
         for kept in combinations(range(blocks), blocks - distance):
             order = [*kept, *(b for b in range(blocks) if b not in kept)]
@@ -111,22 +146,40 @@ class Copies:
             self.moves.append(moves)
             self.head.append(sum(width[b] for b in kept))
 
-    def ranks(self, fp: np.ndarray, copy: int) -> np.ndarray:
-        """Gray rank of the rearranged code."""
-        code = np.zeros(len(fp), np.uint64)
-        for low, place, mask in self.moves[copy]:
-            code |= ((fp >> np.uint64(low)) & np.uint64(mask)) << np.uint64(place)
-        for step in (1, 2, 4, 8, 16, 32):
-            code ^= code >> np.uint64(step)
-        return code
-
-    def codes(self, rank: np.ndarray, copy: int) -> np.ndarray:
-        """The fingerprints of Gray ranks."""
-        code = rank ^ (rank >> np.uint64(1))
-        fp = np.zeros(len(rank), np.uint64)
+    def __len__(self) -> int:
+        return len(self.head)
+
+    def ranks(self, codes: np.ndarray, copy: int) -> np.ndarray:
+        """Gray rank of the rearranged codes (rows of one word)."""
+        fp, out = codes[:, 0], np.zeros(len(codes), np.uint64)
         for low, place, mask in self.moves[copy]:
-            fp |= ((code >> np.uint64(place)) & np.uint64(mask)) << np.uint64(low)
-        return fp
+            out |= ((fp >> np.uint64(low)) & np.uint64(mask)) << np.uint64(place)
+        return gray_rank(out)
+
+
+class DrawnCopies:
+    """Bit orders of the index copies for a similarity: each starts with bits drawn by hash."""
+
+    def __init__(self, similarity: float, codes: int, wide: int = WIDE):
+        turn = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, on average
+        bits = 64 * wide
+        self.distance = int(bits * turn + np.sqrt(bits * turn * (1 - turn)))
+        self.wide = wide
+        head = max(8, int(max(codes, 1) // 4).bit_length())
+        many = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - turn) ** head))))
+        self.head = [head] * many
+        order = mix(np.arange(many * bits, dtype=np.uint64) + np.uint64(1)).reshape(many, bits)
+        self.drawn = np.argsort(order, axis=1)[:, : min(64, head + 12)]
+
+    def __len__(self) -> int:
+        return len(self.head)
+
+    def ranks(self, codes: np.ndarray, copy: int) -> np.ndarray:
+        """Gray rank of the drawn bits."""
+        out = np.zeros(len(codes), np.uint64)
+        for place, bit in enumerate(self.drawn[copy].tolist()):
+            out |= ((codes[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(63 - place)
+        return gray_rank(out)
 
 
 def blocks_for(codes: int, distance: int) -> int:
@@ -153,28 +206,29 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
+def differ(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Number of differing bits of rows of words."""
+    x = a ^ b
+    return np.bitwise_count(x if mask is None else x & mask).sum(axis=1, dtype=np.int64)
+
+
 class Index:
     """Levels of groups over Gray-ordered codes. A node holds the bits its codes share and its parent lacks."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        both, either = codes.copy(), codes.copy()
+        both, either = codes, codes
         self.levels: list[list[np.ndarray]] = []
         while len(both) > FAN or not self.levels:
             at = np.arange(0, len(both), FAN)
             both, either = np.bitwise_and.reduceat(both, at), np.bitwise_or.reduceat(either, at)
             self.levels.append([~(both ^ either), both])  # mask of the shared bits, their values
         self.levels.reverse()
-        for up, low in zip(self.levels[-2::-1], self.levels[:0:-1]):
-            low[0] = low[0] & ~np.repeat(up[0], FAN)[: len(low[0])]
-        self.leaf_mask = ~(np.repeat(self._full(), FAN)[: len(codes)])
-
-    def _full(self) -> np.ndarray:
-        """All bits known above the leaves."""
-        full = self.levels[0][0]
+        full = self.levels[0][0]  # all bits known down to a level
         for low in self.levels[1:]:
-            full = np.repeat(full, FAN)[: len(low[0])] | low[0]
-        return full
+            above = np.repeat(full, FAN, axis=0)[: len(low[0])]
+            full, low[0] = low[0], low[0] & ~above
+        self.leaf_mask = ~np.repeat(full, FAN, axis=0)[: len(codes)]
 
     def same_label(self, label: np.ndarray) -> list[np.ndarray]:
         """For each level the label all codes of a node have, or -1."""
@@ -191,20 +245,18 @@ class Index:
         top = len(self.levels[0][0])
         q, node = np.repeat(np.arange(len(query)), top), np.tile(np.arange(top), len(query))
         apart = np.zeros(len(q), np.int64)
-        for level, ((mask, value), same) in enumerate(zip(self.levels, self.same_label(label))):
+        stages = [*zip((x[0] for x in self.levels), (x[1] for x in self.levels), self.same_label(label)), (self.leaf_mask, self.codes, label)]
+        for level, (mask, value, same) in enumerate(stages):
             if level:
                 q, apart, node = np.repeat(q, FAN), np.repeat(apart, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
                 real = node < len(mask)
                 q, apart, node = q[real], apart[real], node[real]
-            apart = apart + np.bitwise_count((query[q] ^ value[node]) & mask[node])
-            go = (apart <= distance) & (same[node] != own[q])
+            other = same[node] != own[q]
+            q, apart, node = q[other], apart[other], node[other]
+            apart = apart + differ(query[q], value[node], mask[node])
+            go = apart <= distance
             q, apart, node = q[go], apart[go], node[go]
-        q, apart, leaf = np.repeat(q, FAN), np.repeat(apart, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
-        real = leaf < len(self.codes)
-        q, apart, leaf = q[real], apart[real], leaf[real]
-        apart = apart + np.bitwise_count((query[q] ^ self.codes[leaf]) & self.leaf_mask[leaf])
-        go = (apart <= distance) & (label[leaf] != own[q])
-        return q[go], leaf[go]
+        return q, node
 
 
 def forest(codes: np.ndarray, distance: int, queries: np.ndarray | None = None, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -222,16 +274,15 @@ def forest(codes: np.ndarray, distance: int, queries: np.ndarray | None = None,
 def run_links(codes: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all codes within ``distance`` in each run; starts: where runs begin."""
     size = np.diff(np.append(starts, len(codes)))
-    small = np.repeat(size <= SMALL, size)
     run = np.repeat(np.arange(len(starts)), size)
     a_all, b_all = [], []
-    at = np.flatnonzero(small & np.repeat(size > 1, size))
+    at = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
     for d in range(1, SMALL):
         at = at[at + d < len(codes)]
         at = at[run[at] == run[at + d]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(codes[at] ^ codes[at + d]) <= distance]
+        hit = at[differ(codes[at], codes[at + d]) <= distance]
         a_all.append(hit)
         b_all.append(hit + d)
     for k in np.flatnonzero(size > SMALL).tolist():
@@ -242,87 +293,77 @@ def run_links(codes: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.
     return np.concatenate([none, *a_all]), np.concatenate([none, *b_all])
 
 
-FOUND = "a long, b long, copy int, node long, task long, part int, mask long, value long, codes binary"
+FOUND = "a long, b long, copy int, node long, task long, part int, ids binary, codes binary"
 
 
-def links(codes: DataFrame, distance: int, count: int, ws) -> DataFrame:
-    """(a, b): links between different codes (column fp) that connect all that are near."""
-    blocks = blocks_for(count, distance)
-    copies = Copies(blocks, distance)
-    many = len(copies.moves)
+def links(codes: DataFrame, copies: Copies | DrawnCopies, count: int, ws) -> DataFrame:
+    """(a, b): links between different codes (id, code) that connect all that are near."""
+    wide, distance = copies.wide, copies.distance
     flip = np.uint64(1 << 63)  # unsigned order as signed
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(many):
-                rank = (copies.ranks(fp, k) ^ flip).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(rank)], ["copy", "rank"])
+            own = from_binary(batch.column(1), wide)
+            for k in range(len(copies)):
+                rank = pa.array((copies.ranks(own, k) ^ flip).view(np.int64))
+                number = pa.array(np.full(len(own), k, np.int32))
+                yield pa.RecordBatch.from_arrays([number, rank, batch.column(0), batch.column(1)], ["copy", "rank", "id", "code"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        held = [(*(b.column(k).to_numpy() for k in range(3)), from_binary(b.column(3), wide)) for b in batches if b.num_rows]
         if not held:
             return
-        copy, rank = (np.concatenate(x) for x in zip(*held))
-        rank = rank.view(np.uint64) ^ flip
+        copy, rank, ids, code = (np.concatenate(x) for x in zip(*held))
         task = TaskContext.get().partitionId()
-        node = np.zeros(len(rank), np.uint64)
-        fp = np.zeros(len(rank), np.uint64)
-        for k in np.unique(copy).tolist():
-            own = copy == k
-            node[own] = rank[own] >> np.uint64(64 - copies.head[k])
-            fp[own] = copies.codes(rank[own], k)
-        new = np.append(True, (node[1:] != node[:-1]) | (copy[1:] != copy[:-1]))
-        starts = np.flatnonzero(new)
-        a, b = run_links(fp, starts, distance)
+        node = (rank.view(np.uint64) ^ flip) >> (np.uint64(64) - np.asarray(copies.head, np.uint64)[copy])
+        starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (copy[1:] != copy[:-1])))
+        a, b = run_links(code, starts, distance)
         if len(a):
-            yield _found(a=fp[a].view(np.int64), b=fp[b].view(np.int64))
-        ends = np.append(starts[1:], len(fp))
+            yield _found(a=ids[a], b=ids[b])
+        ends = np.append(starts[1:], len(ids))
         for k in sorted({0, len(starts) - 1}):  # the node may go on in a neighbouring task
             for part, s in enumerate(range(starts[k], ends[k], SEGMENT)):
-                own = fp[s : min(s + SEGMENT, ends[k])]
-                both, either = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
+                e = min(s + SEGMENT, ends[k])
                 yield _found(
-                    copy=[int(copy[s])], node=[int(node[s])], task=[task], part=[part],
-                    mask=np.array([~(both ^ either)]).view(np.int64), value=np.array([both]).view(np.int64), codes=[own.tobytes()],
-                )
+                    copy=[int(copy[s])], node=[int(node[s])], task=[task], part=[part], ids=[ids[s:e].tobytes()], codes=[code[s:e].tobytes()]
+                )
 
-    tasks = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * many // TASK_CODES))
-    rows = codes.select("fp").mapInArrow(spread, "copy int, rank long")
+    tasks = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(copies) // TASK_CODES))
+    rows = codes.select("id", "code").mapInArrow(spread, "copy int, rank long, id long, code binary")
     found = ws.write(rows.repartitionByRange(tasks, "copy", "rank").sortWithinPartitions("copy", "rank").mapInArrow(search, FOUND), "found")
     inner = found.where("codes is null").select("a", "b")
-    return inner.union(_between(found.where("codes is not null"), distance)).distinct()
+    return inner.union(_between(found.where("codes is not null"), wide, distance)).distinct()
 
 
 def _found(**cols) -> pa.RecordBatch:
-    kinds = {"copy": pa.int32(), "part": pa.int32(), "codes": pa.binary()}
+    kinds = {"copy": pa.int32(), "part": pa.int32(), "ids": pa.binary(), "codes": pa.binary()}
     rows = len(next(iter(cols.values())))
-    names = ["a", "b", "copy", "node", "task", "part", "mask", "value", "codes"]
+    names = ["a", "b", "copy", "node", "task", "part", "ids", "codes"]
     made = [pa.array(cols[n], kinds.get(n, pa.int64())) if n in cols else pa.nulls(rows, kinds.get(n, pa.int64())) for n in names]
     return pa.RecordBatch.from_arrays(made, names)
 
 
-def _between(segments: DataFrame, distance: int) -> DataFrame:
+def _between(segments: DataFrame, wide: int, distance: int) -> DataFrame:
     """Links between segments of one node that lie in different tasks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, two in zip(batch.column(0), batch.column(1)):
-                one, two = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                codes = np.concatenate([two, one])
-                a, b = forest(codes, distance, np.arange(len(two), len(codes)))
+            for row in zip(*(batch.column(k) for k in range(4))):
+                ids, codes, ids2, codes2 = (np.frombuffer(x.as_buffer(), np.uint64) for x in row)
+                codes = np.concatenate([codes2, codes]).reshape(-1, wide)
+                ids = np.concatenate([ids2, ids]).view(np.int64)
+                a, b = forest(codes, distance, np.arange(len(ids2), len(ids)))
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     salt = F.pmod(F.xxhash64("task", "part"), F.lit(SALTS)).cast("int")
-    left = segments.select("copy", "node", "task", "mask", "value", "codes", salt.alias("salt"))
+    left = segments.select("copy", "node", "task", "ids", "codes", salt.alias("salt"))
     right = segments.select(
-        "copy", "node", F.col("task").alias("task2"), F.col("mask").alias("mask2"), F.col("value").alias("value2"),
-        F.col("codes").alias("codes2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        "copy", "node", F.col("task").alias("task2"), F.col("ids").alias("ids2"), F.col("codes").alias("codes2"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
-    apart = F.expr("bit_count((value ^ value2) & mask & mask2)") <= distance
-    pairs = left.join(right, ["copy", "node", "salt"]).where((F.col("task") < F.col("task2")) & apart)
-    return pairs.select("codes", "codes2").mapInArrow(compare, "a long, b long")
+    pairs = left.join(right, ["copy", "node", "salt"]).where(F.col("task") < F.col("task2"))
+    return pairs.select("ids", "codes", "ids2", "codes2").mapInArrow(compare, "a long, b long")
 
 
 # ---------------------------------------------------------------- components
@@ -348,26 +389,30 @@ def components(edges: DataFrame, ws) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4
+    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over
-    fingerprints that differ in at most ``distance`` bits."""
+    fingerprints that differ in at most ``distance`` bits, or, if given, over a ``similarity``."""
     ws = workspace(docs.sparkSession, "simhash")
-    rows = ws.write(fingerprints(docs, key, text, shingle), "fingerprints")
-    codes = ws.write(rows.groupBy("fp").agg(F.min("key").alias("first")), "codes")
-    roots = components(links(codes, distance, codes.count(), ws), ws)
-    named = codes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = ws.write(fingerprints(docs, key, text, shingle, 1 if similarity is None else WIDE), "fingerprints")
+    codes = rows.groupBy("code").agg(F.min("key").alias("first")).withColumn("id", F.monotonically_increasing_id())
+    codes = ws.write(codes, "codes")
+    count = codes.count()
+    copies = Copies(blocks_for(count, distance), distance) if similarity is None else DrawnCopies(similarity, count)
+    roots = components(links(codes, copies, count, ws), ws)
+    named = codes.join(roots, F.col("id") == F.col("node"), "left").select("code", "first", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    placed = ws.write(named.join(least, "root").select("fp", "component_id"), "placed")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(placed, "fp", "left").select(F.col("key").alias(key), hexed, "component_id")
+    placed = ws.write(named.join(least, "root").select("code", "component_id"), "placed")
+    return rows.join(placed, "code", "left").select(F.col("key").alias(key), F.lower(F.hex("code")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
+) -> DataFrame:
     """The documents whose key names their component, all columns; one row where the key repeats.
 
     Of rows with NULL keys only those survive whose whole component has none, one row in all.
     """
-    found = near_duplicates(docs, key, text, distance, shingle)
+    found = near_duplicates(docs, key, text, distance, shingle, similarity)
     kept = found.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_kept")).distinct()
     return docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
