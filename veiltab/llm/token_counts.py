@@ -62,4 +62,6 @@ def count_tokens(docs: DataFrame, path: str, cache: str, key: str = "doc_id", te
 
     counted = texts.dropDuplicates(["digest"]).mapInArrow(encode, "digest binary, n_tokens long")
     counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
-    return own.join(stored(spark, cache, version), "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
+    # one row per digest, written, so that the join below reads plain shuffles and a hot digest can be split
+    known = ws.write(own.select("digest").distinct().join(stored(spark, cache, version), "digest"), "known")
+    return own.join(known, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
