@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from veiltab import TableSynthesizer
 from veiltab.operators import measure as ms
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
-from veiltab.operators.edits import expand_operators, mixed_weights, update_weights
+from veiltab.operators.edits import Edits, expand_operators, mixed_weights, to_state, update_weights
 from veiltab.operators.marginals import Marginals, column_sets
 from veiltab.operators.modules import Chain
 from veiltab.plans.generator import Generator, should_stop
+from veiltab.plans.synthesizer import fit_dp_adaptive, fit_zcdp
 
 DOMAIN = Domain(
     (
@@ -35,11 +36,11 @@ def test_rounds_never_get_worse_and_reach_a_small_distance(spark):
     m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
     chain = Chain([m])
     targets = ms.measure_all(chain, df, 2000, 1e6, "s", "r")
-    g = Generator(m, 2000, "s", rounds=12, stop_threshold=0.0)
+    g = Generator(m, 2000, "s", rounds=40, stop_threshold=0.05)
     fitted = g.fit(targets)
     history = [f for r, f in sorted({(r[0], r[1]) for r in fitted.log})]
     assert all(b <= a for a, b in zip(history, history[1:]))
-    assert history[-1] < 0.12 * history[0]
+    assert history[-1] <= 0.02 * history[0]
     out = fitted.table.persist()
     assert out.count() == 2000 and out.select("row_id").distinct().count() == 2000
     assert out.where("a not in (0,1,2) or b not in (0,1) or o < 0 or o > 9 or x < 0 or x > 1").count() == 0
@@ -48,6 +49,68 @@ def test_rounds_never_get_worse_and_reach_a_small_distance(spark):
     assert abs(direct - history[-1]) < 1e-9
 
 
+def test_point_masses_are_matched_exactly(spark):
+    """Two columns with few values among many bins: the search ends by its stop rule, at the target."""
+    q = F.when(F.col("id") % 2 == 0, 0.61).when(F.col("id") % 10 == 1, 1.0).otherwise(0.05)
+    df = spark.range(600).select(F.lit(0.29).alias("p"), q.alias("q"))
+    meta = {n: {"type": "float", "lower": 0, "upper": 1} for n in ("p", "q")}
+    s = TableSynthesizer(1e6, 1e-5, seed="point").fit(df, meta)
+    assert s.fitted.converged and s.error().first()["max_error"] < 0.001
+    assert s.fitted.log_frame(spark).where("converged").select("round").distinct().count() == 1
+
+
+def test_lacking_cells(spark):
+    m = Marginals(DOMAIN, [("a", "o"), ("b",), ("a", "b", "x")], 2)
+    e = Edits(m, 10, ["fill"], "s")
+    w = {(x.set_id, x.level): x for x in m.workloads}
+    rows = [  # a=2, o=null bin; b=1; a=1, b=0, x in bin 5; a coarse cell and one with too many rows
+        ((w[0, 0].workload_id << m.shift) + 2 * 11 + 10, 0.5), ((w[1, 0].workload_id << m.shift) + 1, 0.25),
+        ((w[2, 0].workload_id << m.shift) + (1 * 2 + 0) * 16 + 5, 0.3), ((w[2, 1].workload_id << m.shift) + 1, 0.9), (3, -0.4),
+    ]
+    got = e.lacking(spark.createDataFrame(rows, "key long, r double"))
+    third = 0.3 / 3
+    assert got == [(0, 2, 2, 10, 0.5), (0, 1, 1, 0, third), (0, 1, 3, 5, third), (1, 0, 3, 5, third), (1, 1, -1, -1, 0.25)]
+
+
+def test_quantiles_do_not_depend_on_partitions(spark):
+    """Many rows, more than an approximate quantile holds exactly."""
+    df = table(spark, 200_000).withColumn("row_id", F.monotonically_increasing_id())
+    e = Edits(Marginals(DOMAIN, [("o", "x")], 3), 200_000, ["continuous"], "s")
+    found = [e.quantiles(to_state(df.repartition(k), DOMAIN, 3)) for k in (2, 7, 16)]
+    assert found[0] == found[1] == found[2]
+    x = found[0][3]
+    assert all(a <= b for a, b in zip(x, x[1:])) and max(found[0][2][1:-1]) <= 9.0
+
+
+def test_nulls_need_a_null_bin(spark):
+    df = spark.createDataFrame([("u", 1.0)] * 30 + [(None, 2.0)] * 30, "c string, x double")
+    meta = {"c": {"type": "string"}, "x": {"type": "float", "lower": 0, "upper": 4}}
+    with pytest.raises(ValueError, match="NULLs"):
+        TableSynthesizer(1e4, 1e-5, seed="n").fit(df, meta, rounds=1)
+    s = TableSynthesizer(1e4, 1e-5, seed="n").fit(df, meta, rounds=1, nullable=True)
+    assert [c.has_nulls for c in s.domain.columns] == [True, False]
+    assert abs(s.measurement.where("workload_id = 0").agg(F.sum("noised")).first()[0] - 1) < 0.05
+    s.close()
+
+
+def test_inferred_roles_bring_nullability(spark):
+    df = spark.createDataFrame([("u", "a")] * 20 + [(None, "b")] * 20, "c string, d string")
+    s = TableSynthesizer(1e4, 1e-5, seed="n").fit(df, rounds=1)
+    assert [c.has_nulls for c in s.domain.columns] == [True, False]
+
+
+def test_adaptive_rounds_keep_a_ledger_and_reports(spark):
+    df = table(spark, 500).persist()
+    m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 1)
+    g = Generator(m, 500, "s", rounds=2)
+    reports = []
+    fitted, _ = fit_dp_adaptive(g, Chain([m]), df, 500, 2, 1e3, 1e-6, k=1, reports=reports)
+    assert len(reports) == 2 and fitted.ledger.spent <= fitted.ledger.rho * (1 + 1e-9)
+    assert [e[0] for e in fitted.ledger.entries] == ["select", "measure"] * 2
+    fitted, _ = fit_zcdp(g, Chain([m]), df, 500, 10.0)
+    assert fitted.ledger.spent == 10.0
+
+
 def test_same_seed_same_table(spark):
     df = table(spark, 300)
     m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 2)
@@ -64,10 +127,10 @@ def test_same_seed_same_table(spark):
 
 def test_operator_weights():
     assert expand_operators(("mutate", "continuous", "swap", "cross"), DOMAIN) == [
-        "mutate", "continuous", "swap", "cross1", "cross2"
+        "mutate", "fill", "continuous", "swap", "cross1", "cross2"
     ]
     only = Domain((Column("x", CONTINUOUS),))
-    assert expand_operators(("mutate", "continuous", "cross"), only) == ["mutate", "continuous"]
+    assert expand_operators(("mutate", "continuous", "cross"), only) == ["mutate", "fill", "continuous"]
     w = update_weights([0.5, 0.5], [1.0, 0.0])
     assert w[0] > w[1] and abs(sum(w) - 1) < 1e-12
     assert abs(sum(mixed_weights(w)) - 1) < 1e-12 and min(mixed_weights([1.0, 0.0])) == 0.025
@@ -117,7 +180,7 @@ def test_stream_of_changes_equals_recount(spark, sf, tmp_path):
     start, leave, come = e.where("l_linenumber < 3"), e.where("l_linenumber = 0"), e.where("l_linenumber >= 3")
     changes = come.withColumn("removed", F.lit(False)).unionByName(leave.withColumn("removed", F.lit(True)))
     changes.repartition(3).write.parquet(str(tmp_path / "in"))
-    kept = MaintainedCounts(PAIRS.counts(start), PAIRS)
+    kept = MaintainedCounts(PAIRS.counts(start), PAIRS, str(tmp_path / "counts"))
     q = (
         spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         .writeStream.foreachBatch(kept).option("checkpointLocation", str(tmp_path / "cp"))
@@ -127,3 +190,12 @@ def test_stream_of_changes_equals_recount(spark, sf, tmp_path):
     kept(changes, 0)
     want = PAIRS.counts(e.where("l_linenumber > 0"))
     assert kept.counts.exceptAll(want).count() == 0 and want.exceptAll(kept.counts).count() == 0
+    # a new object on the same path, as after a restart: it goes on, and old batches are skipped
+    again = MaintainedCounts(PAIRS.counts(start), PAIRS, str(tmp_path / "counts"))
+    assert again.last_batch == kept.last_batch > 0
+    again(changes, kept.last_batch)
+    assert again.counts.exceptAll(want).count() == 0 and want.exceptAll(again.counts).count() == 0
+    again(changes.where("removed").withColumn("removed", F.lit(False)), kept.last_batch + 1)
+    more = PAIRS.counts(e)
+    assert again.counts.exceptAll(more).count() == 0 and more.exceptAll(again.counts).count() == 0
+    assert len(again._done()) <= MaintainedCounts.KEEP + 1

@@ -96,6 +96,12 @@ def test_trim_keeps_the_largest_cells(spark, monkeypatch, limit):
     assert got == want
 
 
+def test_exponential_choices_of_two_rounds_differ(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(200)], "i int, score double")
+    picks = {ms.exponential_choice(df, 1.0, 1.0, "s", ["i"], run, k).first()["i"] for run in ("a", "b") for k in (1, 2, 3)}
+    assert len(picks) > 3
+
+
 def test_exponential_choice_prefers_high_scores(spark):
     df = spark.createDataFrame([(i, 1.0 if i == 3 else 0.0) for i in range(10)], "i int, score double")
     picks = [ms.exponential_choice(df, 50.0, 1.0, f"s{s}", ["i"]).first()["i"] for s in range(5)]

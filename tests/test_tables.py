@@ -13,29 +13,29 @@ from veiltab.operators.domain import (
 from veiltab.session import lookup, shared_dir
 from veiltab.sources.tables import load, read_domain, save
 
-# A small mixed table: two floats, two categories and one whole number.
+# A small mixed table: a tree survey with two measurements, a species, a plot number and a flag.
 MIXED = [
-    (0.25, 3.5, "oak", 7, "0"), (0.5, 6.25, "oak", 30, "0"), (0.7, 0.4, "elm", 30, "1"),
-    (0.33, 9.1, "fir", 55, "1"), (1.0, 10.0, "ash", 100, "0"), (float("nan"), None, "oak", 12, None),
+    (0.25, 3.5, "oak", 7, "no"), (0.5, 6.25, "oak", 30, "no"), (0.7, 0.4, "elm", 30, "yes"),
+    (0.33, 9.1, "fir", 55, "yes"), (1.0, 20.0, "ash", 80, "no"), (float("nan"), None, "oak", 12, None),
 ]
 META = {
-    "R1": {"type": "float", "lower": 0, "upper": 1}, "R2": {"type": "float", "lower": 0, "upper": 10},
-    "C1": {"type": "string"}, "O1": {"type": "int", "lower": 0, "upper": 100}, "C2": {"type": "string"},
+    "cover": {"type": "float", "lower": 0, "upper": 1}, "height": {"type": "float", "lower": 0, "upper": 20},
+    "species": {"type": "string"}, "plot": {"type": "int", "lower": 0, "upper": 80}, "felled": {"type": "string"},
 }
 
 
 @pytest.fixture(scope="module")
 def mixed(spark):
-    return spark.createDataFrame(MIXED, "R1 double, R2 double, C1 string, O1 int, C2 string")
+    return spark.createDataFrame(MIXED, "cover double, height double, species string, plot int, felled string")
 
 
 def test_roles_from_meta_lists_and_data(mixed):
-    assert resolve_roles(mixed, META)["O1"] == ORDINAL
-    lists = resolve_roles(mixed, None, ["C1", "C2"], ["O1"], ["R1", "R2"])
-    assert lists == {"R1": CONTINUOUS, "R2": CONTINUOUS, "C1": CATEGORICAL, "O1": ORDINAL, "C2": CATEGORICAL}
-    assert resolve_roles(mixed)["R1"] == CONTINUOUS
+    assert resolve_roles(mixed, META)["plot"] == ORDINAL
+    lists = resolve_roles(mixed, None, ["species", "felled"], ["plot"], ["cover", "height"])
+    assert lists == {"cover": CONTINUOUS, "height": CONTINUOUS, "species": CATEGORICAL, "plot": ORDINAL, "felled": CATEGORICAL}
+    assert resolve_roles(mixed)["cover"] == CONTINUOUS
     with pytest.raises(ValueError):
-        resolve_roles(mixed, {"R1": {"type": "float"}})
+        resolve_roles(mixed, {"cover": {"type": "float"}})
 
 
 def test_encode_decode_round_trip(spark, mixed):
@@ -43,7 +43,7 @@ def test_encode_decode_round_trip(spark, mixed):
     bounds = {n: (m["lower"], m["upper"]) for n, m in META.items() if "lower" in m}
     d = fit_domain(mixed, roles, bounds, nullable=None)
     assert [c.has_nulls for c in d.columns] == [True, True, False, False, True]
-    labels = enc.fit_labels(mixed, ["C1", "C2"])
+    labels = enc.fit_labels(mixed, ["species", "felled"])
     back = enc.decode(enc.encode(mixed, d, labels), d, labels)
     near = lambda v: round(v, 9) if isinstance(v, float) else v
     want = sorted(repr(tuple(map(near, r))) for r in clean_nan(mixed).collect())
@@ -128,3 +128,55 @@ def test_save_and_load(spark, sf, tmp_path):
 
 def test_shared_dir_is_read_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_sample_without_repeats_never_loses_rows(spark):
+    df = spark.range(100)
+    for n in (99, 100, 101, 5000):
+        got = smp.sample_n(df, n, "s", ["id"], replace=False)
+        assert got.count() == got.distinct().count() == min(n, 100)
+
+
+def test_sample_with_replacement_does_not_depend_on_partitions(spark):
+    df = spark.range(3000)
+    one, two = (sorted(r["id"] for r in smp.sample_fraction(df.repartition(k), 0.4, "s", ["id"], True).collect()) for k in (1, 9))
+    assert one == two and 1050 < len(one) < 1350 and len(set(one)) < len(one)
+
+
+def test_null_keys_spread_over_tasks(spark):
+    left = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).alias("k"), "id")
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    joined = lookup(left, right, ["k"], 1 << 40)
+    assert joined.count() == 40_000 and joined.where("w is null").count() == left.where("k is null").count()
+    assert joined.where("k is not null and w <> 2 * k").count() == 0
+
+
+def test_a_label_beyond_the_size_is_in_no_cell(spark):
+    from veiltab.operators.marginals import Marginals
+
+    rows = [(0, 0)] * 3 + [(1, 2)] * 5 + [(None, 1)] * 2
+    df = spark.createDataFrame(rows, "a int, b int")
+    d = Domain((Column("a", CATEGORICAL, 2, has_nulls=True), Column("b", CATEGORICAL, 2, has_nulls=True)))
+    got = {(r["cell"], r["cnt"]) for r in Marginals(d, [("a", "b")], 1).counts(df).collect()}
+    assert got == {(0, 3), (2 * 3 + 1, 2)}
+    with pytest.raises(ValueError):
+        read_domain({"a": {"type": "string"}})
+
+
+def test_wide_keys(spark):
+    from veiltab.operators.marginals import Marginals
+
+    names = ("a", "b", "c", "d")
+    d = Domain(tuple(Column(n, ORDINAL, 30_000, 0.0, 29_999.0) for n in names))
+    m = Marginals.all_kway(d, 3, 1)
+    df = spark.createDataFrame([(29_999, 29_998, 29_997, 1)], ", ".join(f"{n} long" for n in names))
+    cells = {r["workload_id"]: (r["cell"], r["cnt"]) for r in m.counts(df).collect()}
+    v, k = dict(zip(names, (29_999, 29_998, 29_997, 1))), 30_000
+    assert cells == {i: ((v[x] * k + v[y]) * k + v[z], 1) for i, (x, y, z) in enumerate(m.sets)}
+    with pytest.raises(ValueError):
+        Marginals(d, [names + names[:1]], 1).shift
+
+
+def test_a_wide_ordinal_needs_no_edge_list():
+    c = Column("x", ORDINAL, 10**9)
+    assert c.finest(3) == 10**9 and c.coarse(3, 1)[0] == 2

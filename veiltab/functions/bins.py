@@ -45,14 +45,15 @@ def add_bins(df: DataFrame, edges: dict[str, tuple[str, list[float]]], outside:
 def bin_table(df: DataFrame, domain: Domain, depth: int, names: list[str] | None = None, prefix: str = "b_") -> DataFrame:
     """Finest bin of every column as ``b_<name>``; the null bin is number n of a nullable column.
 
-    A NULL in a column without a null bin stays NULL: the row is in no cell of that column.
+    A NULL in a column without a null bin stays NULL: the row is in no cell of that column. So does a
+    label outside 0..size-1, with or without a null bin.
     """
     names = names or domain.names
     edges, direct = {}, {}
     for n in names:
         c = domain[n]
         if c.role == CATEGORICAL:
-            direct[prefix + n] = F.col(n).cast("int")
+            direct[prefix + n] = F.when(F.col(n).between(0, c.size - 1), F.col(n).cast("int"))
         elif c.role == ORDINAL and c.edges is None:
             top = F.lit(c.size - 1)
             code = F.greatest(F.lit(0), F.least(top, F.floor(F.col(n)).cast("int")))
@@ -63,7 +64,7 @@ def bin_table(df: DataFrame, domain: Domain, depth: int, names: list[str] | None
         df = df.withColumns(direct)
     df = add_bins(df, edges)
     nulls = {
-        prefix + n: F.coalesce(F.col(prefix + n), F.lit(domain[n].finest(depth)))
+        prefix + n: F.when(F.col(n).isNull(), F.lit(domain[n].finest(depth))).otherwise(F.col(prefix + n))
         for n in names
         if domain[n].has_nulls
     }

@@ -59,14 +59,20 @@ class Column:
             return linspace(0.0, 1.0, 2**depth)
         return tuple(float(i) for i in range(self.size + 1))
 
+    def n_edges(self, depth: int) -> int:
+        """Number of ``bin_edges``, without building them."""
+        if self.edges is not None:
+            return len(self.edges)
+        return 2**depth if self.role == CONTINUOUS else self.size + 1
+
     def finest(self, depth: int) -> int:
-        return len(self.bin_edges(depth)) - 1 if self.numeric else self.size
+        return self.n_edges(depth) - 1 if self.numeric else self.size
 
     def coarse(self, depth: int, level: int) -> tuple[int, int]:
         """(stride over finest bins, number of bins) at a level; categories are never merged."""
         if not self.numeric:
             return 1, self.size
-        n_edges = len(self.bin_edges(depth))
+        n_edges = self.n_edges(depth)
         stride = 2**level
         if n_edges // stride < 3:
             stride = max(1, n_edges // 2)

@@ -9,6 +9,7 @@ round and one text is cheaper to send than many calls.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column as C
@@ -19,15 +20,17 @@ from veiltab.functions.bins import bin_table
 from veiltab.functions.hashing import fast_uniform_sql
 from veiltab.functions.literals import array_sql, small_table
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
-from veiltab.operators.marginals import SET_SHIFT, Marginals
+from veiltab.operators.marginals import Marginals
 from veiltab.session import lookup, small_side
 
-MUTATE, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "continuous", "swap", "cross1", "cross2"
+MUTATE, FILL, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "fill", "continuous", "swap", "cross1", "cross2"
+FILL_CELLS = 2048  # cells that lack most rows and are offered to guided edits in a round
+GRID_VALUES = 4096  # values of a wide ordinal column that quantiles tell apart
 QUANTILE_POINTS = 32
 ROWS_PER_TASK = 100_000
 SLOTS = 1000
 # The order of the draws of one candidate.
-DRAWS = ["op", "mutate.col", "quantile.col", "swap.col", "copy.col1", "copy.col2", "value.bin", "value.in"]
+DRAWS = ["op", "mutate.col", "quantile.col", "swap.col", "copy.col1", "copy.col2", "value.bin", "value.in", "fill.cell", "fill.in"]
 EDIT = ["pair_id", "side", "cand", "op", "c1", "c2", "x1", "x2", "y1", "y2"]
 
 
@@ -36,7 +39,9 @@ def expand_operators(names: tuple[str, ...], domain: Domain) -> list[str]:
     n_cat, n_num = len(domain.of_role(CATEGORICAL)), len(domain.of_role(ORDINAL, CONTINUOUS))
     out = []
     for n in names:
-        if n in (MUTATE, SWAP):
+        if n == MUTATE:
+            out += [MUTATE, FILL]
+        elif n in (FILL, SWAP):
             out.append(n)
         elif n == QUANTILE and n_num:
             out.append(n)
@@ -85,7 +90,7 @@ class Edits:
         self.marginals, self.domain, self.n_rows = marginals, marginals.domain, n_rows
         self.operators, self.seed, self.run = operators, seed, run
         self.candidates, self.draw = candidates, draw
-        self.code = {o: operators.index(o) if o in operators else -1 for o in (MUTATE, QUANTILE, SWAP, COPY1, COPY2)}
+        self.code = {o: operators.index(o) if o in operators else -1 for o in (MUTATE, FILL, QUANTILE, SWAP, COPY1, COPY2)}
         self._touch: DataFrame | None = None
         self._touch_rows = 0
         self.max_level = max(1, math.ceil(math.log2(max(n_rows, 2))) + 2)
@@ -108,25 +113,60 @@ class Edits:
             f"((shiftrightunsigned(xxhash64(h_{key}, {DRAWS.index(tag)}), 12) + 0.5D) / {scale})"
         )
 
-    def quantile_aggregates(self, value) -> list[C]:
-        """Approximate quantiles of ``value(i)`` for every numeric column i."""
-        probs = array_sql(list(linspace(0.0, 1.0, QUANTILE_POINTS)))
-        return [
-            F.expr(f"percentile_approx({value(i)}, {probs}, 10000) as q{i}")
-            for i, c in enumerate(self.domain.columns)
-            if c.numeric
-        ]
-
     def quantiles(self, state: DataFrame) -> list[list[float]]:
-        """Per column 0, 32 quantiles of the current table and the size; a few numbers each."""
-        aggs = self.quantile_aggregates(lambda i: f"get(v, {i})")
-        return self.read_quantiles(state.agg(*aggs).first().asDict() if aggs else {})
+        """Per column 0, 32 quantiles of the current table and the size.
 
-    def read_quantiles(self, found: dict) -> list[list[float]]:
+        They are read off the counts of the finest bins, evenly filled: whole numbers, so the same with
+        any partitioning. Wide ordinal columns are counted in GRID_VALUES steps.
+        """
+        cols, depth = self.domain.columns, self.marginals.depth
+        steps = [max(1, -(-c.finest(depth) // GRID_VALUES)) if c.numeric else 0 for c in cols]
+        rows = (
+            state.selectExpr("posexplode(b) as (i, bin)")
+            .selectExpr("i", f"get({array_sql([c.finest(depth) for c in cols])}, i) as n", f"get({array_sql(steps)}, i) as step", "bin")
+            .where("step > 0 and bin < n").selectExpr("i", "bin div step as bin")
+            .groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n"))
+        )
+        found: dict[int, dict[int, int]] = {}
+        for r in rows.collect():  # a row per column and bin
+            found.setdefault(r["i"], {})[r["bin"]] = r["n"]
+        return self.grid({i: self._quantiles_of(cols[i], counts, steps[i]) for i, counts in found.items()})
+
+    def _quantiles_of(self, c, counts: dict[int, int], step: int) -> list[float]:
+        left = (lambda b: float(b * step)) if self._direct(c) else c.bin_edges(self.marginals.depth).__getitem__
+        total, before, out = sum(counts.values()), 0, []
+        points = [total * k / (QUANTILE_POINTS - 1) for k in range(QUANTILE_POINTS)]
+        for b, n in sorted(counts.items()):
+            while len(out) < QUANTILE_POINTS and points[len(out)] <= before + n:
+                part = (points[len(out)] - before) / n
+                out.append(left(b) if self._direct(c) else left(b) + part * (left(b + 1) - left(b)))
+            before += n
+        return out + out[-1:] * (QUANTILE_POINTS - len(out))
+
+    def grid(self, found: dict[int, list[float]]) -> list[list[float]]:
+        """Quantile lists of all columns, 0 where nothing was found."""
+        return [[0.0, *(found.get(i) or [0.0] * QUANTILE_POINTS), float(c.size)] for i, c in enumerate(self.domain.columns)]
+
+    def lacking(self, residuals: DataFrame) -> list[tuple[int, int, int, int, float]]:
+        """(column, bin, column, bin, rows' share) of the finest cells that lack most; -1 for no second column.
+
+        Cells of larger sets are offered by each pair of their columns.
+        """
+        m = self.marginals
+        base = {w.workload_id: w for w in m.workloads if w.level == 0}
+        finest = small_table(residuals.sparkSession, [(k,) for k in base], "workload_id int")
+        rows = (
+            residuals.where("r > 0").withColumn("workload_id", F.shiftright("key", m.shift).cast("int"))
+            .join(F.broadcast(finest), "workload_id", "left_semi").orderBy(F.desc("r"), "key").limit(FILL_CELLS)
+        )
         out = []
-        for i, c in enumerate(self.domain.columns):
-            q = found.get(f"q{i}") if c.numeric else None
-            out.append([0.0, *(q or [0.0] * QUANTILE_POINTS), float(c.size)])
+        for row in rows.collect():
+            dims, cell, bins = base[row["workload_id"]].dims, row["key"] & ((1 << m.shift) - 1), []
+            for d in reversed(dims):
+                cell, b = divmod(cell, d.width)
+                bins.append((d.pos, b))
+            pairs = list(itertools.combinations(bins[::-1], 2)) or [(bins[0], (-1, -1))]
+            out += [(*one, *two, row["r"] / len(pairs)) for one, two in pairs]
         return out
 
     def partitions(self, spark: SparkSession) -> int:
@@ -153,12 +193,14 @@ class Edits:
         return slots
 
     def propose(
-        self, pairs: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]]
+        self, pairs: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]],
+        lacking: list[tuple[int, int, int, int, float]] = (),
     ) -> DataFrame:
         """Adds op, edited columns c1/c2, their new values x1/x2 and bins y1/y2.
 
         Each row gets ``candidates`` proposals. The operator is drawn per pair, as both rows of a
-        swap must agree; a row without a partner has nothing to swap or copy.
+        swap must agree; a row without a partner has nothing to swap or copy. A guided edit puts the
+        row into one of the ``lacking`` cells, drawn in proportion to what it lacks.
         """
         d, (base, u) = self.domain, self._draws(round_no)
         by_weight = [i for i, c in enumerate(d.columns) for _ in range(c.weight)]
@@ -171,6 +213,10 @@ class Edits:
         slots, code = self.operator_slots(weights), self.code
         pairwise = f"({code[SWAP]}, {code[COPY1]}, {code[COPY2]})"
         borrowed = f"op in {pairwise}"
+        fill = code[FILL] >= 0
+        cells = list(lacking) or [(-1, -1, -1, -1, 1.0)]
+        cell = [f"nullif(get({array_sql([x[k] for x in cells])}, slot), -1)" for k in range(4)]
+        second = f"when op = {code[FILL]} then {cell[2]} " if fill else ""
         df = (
             pairs.selectExpr("pair_id", "m", "posexplode(m) as (side, me)")
             .selectExpr(
@@ -183,23 +229,55 @@ class Edits:
             .selectExpr("*", *base)
             .selectExpr("*", f"{pick(slots, 'op', 'pair_id')} as op0")
             .selectExpr("* except (op0)", f"if(op0 in {pairwise} and pv is null, null, op0) as op")
-            .selectExpr(
+        )
+        if fill:
+            df = df.selectExpr("*", f"{u('fill.cell', 'row_id')} as uf", f"{u('fill.in', 'row_id')} as ub2")
+            df = df.selectExpr("* except (uf)", f"{self._slot_of('uf', [x[4] for x in cells])} as slot")
+        df = (
+            df.selectExpr(
                 "*",
                 f"case op when {code[MUTATE]} then {pick(by_weight, 'mutate.col', 'row_id')} "
-                f"when {code[QUANTILE]} then {pick(numeric, 'quantile.col', 'row_id')} "
+                + (f"when {code[FILL]} then {cell[0]} " if fill else "")
+                + f"when {code[QUANTILE]} then {pick(numeric, 'quantile.col', 'row_id')} "
                 f"when {code[SWAP]} then {pick(list(range(len(d.columns))), 'swap.col', 'pair_id')} "
                 f"else if(op is null, null, {pick(cats, 'copy.col1', 'row_id')}) end as c1",
-                f"if(op = {code[COPY2]}, {pick(cats, 'copy.col2', 'row_id')}, null) as c2_",
+                f"case when op = {code[COPY2]} then {pick(cats, 'copy.col2', 'row_id')} {second}end as c2_",
                 f"{u('value.bin', 'row_id')} as ua",
                 f"{u('value.in', 'row_id')} as ub",
             )
             .selectExpr("* except (c2_)", "if(c2_ <> c1, c2_, null) as c2")
-            .selectExpr("*", *self._bin_choice(quantiles))
-            .selectExpr("* except (i, j)", *self._new_value(quantiles), "get(pv, c2) as x2", "get(pb, c2) as y2")
+            .selectExpr("*", *self._bin_choice(cell[1] if fill else None))
         )
-        df = self._with_bin(df, borrowed).drop("ua", "ub", "pv", "pb", "at", "h_row_id", "h_pair_id")
+        if fill:
+            df = df.selectExpr("* except (slot)", f"{cell[3]} as i2")
+            x2 = f"if(op = {code[FILL]}, {self._inside('c2', 'i2', 'ub2')}, get(pv, c2)) as x2"
+        else:
+            x2 = "get(pv, c2) as x2"
+        df = df.selectExpr("* except (i, j)", *self._new_value(quantiles), x2)
+        df = df.selectExpr("*", f"{self._searched('c1', 'x1')} as at")
+        df = df.selectExpr("*", f"if({borrowed}, get(pb, c1), if(c1 is null, null, {self._own_bin('c1', 'x1', 'at')})) as y1")
+        if fill:
+            df = df.selectExpr("*", f"{self._searched('c2', 'x2')} as at2")
+            own = f"if(c2 is null, null, {self._own_bin('c2', 'x2', 'at2')})"
+            df = df.selectExpr("*", f"if(op = {code[FILL]}, {own}, get(pb, c2)) as y2").drop("at2", "i2", "ub2")
+        else:
+            df = df.selectExpr("*", "get(pb, c2) as y2")
+        df = df.drop("ua", "ub", "pv", "pb", "at", "h_row_id", "h_pair_id")
         return df.selectExpr("*", f"{self._level_mask('c1', 'y1')} as m1", f"{self._level_mask('c2', 'y2')} as m2")
 
+    @staticmethod
+    def _slot_of(u: str, weights: list[float]) -> str:
+        """Number drawn with the given weights, by binary search in their running sum."""
+        total, acc, upto = sum(weights), 0.0, []
+        for w in weights[:-1]:
+            acc += w
+            upto.append(acc / total)
+        if not upto:
+            return "0"
+        top = 1 << (len(upto).bit_length() - 1)
+        steps = array_sql([top >> i for i in range(top.bit_length())])
+        return f"aggregate({steps}, 0, (at, s) -> if(at + s <= {len(upto)} and {u} >= get({array_sql(upto)}, at + s - 1), at + s, at))"
+
     @property
     def _all_levels(self) -> int:
         return (1 << self.marginals.depth) - 1
@@ -229,11 +307,12 @@ class Edits:
         each = f"transform(sequence(0, {len(self.domain.columns) - 1}), i -> {self._levels_where(same)})"
         return f"if(pb is null, null, {each})"
 
-    def _bin_choice(self, quantiles: list[list[float]]) -> list[str]:
-        """i: bin to draw from (the null bin counts as one); j: quantile interval."""
+    def _bin_choice(self, guided: str | None) -> list[str]:
+        """i: bin to draw from (the null bin counts as one), the lacking cell's for a guided edit; j: quantile interval."""
         n = [self._n_bins(c) + c.has_nulls for c in self.domain.columns]
+        drawn = f"cast(floor(ua * get({array_sql(n)}, c1)) as int)"
         return [
-            f"cast(floor(ua * get({array_sql(n)}, c1)) as int) as i",
+            f"{drawn} as i" if guided is None else f"if(op = {self.code[FILL]}, {guided}, {drawn}) as i",
             f"cast(floor(ua * {QUANTILE_POINTS + 1}) as int) as j",
         ]
 
@@ -243,11 +322,8 @@ class Edits:
             return len(c.edges) - 1
         return 1 if c.role == CONTINUOUS else c.size
 
-    def _new_value(self, quantiles: list[list[float]]) -> list[str]:
-        """x1 of column c1: from its bins (mutate), its quantiles, or the partner's row.
-
-        Columns without edges take the bin number itself.
-        """
+    def _inside(self, col: str, i: str, u: str) -> str:
+        """A value of column ``col`` in its bin ``i``. Columns without edges take the bin number itself."""
         cols, edges = self.domain.columns, []
         for c in cols:
             if c.role == CONTINUOUS:
@@ -256,37 +332,46 @@ class Edits:
                 edges.append([float(math.ceil(e)) for e in c.edges])
             else:
                 edges.append([])
-        e, q = f"get({array_sql(edges)}, c1)", f"get({array_sql(quantiles)}, c1)"
+        e = f"get({array_sql(edges)}, {col})"
+        whole = f"get({array_sql([c.role != CONTINUOUS for c in cols])}, {col})"
+        top = f"get({array_sql([float(c.size - 1) for c in cols])}, {col})"
+        left, right = f"get({e}, {i})", f"get({e}, {i} + 1)"
+        stepped = f"least({left} + floor({u} * greatest({right} - {left}, 1.0D)), {top})"
+        inside = f"if({whole}, {stepped}, {left} + {u} * ({right} - {left}))"
+        real = f"{i} < get({array_sql([self._n_bins(c) for c in cols])}, {col})"
+        return f"if({real}, if({left} is null, cast({i} as double), {inside}), null)"
+
+    def _new_value(self, quantiles: list[list[float]]) -> list[str]:
+        """x1 of column c1: from its bins (mutate, fill), its quantiles, or the partner's row."""
+        cols, q = self.domain.columns, f"get({array_sql(quantiles)}, c1)"
         whole = f"get({array_sql([c.role != CONTINUOUS for c in cols])}, c1)"
         top = f"get({array_sql([float(c.size - 1) for c in cols])}, c1)"
-        left, right = f"get({e}, i)", f"get({e}, i + 1)"
-        stepped = f"least({left} + floor(ub * greatest({right} - {left}, 1.0D)), {top})"
-        inside = f"if({whole}, {stepped}, {left} + ub * ({right} - {left}))"
-        real = f"i < get({array_sql([self._n_bins(c) for c in cols])}, c1)"
-        mutated = f"if({real}, if({left} is null, cast(i as double), {inside}), null)"
         low, high = f"get({q}, j)", f"get({q}, j + 1)"
         between = f"{low} + ub * ({high} - {low})"
         between = f"if({whole}, least(cast(floor({between}) as double), {top}), {between})"
-        first, second = self.code[MUTATE], self.code[QUANTILE]
-        return [f"case op when {first} then {mutated} when {second} then {between} else get(pv, c1) end as x1"]
+        inside = self._inside("c1", "i", "ub")
+        first = f"op in ({self.code[MUTATE]}, {self.code[FILL]})"
+        return [f"case when {first} then {inside} when op = {self.code[QUANTILE]} then {between} else get(pv, c1) end as x1"]
 
-    def _with_bin(self, df: DataFrame, borrowed: str) -> DataFrame:
-        """y1: finest bin of x1, by binary search in the edges of column c1.
+    def _searched(self, col: str, x: str) -> str:
+        """Finest bin of x by binary search in the edges of column ``col``.
 
         The lambda also keeps the code generated for a round in pieces small enough for the JVM to
         compile; as one piece a round runs several times slower.
         """
         depth, cols = self.marginals.depth, self.domain.columns
         searched = [list(c.bin_edges(depth)) if c.numeric and not self._direct(c) else [] for c in cols]
-        n = [c.finest(depth) for c in cols]
-        edges, last = f"get({array_sql(searched)}, c1)", f"get({array_sql([k - 1 for k in n])}, c1)"
+        edges, last = f"get({array_sql(searched)}, {col})", f"get({array_sql([c.finest(depth) - 1 for c in cols])}, {col})"
         top = 1 << max(0, max((len(e) for e in searched), default=1) - 1).bit_length()
         steps = array_sql([top >> i for i in range(top.bit_length())])
-        up = f"at + s <= {last} and x1 >= get({edges}, at + s)"
-        df = df.selectExpr("*", f"aggregate({steps}, 0, (at, s) -> if({up}, at + s, at)) as at")
-        direct = f"get({array_sql([self._direct(c) for c in cols])}, c1)"
-        own = f"case when x1 is null then get({array_sql(n)}, c1) when {direct} then cast(x1 as int) else at end"
-        return df.selectExpr("*", f"if({borrowed}, get(pb, c1), if(c1 is null, null, {own})) as y1")
+        return f"aggregate({steps}, 0, (at, s) -> if(at + s <= {last} and {x} >= get({edges}, at + s), at + s, at))"
+
+    def _own_bin(self, col: str, x: str, at: str) -> str:
+        """Bin of a new value: the null bin, the value itself, or the one searched."""
+        cols = self.domain.columns
+        n = array_sql([c.finest(self.marginals.depth) for c in cols])
+        direct = f"get({array_sql([self._direct(c) for c in cols])}, {col})"
+        return f"case when {x} is null then get({n}, {col}) when {direct} then cast({x} as int) else {at} end"
 
     @staticmethod
     def _direct(c) -> bool:
@@ -319,7 +404,7 @@ class Edits:
     def _finest_key(self, bins: str) -> str:
         """Packed (set, finest cell) of a row's bins."""
         parts = [f"get({bins}, pos{i}) * at0{i}" for i in range(self.marginals.k)]
-        return f"shiftleft(cast(set_id as bigint), {SET_SHIFT}) + {' + '.join(parts)}"
+        return f"shiftleft(cast(set_id as bigint), {self.marginals.shift}) + {' + '.join(parts)}"
 
     def touched(self, edits: DataFrame, carry: list[str], keep_all: bool) -> DataFrame:
         """(carry, old, new, moved): the finest cell a row leaves and enters in each touched set.
@@ -438,7 +523,7 @@ class Edits:
         names = tuple(f"d{j}" for j in range(self.max_level + 1))
         sums = [F.expr(f"sum(if(level >= {j}, d, 0L)) as d{j}") for j in range(self.max_level + 1)]
         finest = moves.selectExpr("level", both).groupBy("key").agg(*sums)
-        key = f"shiftleft(cast(workload_id as bigint), {SET_SHIFT}) + cell as key"
+        key = f"shiftleft(cast(workload_id as bigint), {self.marginals.shift}) + cell as key"
         return self.marginals.roll_up(finest, sums=names).selectExpr(key, *names)
 
     def set_changes(self, merged: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def fit_labels(
 def encode_labels(df: DataFrame, labels: DataFrame, names: list[str], domain: Domain) -> DataFrame:
     """Values outside the label list become NULL."""
     for n in names:
-        one = labels.where(F.col("col") == n).select(
+        # labels beyond the declared size are left out, so the size does bound what is broadcast
+        one = labels.where((F.col("col") == n) & (F.col("label") < domain[n].size)).select(
             F.col("value").alias("_value"), F.col("label").alias("_label")
         )
         df = lookup(
@@ -57,7 +58,7 @@ def encode_labels(df: DataFrame, labels: DataFrame, names: list[str], domain: Do
 
 def decode_labels(df: DataFrame, labels: DataFrame, names: list[str], domain: Domain) -> DataFrame:
     for n in names:
-        one = labels.where(F.col("col") == n).select(
+        one = labels.where((F.col("col") == n) & (F.col("label") < domain[n].size)).select(
             F.col("label").alias("_label"), F.col("value").alias("_value")
         )
         df = lookup(

@@ -21,7 +21,8 @@ from veiltab.functions.literals import array_lit, small_table
 from veiltab.operators.domain import CATEGORICAL, Column, Domain
 from veiltab.session import small_side
 
-SET_SHIFT = 44  # a finest cell is packed as set_id * 2^44 + cell number
+KEY_BITS = 62  # of a packed (set or workload, cell)
+UNKNOWN_SIZE = 64  # fixed value: edges counted for a column whose edges are not known yet
 WIDE_SETS = 64  # up to here one array expression per set, beyond it a table of positions
 GRID_CHUNK = 8192
 
@@ -30,14 +31,14 @@ GRID_CHUNK = 8192
 
 
 def set_size(domain: Domain, cols) -> int:
-    """Product of sizes; a size-1 column counts its edges, 64 if unknown."""
+    """Product of sizes; a size-1 column counts its edges, a fixed number if unknown."""
     total = 1
     for n in cols:
         c = domain[n]
         if c.size > 1:
             total *= c.size
         else:
-            total *= len(c.edges) if c.edges is not None else 64
+            total *= len(c.edges) if c.edges is not None else UNKNOWN_SIZE
     return total
 
 
@@ -180,6 +181,15 @@ class Marginals(StatModule):
                 out.append(Workload(len(out), set_id, s, level, tuple(dims)))
         return out
 
+    @cached_property
+    def shift(self) -> int:
+        """A cell is packed as id * 2^shift + cell number, id that of its set or workload."""
+        cells = max((math.prod(d.width0 for d in w.dims) for w in self.workloads), default=1)
+        bits = max(1, (cells - 1).bit_length())
+        if bits + len(self.workloads).bit_length() > KEY_BITS:
+            raise ValueError(f"a column set has {cells} cells; limit it with max_size")
+        return bits
+
     @property
     def n_workloads(self) -> int:
         return len(self.workloads)
@@ -232,12 +242,12 @@ class Marginals(StatModule):
                     lambda a, b: a + b,
                     [F.col(f"b_{n}").cast("long") * r for n, r in zip(self.sets[s], radix[s])],
                 )
-                keys.append(F.lit(s << SET_SHIFT).cast("long") + cell)
+                keys.append(F.lit(s << self.shift).cast("long") + cell)
             return binned.select(F.explode(F.array(*keys)).alias("key"))
         # Many sets: the positions are data, so the generated code does not grow with them.
         table = [
             F.struct(
-                F.lit(s << SET_SHIFT).cast("long").alias("base"),
+                F.lit(s << self.shift).cast("long").alias("base"),
                 F.array(*[F.lit(self.domain.position(n)) for n in self.sets[s]]).alias("pos"),
                 F.array(*[F.lit(r).cast("long") for r in radix[s]]).alias("radix"),
             )
@@ -264,8 +274,7 @@ class Marginals(StatModule):
         """Cell of a workload row (see ``frame``) from the finest cell number in ``finest``."""
         cell = F.lit(0).cast("long")
         for i in range(self.k):
-            at0 = F.greatest(F.col(f"at0{i}"), F.lit(1))
-            b0 = F.floor(F.col("finest") / at0) % F.col(f"width0{i}")
+            b0 = F.expr(f"(finest div greatest(at0{i}, 1L)) % width0{i}")
             cell = cell + self.level_bin(i, b0) * F.col(f"at{i}")
         return cell.cast("long")
 
@@ -274,8 +283,8 @@ class Marginals(StatModule):
     ) -> DataFrame:
         """Sums of every level from sums of the finest cells."""
         split = finest.select(
-            F.shiftright("key", SET_SHIFT).cast("int").alias("set_id"),
-            F.col("key").bitwiseAND(F.lit((1 << SET_SHIFT) - 1)).alias("finest"),
+            F.shiftright("key", self.shift).cast("int").alias("set_id"),
+            F.col("key").bitwiseAND(F.lit((1 << self.shift) - 1)).alias("finest"),
             *sums,
         )
         w = small_side(self.frame(finest.sparkSession, selected), self.n_workloads, 64 + 56 * self.k)
@@ -299,9 +308,9 @@ class Marginals(StatModule):
         grid = chunks.select("set_id", F.explode(cells).alias("finest"))
         w = small_side(self.frame(spark), self.n_workloads, 64 + 56 * self.k)
         return grid.join(w, "set_id").select(
-            (F.shiftleft(F.col("set_id").cast("long"), SET_SHIFT) + F.col("finest")).alias("fkey"),
+            (F.shiftleft(F.col("set_id").cast("long"), self.shift) + F.col("finest")).alias("fkey"),
             "level",
-            (F.shiftleft(F.col("workload_id").cast("long"), SET_SHIFT) + self._level_cell()).alias("key"),
+            (F.shiftleft(F.col("workload_id").cast("long"), self.shift) + self._level_cell()).alias("key"),
         )
 
     @property
@@ -336,8 +345,7 @@ class Marginals(StatModule):
         joined = stats.join(small_side(w, self.n_workloads, 64 + 56 * self.k), "workload_id")
         bins = []
         for i in range(self.k):
-            at = F.greatest(F.col(f"at{i}"), F.lit(1))
-            b = F.floor(F.col("cell") / at) % self._width(i)
+            b = F.expr(f"cell div greatest(at{i}, 1L)") % self._width(i)
             bins.append(F.when(F.size("cols") > i, b).cast("long").alias(f"b{i + 1}"))
         return joined.select(*stats.columns, "set_id", "level", "cols", *bins)
 

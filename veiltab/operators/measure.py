@@ -92,9 +92,13 @@ def select_and_measure(
     return add_noise(part, budget, k, seed, run, round_no)
 
 
-def exponential_choice(scores: DataFrame, epsilon: float, sensitivity: float, seed, key: list[str]) -> DataFrame:
+def exponential_choice(
+    scores: DataFrame, epsilon: float, sensitivity: float, seed, key: list[str], run: str = "run", round_no: int = 0
+) -> DataFrame:
     """One row, drawn with probability proportional to exp(epsilon * score / sensitivity).
 
+    Two choices are independent if they differ in seed, run or round.
+
     The candidates are workloads, whose number is metadata-sized, so one ordered sum is enough.
     """
     everything = W.partitionBy(F.lit(1))
@@ -103,7 +107,7 @@ def exponential_choice(scores: DataFrame, epsilon: float, sensitivity: float, se
     order = W.partitionBy(F.lit(1)).orderBy(*key)
     w = w.withColumn("_cum", F.sum("_w").over(order.rowsBetween(W.unboundedPreceding, 0)))
     w = w.withColumn("_cum", F.col("_cum") / F.max("_cum").over(everything))
-    return w.where(F.col("_cum") >= uniform(seed, "choice")).orderBy("_cum").limit(1).drop("_w", "_cum")
+    return w.where(F.col("_cum") >= uniform(seed, "choice", run, round_no)).orderBy("_cum").limit(1).drop("_w", "_cum")
 
 
 def trim(measurement: DataFrame, keep: int, max_cells: int) -> DataFrame:

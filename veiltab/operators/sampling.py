@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
@@ -29,15 +29,26 @@ def _u(seed, tag: str, key: list[str]) -> C:
 
 
 def sample_fraction(df: DataFrame, p: float, seed, key: list[str], replace: bool = False) -> DataFrame:
-    """Without replacement: a filter, no shuffle. With replacement: Spark's Poisson sample."""
-    if replace:
-        return df.sample(True, p, uniform_seed(seed))
-    return df.where(_u(seed, "sample", key) < F.lit(p))
+    """Without replacement: a filter, no shuffle. With replacement each row comes as often as a Poisson
+    count with mean p says, which is read off the row's hash; so partitions don't matter."""
+    u = _u(seed, "sample", key)
+    if not replace:
+        return df.where(u < F.lit(p))
+    limits = poisson_limits(p)
+    times = sum((F.when(F.col("_u") >= F.lit(x), 1).otherwise(0) for x in limits), F.lit(0))
+    counted = df.withColumn("_u", u).withColumn("_times", times).where("_times > 0")
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_u", "_times", "_copy")
 
 
-def uniform_seed(seed) -> int:
-    """An integer seed for Spark's own samplers."""
-    return zlib.crc32(str(seed).encode())
+def poisson_limits(p: float, tail: float = 2.0**-52) -> list[float]:
+    """P(count <= k) for k = 0, 1, ... until the rest is below what a hash can tell apart."""
+    out, term, total, k = [], math.exp(-p), math.exp(-p), 0
+    while 1.0 - total > tail and k < 1000:
+        out.append(total)
+        k += 1
+        term *= p / k
+        total += term
+    return out
 
 
 def shuffled(df: DataFrame, seed, tag: str, key: list[str], rows: int, out: str = "pos", group=()) -> DataFrame:
@@ -49,7 +60,8 @@ def shuffled(df: DataFrame, seed, tag: str, key: list[str], rows: int, out: str
 
 
 def sample_n(df: DataFrame, n: int, seed, key: list[str], replace: bool | None = None) -> DataFrame:
-    """Exactly n rows; repeats are allowed when n exceeds the table or on request.
+    """Exactly n rows; repeats are allowed when n exceeds the table or on request. Without repeats and
+    with n beyond the table these are all its rows.
 
     Without repeats these are the n smallest hashes. Bucket sizes tell in which hash bucket the n-th
     one lies: rows below it are kept by a filter alone, and only that bucket is sorted.
@@ -57,6 +69,8 @@ def sample_n(df: DataFrame, n: int, seed, key: list[str], replace: bool | None =
     rows = df.count()
     if replace is None:
         replace = n > rows
+    if not replace and n >= rows:
+        return df
     if not replace:
         hashed = df.withColumn("_u", _u(seed, "sample_n", key))
         bucket = hash_bucket(F.col("_u"), bucket_count(rows))

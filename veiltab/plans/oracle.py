@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from veiltab.operators.domain import CATEGORICAL, ORDINAL, Domain
 from veiltab.operators.marginals import Marginals
@@ -44,6 +45,11 @@ def bin_case(x: str, edges) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL {whens} ELSE 0 END"
 
 
+def materialized(text: str, *names: str) -> str:
+    """The same text with the named CTEs computed once."""
+    return re.sub(rf"\b({'|'.join(names)}) AS \(", r"\1 AS MATERIALIZED (", text)
+
+
 def labels_sql(source: str, col: str) -> str:
     return (
         f"SELECT value, row_number() OVER (ORDER BY value) - 1 AS label FROM "

@@ -119,10 +119,13 @@ _G5_PICK = (
 
 @query(
     "g5_select_and_measure",
-    f"WITH {DENSE}, {OTHER}, {ERRORS}, {_G5_PICK}, "
-    "part AS (SELECT d.* FROM dense d SEMI JOIN picks USING (workload_id)), "
-    f"{sql.noisy_cte(G5_RHO / 2 / G5_K, N, SEED, RUN, 1, 'part')} "
-    "SELECT workload_id, cell, round(noised, 6) AS noised, 1 AS round FROM meas",
+    sql.materialized(
+        f"WITH {DENSE}, {OTHER}, {ERRORS}, {_G5_PICK}, "
+        "part AS (SELECT d.* FROM dense d SEMI JOIN picks USING (workload_id)), "
+        f"{sql.noisy_cte(G5_RHO / 2 / G5_K, N, SEED, RUN, 1, 'part')} "
+        "SELECT workload_id, cell, round(noised, 6) AS noised, 1 AS round FROM meas",
+        "enc", "binned", "oenc", "cnts_dense", "ocnt", "dense", "other", "errors", "picks", "part",
+    ),
 )
 def g5(spark, sf):
     """Half of the budget picks four workloads that were not picked before, half measures them."""
@@ -136,12 +139,12 @@ def g5(spark, sf):
     "g6_exponential_choice",
     f"WITH {DENSE}, {OTHER}, {ERRORS}, w AS (SELECT *, exp({sql.d(2000.0)} * (max_error - max(max_error) OVER ())) AS w FROM errors), "
     "c AS (SELECT *, sum(w) OVER (ORDER BY module, workload_id ROWS UNBOUNDED PRECEDING) / sum(w) OVER () AS c FROM w) "
-    f"SELECT workload_id, round(max_error, 9) AS score FROM c WHERE c >= {sql.u(SEED, 'choice')} ORDER BY c LIMIT 1",
+    f"SELECT workload_id, round(max_error, 9) AS score FROM c WHERE c >= {sql.u(SEED, 'choice', repr(RUN), '1')} ORDER BY c LIMIT 1",
 )
 def g6(spark, sf):
     _, _, real, other = both(spark, sf)
     errors = ms.workload_errors(real, other).withColumnRenamed("max_error", "score")
-    one = ms.exponential_choice(errors, 2.0, 0.001, SEED, ms.WORKLOAD)
+    one = ms.exponential_choice(errors, 2.0, 0.001, SEED, ms.WORKLOAD, RUN, 1)
     return one.select("workload_id", F.round("score", 9).alias("score"))
 
 

@@ -694,3 +694,32 @@ def f15(spark, sf):
     e = encoded_line(spark, sf)
     return Chain([UpperHalf(LINE)]).stats(e, e.count()).select("workload_id", "cnt")
 
+
+
+# ---- F4 on awkward keys ----
+
+NARROW = Domain((Column("l_returnflag", CATEGORICAL, 2), Column("l_linestatus", CATEGORICAL, 2)))
+HUGE_SIZE = 40_000
+HUGE = Domain(tuple(Column(n, ORDINAL, HUGE_SIZE, 0.0, HUGE_SIZE - 1.0) for n in ("l_orderkey", "l_partkey", "l_suppkey")))
+
+
+@query(
+    "f4_out_of_range",
+    f"WITH {ENC} SELECT 0 AS workload_id, CAST(l_returnflag * 2 + l_linestatus AS BIGINT) AS cell, count(*) AS cnt "
+    "FROM enc WHERE l_returnflag BETWEEN 0 AND 1 AND l_linestatus BETWEEN 0 AND 1 GROUP BY ALL",
+)
+def f4_out_of_range(spark, sf):
+    """A label beyond the declared size is in no cell."""
+    m = mg.Marginals(NARROW, [("l_returnflag", "l_linestatus")], 1)
+    return m.counts(encoded_line(spark, sf)).select("workload_id", "cell", "cnt")
+
+
+@query(
+    "f4_wide_keys",
+    f"SELECT 0 AS workload_id, (least({HUGE_SIZE - 1}, l_orderkey) * {HUGE_SIZE} + least({HUGE_SIZE - 1}, l_partkey)) * "
+    f"CAST({HUGE_SIZE} AS BIGINT) + least({HUGE_SIZE - 1}, l_suppkey) AS cell, count(*) AS cnt FROM lineitem GROUP BY ALL",
+)
+def f4_wide_keys(spark, sf):
+    """A set with more than 2^44 cells."""
+    m = mg.Marginals(HUGE, [tuple(HUGE.names)], 1)
+    return m.counts(table(spark, sf, "lineitem").select(*HUGE.names)).select("workload_id", "cell", "cnt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform_sql
-from veiltab.functions.literals import array_lit
+from veiltab.functions.literals import array_lit, small_table
 from veiltab.functions.ranking import bucket_count, with_position
 from veiltab.operators import encode as enc
 from veiltab.operators import evaluate as ev
@@ -14,13 +14,13 @@ from veiltab.operators import measure as ms
 from veiltab.operators import sampling as smp
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, linspace
 from veiltab.operators.edits import (
-    COPY1, COPY2, MUTATE, QUANTILE, QUANTILE_POINTS, SWAP, Edits, to_state,
+    COPY1, COPY2, FILL, MUTATE, QUANTILE, QUANTILE_POINTS, SWAP, Edits, to_state, update_weights,
 )
 from veiltab.operators.histograms import quantile_grid
 from veiltab.operators.modules import Chain
 from veiltab.operators.random_table import random_table
 from veiltab.plans import oracle as sql
-from veiltab.plans.generator import Generator
+from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.queries_private import (
     CHAIN, DENSE, EACH, FINE, N, OTHER, PAIRS, RHO, RUN, both,
 )
@@ -88,7 +88,7 @@ def _edits(n: int, ops: list[str]) -> Edits:
 def _proposals(spark, sf, ops: list[str], quantiles=None):
     t, n = current_table(spark, sf)
     e = _edits(n, ops)
-    q = quantiles or e.read_quantiles({})
+    q = quantiles or e.grid({})
     pairs = e.pairs(to_state(t, FINE, DEPTH), 1)
     p = e.propose(pairs, 1, [1.0 / len(ops)] * len(ops), q)
     return e, p.withColumn("op", F.get(array_lit(ops), "op"))
@@ -140,6 +140,47 @@ def h2(spark, sf):
     return p.select("row_id", "c1", F.round("x1", 9).alias("x1"), "y1")
 
 
+# Cells that guided edits are offered: two columns and their bins, the second one possibly missing.
+LACKING = [
+    (FINE.position("l_returnflag"), 1, FINE.position("l_extendedprice"), 40, 0.5),
+    (FINE.position("l_quantity"), 10, FINE.position("l_discount"), 7, 0.3),
+    (FINE.position("l_linestatus"), 0, -1, -1, 0.2),
+]
+_SLOT = f"1 + CASE WHEN uf >= {sql.d(0.5)} THEN 1 ELSE 0 END + CASE WHEN uf >= {sql.d(0.8)} THEN 1 ELSE 0 END"
+
+
+def _in_bin(col: str, i: str, u: str) -> str:
+    out = []
+    for c in FINE.columns:
+        if c.edges is None:
+            out.append(f"CAST({i} AS DOUBLE)")
+        else:
+            e = "[" + ", ".join(sql.d(x) for x in c.edges) + "]"
+            out.append(f"{e}[{i} + 1] + {u} * ({e}[{i} + 2] - {e}[{i} + 1])")
+    return _case(out, col)
+
+
+def _lists(k: int) -> str:
+    return f"[{', '.join(str(x[k]) for x in LACKING)}][slot]"
+
+
+@query(
+    "h2_guided_mutate",
+    f"WITH {CURRENT}, a AS (SELECT row_id, {sql.u(STREAM, 'fill.cell', 'row_id', '0')} AS uf, {UB} AS ub, "
+    f"{sql.u(STREAM, 'fill.in', 'row_id', '0')} AS ub2 FROM binned), s AS (SELECT *, {_SLOT} AS slot FROM a), "
+    f"p AS (SELECT *, {_lists(0)} AS c1, {_lists(1)} AS i1, nullif({_lists(2)}, -1) AS c2, {_lists(3)} AS i2 FROM s), "
+    f"x AS (SELECT *, {_in_bin('c1', 'i1', 'ub')} AS x1, {_in_bin('c2', 'i2', 'ub2')} AS x2 FROM p) "
+    f"SELECT row_id, CAST(c1 AS INTEGER) AS c1, round(x1, 9) AS x1, CAST({_bin_of_new('x1')} AS INTEGER) AS y1, "
+    f"CAST(c2 AS INTEGER) AS c2, round(x2, 9) AS x2, CAST({_bin_of_new('x2').replace('c1 =', 'c2 =')} AS INTEGER) AS y2 FROM x",
+)
+def h2_guided(spark, sf):
+    """Rows are put into cells that lack rows, drawn in proportion to what each lacks."""
+    t, n = current_table(spark, sf)
+    e = _edits(n, [FILL])
+    p = e.propose(e.pairs(to_state(t, FINE, DEPTH), 1), 1, [1.0], e.grid({}), LACKING)
+    return p.select("row_id", "c1", F.round("x1", 9).alias("x1"), "y1", "c2", F.round("x2", 9).alias("x2"), "y2")
+
+
 NUMERIC_IDS = [FINE.position(n) for n in FINE.of_role(CONTINUOUS) + FINE.of_role(ORDINAL)]
 _Q_LISTS = ", ".join(
     f"list_concat([{sql.d(0)}], quantile_cont(CAST({c.name} AS DOUBLE), "
@@ -275,7 +316,7 @@ def _scored(spark, sf):
     res = g.residuals(targets, t)
     e = _edits(n, MIX)
     pairs = e.pairs(to_state(t, FINE, DEPTH), 1)
-    p = e.propose(pairs, 1, [1.0 / 3] * 3, e.read_quantiles({}))
+    p = e.propose(pairs, 1, [1.0 / 3] * 3, e.grid({}))
     scored = e.choose(e.score(p, e.potentials(PAIRS.cell_map(spark), res)))
     return e, res, e.with_rows(scored, pairs)
 
@@ -335,54 +376,91 @@ def h8(spark, sf):
     return ms.fitness(targets, other).withColumn("fitness", F.round("fitness", 9))
 
 
-# Generation runs: as many synthetic rows as lineitem has, a few rounds each.
-SMALL = LINE.project(["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"])
-SMALL_PAIRS = mg.Marginals(SMALL, mg.column_sets(SMALL, 2), DEPTH)
-SMALL_CHAIN = Chain([SMALL_PAIRS])
+@query(
+    "h9_weight_update",
+    "WITH a AS (SELECT event_type AS op, avg(CASE WHEN value > 250 THEN 1.0 ELSE 0.0 END) FILTER (WHERE event_id % 2 = 0) AS r1, "
+    "avg(CASE WHEN value > 250 THEN 1.0 ELSE 0.0 END) FILTER (WHERE event_id % 2 = 1) AS r2 FROM events GROUP BY 1), "
+    "n AS (SELECT count(*) AS n FROM a), b AS (SELECT *, exp(0.1 * r1 * n) / n AS raw FROM a, n), "
+    "c AS (SELECT *, raw / sum(raw) OVER () AS w1 FROM b), d AS (SELECT *, w1 * exp(0.1 * r2 / (0.95 * w1 + 0.05 / n)) AS raw2 FROM c) "
+    "SELECT op, round(w1, 9) AS first, round(raw2 / sum(raw2) OVER (), 9) AS second FROM d",
+)
+def h9_update(spark, sf):
+    """Two updates of the operator weights, with kept shares taken from events."""
+    high = F.when(F.col("value") > 250, 1.0).otherwise(0.0)
+    even = F.col("event_id") % 2 == 0
+    rows = table(spark, sf, "events").groupBy("event_type").agg(F.avg(F.when(even, high)).alias("r1"), F.avg(F.when(~even, high)).alias("r2"))
+    rows = sorted(rows.collect())  # one row per event type
+    first = update_weights([1.0 / len(rows)] * len(rows), [r["r1"] for r in rows])
+    second = update_weights(first, [r["r2"] for r in rows])
+    out = [(r["event_type"], round(a, 9), round(b, 9)) for r, a, b in zip(rows, first, second)]
+    return small_table(spark, out, "op string, first double, second double")
+
+
+@query(
+    "h10_stop_rule",
+    "WITH h AS (SELECT extract(hour FROM ts) AS k, sum(CAST(round(value * 100) AS BIGINT)) AS v FROM events GROUP BY 1), "
+    "f AS (SELECT k, row_number() OVER (ORDER BY k) AS n, CAST(sum(v) OVER (ORDER BY k DESC) AS DOUBLE) AS f FROM h), "
+    "l AS (SELECT *, lag(f, 3) OVER (ORDER BY k) AS was FROM f) SELECT CAST(k AS INTEGER) AS k, f AS left_over, "
+    "n > 5 AND coalesce(was = 0 OR abs(was - f) / was < 0.25, false) AS stops FROM l",
+)
+def h10_rule(spark, sf):
+    """The stop rule on a history: what is left of the events' value from each hour on."""
+    cents = F.sum(F.round(F.col("value") * 100).cast("long"))
+    rows = sorted(table(spark, sf, "events").groupBy(F.hour("ts").alias("k")).agg(cents.alias("v")).collect())  # 24 rows
+    left = [float(sum(r["v"] for r in rows[i:])) for i in range(len(rows))]
+    out = [(r["k"], left[i], should_stop(left[: i + 1], 0.25, 3, 5)) for i, r in enumerate(rows)]
+    return small_table(spark, out, "k int, left_over double, stops boolean")
+
+
+# Generation runs: as many synthetic rows as lineitem has, until the distance falls by less than a
+# twentieth in five rounds.
+LINE_PAIRS = mg.Marginals(LINE, mg.column_sets(LINE, 2), DEPTH)
+LINE_CHAIN = Chain([LINE_PAIRS])
+STOP = 0.05
 
 
-def _fit(spark, sf, rounds: int, start=None, **kw):
-    e = encoded_line(spark, sf, SMALL)
+def _fit(spark, sf, start=None, **kw):
+    e = encoded_line(spark, sf, LINE)
     n = e.count()
-    g = Generator(SMALL_PAIRS, n, SEED, rounds=rounds, run="fit", **kw)
-    return fit_zcdp(g, SMALL_CHAIN, e, n, 50.0, "fit", start)[0], e, n
+    g = Generator(LINE_PAIRS, n, SEED, run="fit", **{"stop_threshold": STOP, **kw})
+    return fit_zcdp(g, LINE_CHAIN, e, n, 50.0, "fit", start)[0], e, n
 
 
 @query("h9_operator_weights")
 def h9(spark, sf):
     """Weight of every edit operator per round, updated by what was kept."""
-    fitted, _, _ = _fit(spark, sf, 4)
+    fitted, _, _ = _fit(spark, sf)
     return fitted.log_frame(spark).select("round", "op", "proposed", "kept", "weight")
 
 
 @query("h10_early_stop")
 def h10(spark, sf):
     """Fitness per round; the run ends when it falls by less than half over two rounds."""
-    fitted, _, _ = _fit(spark, sf, 12, stop_threshold=0.5, stop_window=2, min_rounds=2)
-    return fitted.log_frame(spark).select("round", "fitness").distinct()
+    fitted, _, _ = _fit(spark, sf, stop_threshold=0.5, stop_window=2, min_rounds=2)
+    return fitted.log_frame(spark).groupBy("round", "fitness").agg(F.bool_or("converged").alias("converged"))
 
 
 @query("h11_warm_start")
 def h11(spark, sf):
     """Start from the table of a shorter run and go on."""
-    first, _, _ = _fit(spark, sf, 2)
-    more, _, _ = _fit(spark, sf, 2, start=first.table)
+    first, _, _ = _fit(spark, sf, stop_threshold=0.5, stop_window=2, min_rounds=2)
+    more, _, _ = _fit(spark, sf, start=first.table)
     return more.log_frame(spark).select("round", "fitness").distinct()
 
 
 @query("h12_private_fit")
 def h12(spark, sf):
     """Measure once, search: the encoded synthetic table."""
-    return _fit(spark, sf, 5)[0].table
+    return _fit(spark, sf)[0].table
 
 
 @query("h13_adaptive_fit")
 def h13(spark, sf):
     """Two rounds of picking the two worst workloads, measuring them and refitting."""
-    e = encoded_line(spark, sf, SMALL)
+    e = encoded_line(spark, sf, LINE)
     n = e.count()
-    g = Generator(SMALL_PAIRS, n, SEED, rounds=3, run="adaptive")
-    fitted, measured = fit_dp_adaptive(g, SMALL_CHAIN, e, n, 2, 100.0, 1e-6, k=2, warm=True)
+    g = Generator(LINE_PAIRS, n, SEED, run="adaptive", stop_threshold=STOP)
+    fitted, measured = fit_dp_adaptive(g, LINE_CHAIN, e, n, 2, 100.0, 1e-6, k=2, warm=True)
     return measured.select("round", "workload_id", "cell", "noised")
 
 
@@ -395,15 +473,14 @@ META = {
 }
 
 
-def synthesize(spark, sf, rounds: int = 5, **kw) -> TableSynthesizer:
-    data = table(spark, sf, "lineitem").select(*META)
-    return TableSynthesizer(1e4, 1e-5, seed=SEED).fit(data, META, rounds=rounds, **kw)
+def synthesize(data, **kw) -> TableSynthesizer:
+    return TableSynthesizer(1e4, 1e-5, seed=SEED).fit(data.select(*META), META, early_stop_threshold=STOP, **kw)
 
 
 @query("h14_synthesize")
 def h14(spark, sf):
     """Private edges, private marginals, search, decode: a synthetic lineitem of the same size."""
-    return synthesize(spark, sf).sample()
+    return synthesize(table(spark, sf, "lineitem")).sample()
 
 
 # ---- I: evaluation ----
@@ -475,11 +552,10 @@ def i3(spark, sf):
 @query("i4_train_on_synthetic")
 def i4(spark, sf):
     """A classifier of the return flag, trained on real and on synthetic rows, tested on real rows."""
-    s = synthesize(spark, sf, rounds=3)
-    label = "l_returnflag"
-    key = F.xxhash64(*[F.col(n) for n in s.domain.names])
-    marked = s.encoded.withColumn("fold", F.pmod(key, F.lit(5)))
-    train, test = marked.where("fold > 0"), marked.where("fold = 0")
-    tables = {"real": train, "synthetic": s.synthetic}
-    return ev.classifier_accuracy(tables, test, label, s.domain)
+    fold = F.pmod(F.xxhash64(*META), F.lit(5))
+    marked = table(spark, sf, "lineitem").select(*META, fold.alias("fold"))
+    s = synthesize(marked.where("fold > 0"))  # neither side sees the test rows
+    test = enc.encode(marked.where("fold = 0"), s.domain, s.labels)
+    tables = {"real": s.encoded, "synthetic": s.synthetic}
+    return ev.classifier_accuracy(tables, test, "l_returnflag", s.domain)
 

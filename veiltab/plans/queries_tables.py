@@ -194,7 +194,14 @@ def c3(spark, sf):
     return smp.sample_fraction(t, 0.2, SEED, ["event_id"])
 
 
-@query("c3_sample_with_replacement")
+_TIMES = " + ".join(f"CASE WHEN u >= {sql.d(x)} THEN 1 ELSE 0 END" for x in smp.poisson_limits(0.5))
+
+
+@query(
+    "c3_sample_with_replacement",
+    f"WITH t AS (SELECT event_id, value, {sql.u(SEED, 'sample', 'event_id')} AS u FROM events) "
+    f"SELECT event_id, value FROM (SELECT event_id, value, unnest(range({_TIMES})) AS i FROM t)",
+)
 def c3_replace(spark, sf):
     t = table(spark, sf, "events").select("event_id", "value")
     return smp.sample_fraction(t, 0.5, SEED, ["event_id"], replace=True)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NULL_SALTS = 1 << 20
 BROADCAST_BYTES = 64 << 20  # a side above this is joined by shuffle instead
 
 
@@ -62,6 +64,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Delete the run's tables; frames over them can't be read any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """Hint a broadcast when ``rows`` (a known bound) fits; leave the choice to AQE otherwise."""
@@ -74,10 +81,12 @@ def lookup(
     """Join a keyed table whose size bound is ``rows``.
 
     Small tables are broadcast. Larger ones are repeated ``salts`` times and joined on key + salt,
-    so that a key holding a third of ``df`` spreads over ``salts`` tasks.
+    so that a key holding a third of ``df`` spreads over ``salts`` tasks. NULL keys find nothing; they
+    get salts of their own, so that any number of them spreads over all tasks.
     """
     if rows * 64 <= BROADCAST_BYTES:
         return df.join(F.broadcast(table), on, how)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    empty = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    spread = F.pmod(F.xxhash64(*df.columns), F.when(empty, NULL_SALTS).otherwise(salts)).cast("int")
     return df.withColumn("_salt", spread).join(salted, [*on, "_salt"], how).drop("_salt")

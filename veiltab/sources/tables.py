@@ -18,7 +18,10 @@ def read_domain(path_or_config) -> Domain:
             config = json.load(f)
     cols = []
     for name, c in config.items():
-        role, size = ROLE_NAMES[c["type"]], int(c.get("size", 1))
+        role = ROLE_NAMES[c["type"]]
+        if role != CONTINUOUS and "size" not in c:
+            raise ValueError(f"column {name} needs a size")
+        size = int(c.get("size", 1))
         if role == CONTINUOUS:
             size = 1
         hi = float(size - 1) if role == ORDINAL else 1.0
