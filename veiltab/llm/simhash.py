@@ -401,7 +401,9 @@ def near_duplicates(
     copies = Copies(blocks_for(count, distance), distance) if similarity is None else DrawnCopies(similarity, count)
     roots = components(links(codes, copies, count, ws), ws)
     named = codes.join(roots, F.col("id") == F.col("node"), "left").select("code", "first", F.coalesce("root", "id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # both sides are written, so that the join reads plain shuffles and a large component can be split
+    named = ws.write(named, "named")
+    least = ws.write(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     placed = ws.write(named.join(least, "root").select("code", "component_id"), "placed")
     return rows.join(placed, "code", "left").select(F.col("key").alias(key), F.lower(F.hex("code")).alias("fingerprint"), "component_id")
 
