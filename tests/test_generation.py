@@ -36,7 +36,7 @@ def test_rounds_never_get_worse_and_reach_a_small_distance(spark):
     m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
     chain = Chain([m])
     targets = ms.measure_all(chain, df, 2000, 1e6, "s", "r")
-    g = Generator(m, 2000, "s", rounds=40, stop_threshold=0.05)
+    g = Generator(m, 2000, "s", rounds=40, stop_threshold=0.05, stop_window=3, min_rounds=5)
     fitted = g.fit(targets)
     history = [f for r, f in sorted({(r[0], r[1]) for r in fitted.log})]
     assert all(b <= a for a, b in zip(history, history[1:]))
