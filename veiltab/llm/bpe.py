@@ -33,7 +33,7 @@ PRE_TOKEN = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 LONG_PIECE = 64  # bytes; from here on a heap finds the next merge
-PRE_TOKENS = 400_000  # pre-tokens kept between batches; emptied when full
+PRE_TOKENS = 200_000  # pre-tokens kept between batches; emptied when full
 NEVER = 1 << 40
 
 

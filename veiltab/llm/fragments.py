@@ -17,7 +17,7 @@ import numpy as np
 from veiltab.llm.text import SPACE, hash_ranges, row_chunks, same_as
 
 JOINED = 4096  # fragments of one call to a library
-CACHE_FRAGMENTS = 600_000  # emptied when full; a bound on memory, not on texts
+CACHE_FRAGMENTS = 400_000  # emptied when full; a bound on memory, not on texts
 
 
 LETTER = np.zeros(256, bool)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 8 << 20  # working memory is about 20 times this, or 20 times the longest text
+CHUNK_BYTES = 2 << 20  # working memory is about 20 times this, or 20 times the longest text
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
