@@ -412,12 +412,12 @@ def h10_rule(spark, sf):
     return small_table(spark, out, "k int, left_over double, stops boolean")
 
 
-# Generation runs: as many synthetic rows as lineitem has. The stop rule ends them, with a wider
-# threshold than the default one: when the distance falls by less than 30 % in two rounds.
+# Generation runs: as many synthetic rows as lineitem has. They end when the distance falls by less than
+# 60 % in two rounds, or after eight rounds: full searches go on for longer than a check can wait.
 LINE_PAIRS = mg.Marginals(LINE, mg.column_sets(LINE, 2), DEPTH)
 LINE_CHAIN = Chain([LINE_PAIRS])
-STOP = {"stop_window": 2, "min_rounds": 3}
-THRESHOLD = 0.3
+STOP = {"stop_window": 2, "min_rounds": 3, "rounds": 8}
+THRESHOLD = 0.6
 
 
 def _fit(spark, sf, start=None, **kw):
