@@ -72,6 +72,18 @@ def test_lacking_cells(spark):
     assert got == [(0, 2, 2, 10, 0.5), (0, 1, 1, 0, third), (0, 1, 3, 5, third), (1, 0, 3, 5, third), (1, 1, -1, -1, 0.25)]
 
 
+def test_guided_edits_without_given_edges(spark):
+    """A continuous column on its default bins: the value lies in the bin that lacks rows."""
+    d = Domain((Column("x", CONTINUOUS), Column("c", CATEGORICAL, 2)))
+    m = Marginals(d, [("x", "c")], 3)
+    rows = spark.range(40).select(F.col("id").alias("row_id"), F.lit(0.05).alias("x"), F.lit(0).alias("c"))
+    e = Edits(m, 40, ["fill"], "s")
+    p = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), [(0, 5, 1, 1, 1.0)])
+    assert p.where("c1 = 0 and y1 = 5 and x1 >= 5 / 7D and x1 < 6 / 7D and c2 = 1 and y2 = 1").count() == 40
+    drawn = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), [(0, 0, -1, -1, 1.0)])
+    assert drawn.where("x1 is null or x1 >= 1 / 7D").count() == 0
+
+
 def test_quantiles_do_not_depend_on_partitions(spark):
     """Many rows, more than an approximate quantile holds exactly."""
     df = table(spark, 200_000).withColumn("row_id", F.monotonically_increasing_id())

@@ -309,25 +309,19 @@ class Edits:
 
     def _bin_choice(self, guided: str | None) -> list[str]:
         """i: bin to draw from (the null bin counts as one), the lacking cell's for a guided edit; j: quantile interval."""
-        n = [self._n_bins(c) + c.has_nulls for c in self.domain.columns]
+        n = [c.finest(self.marginals.depth) + c.has_nulls for c in self.domain.columns]
         drawn = f"cast(floor(ua * get({array_sql(n)}, c1)) as int)"
         return [
             f"{drawn} as i" if guided is None else f"if(op = {self.code[FILL]}, {guided}, {drawn}) as i",
             f"cast(floor(ua * {QUANTILE_POINTS + 1}) as int) as j",
         ]
 
-    @staticmethod
-    def _n_bins(c) -> int:
-        if c.edges is not None:
-            return len(c.edges) - 1
-        return 1 if c.role == CONTINUOUS else c.size
-
     def _inside(self, col: str, i: str, u: str) -> str:
-        """A value of column ``col`` in its bin ``i``. Columns without edges take the bin number itself."""
+        """A value of column ``col`` in its finest bin ``i``. Where bins are values, the bin number itself."""
         cols, edges = self.domain.columns, []
         for c in cols:
             if c.role == CONTINUOUS:
-                edges.append([float(e) for e in (c.edges or (0.0, 1.0))])
+                edges.append([float(e) for e in c.bin_edges(self.marginals.depth)])
             elif c.role == ORDINAL and c.edges is not None:
                 edges.append([float(math.ceil(e)) for e in c.edges])
             else:
@@ -338,7 +332,7 @@ class Edits:
         left, right = f"get({e}, {i})", f"get({e}, {i} + 1)"
         stepped = f"least({left} + floor({u} * greatest({right} - {left}, 1.0D)), {top})"
         inside = f"if({whole}, {stepped}, {left} + {u} * ({right} - {left}))"
-        real = f"{i} < get({array_sql([self._n_bins(c) for c in cols])}, {col})"
+        real = f"{i} < get({array_sql([c.finest(self.marginals.depth) for c in cols])}, {col})"
         return f"if({real}, if({left} is null, cast({i} as double), {inside}), null)"
 
     def _new_value(self, quantiles: list[list[float]]) -> list[str]:
