@@ -8,7 +8,7 @@ from veiltab.operators import measure as ms
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
 from veiltab.operators.edits import Edits, expand_operators, mixed_weights, to_state, update_weights
 from veiltab.operators.marginals import Marginals, column_sets
-from veiltab.operators.modules import Chain
+from veiltab.operators.modules import Chain, Covariance, NullCounts, SparseCounts
 from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.synthesizer import fit_dp_adaptive, fit_zcdp
 
@@ -94,6 +94,102 @@ def test_quantiles_do_not_depend_on_partitions(spark):
     assert all(a <= b for a, b in zip(x, x[1:])) and max(found[0][2][1:-1]) <= 9.0
 
 
+MIXED = Domain(
+    (
+        Column("a", CATEGORICAL, 3), Column("o", ORDINAL, 10, has_nulls=True),
+        Column("x", CONTINUOUS, edges=linspace(0, 1, 9), sparse=True),
+    )
+)
+MOMENTS = {"o": {"mean": 4.0, "std": 2.5}, "x": {"mean": 0.3, "std": 0.25}}
+
+
+def mixed_chain(sets=(("a", "o"),), depth=1):
+    m = Marginals(MIXED, list(sets), depth)
+    return m, Chain([m, Covariance(MIXED, MOMENTS, 16), NullCounts(MIXED), SparseCounts(MIXED)])
+
+
+def mixed_rows(spark, n):
+    """A fifth of o is NULL, three tenths of x are 0, and the two hang together."""
+    h = lambda s, k: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(k))
+    o = F.when(h(1, 5) > 0, h(2, 10)).cast("long")
+    x = F.when(h(3, 10) < 3, 0.0).otherwise(F.coalesce("o", F.lit(5)) / 20.0 + h(4, 100) / 200.0)
+    return spark.range(n).select("id", h(5, 3).cast("int").alias("a"), o.alias("o")).withColumn("x", x).drop("id")
+
+
+def test_scores_of_other_modules_equal_a_recount(spark):
+    n, (m, chain) = 60, mixed_chain()
+    targets = ms.measure_all(chain, mixed_rows(spark, 500), 500, 1e6, "s", "r")
+    g = Generator(m, n, "s").matching(chain)
+    table = mixed_rows(spark, n).withColumn("row_id", F.monotonically_increasing_id())
+    table = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(table.collect())], "row_id long, a int, o long, x double")
+    e = Edits(g.targets, n, ["mutate", "swap"], "s", candidates=6)
+    state = to_state(table, MIXED, 1)
+    res = g.residuals(targets, table)
+    p = e.propose(e.pairs(state, 1), 1, [0.8, 0.2], e.grid({}))
+    scored = e.score(p, e.potentials(g.targets.cell_map(spark), res)).collect()
+    rows = {r["row_id"]: list(r["v"]) for r in state.collect()}
+    side = {(r["pair_id"], r["side"]): r["row_id"] for r in p.select("pair_id", "side", "row_id").distinct().collect()}
+    want = {(r["module"], r["workload_id"], r["cell"]): r["noised"] for r in targets.collect()}
+    edges = linspace(-2, 2, 16)
+
+    def cells(v):
+        a, o, x = v
+        yield "marginals", 0, int(a * 11 + (10 if o is None else o))
+        if o is None:
+            yield "null_counts", 1, 0
+        if x is None:
+            yield "null_counts", 2, 0
+        if abs(x) < 1e-9:
+            yield "sparse_counts", 0, 0
+        if o is not None:
+            b = sum(y <= (x - 0.3) / 0.25 * ((o - 4.0) / 2.5) for y in edges) - 1
+            if 0 <= b < 15:
+                yield "covariance", 0, b
+
+    def distance(table):
+        left = dict(want)
+        for v in table.values():
+            for c in cells(v):
+                left[c] -= 1 / n
+        return sum(r * r for r in left.values())
+
+    now, tried = distance(rows), 0
+    for r in scored:
+        if r["op"] == 0:
+            row = side[r["pair_id"], r["side"]]
+            v = list(rows[row])
+            v[r["c1"]] = r["x1"]
+            assert abs(distance({**rows, row: v}) - now - r["change"]) < 1e-12
+            tried += 1
+        elif r["op"] == 1 and r["side"] == 0:
+            one, two = side[r["pair_id"], 0], side[r["pair_id"], 1]
+            v, w, c = list(rows[one]), list(rows[two]), r["c1"]
+            v[c], w[c] = w[c], v[c]
+            assert abs(distance({**rows, one: v, two: w}) - now - r["change"]) < 8 / n**2
+            tried += 1
+    assert tried > 200
+
+
+def test_all_modules_of_a_chain_are_matched(spark):
+    n, (m, chain) = 1500, mixed_chain([("a", "o"), ("a", "x")], 2)
+    df = mixed_rows(spark, n).persist()
+    g = Generator(m, n, "s", rounds=12, stop_threshold=0.02, stop_window=3, min_rounds=4)
+    fitted, targets = fit_zcdp(g, chain, df, n, 1e6)
+    out = fitted.table.persist()
+    history = [f for _, f in sorted({(r[0], r[1]) for r in fitted.log})]
+    assert all(b <= a for a, b in zip(history, history[1:]))
+    assert abs(ms.fitness(targets, chain.stats(out, n)).first()["fitness"] - history[-1]) < 1e-9
+    start = g.start_table(spark)
+    for name in chain.modules:
+        own = targets.where(F.col("module") == name)
+        was, now = (ms.fitness(own, chain.stats(t, n)).first()["fitness"] for t in (start, out))
+        assert now <= 0.1 * was, name
+    assert out.where("a is null or x is null or x < 0 or x > 1").count() == 0
+    # a measurement nobody matches is an error, not a fit that ignores it
+    with pytest.raises(ValueError, match="covariance"):
+        g.fit(targets.where("module = 'covariance'"))
+
+
 def test_nulls_need_a_null_bin(spark):
     df = spark.createDataFrame([("u", 1.0)] * 30 + [(None, 2.0)] * 30, "c string, x double")
     meta = {"c": {"type": "string"}, "x": {"type": "float", "lower": 0, "upper": 4}}

@@ -20,7 +20,7 @@ from veiltab.functions.bins import bin_table
 from veiltab.functions.hashing import fast_uniform_sql
 from veiltab.functions.literals import array_sql, small_table
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
-from veiltab.operators.marginals import Marginals
+from veiltab.operators.marginals import Marginals, StatModule
 from veiltab.session import lookup, small_side
 
 MUTATE, FILL, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "fill", "continuous", "swap", "cross1", "cross2"
@@ -80,13 +80,62 @@ def from_state(state: DataFrame, domain: Domain) -> DataFrame:
     return state.select("row_id", *cols)
 
 
+class Targets:
+    """Statistics that a search matches: marginals, and the workloads of other modules numbered after theirs.
+
+    A key packs the workload and its cell. Other modules have one level, so the finest cell is the cell.
+    """
+
+    def __init__(self, marginals: Marginals, others: tuple[StatModule, ...] = ()):
+        self.others = [m for m in others if m.n_workloads]
+        self.first, self.rows, ids = {marginals.name: 0}, [], marginals.n_workloads
+        for kind, module in enumerate(self.others, 1):
+            self.first[module.name] = ids
+            self.rows += [(kind, ids + w, names, n, [float(p) for p in par]) for w, names, n, par in module.targets()]
+            ids += module.n_workloads
+        if self.others:
+            room = (ids - marginals.n_workloads, max(r[3] for r in self.rows))
+            marginals = Marginals(marginals.domain, marginals.sets, marginals.depth, room)
+        self.marginals, self.n_workloads = marginals, ids
+        self.n_keys = marginals.n_finest + sum(r[3] for r in self.rows)
+        self.width = max([marginals.k, *(len(r[2]) for r in self.rows)])
+        self.widest = max([w.n_cells for w in marginals.workloads] + [r[3] for r in self.rows])
+
+    @property
+    def modules(self) -> list[StatModule]:
+        return [self.marginals, *self.others]
+
+    def key(self, module: StatModule) -> C:
+        """Key of the columns workload_id and cell of a module."""
+        ids = (F.col("workload_id") + F.lit(self.first[module.name])).cast("long")
+        return F.shiftleft(ids, self.marginals.shift) + F.col("cell")
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The marginals' workloads; others as sets of one dimension that is the cell itself."""
+        frame = self.marginals.frame(spark)
+        if not self.others:
+            return frame
+        short = [0, 1, 1, 1, 1, 0, 0] * (self.marginals.k - 1)
+        rows = [(i, i, 0, n, 1.0, [], 0, n, 1, n, n, 1, 1, *short) for _, i, _, n, _ in self.rows]
+        return frame.union(small_table(spark, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)))
+
+    def cell_map(self, spark: SparkSession) -> DataFrame:
+        cells = self.marginals.cell_map(spark)
+        for m in self.others:
+            own = m.grid(spark).select(self.key(m).alias("key"))
+            cells = cells.unionByName(own.select(F.col("key").alias("fkey"), F.lit(0).alias("level"), "key"))
+        return cells
+
+
 class Edits:
-    """Proposals and scores for one measurement target over a set of marginals."""
+    """Proposals and scores for one measurement target over a set of marginals and other modules."""
 
     def __init__(
-        self, marginals: Marginals, n_rows: int, operators: list[str], seed, run: str = "run",
+        self, marginals: Marginals | Targets, n_rows: int, operators: list[str], seed, run: str = "run",
         candidates: int = 1, draw=fast_uniform_sql,
     ):
+        self.targets = marginals if isinstance(marginals, Targets) else Targets(marginals)
+        marginals = self.targets.marginals
         self.marginals, self.domain, self.n_rows = marginals, marginals.domain, n_rows
         self.operators, self.seed, self.run = operators, seed, run
         self.candidates, self.draw = candidates, draw
@@ -331,7 +380,12 @@ class Edits:
         top = f"get({array_sql([float(c.size - 1) for c in cols])}, {col})"
         left, right = f"get({e}, {i})", f"get({e}, {i} + 1)"
         stepped = f"least({left} + floor({u} * greatest({right} - {left}, 1.0D)), {top})"
-        inside = f"if({whole}, {stepped}, {left} + {u} * ({right} - {left}))"
+        within = f"{left} + {u} * ({right} - {left})"
+        if any(c.sparse and c.role == CONTINUOUS for c in cols):  # zeros would never be drawn from an interval
+            zeros = f"get({array_sql([c.sparse for c in cols])}, {col}) and {left} <= 0.0D and {right} > 0.0D"
+            half = f"if({u} < 0.5D, 0.0D, {left} + (2.0D * {u} - 1.0D) * ({right} - {left}))"
+            within = f"if({zeros}, {half}, {within})"
+        inside = f"if({whole}, {stepped}, {within})"
         real = f"{i} < get({array_sql([c.finest(self.marginals.depth) for c in cols])}, {col})"
         return f"if({real}, if({left} is null, cast({i} as double), {inside}), null)"
 
@@ -375,7 +429,7 @@ class Edits:
     # ---- scoring ----
 
     def touch(self, spark: SparkSession) -> DataFrame:
-        """(edit, set...): the column sets that contain each column. Built once per run."""
+        """(edit, set...): the column sets that contain each column, of other modules too. Built once per run."""
         if self._touch is not None:
             return self._touch
         m, rows = self.marginals, []
@@ -386,41 +440,52 @@ class Edits:
             first = levels[0]
             strides = [math.prod(d.width0 for d in first.dims[i + 1:]) for i in range(len(first.dims))]
             dims = []
-            for i in range(m.k):  # a missing dimension repeats the first with stride 0
+            for i in range(self.targets.width):  # a missing dimension repeats the first with stride 0
                 dims += [first.dims[i].pos, strides[i]] if i < len(first.dims) else [first.dims[0].pos, 0]
             members = [d.pos for d in first.dims]
-            rows += [(pos, set_id, members, *dims) for pos in members]
-        fields = "".join(f", pos{i} int, at0{i} long" for i in range(m.k))
+            rows += [(pos, set_id, members, *dims, 0, []) for pos in members]
+        for kind, ids, names, _, par in self.targets.rows:
+            members = [self.domain.position(n) for n in names]
+            dims = [x for i in range(self.targets.width) for x in (members[min(i, len(members) - 1)], 0)]
+            rows += [(pos, ids, members, *dims, kind, par) for pos in members]
+        fields = "".join(f", pos{i} int, at0{i} long" for i in range(self.targets.width))
         self._touch_rows = len(rows)
-        self._touch = small_table(spark, rows, f"edit int, set_id int, members array<int>{fields}")
+        self._touch = small_table(spark, rows, f"edit int, set_id int, members array<int>{fields}, kind int, par array<double>")
         return self._touch
 
-    def _finest_key(self, bins: str) -> str:
-        """Packed (set, finest cell) of a row's bins."""
+    def _finest_key(self, bins: str, values: str) -> str:
+        """Packed (set, finest cell) of a row's bins, or of its values for another module than the marginals."""
+        base = f"shiftleft(cast(set_id as bigint), {self.marginals.shift})"
         parts = [f"get({bins}, pos{i}) * at0{i}" for i in range(self.marginals.k)]
-        return f"shiftleft(cast(set_id as bigint), {self.marginals.shift}) + {' + '.join(parts)}"
+        own = f"{base} + {' + '.join(parts)}"
+        if not self.targets.others:
+            return own
+        x = [f"get({values}, pos{i})" for i in range(self.targets.width)]
+        others = " ".join(f"when {kind} then {m.cell_sql(x)}" for kind, m in enumerate(self.targets.others, 1))
+        return f"if(kind = 0, {own}, {base} + case kind {others} end)"
 
     def touched(self, edits: DataFrame, carry: list[str], keep_all: bool) -> DataFrame:
         """(carry, old, new, moved): the finest cell a row leaves and enters in each touched set.
 
         ``keep_all`` also keeps rows without any move, with NULL cells.
         """
-        nb = ", ".join(
-            f"case when c1 = {i} then y1 when c2 = {i} then y2 else get(b, {i}) end"
-            for i in range(len(self.domain.columns))
-        )
+        def after(new: str, old: str) -> str:
+            slots = (f"case when c1 = {i} then {new}1 when c2 = {i} then {new}2 else get({old}, {i}) end" for i in range(len(self.domain.columns)))
+            return f"array({', '.join(slots)}) as n{old}"
+
+        others = bool(self.targets.others)
         explode = "explode_outer" if keep_all else "explode"
         each = edits.selectExpr(
-            "*", f"array({nb}) as nb", f"{explode}(array_compact(array(c1, c2))) as edit"
+            "*", after("y", "b"), *([after("x", "v")] if others else []), f"{explode}(array_compact(array(c1, c2))) as edit"
         )
         touch = self.touch(edits.sparkSession)
-        touch = small_side(touch, self._touch_rows, 64 + 20 * self.marginals.k)
+        touch = small_side(touch, self._touch_rows, 128 + 20 * self.targets.width)
         joined = each.join(touch, "edit", "left" if keep_all else "inner")
         # A set holding both edited columns is seen from the first one only.
         real = "(edit = c1 or not array_contains(members, c1))"
-        cells = [f"{self._finest_key('b')} as old", f"{self._finest_key('nb')} as new"]
+        cells = [f"{self._finest_key('b', 'v')} as old", f"{self._finest_key('nb', 'nv')} as new"]
         if not keep_all:
-            return joined.where(real).selectExpr(*carry, *cells).where("old <> new")
+            return joined.where(real).selectExpr(*carry, *cells).where("not (old <=> new)")
         # One edited column moves the row on its own levels; two do on the levels of either. Where
         # the rows of a swap agree in all other columns of the set, nothing moves.
         both = "if(edit = c1, m1 | if(c2 is not null and array_contains(members, c2), m2, 0), m2)"
@@ -428,6 +493,11 @@ class Edits:
             f"if(pos{i} = c1, {self._all_levels}, get(eq, pos{i}))" for i in range(self.marginals.k)
         )
         moved = f"if(op = {self.code[SWAP]}, {both} & ~({agree}), {both})"
+        if others:
+            # A swap doesn't change how many rows have a value.
+            joined = joined.selectExpr("*", *cells)
+            stays = f"old <=> new or (op = {self.code[SWAP]} and size(members) = 1)"
+            moved, cells = f"if(kind = 0, {moved}, if({stays}, 0, 1))", ["old", "new"]
         return joined.selectExpr(*carry, f"if({real}, {moved}, 0) as moved", *cells).selectExpr(
             *carry, "moved", "if(moved > 0, old, null) as old", "if(moved > 0, new, null) as new"
         )
@@ -449,13 +519,15 @@ class Edits:
         With r = target - count/N', moving one row from cell a to cell b changes the distance by
         (2 r_a + 1/N') / N' - (2 r_b - 1/N') / N'. Cells without a target add nothing, and levels on
         which the row stays in its cell cancel. A swap is one unit of two rows; the two rows share no
-        cell they move in, so their changes add up.
+        cell they move in, so their changes add up. Cells of products may be shared by the two rows: there
+        the sum is off by a few 1/N'^2, which matters for the order of edits only, as sets of edits are
+        accepted by their exact change.
         """
-        m, n = self.marginals, float(self.n_rows)
+        n = float(self.n_rows)
         moves = self.touched(proposals, EDIT, keep_all=True)
         p_old = potentials.selectExpr("key as old", "p as p_old", "levels as l_old")
         p_new = potentials.selectExpr("key as new", "p as p_new", "levels as l_new")
-        moves = lookup(lookup(moves, p_old, ["old"], m.n_finest), p_new, ["new"], m.n_finest)
+        moves = lookup(lookup(moves, p_old, ["old"], self.targets.n_keys), p_new, ["new"], self.targets.n_keys)
         own = (
             "coalesce(p_old, 0D) - coalesce(p_new, 0D) + "
             f"(coalesce(bit_count(l_old & moved), 0) + coalesce(bit_count(l_new & moved), 0)) * {1.0 / n / n!r}D"
@@ -516,9 +588,10 @@ class Edits:
         both = "inline(array(struct(old as key, -1L as d), struct(new as key, 1L as d)))"
         names = tuple(f"d{j}" for j in range(self.max_level + 1))
         sums = [F.expr(f"sum(if(level >= {j}, d, 0L)) as d{j}") for j in range(self.max_level + 1)]
-        finest = moves.selectExpr("level", both).groupBy("key").agg(*sums)
+        finest = moves.selectExpr("level", both).where("key is not null").groupBy("key").agg(*sums)
         key = f"shiftleft(cast(workload_id as bigint), {self.marginals.shift}) + cell as key"
-        return self.marginals.roll_up(finest, sums=names).selectExpr(key, *names)
+        frame = self.targets.frame(scored.sparkSession)
+        return self.marginals.roll_up(finest, None, names, frame, self.targets.n_workloads).selectExpr(key, *names)
 
     def set_changes(self, merged: DataFrame) -> DataFrame:
         """One row e0..eJ: exact change of the distance for each nested set of units."""

@@ -134,6 +134,17 @@ class StatModule:
     def counts(self, encoded: DataFrame, selected: list[int] | None = None) -> DataFrame:
         raise NotImplementedError
 
+    def targets(self) -> list[tuple[int, list[str], int, list[float]]]:
+        """(workload, its columns, cells, parameters) of every workload, for a search to match them."""
+        raise NotImplementedError(f"{self.name} can be measured, but a search can't match it")
+
+    def cell_sql(self, x: list[str]) -> str:
+        """SQL text of a row's cell in a workload of ``targets``, NULL for none.
+
+        ``x`` has texts of the values of its columns, as doubles; the column ``par`` has its parameters.
+        """
+        raise NotImplementedError(f"{self.name} can be measured, but a search can't match it")
+
     def stats(
         self, encoded: DataFrame, n_rows: int, selected: list[int] | None = None, dense: bool = True
     ) -> DataFrame:
@@ -151,8 +162,9 @@ class StatModule:
 class Marginals(StatModule):
     name = "marginals"
 
-    def __init__(self, domain: Domain, sets: list[tuple[str, ...]], depth: int = 3):
-        self.domain, self.sets, self.depth = domain, [tuple(s) for s in sets], depth
+    def __init__(self, domain: Domain, sets: list[tuple[str, ...]], depth: int = 3, room: tuple[int, int] = (0, 1)):
+        """``room``: ids and cells per id that packed keys must leave room for beside the workloads."""
+        self.domain, self.sets, self.depth, self.room = domain, [tuple(s) for s in sets], depth, room
 
     @classmethod
     def all_kway(cls, domain: Domain, k: int = 2, depth: int = 3, max_size=None, include=None, conditional=()):
@@ -184,9 +196,9 @@ class Marginals(StatModule):
     @cached_property
     def shift(self) -> int:
         """A cell is packed as id * 2^shift + cell number, id that of its set or workload."""
-        cells = max((math.prod(d.width0 for d in w.dims) for w in self.workloads), default=1)
+        cells = max([self.room[1], *(math.prod(d.width0 for d in w.dims) for w in self.workloads)])
         bits = max(1, (cells - 1).bit_length())
-        if bits + len(self.workloads).bit_length() > KEY_BITS:
+        if bits + (len(self.workloads) + self.room[0]).bit_length() > KEY_BITS:
             raise ValueError(f"a column set has {cells} cells; limit it with max_size")
         return bits
 
@@ -279,15 +291,17 @@ class Marginals(StatModule):
         return cell.cast("long")
 
     def roll_up(
-        self, finest: DataFrame, selected: list[int] | None = None, sums: tuple[str, ...] = ("cnt",)
+        self, finest: DataFrame, selected: list[int] | None = None, sums: tuple[str, ...] = ("cnt",),
+        frame: DataFrame | None = None, n_frame: int | None = None,
     ) -> DataFrame:
-        """Sums of every level from sums of the finest cells."""
+        """Sums of every level from sums of the finest cells. ``frame``: other rows than those of ``frame()``."""
         split = finest.select(
             F.shiftright("key", self.shift).cast("int").alias("set_id"),
             F.col("key").bitwiseAND(F.lit((1 << self.shift) - 1)).alias("finest"),
             *sums,
         )
-        w = small_side(self.frame(finest.sparkSession, selected), self.n_workloads, 64 + 56 * self.k)
+        frame = self.frame(finest.sparkSession, selected) if frame is None else frame
+        w = small_side(frame, n_frame or self.n_workloads, 64 + 56 * self.k)
         return (
             split.join(w, "set_id")
             .select("workload_id", self._level_cell().alias("cell"), *sums)

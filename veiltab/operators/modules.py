@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltab.functions.literals import small_table
+from veiltab.functions.literals import array_sql, small_table
 from veiltab.functions.bins import add_bins
 from veiltab.operators.domain import CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import StatModule
@@ -27,6 +27,9 @@ class _Rates(StatModule):
     def condition(self, name: str):
         raise NotImplementedError
 
+    def targets(self) -> list[tuple[int, list[str], int, list[float]]]:
+        return [(i, [n], 1, []) for i, n in enumerate(self.names)]
+
     def frame(self, spark: SparkSession, selected: list[int] | None = None) -> DataFrame:
         keep = range(len(self.names)) if selected is None else selected
         rows = [(i, 0, 1, math.sqrt(2.0), [self.names[i]]) for i in keep]
@@ -59,6 +62,9 @@ class NullCounts(_Rates):
     def condition(self, name: str):
         return F.col(name).isNull()
 
+    def cell_sql(self, x: list[str]) -> str:
+        return f"if({x[0]} is null, 0L, null)"
+
 
 class SparseCounts(_Rates):
     """Rate of zeros in the columns the domain marks as sparse."""
@@ -71,6 +77,9 @@ class SparseCounts(_Rates):
     def condition(self, name: str):
         return F.abs(F.col(name).cast("double")) < F.lit(1e-9)
 
+    def cell_sql(self, x: list[str]) -> str:
+        return f"if(abs({x[0]}) < 1e-9D, 0L, null)"
+
 
 class Covariance(StatModule):
     """Histogram over [-2, 2) of the product of two standardised columns, for all numeric pairs."""
@@ -96,6 +105,24 @@ class Covariance(StatModule):
         cells = F.sequence(F.lit(0), F.lit(self.n_edges - 2)).cast("array<long>")
         return self.frame(spark, selected).select("workload_id", F.explode(cells).alias("cell"))
 
+    @property
+    def edges(self) -> list[float]:
+        return list(linspace(-2.0, 2.0, self.n_edges))
+
+    def targets(self) -> list[tuple[int, list[str], int, list[float]]]:
+        return [
+            (i, list(p), self.n_edges - 1, [self.moments[n][k] for n in p for k in ("mean", "std")])
+            for i, p in enumerate(self.pairs)
+        ]
+
+    def cell_sql(self, x: list[str]) -> str:
+        """The product's interval, by binary search in the edges."""
+        a, b = (f"((cast({v} as double) - get(par, {2 * i})) / get(par, {2 * i + 1}))" for i, v in enumerate(x[:2]))
+        top = 1 << (self.n_edges.bit_length() - 1)
+        steps, edges = array_sql([top >> i for i in range(top.bit_length())]), array_sql(self.edges)
+        found = f"aggregate({steps}, 0, (at, s) -> if(at + s <= {self.n_edges} and {a} * {b} >= get({edges}, at + s - 1), at + s, at))"
+        return f"cast(nullif(nullif({found}, 0), {self.n_edges}) - 1 as bigint)"
+
     def counts(self, encoded: DataFrame, selected: list[int] | None = None) -> DataFrame:
         keep = list(range(len(self.pairs))) if selected is None else selected
         z = {
@@ -107,8 +134,7 @@ class Covariance(StatModule):
         df = df.select(
             *[(F.col(f"z_{self.pairs[p][0]}") * F.col(f"z_{self.pairs[p][1]}")).alias(f"p{p}") for p in keep]
         )
-        edges = list(linspace(-2.0, 2.0, self.n_edges))
-        binned = add_bins(df, {f"b{p}": (f"p{p}", edges) for p in keep}, outside=True)
+        binned = add_bins(df, {f"b{p}": (f"p{p}", self.edges) for p in keep}, outside=True)
         cells = F.array(
             *[
                 F.struct(F.lit(p).alias("workload_id"), F.col(f"b{p}").cast("long").alias("cell"))
@@ -135,6 +161,10 @@ class Chain:
     def n_workloads(self) -> int:
         return sum(m.n_workloads for m in self.modules.values())
 
+    def others(self, module: StatModule) -> tuple[StatModule, ...]:
+        """All modules but the one of this name."""
+        return tuple(m for m in self.modules.values() if m.name != module.name)
+
     def _union(self, parts: list[tuple[str, DataFrame]]) -> DataFrame:
         out = None
         for name, df in parts:
