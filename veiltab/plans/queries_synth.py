@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from veiltab.functions.hashing import uniform_sql
@@ -17,14 +19,14 @@ from veiltab.operators.edits import (
     COPY1, COPY2, FILL, MUTATE, QUANTILE, QUANTILE_POINTS, SWAP, Edits, to_state, update_weights,
 )
 from veiltab.operators.histograms import quantile_grid
-from veiltab.operators.modules import Chain
+from veiltab.operators.modules import Chain, Covariance, NullCounts
 from veiltab.operators.random_table import random_table
 from veiltab.plans import oracle as sql
 from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.queries_private import (
     CHAIN, DENSE, EACH, FINE, N, OTHER, PAIRS, RHO, RUN, both,
 )
-from veiltab.plans.queries_stats import DEPTH
+from veiltab.plans.queries_stats import COV_COLS, COV_SQL, DEPTH, line_moments
 from veiltab.plans.queries_tables import LINE, LINE_KEY, SEED, encoded_line, largest
 from veiltab.plans.registry import query, table
 from veiltab.plans.synthesizer import TableSynthesizer, fit_dp_adaptive, fit_zcdp
@@ -332,6 +334,49 @@ def h6(spark, sf):
     return s.select("row_id", F.get(array_lit(MIX), "op").alias("op"), (F.round("change", 13) + 0.0).alias("change"))
 
 
+COV_PAIRS = list(itertools.combinations(COV_COLS, 2))
+_PRODUCT_BIN = [-9.0, *linspace(-2.0, 2.0, 64), 9.0]
+
+
+def _product(a: str, b: str, edited: bool) -> str:
+    """Interval of a product of two standardised columns, -1 and 63 outside; with the edit if ``edited``."""
+    x = [f"CASE WHEN c1 = {FINE.position(c)} THEN x1 ELSE {c} END" if edited else c for c in (a, b)]
+    z = [f"(({v} - m_{c}) / s_{c})" for v, c in zip(x, (a, b))]
+    return f"{sql.bin_case(f'({z[0]} * {z[1]})', _PRODUCT_BIN)} - 1"
+
+
+_PRODUCTS = " UNION ALL ".join(
+    f"SELECT {i} AS w, row_id, l_returnflag < 2 AS wanted, {_product(a, b, False)} AS old, CASE WHEN c1 IN ({FINE.position(a)}, {FINE.position(b)}) "
+    f"THEN {_product(a, b, True)} END AS new FROM edited, mo"
+    for i, (a, b) in enumerate(COV_PAIRS)
+)
+
+
+@query(
+    "h6_score_modules",
+    f"WITH {CURRENT}, {COV_SQL.split(', z AS (')[0]}, "
+    f"p AS (SELECT *, {_pick_sql(BY_WEIGHT, 'mutate.col', 'row_id')} AS c1 FROM enc), edited AS (SELECT *, {_mutated()} AS x1 FROM p), "
+    f"prod AS ({_PRODUCTS}), cells AS (SELECT w, unnest(range(63)) AS cell FROM (SELECT unnest(range({len(COV_PAIRS)})) AS w)), "
+    "n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE l_returnflag < 2) AS DOUBLE) AS t FROM enc), "
+    "c AS (SELECT w, old AS cell, count(*) AS have, count(*) FILTER (WHERE wanted) AS want FROM prod GROUP BY ALL), "
+    "res AS (SELECT w, cell, coalesce(want, 0) / t - coalesce(have, 0) / n AS r FROM cells CROSS JOIN n LEFT JOIN c USING (w, cell)), "
+    "d AS (SELECT row_id, w, old AS cell, -1 AS d FROM prod WHERE new <> old UNION ALL SELECT row_id, w, new, 1 FROM prod WHERE new <> old), "
+    "s AS (SELECT row_id, sum(1 / (n * n) - 2 * r * d / n) AS change FROM d JOIN res USING (w, cell), n GROUP BY row_id) "
+    "SELECT row_id, round(coalesce(change, 0), 13) + 0 AS change FROM enc LEFT JOIN s USING (row_id)",
+)
+def h6_modules(spark, sf):
+    """Exact change of the distance to product histograms, measured beside the marginals, for an edit of every row."""
+    t, n = current_table(spark, sf)
+    products = Covariance(FINE, line_moments(spark, sf))
+    real = encoded_line(spark, sf, FINE).where("l_returnflag < 2")
+    targets = Chain([products]).stats(real, real.count()).withColumnRenamed("stat", "noised")
+    g = Generator(PAIRS, n, SEED, run=RUN, others=(products,))
+    e = Edits(g.targets, n, [MUTATE], SEED, RUN, draw=uniform_sql)
+    pairs = e.pairs(to_state(t, FINE, DEPTH), 1)
+    scored = e.score(e.propose(pairs, 1, [1.0], e.grid({})), e.potentials(g.targets.cell_map(spark), g.residuals(targets, t)))
+    return e.with_rows(scored, pairs).select("row_id", (F.round("change", 13) + 0.0).alias("change"))
+
+
 _LEVELS = (
     f"lv0 AS (SELECT unit, CAST(floor(log2(change / (SELECT min(change) FROM scored)) - "
     f"log2({sql.u(STREAM, 'level', 'unit')})) AS INTEGER) + 3 AS level FROM scored WHERE change < -1e-15), "
@@ -455,6 +500,24 @@ def h12(spark, sf):
     return _fit(spark, sf)[0].table
 
 
+@query("h12_chain_fit")
+def h12_chain(spark, sf):
+    """A fit to three modules at once: what is left of each one's distance from a random table."""
+    e = encoded_line(spark, sf, LINE)
+    n = e.count()
+    chain = Chain([LINE_PAIRS, Covariance(LINE, line_moments(spark, sf)), NullCounts(LINE)])
+    g = Generator(LINE_PAIRS, n, SEED, run="chain", stop_threshold=THRESHOLD, **STOP)
+    fitted, measured = fit_zcdp(g, chain, e, n, 50.0)
+
+    def left(t):
+        gap = F.col("noised") - F.coalesce("stat", F.lit(0.0))
+        joined = measured.join(chain.stats(t, n).select(*ms.KEY, "stat"), ms.KEY, "left")
+        return joined.groupBy("module").agg(F.sum(gap * gap).alias("distance"))
+
+    start = left(g.start_table(spark)).withColumnRenamed("distance", "start")
+    return start.join(left(fitted.table), "module")
+
+
 @query("h13_adaptive_fit")
 def h13(spark, sf):
     """Two rounds of picking the two worst workloads, measuring them and refitting."""
