@@ -171,9 +171,9 @@ def test_scores_of_other_modules_equal_a_recount(spark):
 
 
 def test_all_modules_of_a_chain_are_matched(spark):
-    n, (m, chain) = 1500, mixed_chain([("a", "o"), ("a", "x")], 2)
+    n, (m, chain) = 800, mixed_chain([("a", "o"), ("a", "x")], 2)
     df = mixed_rows(spark, n).persist()
-    g = Generator(m, n, "s", rounds=12, stop_threshold=0.02, stop_window=3, min_rounds=4)
+    g = Generator(m, n, "s", rounds=8)
     fitted, targets = fit_zcdp(g, chain, df, n, 1e6)
     out = fitted.table.persist()
     history = [f for _, f in sorted({(r[0], r[1]) for r in fitted.log})]
