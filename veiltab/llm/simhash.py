@@ -6,7 +6,7 @@
    are searched at accumulated difference 0. For a fixed distance the 64 bits are cut into blocks and a
    copy puts all but ``distance`` of them first: two codes within it agree on the leading blocks of at
    least one copy, so no link is lost. For a similarity the leading bits are drawn by hash, and there are
-   as many copies as find a pair of just that similarity with probability ``RECALL``. The number of
+   as many copies as propose a pair of just that similarity with probability ``RECALL``. The number of
    leading bits grows with the logarithm of the number of codes, so that few codes meet by chance.
 3. In each copy codes are sorted by Gray rank and dealt out by range, which splits large nodes too.
    A task builds the lower levels: groups of neighbours share masked bit patterns, held once by the
@@ -16,8 +16,8 @@
 4. A node that crosses a border between tasks is compared segment by segment, again through the index.
 5. Components of the forest: alternating large and small stars, written to shared storage each round.
 
-A similarity is the Jaccard similarity of shingle sets, of which the bits give an estimate: with 256 bits
-its deviation is about 0.03, and links are taken up to one deviation below the similarity asked for.
+A similarity is the Jaccard similarity of shingle sets. The bits only propose pairs, up to three deviations
+above the mean distance of pairs of just that similarity; ``similar`` holds each against the sets themselves.
 
 Defined cases: NULL and wordless texts have fingerprint 0 and are linked like any other; repeated rows
 and ties share their fingerprint; a component is named by its smallest key, NULL keys aside.
@@ -46,6 +46,7 @@ SALTS = 16
 NODE_CODES = 8  # random codes wanted below a top node, at most
 WIDE = 4  # words of a fingerprint that is searched by similarity
 RECALL = 0.99
+DEVIATIONS = 3  # of the distance of similar pairs, above its mean, up to which pairs are proposed
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -68,8 +69,8 @@ def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int, wide: int = 1) -> np.ndarray:
-    """Fingerprints of rows, ``wide`` words each. The first is over XXH64 itself, others over it mixed."""
+def shingle_hashes(data: np.ndarray, bounds: np.ndarray, n: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of rows, and the rows' bounds; ``once``: a shingle counts once in a row."""
     raw, ends = data.tobytes(), bounds.tolist()
     texts = [b" ".join(raw[a:b].lower().split()) for a, b in zip(ends, ends[1:])]
     joined = b"".join(texts)
@@ -83,13 +84,23 @@ def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int, wide: int =
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[first].tolist(), stops[last].tolist())
     h = np.fromiter((digest(joined[a:b], 42) for a, b in pairs), np.uint64, int(at[-1]))
-    if wide > 1:  # similarity is of sets: a shingle counts once in a text
+    if once:
         row = np.repeat(np.arange(len(count)), shingles)
-        once = same_as(follow(h, row.astype(np.uint64))) == np.arange(len(h))
-        h, at = h[once], np.concatenate([[0], np.cumsum(once)])[at]
+        one = same_as(follow(h, row.astype(np.uint64))) == np.arange(len(h))
+        h, at = h[one], np.concatenate([[0], np.cumsum(one)])[at]
+    return h, at
+
+
+def fingerprint_words(h: np.ndarray, at: np.ndarray, wide: int) -> np.ndarray:
+    """Fingerprints of ``wide`` words each. The first is over XXH64 itself, others over it mixed."""
     return np.stack([majority(mix(h + np.uint64(k)) if k else h, at) for k in range(wide)], axis=1)
 
 
+def _fingerprint_rows(data: np.ndarray, bounds: np.ndarray, n: int, wide: int = 1) -> np.ndarray:
+    """Fingerprints of rows; wide ones are of sets, as similarity is."""
+    return fingerprint_words(*shingle_hashes(data, bounds, n, wide > 1), wide)
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, wide: int = 1) -> DataFrame:
     """(key, code): A-Z lower-cased, words between ASCII white space; the words of bits as big-endian bytes."""
 
@@ -163,10 +174,17 @@ class DrawnCopies:
     def __init__(self, similarity: float, codes: int, wide: int = WIDE):
         turn = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # share of bits that differ, on average
         bits = 64 * wide
-        self.distance = int(bits * turn + np.sqrt(bits * turn * (1 - turn)))
+        spread = np.sqrt(bits * turn * (1 - turn))
+        self.distance = int(bits * turn + spread)  # up to which the bits alone would call a pair similar
+        self.reach = int(bits * turn + DEVIATIONS * spread)  # up to which pairs are proposed
         self.wide = wide
         head = max(8, int(max(codes, 1) // 4).bit_length())
-        many = int(np.ceil(np.log(1 - RECALL) / np.log1p(-((1 - turn) ** head))))
+        apart = np.arange(self.reach + 1)
+        odds = np.exp(-(((apart - bits * turn) / spread) ** 2) / 2) / (spread * np.sqrt(2 * np.pi))
+        met = (1 - apart / bits) ** head  # in one copy
+        many = 1
+        while odds @ (1 - (1 - met) ** many) < RECALL:
+            many += 1
         self.head = [head] * many
         order = mix(np.arange(many * bits, dtype=np.uint64) + np.uint64(1)).reshape(many, bits)
         self.drawn = np.argsort(order, axis=1)[:, : min(64, head + 12)]
@@ -392,20 +410,28 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over
-    fingerprints that differ in at most ``distance`` bits, or, if given, over a ``similarity``."""
+    fingerprints that differ in at most ``distance`` bits, or, if given, over shingle sets of a ``similarity``."""
     ws = workspace(docs.sparkSession, "simhash")
-    rows = ws.write(fingerprints(docs, key, text, shingle, 1 if similarity is None else WIDE), "fingerprints")
-    codes = rows.groupBy("code").agg(F.min("key").alias("first")).withColumn("id", F.monotonically_increasing_id())
-    codes = ws.write(codes, "codes")
-    count = codes.count()
-    copies = Copies(blocks_for(count, distance), distance) if similarity is None else DrawnCopies(similarity, count)
-    roots = components(links(codes, copies, count, ws), ws)
-    named = codes.join(roots, F.col("id") == F.col("node"), "left").select("code", "first", F.coalesce("root", "id").alias("root"))
+    if similarity is None:
+        rows, of = ws.write(fingerprints(docs, key, text, shingle), "fingerprints"), ["code"]
+        codes = rows.groupBy("code").agg(F.min("key").alias("first")).withColumn("id", F.monotonically_increasing_id())
+        codes = ws.write(codes, "codes")
+        count = codes.count()
+        roots = components(links(codes, Copies(blocks_for(count, distance), distance), count, ws), ws)
+    else:
+        from veiltab.llm import similar
+
+        texts = ws.write(plain(docs, key=key, text=text).withColumn("row", F.monotonically_increasing_id()), "texts")
+        rows, of = ws.write(similar.fingerprints(texts, shingle), "fingerprints"), ["code", "total"]
+        codes = rows.groupBy(of).agg(F.min("key").alias("first"), F.min("row").alias("row"))
+        codes = ws.write(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
+        roots = similar.unit_roots(codes, texts, similarity, shingle, codes.count(), ws)
+    named = codes.join(roots, F.col("id") == F.col("node"), "left").select(*of, "first", F.coalesce("root", "id").alias("root"))
     # both sides are written, so that the join reads plain shuffles and a large component can be split
     named = ws.write(named, "named")
     least = ws.write(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    placed = ws.write(named.join(least, "root").select("code", "component_id"), "placed")
-    return rows.join(placed, "code", "left").select(F.col("key").alias(key), F.lower(F.hex("code")).alias("fingerprint"), "component_id")
+    placed = ws.write(named.join(least, "root").select(*of, "component_id"), "placed")
+    return rows.join(placed, of, "left").select(F.col("key").alias(key), F.lower(F.hex("code")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(
