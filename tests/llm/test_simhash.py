@@ -99,3 +99,16 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 5, 7, 8]
     assert simhash.near_duplicates(df.limit(0)).count() == simhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_rows_that_share_a_key_or_have_none_are_documents(spark, similarity):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(12)]
+    rows = [(None, t, "x") for t in texts[:4]] + [(7, t, "x") for t in texts[4:8]] + [(k, t, "x") for k, t in enumerate(texts[8:], 8)]
+    rows += [(None, texts[5], "copy"), (9, texts[6], "copy"), (3, texts[11], "copy"), (None, texts[0], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(5)
+    kept = simhash.one_of_each(df, similarity=similarity)
+    want = [(None, t, "x") for t in texts[:4]] + [(7, t, "x") for t in texts[4:8]] + [(k, texts[k], "x") for k in (8, 9, 10)]
+    assert kept.columns == df.columns
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [*want, (3, texts[11], "copy")]))

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltab.llm.shared import plain, workspace
@@ -406,29 +406,39 @@ def components(edges: DataFrame, ws) -> DataFrame:
     ).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
-) -> DataFrame:
-    """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over
-    fingerprints that differ in at most ``distance`` bits, or, if given, over shingle sets of a ``similarity``."""
-    ws = workspace(docs.sparkSession, "simhash")
+def _named(texts: DataFrame, rows: DataFrame | None, first: Column, distance: int, shingle: int, similarity: float | None, ws):
+    """Rows with their fingerprints; the columns that equal texts share; these, ``first`` of their rows and root.
+
+    texts (row, key, text) is written if there is a similarity; rows (key, code): if given, of a distance."""
     if similarity is None:
-        rows, of = ws.write(fingerprints(docs, key, text, shingle), "fingerprints"), ["code"]
-        codes = rows.groupBy("code").agg(F.min("key").alias("first")).withColumn("id", F.monotonically_increasing_id())
-        codes = ws.write(codes, "codes")
+        rows, of = ws.write(rows, "fingerprints"), ["code"]
+        codes = ws.write(rows.groupBy("code").agg(first.alias("first")).withColumn("id", F.monotonically_increasing_id()), "codes")
         count = codes.count()
         roots = components(links(codes, Copies(blocks_for(count, distance), distance), count, ws), ws)
     else:
         from veiltab.llm import similar
 
-        texts = ws.write(plain(docs, key=key, text=text).withColumn("row", F.monotonically_increasing_id()), "texts")
         rows, of = ws.write(similar.fingerprints(texts, shingle), "fingerprints"), ["code", "total"]
-        codes = rows.groupBy(of).agg(F.min("key").alias("first"), F.min("row").alias("row"))
+        codes = rows.groupBy(of).agg(first.alias("first"), F.min("row").alias("row"))
         codes = ws.write(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
         roots = similar.unit_roots(codes, texts, similarity, shingle, codes.count(), ws)
     named = codes.join(roots, F.col("id") == F.col("node"), "left").select(*of, "first", F.coalesce("root", "id").alias("root"))
-    # both sides are written, so that the join reads plain shuffles and a large component can be split
-    named = ws.write(named, "named")
+    # written, so that joins read plain shuffles and a large component can be split
+    return rows, of, ws.write(named, "named")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
+) -> DataFrame:
+    """(key, fingerprint, component_id) of every row; component_id is the smallest key reachable over
+    fingerprints that differ in at most ``distance`` bits, or, if given, over shingle sets of a ``similarity``."""
+    ws = workspace(docs.sparkSession, "simhash")
+    texts, rows = plain(docs, key=key, text=text), None
+    if similarity is None:
+        rows = fingerprints(docs, key, text, shingle)
+    else:
+        texts = ws.write(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+    rows, of, named = _named(texts, rows, F.min("key"), distance, shingle, similarity, ws)
     least = ws.write(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     placed = ws.write(named.join(least, "root").select(*of, "component_id"), "placed")
     return rows.join(placed, of, "left").select(F.col("key").alias(key), F.lower(F.hex("code")).alias("fingerprint"), "component_id")
@@ -437,10 +447,20 @@ def near_duplicates(
 def one_of_each(
     docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 4, similarity: float | None = None
 ) -> DataFrame:
-    """The documents whose key names their component, all columns; one row where the key repeats.
+    """One row of each component, all columns: the one with the smallest key, NULL last, and the smallest row id.
 
-    Of rows with NULL keys only those survive whose whole component has none, one row in all.
+    Rows are told apart by an id that is written with them, so rows that share a key, or have none, are
+    documents of their own.
     """
-    found = near_duplicates(docs, key, text, distance, shingle, similarity)
-    kept = found.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key])
+    ws = workspace(docs.sparkSession, "simhash")
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    docs = ws.write(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    texts, rows = plain(docs, row=name, key=key, text=text), None
+    if similarity is None:
+        rows = fingerprints(texts, "row", "text", shingle).withColumnRenamed("key", "row").join(texts.select("row", "key"), "row")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    _, _, named = _named(texts, rows, first, distance, shingle, similarity, ws)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(name))
+    return docs.join(kept, name, "left_semi").drop(name)
