@@ -80,13 +80,14 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: np.ndarr
 class FragmentEncoder:
     """Ids of whole texts by way of their distinct fragments.
 
-    ``encode`` maps a list of fragments (bytes, valid UTF-8) to their ids. ``dtype`` holds any id.
+    ``encode`` maps a list of fragments (bytes, valid UTF-8) to their ids, or to the bytes of an array of them.
+    ``dtype`` holds any id.
     ``cut`` marks the certain cuts of a byte array.
     """
 
     def __init__(
         self,
-        encode: Callable[[list[bytes]], list[Sequence[int]]],
+        encode: Callable[[list[bytes]], list[Sequence[int] | bytes]],
         dtype: type = np.uint16,
         cut: Callable[[np.ndarray], np.ndarray] = certain_cuts,
     ):
@@ -99,7 +100,7 @@ class FragmentEncoder:
         got = [self.known.get(f) for f in fragments]
         missing = [f for f, g in zip(fragments, got) if g is None]
         if missing:
-            new = {f: np.asarray(x, self.dtype).tobytes() for f, x in zip(missing, self.encode(missing))}
+            new = {f: x if isinstance(x, bytes) else np.array(x, self.dtype).tobytes() for f, x in zip(missing, self.encode(missing))}
             got = [new[f] if g is None else g for f, g in zip(fragments, got)]
             self.known.update((f, x) for f, x in new.items() if len(f) <= 64)
         return got
@@ -168,13 +169,13 @@ def _json_encoder(path: str) -> FragmentEncoder:
     width = np.zeros(size, np.int64)  # bytes a token covers: one letter of the byte alphabet each
     for word, k in words.items():
         width[k] = len(word.removesuffix("</w>"))
-    ends = any(w.endswith("</w>") for w in words)
+    ends, kind = any(w.endswith("</w>") for w in words), id_type(size)
 
     def apart(fragments: list[bytes]) -> list[Sequence[int]]:
         texts = [f.decode() for f in fragments]
         return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(fragments: list[bytes]) -> list[Sequence[int]] | None:
+    def joined(fragments: list[bytes]) -> list[bytes] | None:
         """One call for all; the ids are dealt out by the bytes they cover. None if that doesn't work out."""
         text = b"".join(fragments).decode()
         if ends:
@@ -188,11 +189,12 @@ def _json_encoder(path: str) -> FragmentEncoder:
         cut = np.searchsorted(at, want)
         if (at[cut] != want).any():
             return None
-        return np.split(ids, cut[:-1] + 1)
+        raw, stop = ids.astype(kind).tobytes(), ((cut + 1) * kind().itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop)]
 
-    def encode(fragments: list[bytes]) -> list[Sequence[int]]:
+    def encode(fragments: list[bytes]) -> list[Sequence[int] | bytes]:
         one = [k for k, f in enumerate(fragments) if SPACE[f[0]] and not SPACE[f[-1]] and b"<|" not in f]
-        out: list[Sequence[int]] = [()] * len(fragments)
+        out: list[Sequence[int] | bytes] = [()] * len(fragments)
         for a in range(0, len(one), JOINED):
             own = [fragments[k] for k in one[a : a + JOINED]]
             for k, ids in zip(one[a : a + JOINED], joined(own) or apart(own)):
@@ -202,4 +204,4 @@ def _json_encoder(path: str) -> FragmentEncoder:
             out[k] = ids
         return out
 
-    return FragmentEncoder(encode, id_type(size))
+    return FragmentEncoder(encode, kind)

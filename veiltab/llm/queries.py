@@ -8,15 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veiltab.llm import bpe, decontaminate, importance, quality_rules, reply_trees, simhash, suffix_tree, token_counts, token_files, warc
+from veiltab.llm import (
+    align, bpe, decontaminate, hard_negatives, importance, packing, quality_rules, reply_trees, simhash, suffix_tree, token_counts, token_files, warc,
+)
 from veiltab.llm.shared import folder, table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 1024
 END_ID = 2
+PACK_END_ID = 1
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -196,3 +199,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 5 * n_lines OR 10 * n_shouted > 4 * n_words) AS kept
 FROM f
 """
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES)
+    return align.align(table(spark, sf_dir, "documents"), *paths)[0].withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.floor(256 * x)))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("embedding", whole), F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+"""
+
+
+@query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = workspace(spark, "packing")
+    own, places = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), PACK_END_ID, ws)
+    return packing.checksums(own).join(places, "item").select(
+        F.col("key").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+        "sequence_id", F.col("offset").cast("long").alias("offset"),
+    )
