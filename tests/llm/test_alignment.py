@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 from collections import Counter, defaultdict
+from functools import cache
 
 import pytest
 import public_tokenizers
@@ -25,12 +26,18 @@ RANKS = {int(k): base64.b64decode(t) for t, k in map(bytes.split, open(public_to
 ODD = ["a", "B", "é", " ", " ", "\n", "\t", "'s", "'", "0", "12", ".", "<|endoftext|>", "<s>", "</s>", "<unk>", "<0x41>", "▁", " ", "　", "\u0085", "漢", "😀", " the", "\x00", "qx", "ﬁ"]
 
 
+@cache
 def tools():
     a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
     return a, sentencepiece.SentencePieceProcessor(model_file=B)
 
 
+@cache
+def aligner():
+    return align.Aligner(A, B)
+
+
 def plain_groups(text, a, b):
     """[(ids of A, ids of B)] by sets of end offsets, or [] where the bytes differ."""
     if not text:
@@ -75,8 +82,7 @@ def plain_measures(texts):
 @given(texts=st.lists(st.one_of(st.lists(st.sampled_from(ODD), max_size=30).map("".join), st.text(max_size=20)), max_size=6))
 def test_fragments_align_as_whole_texts(texts):
     a, b = tools()
-    own = align.Aligner(A, B)
-    found, groups, row, pair, times = own.rows(*column_bytes(pa.array(texts, pa.string())))
+    found, groups, row, pair, times = aligner().rows(*column_bytes(pa.array(texts, pa.string())))
     want = [plain_groups(t, a, b) for t in texts]
     assert ["" if g is None else g.decode() for g in groups] == [shown(g) for g in want]
     assert found.tolist() == [[sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g)] for g in want]
