@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from veiltab import TableSynthesizer
 from veiltab.operators import measure as ms
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
-from veiltab.operators.edits import Edits, expand_operators, mixed_weights, to_state, update_weights
+from veiltab.operators.edits import Edits, expand_operators, mixed_weights, slots_of, to_state, update_weights
 from veiltab.operators.marginals import Marginals, column_sets
+from veiltab.operators.matching import deal, ranked, tree_edges
 from veiltab.operators.modules import Chain, Covariance, NullCounts, SparseCounts
+from veiltab.operators.sampling import resample
 from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.synthesizer import fit_dp_adaptive, fit_zcdp
 
@@ -36,11 +38,12 @@ def test_rounds_never_get_worse_and_reach_a_small_distance(spark):
     m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
     chain = Chain([m])
     targets = ms.measure_all(chain, df, 2000, 1e6, "s", "r")
-    g = Generator(m, 2000, "s", rounds=40, stop_threshold=0.05, stop_window=3, min_rounds=5)
+    g = Generator(m, 2000, "s", rounds=12, stop_threshold=0.05, stop_window=3, min_rounds=5)
     fitted = g.fit(targets)
     history = [f for r, f in sorted({(r[0], r[1]) for r in fitted.log})]
     assert all(b <= a for a, b in zip(history, history[1:]))
-    assert history[-1] <= 0.02 * history[0]
+    random = Generator(m, 2000, "s", rounds=0, from_tree=False).fit(targets).log[0][1]
+    assert history[-1] <= 0.02 * random
     out = fitted.table.persist()
     assert out.count() == 2000 and out.select("row_id").distinct().count() == 2000
     assert out.where("a not in (0,1,2) or b not in (0,1) or o < 0 or o > 9 or x < 0 or x > 1").count() == 0
@@ -67,9 +70,33 @@ def test_lacking_cells(spark):
         ((w[0, 0].workload_id << m.shift) + 2 * 11 + 10, 0.5), ((w[1, 0].workload_id << m.shift) + 1, 0.25),
         ((w[2, 0].workload_id << m.shift) + (1 * 2 + 0) * 16 + 5, 0.3), ((w[2, 1].workload_id << m.shift) + 1, 0.9), (3, -0.4),
     ]
-    got = e.lacking(spark.createDataFrame(rows, "key long, r double"))
+    residuals = spark.createDataFrame(rows, "key long, r double")
+    got = {(r["f1"], r["i1"], r["f2"], r["i2"]): r["lack"] for r in e.lacking_cells(residuals).collect()}
     third = 0.3 / 3
-    assert got == [(0, 2, 2, 10, 0.5), (0, 1, 1, 0, third), (0, 1, 3, 5, third), (1, 0, 3, 5, third), (1, 1, -1, -1, 0.25)]
+    assert got == {(0, 2, 2, 10): 0.5, (0, 1, 1, 0): third, (0, 1, 3, 5): third, (1, 0, 3, 5): third, (1, 1, -1, -1): 0.25}
+    slots = e.lacking(residuals)
+    assert slots.count == 10 and [r["slot"] for r in slots.table.orderBy("slot").collect()] == list(range(10))
+    assert e.lacking(residuals.where("r < 0")).count == 0
+
+
+def test_slots_of_many_cells_in_proportion(spark):
+    """Thousands of cells in several buckets: every slot has one cell, and a cell its share of them to less than one."""
+    cells = spark.range(5000).selectExpr("0 as f1", "cast(id as int) as i1", "-1 as f2", "-1 as i2", "1 + pmod(xxhash64(id), 1000) as w", "id as key")
+    slots = slots_of(cells, ["key"], F.expr("cast(key / 700 as int)"), 12_345, 0.37)
+    rows = slots.table.collect()
+    assert sorted(r["slot"] for r in rows) == list(range(12_345))
+    weight = {r["i1"]: r["w"] for r in cells.collect()}
+    total, got = sum(weight.values()), {}
+    for r in rows:
+        got[r["i1"]] = got.get(r["i1"], 0) + 1
+    assert all(abs(got.get(i, 0) - 12_345 * w / total) < 1 for i, w in weight.items())
+    order = [r["i1"] for r in sorted(rows, key=lambda r: r["slot"])]
+    assert order == sorted(order)
+
+
+def offered(spark, *cells):
+    frame = spark.createDataFrame([(*c, 1, i) for i, c in enumerate(cells)], "f1 int, i1 int, f2 int, i2 int, w long, key long")
+    return slots_of(frame, ["key"], F.lit(0), 4 * len(cells), 0.5)
 
 
 def test_guided_edits_without_given_edges(spark):
@@ -78,10 +105,33 @@ def test_guided_edits_without_given_edges(spark):
     m = Marginals(d, [("x", "c")], 3)
     rows = spark.range(40).select(F.col("id").alias("row_id"), F.lit(0.05).alias("x"), F.lit(0).alias("c"))
     e = Edits(m, 40, ["fill"], "s")
-    p = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), [(0, 5, 1, 1, 1.0)])
+    p = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), offered(spark, (0, 5, 1, 1)))
     assert p.where("c1 = 0 and y1 = 5 and x1 >= 5 / 7D and x1 < 6 / 7D and c2 = 1 and y2 = 1").count() == 40
-    drawn = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), [(0, 0, -1, -1, 1.0)])
+    drawn = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), offered(spark, (0, 0, -1, -1)))
     assert drawn.where("x1 is null or x1 >= 1 / 7D").count() == 0
+    none = e.propose(e.pairs(to_state(rows, d, 3), 1), 1, [1.0], e.grid({}), None)
+    assert none.where("c1 is not null").count() == 0 and none.count() == 40
+
+
+def test_rows_are_dealt_evenly_over_slots(spark):
+    """4,000 rows, 3,000 of them dealt out over 500 cells: none is crowded, none is left out."""
+    d = Domain((Column("c", CATEGORICAL, 500),))
+    m = Marginals(d, [("c",)], 1)
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.lit(0).alias("c"))
+    e = Edits(m, 4000, ["fill"], "s")
+    p = e.propose(e.pairs(to_state(rows, d, 1), 1), 1, [1.0], e.grid({}), offered(spark, *[(0, i, -1, -1) for i in range(500)]))
+    got = [r["count"] for r in p.groupBy("y1").count().collect()]
+    assert len(got) == 500 and min(got) >= 6 and max(got) <= 10
+
+
+def test_quantiles_of_a_column_with_very_many_bins(spark):
+    """8,192 bins are counted in runs of two; the quantiles still reach from end to end."""
+    d = Domain((Column("x", CONTINUOUS, edges=linspace(0, 1, 8193)), Column("o", ORDINAL, 10_000)))
+    df = spark.range(40_000).selectExpr("id as row_id", "(id + 0.5D) / 40000 as x", "id div 4 as o")
+    e = Edits(Marginals(d, [("x",)], 1), 40_000, ["continuous"], "s")
+    q = e.quantiles(to_state(df, d, 1))
+    assert all(abs(v - k / 31) < 1e-3 for k, v in enumerate(q[0][1:-1]))
+    assert all(abs(v - 10_000 * k / 31) < 4 for k, v in enumerate(q[1][1:-1]))
 
 
 def test_quantiles_do_not_depend_on_partitions(spark):
@@ -94,6 +144,89 @@ def test_quantiles_do_not_depend_on_partitions(spark):
     assert all(a <= b for a, b in zip(x, x[1:])) and max(found[0][2][1:-1]) <= 9.0
 
 
+def test_systematic_resampling(spark):
+    rows = spark.range(500).selectExpr("id as source", "id * 2 as x")
+    for n in (2000, 500, 123, 1777):
+        got = resample(rows, n, "seed", ["source"]).collect()
+        assert sorted(r["row_id"] for r in got) == list(range(n))
+        times = {}
+        for r in got:
+            times.setdefault(r["source"], set()).add(r["_copy"])
+        assert {len(t) for t in times.values()} <= {n // 500, -(-n // 500)} and all(t == set(range(len(t))) for t in times.values())
+    again = resample(rows.repartition(7), 1777, "seed", ["source"]).select("row_id", "source").collect()
+    assert sorted(map(tuple, again)) == sorted((r["row_id"], r["source"]) for r in got)
+    with pytest.raises(ValueError):
+        resample(rows.limit(0), 10, "seed", ["source"])
+
+
+@pytest.mark.parametrize("given", [500, 3000])
+def test_a_start_table_of_another_size(spark, given):
+    """It is resampled: the result has n_rows rows, and the distance is theirs."""
+    df = table(spark, 2000).persist()
+    m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
+    targets = ms.measure_all(Chain([m]), df, 2000, 1e6, "s", "r")
+    start = table(spark, given).withColumn("row_id", F.monotonically_increasing_id())
+    fitted = Generator(m, 2000, "s", rounds=2).fit(targets, start)
+    out = fitted.table.persist()
+    assert out.count() == 2000 and sorted(r[0] for r in out.select("row_id").collect()) == list(range(2000))
+    direct = ms.fitness(targets, Chain([m]).stats(out, 2000)).first()["fitness"]
+    assert abs(direct - fitted.log[-1][1]) < 1e-9 and fitted.log[0][1] < 0.05
+
+
+def test_dealt_counts(spark):
+    """Every group meets its weights to less than one row; a group without weight has none."""
+    rows = spark.range(3000).selectExpr("id as row_id", "cast(id % 3 as int) as part")
+    cells = spark.createDataFrame([(0, c, 10 + c) for c in range(40)] + [(1, 7, 1)] + [(2, 5, 0)], "g int, c int, w long")
+    got = deal(ranked(rows, "part", 3000, "s", "t"), cells, "bin").collect()
+    assert len(got) == 3000
+    counts = {}
+    for r in got:
+        counts[r["part"], r["bin"]] = counts.get((r["part"], r["bin"]), 0) + 1
+    total = sum(10 + c for c in range(40))
+    assert all(abs(counts[0, c] - 1000 * (10 + c) / total) < 1 for c in range(40))
+    assert counts[1, 7] == 1000 and counts[2, None] == 1000
+
+
+def test_tree_of_most_information():
+    pairs = [(0.5, 0, 0, 1), (0.9, 1, 1, 2), (0.7, 2, 0, 2), (0.2, 3, 3, 4)]
+    assert tree_edges(pairs, 6) == [(None, 0, 2), (0, 2, 2), (2, 1, 1), (None, 3, 3), (3, 4, 3), (None, 5, -1)]
+
+
+def test_start_table_along_the_tree(spark):
+    """Pairs on the tree are met at once, and the search starts far below a random table."""
+    df = table(spark, 4000).persist()
+    m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
+    chain = Chain([m])
+    targets = ms.measure_all(chain, df, 4000, 1e6, "s", "r").persist()
+    tree = Generator(m, 4000, "s", rounds=0).fit(targets)
+    free = Generator(m, 4000, "s", rounds=0, from_tree=False).fit(targets)
+    assert tree.log[0][1] < 0.15 * free.log[0][1]
+    out = tree.table.persist()
+    assert out.count() == 4000 and out.where("a not in (0,1,2) or o < 0 or o > 9 or x < 0 or x > 1").count() == 0
+    direct = ms.fitness(targets, chain.stats(out, 4000)).first()["fitness"]
+    assert abs(direct - tree.log[-1][1]) < 1e-9
+
+
+def test_finer_and_finer_rows(spark):
+    """Few rows that stand for many, then more: the distance is the one of the rows at the end."""
+    df = table(spark, 6000).persist()
+    m = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3)
+    chain = Chain([m])
+    targets = ms.measure_all(chain, df, 6000, 1e6, "s", "r").persist()
+    g = Generator(m, 6001, "s", rounds=7, first_rows=500, finer=3, from_tree=False, finer_below=0.9)
+    assert g.sizes() == [666, 2000, 6001]
+    fitted = g.fit(targets)
+    out = fitted.table.persist()
+    assert out.count() == 6001 and out.select("row_id").distinct().count() == 6001
+    sizes = [r[8] for r in fitted.log]
+    assert sizes == sorted(sizes) and len({*sizes}) > 1
+    state = to_state(out, DOMAIN, 3)
+    assert state.where("exists(b, x -> x < 0)").count() == 0
+    if fitted.log[-1][8] == 6001:
+        direct = ms.fitness(targets, chain.stats(out, 6001)).first()["fitness"]
+        assert abs(direct - fitted.log[-1][1]) < 1e-9
+
+
 MIXED = Domain(
     (
         Column("a", CATEGORICAL, 3), Column("o", ORDINAL, 10, has_nulls=True),

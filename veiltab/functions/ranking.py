@@ -48,3 +48,18 @@ def with_position(
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
         .drop("_bucket", "_local", "_offset", *[f"_{k}_at" for k in keys])
     )
+
+
+def with_running_sum(df: DataFrame, value: str, order: list, bucket: Column, out: str = "upto") -> DataFrame:
+    """Add the sum of the whole numbers ``value`` over all rows up to and with each row, in ``order``.
+
+    ``bucket`` must not decrease along ``order``: sums per bucket are added up first, so each bucket is
+    summed by a task of its own.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    before = W.orderBy("_bucket_at").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy(F.col("_bucket").alias("_bucket_at")).agg(F.sum(value).alias("_sum"))  # a row per bucket
+    offsets = sums.select("_bucket_at", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    local = F.sum(value).over(W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    joined = cut.withColumn("_local", local).join(offsets, F.col("_bucket") == F.col("_bucket_at"))
+    return joined.withColumn(out, (F.col("_local") + F.col("_offset")).cast("long")).drop("_bucket", "_local", "_offset", "_bucket_at")

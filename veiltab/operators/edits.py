@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +21,18 @@ from pyspark.sql import functions as F
 from veiltab.functions.bins import bin_table
 from veiltab.functions.hashing import fast_uniform_sql
 from veiltab.functions.literals import array_sql, small_table
+from veiltab.functions.ranking import with_running_sum
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import Marginals, StatModule
+from veiltab.operators.sampling import spread, start_of
 from veiltab.session import lookup, small_side
 
 MUTATE, FILL, QUANTILE, SWAP, COPY1, COPY2 = "mutate", "fill", "continuous", "swap", "cross1", "cross2"
-FILL_CELLS = 2048  # cells that lack most rows and are offered to guided edits in a round
-GRID_VALUES = 4096  # values of a wide ordinal column that quantiles tell apart
+GRID_VALUES = 4096  # runs of bins of a wide column that quantiles tell apart
+SLOTS_PER_CELL = 2  # of the table that guided draws look up
+SHARE_BITS = 40  # of the whole-number weight of a share of the rows
+CELLS_PER_BUCKET = 50_000
+GOLDEN = 0.6180339887498949
 QUANTILE_POINTS = 32
 ROWS_PER_TASK = 100_000
 SLOTS = 1000
@@ -71,6 +78,24 @@ def to_state(table: DataFrame, domain: Domain, depth: int) -> DataFrame:
     )
 
 
+def values_inside(edits: Edits, tag: str, keep: str = "false") -> str:
+    """SQL text of values drawn inside the bins b of a row, or its own v where ``keep`` holds."""
+    drawn = fast_uniform_sql(f"{edits.seed}|{edits.run}|{tag}", "spread", "row_id", "c")
+    inside = edits._inside("c", "get(b, c)", drawn)
+    own = inside if keep == "false" else f"if({keep}, get(v, c), {inside})"
+    return f"transform(sequence(0, {len(edits.domain.columns) - 1}), c -> {own}) as v"
+
+
+def spread_state(state: DataFrame, rows: int, n: int, edits: Edits, tag: str) -> DataFrame:
+    """A state of n rows from one of ``rows`` with ids 0..rows-1: every row stands for as many copies.
+
+    Copies keep the bins, so shares stay as they were (to less than 1 / n a row); but for the first they get
+    values of their own inside those bins.
+    """
+    copies = spread(state.withColumnRenamed("row_id", "_at"), rows, n, start_of(f"{edits.seed}|{tag}", rows))
+    return copies.selectExpr("row_id", values_inside(edits, tag, "_copy = 0"), "b")
+
+
 def from_state(state: DataFrame, domain: Domain) -> DataFrame:
     kind = {CATEGORICAL: "int", ORDINAL: "long"}
     cols = [
@@ -127,6 +152,34 @@ class Targets:
         return cells
 
 
+@dataclass
+class Slots:
+    """Cells that lack rows as a table (slot, f1, i1, f2, i2): two columns and their bins, -1 for no second one.
+
+    A cell holds as many of the ``count`` slots as its share of what is lacking says, give or take one.
+    """
+
+    table: DataFrame
+    count: int
+
+
+def slots_of(cells: DataFrame, order: list[str], bucket: C, count: int, offset: float, total: int | None = None) -> Slots:
+    """Slots of cells (f1, i1, f2, i2, w and the columns of ``order``) in proportion to the whole numbers w.
+
+    Running sums over w cut [0, total) among the cells; slot k belongs to the cell that holds the point
+    (k + offset) * total / count. ``bucket`` does not decrease along ``order``.
+    """
+    total = total or cells.agg(F.sum("w")).first()[0]
+    if not total:
+        return Slots(cells.select(F.lit(0).cast("long").alias("slot"), "f1", "i1", "f2", "i2").limit(0), 0)
+    shift = int(offset * total)
+    summed = with_running_sum(cells, "w", order, bucket)
+    # the first slot whose point is not below x, in whole numbers
+    low, high = (f"greatest(0L, (cast({x} as decimal(38,0)) * {count} - {shift} + {total - 1}) div {total})" for x in ("upto - w", "upto"))
+    each = summed.selectExpr("f1", "i1", "f2", "i2", f"{low} as low", f"least({high}, {count}L) as high").where("low < high")
+    return Slots(each.selectExpr("explode(sequence(low, high - 1)) as slot", "f1", "i1", "f2", "i2"), count)
+
+
 class Edits:
     """Proposals and scores for one measurement target over a set of marginals and other modules."""
 
@@ -166,7 +219,7 @@ class Edits:
         """Per column 0, 32 quantiles of the current table and the size.
 
         They are read off the counts of the finest bins, evenly filled: whole numbers, so the same with
-        any partitioning. Wide ordinal columns are counted in GRID_VALUES steps.
+        any partitioning. Columns with more than GRID_VALUES bins are counted in that many equal runs of bins.
         """
         cols, depth = self.domain.columns, self.marginals.depth
         steps = [max(1, -(-c.finest(depth) // GRID_VALUES)) if c.numeric else 0 for c in cols]
@@ -182,7 +235,11 @@ class Edits:
         return self.grid({i: self._quantiles_of(cols[i], counts, steps[i]) for i, counts in found.items()})
 
     def _quantiles_of(self, c, counts: dict[int, int], step: int) -> list[float]:
-        left = (lambda b: float(b * step)) if self._direct(c) else c.bin_edges(self.marginals.depth).__getitem__
+        if self._direct(c):
+            left = lambda b: float(b * step)
+        else:
+            edges = c.bin_edges(self.marginals.depth)
+            left = lambda b: edges[min(b * step, len(edges) - 1)]
         total, before, out = sum(counts.values()), 0, []
         points = [total * k / (QUANTILE_POINTS - 1) for k in range(QUANTILE_POINTS)]
         for b, n in sorted(counts.items()):
@@ -196,27 +253,32 @@ class Edits:
         """Quantile lists of all columns, 0 where nothing was found."""
         return [[0.0, *(found.get(i) or [0.0] * QUANTILE_POINTS), float(c.size)] for i, c in enumerate(self.domain.columns)]
 
-    def lacking(self, residuals: DataFrame) -> list[tuple[int, int, int, int, float]]:
-        """(column, bin, column, bin, rows' share) of the finest cells that lack most; -1 for no second column.
+    def lacking_cells(self, residuals: DataFrame) -> DataFrame:
+        """(key, f1, i1, f2, i2, lack): all finest cells that lack rows, by their share; f2 is -1 for no second column.
 
         Cells of larger sets are offered by each pair of their columns.
         """
-        m = self.marginals
-        base = {w.workload_id: w for w in m.workloads if w.level == 0}
-        finest = small_table(residuals.sparkSession, [(k,) for k in base], "workload_id int")
-        rows = (
-            residuals.where("r > 0").withColumn("workload_id", F.shiftright("key", m.shift).cast("int"))
-            .join(F.broadcast(finest), "workload_id", "left_semi").orderBy(F.desc("r"), "key").limit(FILL_CELLS)
+        m, rows = self.marginals, []
+        for w in (w for w in m.workloads if w.level == 0):
+            strides = [math.prod(d.width for d in w.dims[i + 1:]) for i in range(len(w.dims))]
+            dims = [(d.pos, stride, d.width) for d, stride in zip(w.dims, strides)]
+            pairs = list(itertools.combinations(dims, 2)) or [(dims[0], (-1, 1, 1))]
+            rows += [(w.workload_id, *one, *two, len(pairs)) for one, two in pairs]
+        offered = small_table(residuals.sparkSession, rows, "workload_id int, f1 int, s1 long, n1 long, f2 int, s2 long, n2 long, parts int")
+        short = residuals.where("r > 0").selectExpr(
+            "key", "r", f"cast(shiftright(key, {m.shift}) as int) as workload_id", f"key & {(1 << m.shift) - 1}L as cell"
         )
-        out = []
-        for row in rows.collect():
-            dims, cell, bins = base[row["workload_id"]].dims, row["key"] & ((1 << m.shift) - 1), []
-            for d in reversed(dims):
-                cell, b = divmod(cell, d.width)
-                bins.append((d.pos, b))
-            pairs = list(itertools.combinations(bins[::-1], 2)) or [(bins[0], (-1, -1))]
-            out += [(*one, *two, row["r"] / len(pairs)) for one, two in pairs]
-        return out
+        return short.join(small_side(offered, len(rows), 128), "workload_id").selectExpr(
+            "key", "f1", "cast(cell div s1 % n1 as int) as i1", "f2", "if(f2 < 0, -1, cast(cell div s2 % n2 as int)) as i2", "r / parts as lack"
+        )
+
+    def lacking(self, residuals: DataFrame, round_no: int = 0) -> Slots:
+        """Slots of all cells that lack rows, in proportion to what they lack."""
+        cells = self.lacking_cells(residuals).selectExpr("*", f"greatest(1L, cast(lack * {float(1 << SHARE_BITS)!r}D as bigint)) as w")
+        of = cells.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.max("key").alias("top")).first()
+        buckets = max(1, of["n"] // CELLS_PER_BUCKET)
+        bucket = F.expr(f"cast(key / {(of['top'] or 0) + 1}D * {buckets} as int)")
+        return slots_of(cells, ["key", "f1", "f2"], bucket, SLOTS_PER_CELL * of["n"], (round_no * GOLDEN) % 1.0, of["total"])
 
     def partitions(self, spark: SparkSession) -> int:
         """Tasks of a round. Scoring multiplies the rows, so bytes on the way in say too little."""
@@ -243,13 +305,14 @@ class Edits:
 
     def propose(
         self, pairs: DataFrame, round_no: int, weights: list[float], quantiles: list[list[float]],
-        lacking: list[tuple[int, int, int, int, float]] = (),
+        lacking: Slots | None = None,
     ) -> DataFrame:
         """Adds op, edited columns c1/c2, their new values x1/x2 and bins y1/y2.
 
         Each row gets ``candidates`` proposals. The operator is drawn per pair, as both rows of a
         swap must agree; a row without a partner has nothing to swap or copy. A guided edit puts the
-        row into one of the ``lacking`` cells, drawn in proportion to what it lacks.
+        row into a cell of the ``lacking`` slots. Rows are dealt out over the slots by the golden ratio
+        times their number, which pairs any run of rows evenly with the slots, so no cell is crowded.
         """
         d, (base, u) = self.domain, self._draws(round_no)
         by_weight = [i for i, c in enumerate(d.columns) for _ in range(c.weight)]
@@ -262,9 +325,8 @@ class Edits:
         slots, code = self.operator_slots(weights), self.code
         pairwise = f"({code[SWAP]}, {code[COPY1]}, {code[COPY2]})"
         borrowed = f"op in {pairwise}"
-        fill = code[FILL] >= 0
-        cells = list(lacking) or [(-1, -1, -1, -1, 1.0)]
-        cell = [f"nullif(get({array_sql([x[k] for x in cells])}, slot), -1)" for k in range(4)]
+        fill = code[FILL] >= 0 and lacking is not None and lacking.count > 0
+        cell = ["f1", "i1", "nullif(f2, -1)", "nullif(i2, -1)"]
         second = f"when op = {code[FILL]} then {cell[2]} " if fill else ""
         df = (
             pairs.selectExpr("pair_id", "m", "posexplode(m) as (side, me)")
@@ -280,8 +342,9 @@ class Edits:
             .selectExpr("* except (op0)", f"if(op0 in {pairwise} and pv is null, null, op0) as op")
         )
         if fill:
-            df = df.selectExpr("*", f"{u('fill.cell', 'row_id')} as uf", f"{u('fill.in', 'row_id')} as ub2")
-            df = df.selectExpr("* except (uf)", f"{self._slot_of('uf', [x[4] for x in cells])} as slot")
+            df = df.selectExpr("*", f"{self._even(u, round_no)} as uf", f"{u('fill.in', 'row_id')} as ub2")
+            df = df.selectExpr("* except (uf)", f"if(op = {code[FILL]}, cast(floor(uf * {lacking.count}) as bigint), null) as slot")
+            df = lookup(df, lacking.table, ["slot"], lacking.count)
         df = (
             df.selectExpr(
                 "*",
@@ -289,7 +352,7 @@ class Edits:
                 + (f"when {code[FILL]} then {cell[0]} " if fill else "")
                 + f"when {code[QUANTILE]} then {pick(numeric, 'quantile.col', 'row_id')} "
                 f"when {code[SWAP]} then {pick(list(range(len(d.columns))), 'swap.col', 'pair_id')} "
-                f"else if(op is null, null, {pick(cats, 'copy.col1', 'row_id')}) end as c1",
+                f"else if(op is null or op = {code[FILL]}, null, {pick(cats, 'copy.col1', 'row_id')}) end as c1",
                 f"case when op = {code[COPY2]} then {pick(cats, 'copy.col2', 'row_id')} {second}end as c2_",
                 f"{u('value.bin', 'row_id')} as ua",
                 f"{u('value.in', 'row_id')} as ub",
@@ -298,7 +361,7 @@ class Edits:
             .selectExpr("*", *self._bin_choice(cell[1] if fill else None))
         )
         if fill:
-            df = df.selectExpr("* except (slot)", f"{cell[3]} as i2")
+            df = df.selectExpr("* except (slot, f1, i1, f2, i2)", f"{cell[3]} as i2")
             x2 = f"if(op = {code[FILL]}, {self._inside('c2', 'i2', 'ub2')}, get(pv, c2)) as x2"
         else:
             x2 = "get(pv, c2) as x2"
@@ -314,18 +377,11 @@ class Edits:
         df = df.drop("ua", "ub", "pv", "pb", "at", "h_row_id", "h_pair_id")
         return df.selectExpr("*", f"{self._level_mask('c1', 'y1')} as m1", f"{self._level_mask('c2', 'y2')} as m2")
 
-    @staticmethod
-    def _slot_of(u: str, weights: list[float]) -> str:
-        """Number drawn with the given weights, by binary search in their running sum."""
-        total, acc, upto = sum(weights), 0.0, []
-        for w in weights[:-1]:
-            acc += w
-            upto.append(acc / total)
-        if not upto:
-            return "0"
-        top = 1 << (len(upto).bit_length() - 1)
-        steps = array_sql([top >> i for i in range(top.bit_length())])
-        return f"aggregate({steps}, 0, (at, s) -> if(at + s <= {len(upto)} and {u} >= get({array_sql(upto)}, at + s - 1), at + s, at))"
+    def _even(self, u: Callable[[str, str], str], round_no: int) -> str:
+        """Where a row meets the slots, in [0, 1): an exact draw for checks, else evenly spread over the rows."""
+        if self.draw is not fast_uniform_sql:
+            return u("fill.cell", "row_id")
+        return f"pmod((row_id * {self.candidates}L + cand) * {GOLDEN!r}D + {(round_no * 0.7548776662466927) % 1.0!r}D, 1D)"
 
     @property
     def _all_levels(self) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column as C
@@ -94,6 +95,43 @@ def sample_n(df: DataFrame, n: int, seed, key: list[str], replace: bool | None =
     )
 
 
+def systematic_copies(rows: int, n: int, offset: int) -> tuple[C, C]:
+    """First new position and number of copies of the row at position ``_at`` when ``rows`` rows become ``n``.
+
+    The copies of all rows are consecutive numbers from 0 to n - 1, and two rows differ by one copy at most.
+    """
+    if rows * (n + 1) >= 1 << 63:
+        raise ValueError(f"{rows} rows times {n} do not fit a long")
+    first = F.expr(f"(_at * {n}L + {offset}L) div {rows}L")
+    return first, F.expr(f"((_at + 1L) * {n}L + {offset}L) div {rows}L") - first
+
+
+def resample(df: DataFrame, n: int, seed, key: list[str], out: str = "row_id", rows: int | None = None) -> DataFrame:
+    """Exactly n rows by systematic resampling, with new ids 0..n-1 in ``out``; ``_copy`` numbers a row's copies from 0.
+
+    Rows are taken in hash order, by one running position over evenly filled hash buckets; every row comes
+    floor(n / rows) or one more times, so shares move by less than 1 / n each. An empty table cannot be resampled.
+    """
+    rows = df.count() if rows is None else rows
+    if not rows:
+        raise ValueError("an empty table cannot be resampled")
+    placed = shuffled(df, seed, "resample", key, rows, out="_at")
+    return spread(placed, rows, n, start_of(seed, rows), out)
+
+
+def start_of(seed, rows: int) -> int:
+    """Where the systematic sample begins, a whole number below ``rows``."""
+    return int(hashlib.md5(f"{seed}|resample.start".encode()).hexdigest()[:13], 16) * rows >> 52
+
+
+def spread(placed: DataFrame, rows: int, n: int, offset: int, out: str = "row_id") -> DataFrame:
+    """``resample`` of rows whose positions 0..rows-1 are in ``_at``."""
+    first, times = systematic_copies(rows, n, offset)
+    counted = placed.withColumn("_first", first).withColumn("_times", times.cast("int")).where("_times > 0")
+    copies = counted.withColumn("_copy", F.explode(F.expr("sequence(0, _times - 1)")))
+    return copies.withColumn(out, F.col("_first") + F.col("_copy")).drop("_at", "_first", "_times")
+
+
 def bernoulli_split(df: DataFrame, p: float, seed, key: list[str]) -> tuple[DataFrame, DataFrame]:
     u = _u(seed, "split", key)
     return df.where(u < F.lit(p)), df.where(u >= F.lit(p))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 from pyspark.sql import functions as F
@@ -16,11 +17,12 @@ from veiltab.operators import measure as ms
 from veiltab.operators import sampling as smp
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, linspace
 from veiltab.operators.edits import (
-    COPY1, COPY2, FILL, MUTATE, QUANTILE, QUANTILE_POINTS, SWAP, Edits, to_state, update_weights,
+    COPY1, COPY2, FILL, MUTATE, QUANTILE, QUANTILE_POINTS, SWAP, Edits, slots_of, to_state, update_weights,
 )
 from veiltab.operators.histograms import quantile_grid
 from veiltab.operators.modules import Chain, Covariance, NullCounts
 from veiltab.operators.random_table import random_table
+from veiltab.operators.sampling import resample
 from veiltab.plans import oracle as sql
 from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.queries_private import (
@@ -142,13 +144,13 @@ def h2(spark, sf):
     return p.select("row_id", "c1", F.round("x1", 9).alias("x1"), "y1")
 
 
-# Cells that guided edits are offered: two columns and their bins, the second one possibly missing.
-LACKING = [
-    (FINE.position("l_returnflag"), 1, FINE.position("l_extendedprice"), 40, 0.5),
-    (FINE.position("l_quantity"), 10, FINE.position("l_discount"), 7, 0.3),
-    (FINE.position("l_linestatus"), 0, -1, -1, 0.2),
-]
-_SLOT = f"1 + CASE WHEN uf >= {sql.d(0.5)} THEN 1 ELSE 0 END + CASE WHEN uf >= {sql.d(0.8)} THEN 1 ELSE 0 END"
+# Cells that guided edits are offered, all of them: pairs of columns, weighed by the rows without flag R.
+OFFERED = list(itertools.combinations([FINE.position(n) for n in NAMES if n != "l_returnflag"], 2))
+_CELLS = " UNION ALL ".join(
+    f"SELECT {a} AS f1, b_{NAMES[a]} AS i1, {b} AS f2, b_{NAMES[b]} AS i2, count(*) AS w FROM binned WHERE b_l_returnflag < 2 GROUP BY ALL"
+    for a, b in OFFERED
+)
+_AT = "greatest(0, ({x}::HUGEINT * m - (t // 2) + t - 1) // t)"
 
 
 def _in_bin(col: str, i: str, u: str) -> str:
@@ -162,24 +164,29 @@ def _in_bin(col: str, i: str, u: str) -> str:
     return _case(out, col)
 
 
-def _lists(k: int) -> str:
-    return f"[{', '.join(str(x[k]) for x in LACKING)}][slot]"
-
-
 @query(
     "h2_guided_mutate",
-    f"WITH {CURRENT}, a AS (SELECT row_id, {sql.u(STREAM, 'fill.cell', 'row_id', '0')} AS uf, {UB} AS ub, "
-    f"{sql.u(STREAM, 'fill.in', 'row_id', '0')} AS ub2 FROM binned), s AS (SELECT *, {_SLOT} AS slot FROM a), "
-    f"p AS (SELECT *, {_lists(0)} AS c1, {_lists(1)} AS i1, nullif({_lists(2)}, -1) AS c2, {_lists(3)} AS i2 FROM s), "
+    f"WITH {CURRENT}, cells AS ({_CELLS}), r AS (SELECT *, sum(w) OVER (ORDER BY f1, f2, i1, i2) AS upto FROM cells), "
+    "tot AS (SELECT CAST(sum(w) AS HUGEINT) AS t, 2 * count(*) AS m FROM cells), "
+    f"lh AS (SELECT f1, i1, f2, i2, m, {_AT.format(x='(upto - w)')} AS low, least({_AT.format(x='upto')}, m) AS high FROM r, tot), "
+    "slots AS (SELECT f1, i1, f2, i2, m, unnest(range(low::BIGINT, high::BIGINT)) AS slot FROM lh WHERE low < high), "
+    f"a AS (SELECT row_id, {sql.u(STREAM, 'fill.cell', 'row_id', '0')} AS uf, {UB} AS ub, "
+    f"{sql.u(STREAM, 'fill.in', 'row_id', '0')} AS ub2 FROM binned), "
+    "p AS (SELECT row_id, ub, ub2, f1 AS c1, i1, f2 AS c2, i2 FROM a, tot JOIN slots ON slot = CAST(floor(uf * tot.m) AS BIGINT)), "
     f"x AS (SELECT *, {_in_bin('c1', 'i1', 'ub')} AS x1, {_in_bin('c2', 'i2', 'ub2')} AS x2 FROM p) "
     f"SELECT row_id, CAST(c1 AS INTEGER) AS c1, round(x1, 9) AS x1, CAST({_bin_of_new('x1')} AS INTEGER) AS y1, "
     f"CAST(c2 AS INTEGER) AS c2, round(x2, 9) AS x2, CAST({_bin_of_new('x2').replace('c1 =', 'c2 =')} AS INTEGER) AS y2 FROM x",
 )
 def h2_guided(spark, sf):
-    """Rows are put into cells that lack rows, drawn in proportion to what each lacks."""
+    """Rows are put into cells that lack rows, drawn from a table of slots in proportion to what each lacks."""
     t, n = current_table(spark, sf)
     e = _edits(n, [FILL])
-    p = e.propose(e.pairs(to_state(t, FINE, DEPTH), 1), 1, [1.0], e.grid({}), LACKING)
+    state = to_state(t, FINE, DEPTH)
+    pairs = [f"struct({a} as f1, get(b, {a}) as i1, {b} as f2, get(b, {b}) as i2)" for a, b in OFFERED]
+    lacking = state.where(f"get(b, {FINE.position('l_returnflag')}) < 2").selectExpr(f"inline(array({', '.join(pairs)}))")
+    cells = lacking.groupBy("f1", "i1", "f2", "i2").agg(F.count(F.lit(1)).alias("w"))
+    slots = slots_of(cells, ["f1", "f2", "i1", "i2"], F.expr(f"f1 * {len(NAMES)} + f2"), 2 * cells.count(), 0.5)
+    p = e.propose(e.pairs(state, 1), 1, [1.0], e.grid({}), slots)
     return p.select("row_id", "c1", F.round("x1", 9).alias("x1"), "y1", "c2", F.round("x2", 9).alias("x2"), "y2")
 
 
@@ -457,12 +464,37 @@ def h10_rule(spark, sf):
     return small_table(spark, out, "k int, left_over double, stops boolean")
 
 
+_START_OF = int(hashlib.md5(f"{SEED}|resample.start".encode()).hexdigest()[:13], 16)
+_RESAMPLED = " UNION ALL ".join(
+    f"SELECT '{name}' AS target, row_id, ((at * n + o) // r)::BIGINT AS low, (((at + 1) * n + o) // r)::BIGINT AS high "
+    f"FROM (SELECT at, row_id, r, o, {n} AS n FROM placed2)"
+    for name, n in (("larger", "4 * r + 7"), ("smaller", "r // 4"))
+)
+
+
+@query(
+    "h11_start_rows",
+    f"WITH placed AS (SELECT *, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS row_id FROM lineitem), "
+    "rows AS (SELECT count(*)::HUGEINT AS r FROM lineitem), "
+    f"placed2 AS (SELECT row_id, (row_number() OVER (ORDER BY {sql.u(SEED, 'resample', 'row_id')}, row_id) - 1)::HUGEINT AS at, r, "
+    f"({_START_OF}::HUGEINT * r) >> 52 AS o FROM placed, rows), sized AS ({_RESAMPLED}) "
+    "SELECT target, row_id AS source_id, unnest(range(low, high)) AS row_id FROM sized",
+)
+def h11_rows(spark, sf):
+    """A start table of another size: each row is copied as often as its place in a systematic sample says."""
+    t, rows = current_table(spark, sf)
+    t = t.select(F.col("row_id").alias("source_id"), F.col("row_id"))
+    sized = {"larger": 4 * rows + 7, "smaller": rows // 4}
+    made = [resample(t.drop("row_id"), n, SEED, ["source_id"], rows=rows).select(F.lit(name).alias("target"), "source_id", "row_id") for name, n in sized.items()]
+    return made[0].union(made[1])
+
+
 # Generation runs: as many synthetic rows as lineitem has. They end when the distance falls by less than
-# 60 % in two rounds, or after eight rounds: full searches go on for longer than a check can wait.
+# THRESHOLD in two rounds over all rows: the default rule goes on for longer than a check can wait.
 LINE_PAIRS = mg.Marginals(LINE, mg.column_sets(LINE, 2), DEPTH)
 LINE_CHAIN = Chain([LINE_PAIRS])
-STOP = {"stop_window": 2, "min_rounds": 3, "rounds": 8}
-THRESHOLD = 0.6
+STOP = {"stop_window": 2, "min_rounds": 2}
+THRESHOLD = 0.3
 
 
 def _fit(spark, sf, start=None, **kw):
