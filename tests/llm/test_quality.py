@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veiltab.llm import importance, quality_rules
-from veiltab.llm.queries import ORACLES, QUERIES, quality_target
+from veiltab.llm.queries import ORACLES, QUERIES, quality_target, toxic_rows
 from veiltab.llm.text import column_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,7 +141,11 @@ def test_good_documents_stay(spark):
     """Held-out accuracy on the larger table: clean documents stay, most bad ones go."""
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    got = importance.resample(spark.read.parquet(f"{sf}/documents.parquet"), quality_target(spark, sf))[0].join(labels, "doc_id")
+    docs, avoid = spark.read.parquet(f"{sf}/documents.parquet"), toxic_rows(spark, sf)
+    got = importance.resample(docs, quality_target(spark, sf), avoid=avoid)[0].join(labels, "doc_id")
+    learnt = importance.target_sample(avoid, "doc_id").where("fit").select(F.col("key").alias("doc_id"))
+    held = got.where("quality = 1 and toxic = 1").join(learnt, "doc_id", "left_anti")
+    assert held.agg(F.avg(F.col("selected").cast("int"))).first()[0] <= 0.3
     share = {(r["quality"], r["toxic"]): r["s"] for r in got.groupBy("quality", "toxic").agg(F.avg(F.col("selected").cast("int")).alias("s")).collect()}
     assert share[(1, 0)] > 0.99 and share[(0, 0)] < 0.1
 
@@ -150,3 +154,26 @@ def test_other_columns_survive(odd):
     kept = importance.keep_sampled(odd, odd.where("doc_id = 8").select("doc_id"))
     assert kept.columns == odd.columns
     assert kept.where("doc_id = 8").count() in (0, 2)  # repeated rows share their fate
+
+
+def test_words_of_rows_to_avoid_against_plain_counts(spark):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "Bad", "worse"] if k % 5 == 0 else ["a", "b", "c", "d"], 6)) for k in range(200)]
+    texts[:4] = ["", None, "bad " * 20_000, "a"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string")
+    avoid = spark.createDataFrame([(k, k % 10 == 0) for k in range(0, 200, 5)], "key long, fit boolean")
+    clean = spark.createDataFrame([(k, k % 2 == 0) for k in range(1, 200, 5)], "key long, fit boolean")
+    got = importance.fit_avoided(docs, avoid, clean, 0.1)
+    learn, held = [k for k in range(0, 200, 10)], [k for k in range(1, 200, 5)]
+    sets = [{*(t or "").split()} for t in texts]
+
+    def ratio(w):
+        own = sum(w in sets[k] for k in learn)
+        return max(0.0, float(np.log((own + 1) / (len(learn) / 200 * sum(w in s for s in sets) + 1)))) if own else 0.0
+
+    want = [sum(sorted((ratio(w) for w in s), reverse=True)[:3]) for s in sets]
+    scores = got.scores(*column_bytes(pa.array(texts, pa.string())))
+    assert np.allclose(scores, want, atol=1e-5)
+    assert np.isclose(got.cut, np.quantile([want[k] for k in held], 0.9, method="higher"), atol=1e-5)
+    none = importance.fit_avoided(docs, avoid.limit(0), clean, 0.1)
+    assert none.cut == float("inf") and not none.scores(*column_bytes(pa.array(texts, pa.string()))).any()

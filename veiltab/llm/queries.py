@@ -100,9 +100,14 @@ def quality_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def toxic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+
+
 @query
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.resample(table(spark, sf_dir, "documents"), quality_target(spark, sf_dir))[0]
+    target, avoid = quality_target(spark, sf_dir), toxic_rows(spark, sf_dir)
+    return importance.resample(table(spark, sf_dir, "documents"), target, avoid=avoid)[0]
 
 
 @query
