@@ -1,6 +1,5 @@
 """The pipeline's stages, each held against a plain version on its own input."""
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -9,8 +8,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as plain_scan
 from tests.llm.test_quality import features
-from veiltab.llm import importance, simhash
-from veiltab.llm.queries import quality_target
+from tests.llm.test_similar import brute
+from veiltab.llm import importance
+from veiltab.llm.queries import quality_target, toxic_rows
 from veiltab.llm.text import column_bytes
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -39,10 +39,11 @@ def test_order_and_columns(steps):
 
 def test_classifier_keeps_what_its_weights_say(spark, sf, steps):
     docs, before, _, after = steps["quality_classifier"]
-    scored, weights, least = importance.resample(docs, quality_target(spark, sf))
+    scored, weights, least = importance.resample(docs, quality_target(spark, sf), avoid=toxic_rows(spark, sf))
     keys = list(before)
     _, value = weights.rows(pa.array(keys, pa.int64()), *column_bytes(pa.array([before[k]["text"] for k in keys])))
-    assert set(after) == {k for k, v in zip(keys, value) if v >= least}
+    chosen = {r["doc_id"] for r in scored.where("selected").collect()}
+    assert set(after) == chosen and chosen <= {k for k, v in zip(keys, value) if v >= least}
     good = {r["doc_id"] for r in quality_target(spark, sf).collect()} & set(before)
     assert len(good & set(after)) >= 0.99 * len(good)
 
@@ -55,11 +56,8 @@ def test_rules_keep_what_no_rule_rejects(steps):
 def test_one_document_of_each_group_stays(steps):
     _, before, _, after = steps["near_duplicates"]
     keys = sorted(before)
-    data, bounds = column_bytes(pa.array([before[k]["text"] for k in keys]))
-    codes = simhash._fingerprint_rows(data, bounds, 5, simhash.WIDE)
-    near = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :]).sum(axis=2) <= simhash.DrawnCopies(0.8, len(keys)).distance
-    label = simhash.join_labels(np.arange(len(keys)), *np.nonzero(near))
-    # drawn copies find a pair at the limit with probability 0.99, others with more
+    label, _ = brute([before[k]["text"] for k in keys])
+    # drawn copies propose a pair at the limit with probability 0.99, others with more
     want = {keys[k] for k in range(len(keys)) if label[k] == k}
     assert want <= set(after) and len(set(after) - want) <= 0.02 * len(keys)
     texts = [r["text"] for r in after.values()]

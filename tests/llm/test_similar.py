@@ -1,9 +1,12 @@
 """Groups by similarity against the Jaccard similarity of all pairs."""
 
+import math
 import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from veiltab.llm import similar, simhash
 
@@ -71,18 +74,32 @@ def test_dense_group_of_unlike_texts(spark):
 
 def test_many_components_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(similar, "FEW_EDGES", 3)
-    monkeypatch.setattr(similar, "NEAREST", 1)
     rng = np.random.default_rng(4)
     texts = [None, "", " \n", "one", "ONE", *(t for _ in range(8) for t in template(rng, 3, 300, 8)), *template(rng, 30, 300, 40)]
     assert groups(spark, texts) == brute(texts)[0]
 
 
-@pytest.mark.parametrize("limit", [1, 3, 100])
-def test_nearest_of(limit):
-    a, b, d = np.array([2, 2, 5, 2]), np.array([1, 3, 1, 4]), np.array([9, 4, 7, 4])
-    pick, more = similar.nearest_of(a, b, d, limit)
-    assert pick.tolist() == {1: [1, 2], 3: [1, 3, 0, 2], 100: [1, 3, 0, 2]}[limit]
-    assert more.tolist() == {1: [True, False], 3: [False] * 4, 100: [False] * 4}[limit]
+@pytest.mark.parametrize("n", [100, 400])
+def test_unlike_texts_of_one_dense_group_are_not_paired_out(spark, monkeypatch, n):
+    """All pairs are at about 0.77: what is tested follows the number of texts, not of their pairs."""
+    made, real = [], similar.tested
+    monkeypatch.setattr(similar, "tested", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    texts = template(np.random.default_rng(5), n, 400, 52)
+    assert groups(spark, texts) == list(range(n)) and sum(made) <= 12 * n
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.5, 0.8, 0.9]))
+def test_rare_shingles_lose_no_pair(seed, t):
+    """The rarest shingles of two similar sets, in any common order, have one in common."""
+    rng = np.random.default_rng(seed)
+    x = {*rng.integers(0, 60, rng.integers(1, 50)).tolist()}
+    y = {*x, *rng.integers(0, 60, 5).tolist()} - {*rng.integers(0, 60, 6).tolist()}
+    if not y or len(x & y) < t * len(x | y):
+        return
+    x, y = sorted((sorted(x), sorted(y)), key=len)
+    short = x[: len(x) - math.ceil(2 * t / (1 + t) * len(x) - 1e-9) + 1]
+    assert {*short} & {*y[: len(y) - math.ceil(t * len(y) - 1e-9) + 1]} and len(x) >= t * len(y) - 1e-9
 
 
 def test_documents(spark):

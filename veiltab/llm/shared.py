@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,25 @@ from pyspark.sql import functions as F
 from veiltab.session import Workspace, shared_dir
 
 
+_open: list[Workspace] = []
+
+
 def workspace(spark: SparkSession, name: str) -> Workspace:
-    return Workspace(spark, f"llm-{name}")
+    ws = Workspace(spark, f"llm-{name}")
+    _open.append(ws)
+    return ws
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Delete the tables of all workspaces opened inside, at the end: what is read from them must be written by then."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for ws in _open[before:]:
+            ws.close()
+        del _open[before:]
 
 
 def folder(spark: SparkSession, name: str) -> str:

@@ -5,18 +5,23 @@
    that a dense group is never paired out. A group so proposed is a tentative one.
 3. Proposed pairs are joined with the shingle sets of both units, and those below the similarity go. First
    each unit's nearest pair is tested, then what still links different groups.
-4. Where a tentative group fell into several, a pair that the forest left out may link them. Its units are
-   searched again, now past their tested group only: the nearest few of each unit are tested, and a unit that
-   has more is asked again for four times as many, until none has more.
+4. Where a tentative group fell into several, a pair that the forest left out may link them. Its units of
+   different tested groups are joined by the rarest shingles of their sets, which loses no similar pair and
+   makes none of units that share frequent shingles only.
 
 So a pair links if and only if its similarity is reached, whatever the distance says; a pair is missed only if
-it is beyond the proposed distance or in one top node of no copy.
+no chain of proposed pairs joins it: it is beyond the proposed distance or in one top node of no copy.
 
 Sets hold XXH64 of shingles: two shingles count as one with odds of 2^-64 a pair.
+
+Defined cases: rows with equal sets, NULL and wordless ones among them, are one unit and so one group; ties
+go by the unit's number; very long texts are whole, and memory follows the longest; an empty table has no
+units. Rows come under names of the caller's, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +36,13 @@ from veiltab.llm.simhash import (
 )
 from veiltab.llm.text import column_bytes, mix, row_chunks
 
-NEAREST = 16  # pairs of a unit that a second search proposes, in each node
+ORDER_BITS = 20  # of the hash buckets that shingles are counted in
 FEW_EDGES = 1 << 18  # edges whose components one process finds
 
-SIDE = "copy int, node long, task long, part int, ids binary, codes binary, labels binary, asks binary"
-FOUND = f"a long, b long, apart int, more boolean, {SIDE}"
+FOUND = "a long, b long, apart int, copy int, node long, task long, part int, ids binary, codes binary"
 _KINDS = {
-    "a": pa.int64(), "b": pa.int64(), "apart": pa.int32(), "more": pa.bool_(), "copy": pa.int32(), "node": pa.int64(),
-    "task": pa.int64(), "part": pa.int32(), "ids": pa.binary(), "codes": pa.binary(), "labels": pa.binary(), "asks": pa.binary(),
+    "a": pa.int64(), "b": pa.int64(), "apart": pa.int32(), "copy": pa.int32(), "node": pa.int64(),
+    "task": pa.int64(), "part": pa.int32(), "ids": pa.binary(), "codes": pa.binary(),
 }
 
 
@@ -122,40 +126,23 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray)
         label = join_labels(label, a[pick], b[pick])
 
 
-def nearest_of(a: np.ndarray, b: np.ndarray, apart: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``limit`` nearest pairs of each a (their numbers), and whether that a has more."""
-    order = np.lexsort((b, apart, a))
-    own = a[order]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(own)))
-    place = np.arange(len(own)) - np.repeat(first, size)
-    near = place < limit
-    return order[near], np.repeat(size > limit, size)[near]
-
-
-Pairs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def search_run(
-    codes: np.ndarray, label: np.ndarray, queries: np.ndarray, distance: int, limit: int | None, step: int = 64
-) -> Pairs:
-    """a, b, distance, more: near pairs of Gray-ordered codes. Without a limit they are a forest, and labels are joined."""
-    index, out = Index(codes), [(np.zeros(0, np.int64),) * 4]
+def search_run(codes: np.ndarray, queries: np.ndarray, distance: int, step: int = 64) -> Pairs:
+    """a, b, distance: near pairs of Gray-ordered codes, a forest; a code of the queries (numbers) is in each."""
+    index, label, out = Index(codes), np.arange(len(codes)), [(np.zeros(0, np.int64),) * 3]
     for s in range(0, len(queries), step):
         own = queries[s : s + step]
         q, b = index.near(codes[own], label[own], label, distance)
         a = own[q]
         apart = differ(codes[a], codes[b])
-        if limit is None:
-            pick, label = spanning(label, a, b, apart)
-            more = np.zeros(len(pick), bool)
-        else:
-            pick, more = nearest_of(a, b, apart, limit)
-        out.append((a[pick], b[pick], apart[pick], more))
+        pick, label = spanning(label, a, b, apart)
+        out.append((a[pick], b[pick], apart[pick]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def search_runs(codes: np.ndarray, starts: np.ndarray, label: np.ndarray, ask: np.ndarray, distance: int, limit: int | None) -> Pairs:
+def search_runs(codes: np.ndarray, starts: np.ndarray, distance: int) -> Pairs:
     """The same for every run of codes; starts: where runs begin. Small runs are compared directly."""
     size = np.diff(np.append(starts, len(codes)))
     run = np.repeat(np.arange(len(starts)), size)
@@ -166,31 +153,22 @@ def search_runs(codes: np.ndarray, starts: np.ndarray, label: np.ndarray, ask: n
         at = at[run[at] == run[at + d]]
         if not len(at):
             break
-        own = at[(label[at] != label[at + d]) & (ask[at] | ask[at + d])]
-        apart = differ(codes[own], codes[own + d])
+        apart = differ(codes[at], codes[at + d])
         near = apart <= distance
-        hits.append((own[near], own[near] + d, apart[near]))
+        hits.append((at[near], at[near] + d, apart[near]))
     a, b, apart = (np.concatenate(x) for x in zip(*hits))
-    if limit is None:
-        pick, _ = spanning(np.arange(len(codes)), a, b, apart)
-        a, b, apart = a[pick], b[pick], apart[pick]
-    out = [(a, b, apart, np.zeros(len(a), bool))]
+    pick, _ = spanning(np.arange(len(codes)), a, b, apart)
+    out = [(a[pick], b[pick], apart[pick])]
     for k in np.flatnonzero(size > SMALL).tolist():
         s, e = starts[k], starts[k] + size[k]
-        own = np.arange(size[k]) if limit is None else label[s:e]
-        a, b, apart, more = search_run(codes[s:e], own, np.flatnonzero(ask[s:e]), distance, limit)
-        out.append((a + s, b + s, apart, more))
+        a, b, apart = search_run(codes[s:e], np.arange(size[k]), distance)
+        out.append((a + s, b + s, apart))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def proposals(units: DataFrame, copies: DrawnCopies, count: int, ws, limit: int | None = None) -> DataFrame:
-    """(a, b, apart, more): near pairs of units (id, code, label, ask) with different labels.
-
-    Without a limit, forests that connect all that are near in a node (labels are ids, all ask). With one,
-    the nearest so many of each unit a that asks; more: a has others in that node.
-    """
+def proposals(units: DataFrame, copies: DrawnCopies, count: int, ws) -> DataFrame:
+    """(a, b, apart): pairs of units (id, code), forests that connect all that are near in a node."""
     wide, distance, flip = copies.wide, copies.reach, np.uint64(1 << 63)  # unsigned order as signed
-    names = ["copy", "rank", "id", "code", "label", "ask"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,62 +176,50 @@ def proposals(units: DataFrame, copies: DrawnCopies, count: int, ws, limit: int
             for k in range(len(copies)):
                 rank = pa.array((copies.ranks(own, k) ^ flip).view(np.int64))
                 number = pa.array(np.full(len(own), k, np.int32))
-                yield pa.RecordBatch.from_arrays([number, rank, *(batch.column(c) for c in range(4))], names)
+                yield pa.RecordBatch.from_arrays([number, rank, batch.column(0), batch.column(1)], ["copy", "rank", "id", "code"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [
-            (*(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 5)), from_binary(b.column(3), wide)) for b in batches if b.num_rows
-        ]
+        held = [(*(b.column(k).to_numpy() for k in range(3)), from_binary(b.column(3), wide)) for b in batches if b.num_rows]
         if not held:
             return
-        copy, rank, ids, label, ask, code = (np.concatenate(x) for x in zip(*held))
+        copy, rank, ids, code = (np.concatenate(x) for x in zip(*held))
         task = TaskContext.get().partitionId()
         node = (rank.view(np.uint64) ^ flip) >> (np.uint64(64) - np.asarray(copies.head, np.uint64)[copy])
         starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (copy[1:] != copy[:-1])))
-        a, b, apart, more = search_runs(code, starts, label, ask, distance, limit)
+        a, b, apart = search_runs(code, starts, distance)
         if len(a):
-            yield _found(a=ids[a], b=ids[b], apart=apart, more=more)
+            yield _found(a=ids[a], b=ids[b], apart=apart)
         ends = np.append(starts[1:], len(ids))
         for k in sorted({0, len(starts) - 1}):  # the node may go on in a neighbouring task
             for part, s in enumerate(range(starts[k], ends[k], SEGMENT)):
                 e = min(s + SEGMENT, ends[k])
-                own = {"ids": ids[s:e], "codes": code[s:e], "labels": label[s:e], "asks": ask[s:e]}
+                own = {"ids": ids[s:e], "codes": code[s:e]}
                 yield _found(
                     copy=[int(copy[s])], node=[int(node[s])], task=[task], part=[part], **{n: [x.tobytes()] for n, x in own.items()}
                 )
 
     tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(copies) // TASK_CODES))
-    rows = units.select("id", "code", "label", "ask").mapInArrow(spread, "copy int, rank long, id long, code binary, label long, ask boolean")
+    rows = units.select("id", "code").mapInArrow(spread, "copy int, rank long, id long, code binary")
     found = ws.write(rows.repartitionByRange(tasks, "copy", "rank").sortWithinPartitions("copy", "rank").mapInArrow(search, FOUND), "proposed")
-    inner = found.where("codes is null").select("a", "b", "apart", "more")
-    return inner.union(_between(found.where("codes is not null"), wide, distance, limit))
+    inner = found.where("codes is null").select("a", "b", "apart")
+    return inner.union(_between(found.where("codes is not null"), wide, distance))
 
 
-def _between(segments: DataFrame, wide: int, distance: int, limit: int | None) -> DataFrame:
+def _between(segments: DataFrame, wide: int, distance: int) -> DataFrame:
     """The same between segments of one node that lie in different tasks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k) for k in range(8))):
-                ids, codes, label, ask, ids2, codes2, label2, ask2 = (x.as_buffer() for x in row)
-                ids, ids2, label, label2 = (np.frombuffer(x, np.int64) for x in (ids, ids2, label, label2))
-                ask, ask2 = (np.frombuffer(x, bool) for x in (ask, ask2))
+            for row in zip(*(batch.column(k) for k in range(4))):
+                ids, codes, ids2, codes2 = (x.as_buffer() for x in row)
+                ids, ids2 = (np.frombuffer(x, np.int64) for x in (ids, ids2))
                 codes, codes2 = (np.frombuffer(x, np.uint64).reshape(-1, wide) for x in (codes, codes2))
-                both, at = np.concatenate([ids, ids2]), len(ids)
-                code = np.concatenate([codes, codes2])
-                number = np.arange(len(both))
-                if limit is None:
-                    found = [search_run(code, number, number[at:], distance, None)]
-                else:
-                    of = np.concatenate([label, label2])
-                    asked = np.flatnonzero(np.concatenate([ask, ask2]))
-                    found = [search_run(code, of, asked, distance, limit)]
-                for a, b, apart, more in found:
-                    if len(a):
-                        made = [pa.array(both[a]), pa.array(both[b]), pa.array(apart, pa.int32()), pa.array(more, pa.bool_())]
-                        yield pa.RecordBatch.from_arrays(made, ["a", "b", "apart", "more"])
-
-    held = ["ids", "codes", "labels", "asks"]
+                both = np.concatenate([ids, ids2])
+                a, b, apart = search_run(np.concatenate([codes, codes2]), np.arange(len(ids), len(both)), distance)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[a]), pa.array(both[b]), pa.array(apart, pa.int32())], ["a", "b", "apart"])
+
+    held = ["ids", "codes"]
     salt = F.pmod(F.xxhash64("task", "part"), F.lit(SALTS)).cast("int")
     left = segments.select("copy", "node", "task", *held, salt.alias("salt"))
     right = segments.select(
@@ -261,7 +227,67 @@ def _between(segments: DataFrame, wide: int, distance: int, limit: int | None) -
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     pairs = left.join(right, ["copy", "node", "salt"]).where(F.col("task") < F.col("task2"))
-    return pairs.select(*held, *(f"{c}2" for c in held)).mapInArrow(compare, "a long, b long, apart int, more boolean")
+    return pairs.select(*held, *(f"{c}2" for c in held)).mapInArrow(compare, "a long, b long, apart int")
+
+
+# ---------------------------------------------------------------- pairs by rare shingles
+def gram_counts(units: DataFrame) -> np.ndarray:
+    """How often the shingles of each of 2^ORDER_BITS hash buckets occur in the sets of units (..., grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            col = batch.column(0)
+            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] // 8 if len(col) else [0, 0]
+            if at[-1] > at[0]:
+                total += np.bincount(_bucket(np.frombuffer(col.buffers()[2], np.uint64, int(at[-1] - at[0]), int(at[0]) * 8)), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+
+    got = units.select("grams").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row per bucket
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _bucket(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+
+
+def sharing_rare_grams(units: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, apart): units (id, of, label, grams) of one ``of`` and different labels that can be similar.
+
+    Each set is ordered by the count of its shingles' buckets, rarest first. Of two sets of a similarity of at
+    least t, the first |x| - ceil(2t / (1 + t) |x|) + 1 shingles of the shorter and the first
+    |y| - ceil(t |y|) + 1 of the longer one have one in common, and |x| >= t |y|: no pair is lost. ``apart``
+    is smaller the more of them they share.
+    """
+    counts = gram_counts(units)
+    names = ["of", "gram", "id", "label", "size", "place"]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for of, i, label, grams in zip(*(batch.column(k) for k in range(4))):
+                own = np.frombuffer(grams.as_buffer(), np.uint64)
+                size = len(own)
+                if not size:
+                    continue
+                order = np.lexsort((own, counts[_bucket(own)]))[: size - math.ceil(similarity * size - 1e-9) + 1]
+                rows = len(order)
+                parts.append((np.full(rows, of.as_py()), own[order].view(np.int64), np.full(rows, i.as_py()), np.full(rows, label.as_py()), np.full(rows, size), np.arange(rows)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names)
+
+    rows = units.select("of", "id", "label", "grams").mapInArrow(first, ", ".join(f"{n} long" for n in names))
+    shared = 2 * similarity / (1 + similarity)
+    short = rows.where(F.col("place") < F.col("size") - F.ceil(shared * F.col("size") - 1e-9) + 1)
+    short = short.select("of", "gram", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
+    long = rows.select("of", "gram", F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.col("size_a") >= similarity * F.col("size_b") - 1e-9)
+    once = F.struct("size_a", "a") < F.struct(F.col("size_b"), F.col("b"))
+    pairs = short.join(long, ["of", "gram"]).where(fits & once)
+    return pairs.groupBy("a", "b").agg((-F.count(F.lit(1))).cast("int").alias("apart"))
 
 
 # ---------------------------------------------------------------- groups
@@ -312,25 +338,14 @@ class Groups:
 def unit_roots(units: DataFrame, rows: DataFrame, similarity: float, shingle: int, count: int, ws) -> DataFrame:
     """(node, root): units (id, code, row) that are similar to another, with the smallest unit of their group."""
     copies = DrawnCopies(similarity, count)
-    first = units.select("id", "code", F.col("id").alias("label"), F.lit(True).alias("ask"))
-    pairs = ws.write(proposals(first, copies, count, ws), "pairs")
+    pairs = ws.write(proposals(units, copies, count, ws), "pairs")
     tentative = ws.write(roots_of(pairs, ws), "tentative")  # has every unit that any search can propose
     texts = units.join(tentative.select(F.col("node").alias("id")), "id").select("id", "row").join(rows.select("row", "text"), "row")
     groups = Groups(ws.write(sets(texts, shingle), "sets"), similarity, ws)
     groups.settle(pairs)
-    limit, ask = NEAREST, None
-    while True:
-        own = tentative.join(groups.roots.withColumnRenamed("root", "label"), "node", "left")
-        own = ws.write(own.select(F.col("node").alias("id"), F.col("root").alias("of"), F.coalesce("label", "node").alias("label")), "own")
-        split = own.groupBy("of").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("of")
-        open_units = own.join(split, "of")
-        asks = F.lit(True)
-        if ask is not None:
-            open_units, asks = open_units.join(ask, "id", "left"), F.coalesce("asks", F.lit(False))
-        open_units = ws.write(open_units.join(units.select("id", "code"), "id").select("id", "code", "label", asks.alias("ask")), "open")
-        if not open_units.where("ask").take(1):
-            return groups.roots
-        pairs = ws.write(proposals(open_units, copies, count, ws, limit), "pairs")
-        groups.settle(pairs)
-        ask = ws.write(pairs.where("more").select(F.col("a").alias("id"), F.lit(True).alias("asks")).distinct(), "ask")
-        limit *= 4
+    own = tentative.join(groups.roots.withColumnRenamed("root", "label"), "node", "left")
+    own = ws.write(own.select(F.col("node").alias("id"), F.col("root").alias("of"), F.coalesce("label", "node").alias("label")), "own")
+    split = own.groupBy("of").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("of")
+    open_units = ws.write(own.join(split, "of").join(groups.grams, "id").select("id", "of", "label", "grams"), "open")
+    groups.settle(ws.write(sharing_rare_grams(open_units, similarity), "shared"))
+    return groups.roots
