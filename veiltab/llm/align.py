@@ -23,7 +23,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from veiltab.llm.text import column_bytes, row_chunks
 from veiltab.session import lookup
 
 SPACE_MARK = "▁"
+MARK_BYTES = SPACE_MARK.encode()
+JOINED = 4096  # fragments that are encoded and aligned as one text
 FRAGMENTS = 200_000  # aligned fragments kept between chunks; emptied when full
 KEPT_BYTES = 64  # of a fragment that is kept
 MEASURES = (
@@ -44,6 +46,19 @@ MEASURES = (
 )
 
 Aligned = tuple[int, int, int, bytes, bytes]  # tokens of A and of B, groups, their text, the linked pairs
+Ids = tuple[np.ndarray, np.ndarray]  # of many fragments, and how many each has
+
+
+class Strings:
+    """A list of byte strings as one array, to concatenate picks of them."""
+
+    def __init__(self, items: list[bytes]):
+        self.size = np.array([len(x) for x in items], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(items), np.uint8)
+
+    def concat(self, picks: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.begin, self.size, picks)[0]
 
 
 class Aligner:
@@ -62,44 +77,92 @@ class Aligner:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         letters = byte_letters()
         words = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (1 + max(words.values()))
+        tokens = [b""] * (1 + max(words.values()))
         for word, k in words.items():
-            self.bytes_a[k] = word.encode() if word in added else bytes(letters[c] for c in word)
+            tokens[k] = word.encode() if word in added else bytes(letters[c] for c in word)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
             raise ValueError("a piece holds a space inside: texts cannot be cut before spaces")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(pieces)]
+        own = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE_MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.bytes_a, self.bytes_b = Strings(tokens), Strings(own)
+        # an id as it is written: within a group, and as the last of A or of B in it
+        size_a, size_b = len(tokens), len(pieces)
+        shown = [f"{k}{end}".encode() for end, n in ((",", size_a), ("|", size_a), (",", size_b), (";", size_b)) for k in range(n)]
+        self.shown, self.from_b = Strings(shown), 2 * size_a
         self.alone = self.b.piece_to_id(SPACE_MARK)
         self.known: dict[bytes, Aligned | None] = {}
 
-    def _align(self, fragment: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        parts_a, parts_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        if b"".join(parts_a) != fragment or b"".join(parts_b) != fragment:
+    def _apart_a(self, fragments: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast([f.decode() for f in fragments], add_special_tokens=False)]
+
+    def _apart_b(self, fragments: list[bytes]) -> list[list[int]]:
+        """The model puts a space in front, but not before nothing."""
+        return [x if len(f) > 1 else [self.alone] for f, x in zip(fragments, self.b.encode([f[1:].decode() for f in fragments], num_threads=1))]
+
+    @staticmethod
+    def _dealt(ids: np.ndarray, size: np.ndarray, fragments: list[bytes]) -> Ids | None:
+        """Ids of joined fragments, dealt out by the bytes they cover; None if that doesn't work out."""
+        at, want = np.cumsum(size[ids]), np.cumsum([len(f) for f in fragments])
+        if not len(ids) or at[-1] != want[-1]:
             return None
-        to_a, to_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        groups, pairs, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        while i < len(a):
-            if to_a[i] < to_b[j]:
-                i += 1
-            elif to_b[j] < to_a[i]:
-                j += 1
-            else:
-                pairs.append(a[i] << 32 | b[j])
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-        return len(a), len(b), len(groups), ";".join(groups).encode(), np.array(pairs, np.int64).tobytes()
+        cut = np.searchsorted(at, want)
+        return (ids, np.diff(cut, prepend=-1)) if (at[cut] == want).all() else None
+
+    def _ids(self, fragments: list[bytes]) -> tuple[Ids, Ids]:
+        """Ids of A and of B. Fragments that end in white space would run into the next one, so they are encoded apart."""
+        if all(f[-1] > 0x20 and MARK_BYTES not in f for f in fragments):
+            text = b"".join(fragments).decode()
+            a = self._dealt(np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), self.bytes_a.size, fragments)
+            b = self._dealt(np.array(self.b.encode(text[1:]), np.int64), self.bytes_b.size, fragments)
+            if a is not None and b is not None:
+                return a, b
+        out = []
+        for lists in (self._apart_a(fragments), self._apart_b(fragments)):
+            count = np.array([len(x) for x in lists], np.int64)
+            out.append((np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count))
+        return tuple(out)
+
+    def _align(self, fragments: list[bytes]) -> list[Aligned | None]:
+        """All of the fragments at once, as one run of bytes."""
+        (ids_a, n_a), (ids_b, n_b) = self._ids(fragments)
+        size = np.array([len(f) for f in fragments], np.int64)
+        number = np.arange(len(size))
+        row_a, row_b = np.repeat(number, n_a), np.repeat(number, n_b)
+        same = np.bincount(row_a, self.bytes_a.size[ids_a], len(size)) == size
+        same &= np.bincount(row_b, self.bytes_b.size[ids_b], len(size)) == size
+        keep_a, keep_b = same[row_a], same[row_b]
+        ids_a, row_a, ids_b, row_b = ids_a[keep_a], row_a[keep_a], ids_b[keep_b], row_b[keep_b]
+        want = np.frombuffer(b"".join(f for f, s in zip(fragments, same.tolist()) if s), np.uint8)
+        byte_row = np.repeat(number[same], size[same])
+        for found in (self.bytes_a.concat(ids_a), self.bytes_b.concat(ids_b)):
+            same[byte_row[found != want]] = False  # what else is computed for these is not used
+        to_a, to_b = np.cumsum(self.bytes_a.size[ids_a]), np.cumsum(self.bytes_b.size[ids_b])
+        last_a, last_b = np.isin(to_a, to_b), np.isin(to_b, to_a)
+        pairs = ids_a[last_a] << 32 | ids_b[last_b]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        # in each group the ids of A, then those of B
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        entry = np.concatenate([ids_a + last_a * (self.from_b // 2), ids_b + self.from_b + last_b * len(self.bytes_b.size)])[order]
+        text = self.shown.concat(entry).tobytes()
+        chars = np.bincount(np.concatenate([row_a, row_b])[order], self.shown.size[entry], len(size)).astype(np.int64)
+        groups = np.bincount(row_a[last_a], minlength=len(size))
+        text_at, pair_at = np.cumsum(chars).tolist(), np.cumsum(8 * groups).tolist()
+        raw = pairs.tobytes()
+        numbers = zip(same.tolist(), n_a.tolist(), n_b.tolist(), groups.tolist(), [0, *text_at], text_at, [0, *pair_at], pair_at)
+        return [(x, y, g, text[s : e - 1], raw[p:q]) if ok else None for ok, x, y, g, s, e, p, q in numbers]
 
     def aligned(self, fragments: list[bytes]) -> list[Aligned | None]:
         """Each fragment starts with a space. None: the bytes don't come back."""
         if len(self.known) > FRAGMENTS:
             self.known.clear()
+        new: dict[bytes, Aligned | None] = {}
         missing = [f for f in fragments if f not in self.known]
-        texts = [f.decode() for f in missing]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []  # the model puts a space in front
-        new = {f: self._align(f, a, b if len(f) > 1 else [self.alone]) for f, a, b in zip(missing, ids_a, ids_b)}
+        joined = [f for f in missing if f[-1] > 0x20 and MARK_BYTES not in f]
+        apart = [f for f in missing if f[-1] <= 0x20 or MARK_BYTES in f]
+        for own in (joined, apart):
+            for k in range(0, len(own), JOINED):
+                new.update(zip(own[k : k + JOINED], self._align(own[k : k + JOINED])))
         out = [new[f] if f in new else self.known[f] for f in fragments]
         self.known.update((f, x) for f, x in new.items() if len(f) <= KEPT_BYTES)
         return out
