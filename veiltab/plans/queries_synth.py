@@ -466,8 +466,8 @@ def h10_rule(spark, sf):
 
 _START_OF = int(hashlib.md5(f"{SEED}|resample.start".encode()).hexdigest()[:13], 16)
 _RESAMPLED = " UNION ALL ".join(
-    f"SELECT '{name}' AS target, row_id, ((at * n + o) // r)::BIGINT AS low, (((at + 1) * n + o) // r)::BIGINT AS high "
-    f"FROM (SELECT at, row_id, r, o, {n} AS n FROM placed2)"
+    f"SELECT '{name}' AS target, row_id, ((pos * n + o) // r)::BIGINT AS low, (((pos + 1) * n + o) // r)::BIGINT AS high "
+    f"FROM (SELECT pos, row_id, r, o, {n} AS n FROM placed2)"
     for name, n in (("larger", "4 * r + 7"), ("smaller", "r // 4"))
 )
 
@@ -476,7 +476,7 @@ _RESAMPLED = " UNION ALL ".join(
     "h11_start_rows",
     f"WITH placed AS (SELECT *, row_number() OVER (ORDER BY {KEYS_SQL}) - 1 AS row_id FROM lineitem), "
     "rows AS (SELECT count(*)::HUGEINT AS r FROM lineitem), "
-    f"placed2 AS (SELECT row_id, (row_number() OVER (ORDER BY {sql.u(SEED, 'resample', 'row_id')}, row_id) - 1)::HUGEINT AS at, r, "
+    f"placed2 AS (SELECT row_id, (row_number() OVER (ORDER BY {sql.u(SEED, 'resample', 'row_id')}, row_id) - 1)::HUGEINT AS pos, r, "
     f"({_START_OF}::HUGEINT * r) >> 52 AS o FROM placed, rows), sized AS ({_RESAMPLED}) "
     "SELECT target, row_id AS source_id, unnest(range(low, high)) AS row_id FROM sized",
 )
