@@ -5,7 +5,6 @@ import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,19 +41,76 @@ def cyclic(spark):
     return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string")
 
 
-def test_probabilities_sum_to_one(spark, cyclic):
-    model, counts = suffix_tree.Suffixes(least=2, symbol_share=0.0, context_share=0.0).fit(cyclic.select("text"), workspace(spark, "t"))
-    rows = counts.collect()
-    assert all(len(s.rest) for s in model.states)
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    c = np.array([r["n"] for r in rows])
-    root = np.append(model.log_root(c), model.log_unseen())
-    unseen = np.append(h, np.uint64(12345))
-    first = suffix_tree.contexts_of(unseen, np.array([0, len(unseen)]), 1)
-    assert math.isclose(sum(10**root), 1, rel_tol=1e-9) and len(first) == 1
-    for one in model.states[0].contexts.keys[:-1]:
-        contexts = [np.full(len(unseen), one)] + [np.zeros(len(unseen), np.uint64)]
-        assert math.isclose(sum(10 ** model.deepen(root, unseen, contexts)), 1, rel_tol=1e-6)
+class Dictionary:
+    """The tree by dictionaries of token tuples, built and walked token by token."""
+
+    def __init__(self, texts, order, least, evidence):
+        rows = [tokens(t) for t in texts]
+        self.c = Counter(t for r in rows for t in r)
+        once, twice = (sum(n == k for n in self.c.values()) for k in (1, 2))
+        self.total, self.d = sum(self.c.values()), once / (once + 2 * twice) if once and twice else 0.5
+        self.listed, self.rest = {}, {}
+        candidates = {("<",): len(rows)} | {(t,): n for t, n in self.c.items() if n >= least and t is not None}
+        for k in range(1, order + 1):
+            pairs = Counter((ctx, r[i]) for r in rows for i in range(len(r)) for ctx in [self.context(r, i, k)] if ctx in candidates)
+            new = {}
+            for (ctx, t), n in pairs.items():
+                p, q = (n - self.d) / candidates[ctx], self.p(ctx[1:], t)
+                if n >= least and n * math.log(p / q) >= evidence:
+                    new.setdefault(ctx, {})[t] = (p, q, n)
+            for ctx, own in new.items():
+                self.rest[ctx] = (1 - sum(p for p, _, _ in own.values())) / (1 - sum(q for _, q, _ in own.values()))
+                self.listed[ctx] = {t: p for t, (p, _, _) in own.items()}
+            candidates = {(*ctx, t): n for ctx, own in new.items() for t, (_, _, n) in own.items() if t is not None and (k == 1 or (*ctx, t)[1:] in candidates)}
+
+    @staticmethod
+    def context(row, i, k):
+        return tuple(["<", *row][i + 1 - k : i + 1]) if i + 1 >= k else None
+
+    def p(self, ctx, t):
+        if not ctx:
+            return (self.c[t] - self.d) / self.total if t in self.c else self.d * len(self.c) / self.total
+        if t in self.listed.get(ctx, ()):
+            return self.listed[ctx][t]
+        return self.rest.get(ctx, 1.0) * self.p(ctx[1:], t)
+
+    def score(self, text, order):
+        row = tokens(text)
+        return sum(math.log10(self.p(self.context(row, i, min(order, i + 1)), t)) for i, t in enumerate(row))
+
+
+@pytest.mark.parametrize("share", [2.0**-19, 2.0**-9, 2.0])  # all keys broadcast, some, none
+def test_scores_equal_a_dictionary_tree(spark, sf, share):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    extra = ["again and again the same few words " * 3, "the same few words again", "a b z q " * 9, "a b z w"]
+    docs = docs[:200] + [(10**6 + k, t) for k, t in enumerate(extra * 2)]
+    held = {k: k % 7 == 2 for k, _ in docs}
+    set_up = {"order": 3, "least": 2, "evidence": 4.0}
+    plain = Dictionary([t for k, t in docs if not held[k]], **set_up)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("key") % 7 != 2, parameters=suffix_tree.Suffixes(share=share, **set_up)).collect()}
+    assert max(len(ctx) for ctx in plain.rest) == 3
+    for k, text in docs:
+        assert math.isclose(got[k], plain.score(text, 3), rel_tol=1e-9)
+
+
+def test_probabilities_sum_to_one(cyclic):
+    tree = Dictionary([r["text"] for r in cyclic.collect()], 3, 2, 4.0)
+    for ctx in tree.rest:
+        assert math.isclose(sum(tree.p(ctx, t) for t in tree.c) + tree.p(ctx, b"never seen"), 1, rel_tol=1e-9)
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """Ten times the rows teach it several times the states; rules by share of the corpus would not."""
+    sizes = []
+    for folder in ("sf0.001", "sf0.01"):
+        texts = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("text")
+        ws = workspace(spark, "t")
+        suffix_tree.Suffixes().fit(texts, ws)
+        tree = spark.read.parquet(f"{ws.path}/tree-0")
+        sizes.append([tree.where(f"order = {k}").count() for k in (1, 2)])
+    print(sizes)
+    assert all(large > 3 * small > 0 for small, large in zip(*sizes))
 
 
 def test_contexts_help_and_order_zero_does_not_see_them(spark, cyclic):
@@ -69,11 +125,10 @@ def test_contexts_help_and_order_zero_does_not_see_them(spark, cyclic):
     assert math.isclose(flat[1]["score"], flat[2]["score"], rel_tol=1e-9)
 
 
-def test_rare_tokens_are_joined(spark, cyclic):
-    """A share so high that every token is rare gives order 0 and the same counts."""
-    one = suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(order=0)).orderBy("key").collect()
-    two = suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(order=2, symbol_share=2.0)).orderBy("key").collect()
-    for a, b in zip(one, two):
+def test_rare_keys_are_joined(spark, cyclic):
+    """A share so high that every token and state is joined gives the same scores."""
+    one, two = (suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(share=x)).orderBy("key").collect() for x in (0.0, 2.0))
+    for a, b in zip(one, two, strict=True):
         assert (a["n_known"], a["n_tokens"]) == (b["n_known"], b["n_tokens"])
         assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)
 

@@ -1,30 +1,39 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are the words (A-Z lower-cased, between ASCII white space) and one end per text. The tree's
-states are contexts of up to ``order`` preceding tokens:
+states are contexts of up to ``order`` preceding tokens (the depth of the tree):
 
 * Order 0 holds the count of every training token. Counts are discounted; the discount goes to one
   symbol for all unseen tokens.
-* A context is a candidate if it makes up ``context_share`` of the training tokens. It lists the next
-  tokens that make up ``symbol_share`` with it, discounted; the other next tokens get the rest, in
-  proportion to what its longest shorter suffix state gives them.
-* A candidate stays if its distribution diverges from that of its suffix state by ``divergence`` nats.
-
-A text's score uses the longest suffix state at each token. All training tokens are counted. As shares
-are relative, there are at most 1/share candidates and listed tokens per order, whatever the corpus:
-that bounds what is broadcast. Tokens rarer than ``symbol_share`` are not in it; their counts are
-joined by shuffle, and none of them can be a hot key.
-
-Words are identified by a mixed 64-bit hash; among 10^9 different words a collision has odds of 1 in 37.
+* Candidates of order 1 are all tokens and the begin of a text. A context of order k + 1 is a candidate if its
+  last token is listed in the context before it, and the context without its first token is a candidate too.
+* A candidate lists a next token seen ``least`` times in it whose occurrences there are ``evidence`` nats more
+  likely than by what its suffix state gives them: n ln(p / q), its share of the divergence of the two
+  distributions times the context's size. The other next tokens get the rest, in proportion to what the
+  suffix state gives them. A candidate that lists nothing does not diverge and is no state.
+
+All of these are absolute counts, the same at every size, so a pattern is learnt wherever it was seen often
+enough and the tree grows with the corpus. Its tables are written and joined by shuffle.
+
+A text's score uses the longest suffix state at each token. It is a sum: order 0 of each token, and for each
+order the log weight of the state's rest and, if the token is listed, what it has beyond that. So a
+text is a bag of keys (states and listed pairs) and the tree a table (key, value). Keys that make up ``share``
+of the training tokens are looked up in a broadcast table, which has at most 1/share entries for tokens and for
+the states and pairs of each order. The others go through a bit map of fixed size, which only spares rows,
+and those it lets pass are joined by shuffle; none of them is hot in the training texts.
+
+Words are identified by a mixed 64-bit hash, contexts by a hash of those; among 10^9 different words a
+collision has odds of 1 in 37, among 10^8 keys of 1 in 3,700. A collision joins the counts of the two.
 
 Defined cases: NULL and empty texts are one end; NULL keys count as training; rows that repeat are
-counted and scored each; without training tokens every token has probability 1.
+counted and scored each; without training tokens every token has probability 1; a very long text is one
+array of its own in a task; columns other than the two named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +46,9 @@ from veiltab.llm.text import LOWER, column_bytes, follow, hash_ranges, row_chunk
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)
 HELD_COUNTS = 1 << 20  # counts a task holds before it hands them on
 COUNTS = "h long, n long"
+NAMES = ["back", "ctx", "h"]
+STATE = np.uint64(0x9FB21C651E98DF24)  # tells the key of a state from that of the pair with the same hash
+MAP_WORDS = 1 << 22  # words of a bit map at most (32 MB): it lets more pass in larger trees, nothing is lost
 
 
 class Lookup:
@@ -80,14 +92,33 @@ def contexts_of(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarr
     return out
 
 
-@dataclass
-class State:
-    """States of one order: their contexts, the log10 weight of unlisted tokens, and the listed ones."""
+def bit_mask(key: np.ndarray) -> np.ndarray:
+    """The four bits (some may be equal) of a key in its word of the bit map."""
+    one = np.uint64(1)
+    mask = np.zeros(len(key), np.uint64)
+    for k in range(4):
+        mask |= one << ((key >> np.uint64(6 * k)) & np.uint64(63))
+    return mask
+
+
+class BitMap:
+    """Which 64-bit keys may be in a table: never wrong about one that is."""
+
+    def __init__(self, table: DataFrame, key: str):
+        rows = table.count()
+        self.size = min(MAP_WORDS, max(16, 1 << int(rows // 4).bit_length()))  # about 16 bits a key
+        self.shift = np.uint64(64 - (self.size.bit_length() - 1))
+        mask = F.lit(0).cast("long")
+        for k in range(4):
+            mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftright(`{key}`, {6 * k}) & 63 as int))"))
+        place = F.shiftrightunsigned(key, int(self.shift)).alias("place")
+        at, bits = _collect(table.groupBy(place).agg(F.bit_or(mask).alias("bits")), "place", "bits")  # at most MAP_WORDS rows
+        self.words = np.zeros(self.size, np.uint64)
+        self.words[at] = bits.view(np.uint64)
 
-    contexts: Lookup
-    rest: np.ndarray
-    listed: Lookup
-    log_p: np.ndarray
+    def may_hold(self, key: np.ndarray) -> np.ndarray:
+        mask = bit_mask(key)
+        return (self.words[key >> self.shift] & mask) == mask
 
 
 @dataclass
@@ -95,9 +126,12 @@ class Model:
     total: int  # training tokens, ends included
     kinds: int
     discount: float
-    common: Lookup  # tokens of at least symbol_share
+    order: int  # of the longest states
+    common: Lookup  # tokens of at least the share
     counts: np.ndarray
-    states: list[State] = field(default_factory=list)
+    keys: Lookup | None = None  # states and listed pairs of at least the share
+    values: np.ndarray | None = None
+    others: BitMap | None = None  # of the other states and pairs
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.total + 1.0 * (self.kinds + 1)))
@@ -109,23 +143,36 @@ class Model:
     def log_unseen(self) -> float:
         return float(np.log10(self.discount * self.kinds / self.total)) if self.total else 0.0
 
-    def deepen(self, log_p: np.ndarray, tokens: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """log_p by order 0 to log_p by the longest suffix state."""
-        for state, ctx in zip(self.states, contexts):
-            own = state.contexts.find(ctx)
-            at = np.flatnonzero(own >= 0)
-            listed = state.listed.find(follow(ctx[at], tokens[at]))
-            log_p = log_p.copy()
-            log_p[at] = np.where(listed >= 0, state.log_p[np.maximum(listed, 0)] if len(state.log_p) else 0.0, state.rest[own[at]] + log_p[at])
-        return log_p
+    def deepen(self, log_p: np.ndarray, tokens: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log_p by order 0 to log_p by the broadcast part of the tree; places and keys for its other part."""
+        log_p, places, keys = log_p.copy(), [], []
+
+        def add(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+            """Which of the keys may be in the tree."""
+            found = self.keys.find(key)
+            log_p[at] += np.where(found >= 0, self.values[found] if len(self.values) else 0.0, 0.0)
+            rest = (found < 0) & self.others.may_hold(key)
+            places.append(at[rest])
+            keys.append(key[rest])
+            return (found >= 0) | rest
+
+        for ctx in contexts:
+            at = np.flatnonzero(ctx)
+            at = at[add(at, ctx[at] ^ STATE)]
+            add(at, follow(ctx[at], tokens[at]))
+        if not keys:
+            return log_p, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        place, key = np.concatenate(places), np.concatenate(keys)
+        by = np.argsort(place, kind="stable")
+        return log_p, place[by], key[by]
 
 
 class _Counter:
     """Counts of a task, handed on before they become many."""
 
-    def __init__(self, parts: int):
+    def __init__(self):
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.size, self.parts = 0, parts
+        self.size = 0
 
     def add(self, key: np.ndarray, parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         _, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -143,7 +190,7 @@ class _Counter:
         self.held, self.size = [(key[first], n, *(p[first] for p in parts))], len(first)
         if len(first) > keep:
             cols = [pa.array(signed(p[first])) for p in parts] + [pa.array(n)]
-            names = ["h", "n"] if len(parts) == 1 else ["ctx", "h", "n"]
+            names = [*NAMES[-len(parts) :], "n"]
             for a in range(0, len(first), 1 << 18):
                 yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 18) for c in cols], names)
             self.held, self.size = [], 0
@@ -157,7 +204,7 @@ def _token_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[t
 
 
 def _collect(df: DataFrame, *names: str) -> list[np.ndarray]:
-    """Columns of a table whose rows are bounded by 1/share."""
+    """Columns of a table whose rows are bounded."""
     got = df.select(*names).toArrow()
     return [got.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in names]
 
@@ -166,18 +213,18 @@ def _collect(df: DataFrame, *names: str) -> list[np.ndarray]:
 class Suffixes:
     """The parameters; see the module's text."""
 
-    order: int = 2
-    symbol_share: float = 2.0**-20
-    context_share: float = 2.0**-12
-    least: int = 4  # counts below say nothing about a context, however small the corpus
-    divergence: float = 0.005
-    discount: float = 0.75
+    order: int = 3
+    least: int = 2
+    evidence: float = 8.0
+    discount: float | None = None  # None: by how many tokens were seen once and twice
+    share: float = 2.0**-19  # of the training tokens, to be broadcast; changes no result
 
-    def fit(self, texts: DataFrame, ws) -> tuple[Model, DataFrame]:
-        """The model of a table (text), and the counts of all its tokens (h, n)."""
+    def fit(self, texts: DataFrame, ws) -> tuple[Model, DataFrame, DataFrame]:
+        """The model of a table (text), the counts of all its tokens (h, n), and all states and listed
+        pairs of its tree (order, key, value, n)."""
 
         def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = _Counter(1)
+            counter = _Counter()
             for _, _, _, tokens, _ in _token_batches(batches, 0):
                 yield from counter.add(tokens, (tokens,))
             yield from counter.flush()
@@ -187,67 +234,95 @@ class Suffixes:
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")
         ).first()
         total, n1, n2 = of["n"] or 0, of["n1"], of["n2"]
-        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        few = max(self.least, self.symbol_share * total)
+        discount = self.discount or (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+        few = self.share * total
         h, n = _collect(counts.where(F.col("n") >= few), "h", "n")
-        order = np.argsort(h.view(np.uint64))
-        model = Model(total, of["v"], discount, Lookup(h.view(np.uint64)[order]), n[order])
-        often = max(self.least, self.context_share * total)
-        # candidates of order 1: their hashes, counts, and the hashes of their suffixes (none)
-        ends = model.counts[model.common.find(np.array([END]))] if len(n) and model.common.find(np.array([END]))[0] >= 0 else np.zeros(1)
-        frequent = (model.counts >= often) & (model.common.keys[:-1] != END)
-        ctx = np.append(model.common.keys[:-1][frequent], BEGIN)
-        size = np.append(model.counts[frequent], max(int(ends[0]), 0))
-        suffix: list[np.ndarray] = []
-        ctx, size = ctx[size > 0], size[size > 0]
+        by = np.argsort(h.view(np.uint64))
+        model = Model(total, of["v"], discount, 0, Lookup(h.view(np.uint64)[by]), n[by])
+        tree = ws.write(self._grow(texts, ws, model, counts), "tree")
+        key, value = _collect(tree.where(F.col("n") >= few), "key", "value")
+        by = np.argsort(key.view(np.uint64))
+        model.keys, model.values = Lookup(key.view(np.uint64)[by]), value[by]
+        others = tree.where(F.col("n") < few)
+        model.others = BitMap(others, "key")
+        return model, counts, others
+
+    def _grow(self, texts: DataFrame, ws, model: Model, counts: DataFrame) -> DataFrame:
+        """(order, key, value, n) of the states and listed pairs, order by order."""
+        tree = texts.sparkSession.createDataFrame([], "order int, key long, value double, n long")
+        begin, end = (F.lit(int(signed(np.array([x]))[0])) for x in (BEGIN, END))
+        again = counts.where(F.col("n") >= self.least)  # of the contexts and next tokens seen more seldom no pair counts
+        contexts = again.select(F.when(F.col("h") == end, begin).otherwise(F.col("h")).alias("ctx"), F.col("n").alias("size"))
+        before = again.select(F.col("h").alias("back"), F.log10((F.col("n") - model.discount) / float(model.total or 1)).alias("log_q"))
         for k in range(1, self.order + 1):
-            by = np.argsort(ctx)
-            ctx, size, suffix = ctx[by], size[by], [s[by] for s in suffix]
-            at, token, n = self._next(texts, ctx, k, model, few)
-            self._add(model, ctx, size, suffix, at, token, n)
-            # an often seen pair of a context and its next token is a candidate of the next order
-            go = (n >= often) & (token != END)
-            longer = [s[at[go]] for s in suffix] + [ctx[at[go]]]
-            suffix = [token[go], *(follow(s, token[go]) for s in longer[:-1])]
-            ctx, size = follow(longer[-1], token[go]), n[go]
-        return model, counts
-
-    def _next(self, texts: DataFrame, ctx: np.ndarray, k: int, model: Model, few: float):
-        """Place of the context, next token and count of the pairs seen often enough."""
-        sc = texts.sparkSession.sparkContext
-        shared = sc.broadcast((Lookup(ctx), model.common))
+            pairs = self._pairs(texts, k, None if k == 1 else BitMap(contexts, "ctx"))
+            if k == 1:
+                pairs = pairs.withColumn("back", F.col("h"))
+            p = (F.col("n") - model.discount) / F.col("size")
+            gain = F.col("n") * (F.log10(p) - F.col("log_q"))
+            pairs = pairs.join(contexts, "ctx").join(before, "back").withColumn("p", p)
+            pairs = ws.write(pairs.withColumn("listed", gain >= self.evidence / np.log(10)).mapInArrow(_name, PAIR), f"pairs{k}")
+            listed = pairs.where("listed")
+            states = listed.groupBy("ctx").agg(
+                F.max("size").alias("n"), F.log10((1 - F.sum("p")) / (1 - F.sum(F.pow(F.lit(10.0), "log_q")))).alias("rest")
+            )
+            states = ws.write(states, f"states{k}")
+            tree = tree.unionByName(
+                states.select(F.lit(k).alias("order"), F.col("ctx").bitwiseXOR(F.lit(int(STATE) - 2**64)).alias("key"), F.col("rest").alias("value"), "n")
+            ).unionByName(
+                listed.join(states.select("ctx", "rest"), "ctx").select(
+                    F.lit(k).alias("order"), F.col("pair").alias("key"), (F.log10("p") - F.col("log_q") - F.col("rest")).alias("value"), "n"
+                )
+            )
+            if states.isEmpty():
+                break
+            model.order = k
+            if k == self.order:
+                break
+            longer = listed.where(F.col("h") != end)
+            if k > 1:
+                longer = longer.join(contexts.select(F.col("ctx").alias("back")), "back", "left_semi")
+            # a pair that is listed is the hash of the context one longer
+            contexts = ws.write(longer.select(F.col("pair").alias("ctx"), F.col("n").alias("size")), f"contexts{k + 1}")
+            own = F.when(F.col("listed"), F.log10("p")).otherwise(F.coalesce("rest", F.lit(0.0)) + F.col("log_q"))
+            before = pairs.join(states.select("ctx", "rest"), "ctx", "left").select(F.col("pair").alias("back"), own.alias("log_q"))
+        return tree
+
+    def _pairs(self, texts: DataFrame, k: int, contexts: BitMap | None) -> DataFrame:
+        """(ctx, h, n), from order 2 on also back, of the pairs of a context and its next token that were
+        seen often enough; back is the pair of the context's suffix. With a bit map only contexts it may hold."""
+        shared = texts.sparkSession.sparkContext.broadcast(contexts)
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            contexts, common = shared.value
-            counter = _Counter(2)
+            wanted, counter = shared.value, _Counter()
             for _, _, _, tokens, at in _token_batches(batches, 0):
-                own = contexts_of(tokens, at, k)[-1]
-                go = contexts.find(own) >= 0
-                own, nxt = own[go], tokens[go]
-                go = common.find(nxt) >= 0
-                own, nxt = own[go], nxt[go]
-                yield from counter.add(follow(own, nxt), (own, nxt))
+                own = contexts_of(tokens, at, k)
+                if wanted is None:
+                    yield from counter.add(follow(own[0], tokens), (own[0], tokens))
+                    continue
+                go = np.flatnonzero(own[-1])
+                go = go[wanted.may_hold(own[-1][go])]
+                ctx, nxt = own[-1][go], tokens[go]
+                yield from counter.add(follow(ctx, nxt), (follow(own[-2][go], nxt), ctx, nxt))
             yield from counter.flush()
 
-        rows = texts.mapInArrow(pairs, "ctx long, h long, n long").groupBy("ctx", "h").agg(F.sum("n").alias("n"))
-        c, token, n = _collect(rows.where(F.col("n") >= few), "ctx", "h", "n")
-        return shared.value[0].find(c.view(np.uint64)), token.view(np.uint64), n
-
-    def _add(self, model: Model, ctx, size, suffix, at, token, n) -> None:
-        """Keep the candidates that diverge from their suffix state."""
-        p = (n - self.discount) / size[at]
-        known = model.counts[model.common.find(token)]
-        q = 10 ** model.deepen(model.log_root(known), token, [s[at] for s in suffix])
-        listed = np.bincount(at, p, len(ctx))
-        shorter = np.bincount(at, q, len(ctx))
-        left = np.maximum(1 - listed, 1e-12)
-        rest = left / np.maximum(1 - shorter, 1e-12)
-        apart = np.bincount(at, p * np.log(p / q), len(ctx)) + left * np.log(rest)
-        keep = apart >= self.divergence
-        pair = keep[at]
-        keys = follow(ctx[at[pair]], token[pair])
-        by = np.argsort(keys)
-        model.states.append(State(Lookup(ctx[keep]), np.log10(rest[keep]), Lookup(keys[by]), np.log10(p[pair])[by]))
+        n = F.sum("n").alias("n")
+        if contexts is None:
+            rows = texts.mapInArrow(pairs, "ctx long, h long, n long").groupBy("ctx", "h").agg(n)
+        else:
+            rows = texts.mapInArrow(pairs, "back long, ctx long, h long, n long").groupBy("ctx", "h").agg(n, F.max("back").alias("back"))
+        return rows.where(F.col("n") >= self.least)
+
+
+PAIR = "ctx long, h long, back long, n long, size long, p double, log_q double, listed boolean, pair long"
+
+
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the hash of the context and its next token."""
+    names = [c.split()[0] for c in PAIR.split(", ")]
+    for batch in batches:
+        ctx, h = (batch.column(n).to_numpy().view(np.uint64) for n in ("ctx", "h"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(signed(follow(ctx, h)))], names)
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", parameters: Suffixes | None = None) -> DataFrame:
@@ -258,42 +333,46 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     ws = workspace(spark, "suffixtree")
     rows = plain(docs, key=key, text=text).withColumn("train", train)
-    model, counts = (parameters or Suffixes()).fit(rows.where("train").select("text"), ws)
+    model, counts, others = (parameters or Suffixes()).fit(rows.where("train").select("text"), ws)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        order = len(model.states)
         for batch, a, b, tokens, at in _token_batches(batches, 3):
             place = model.common.find(tokens)
             common = place >= 0
             c = model.counts[place] if len(model.counts) else np.zeros(len(tokens))
             log_p = np.where(common, model.log_root(np.where(common, c, 1)), 0.0) if model.total else np.zeros(len(tokens))
-            log_p = model.deepen(log_p, tokens, contexts_of(tokens, at, order) if order else [])
+            log_p, to_join, keys = model.deepen(log_p, tokens, contexts_of(tokens, at, model.order) if model.order else [])
             base = np.where(common, model.base(c), 0.0)
             rare = np.flatnonzero(~common)
-            rare_at = np.searchsorted(rare, at)
             cols = [batch.column(k).slice(a, b - a) for k in range(3)] + [
                 pa.array(np.diff(at)),
                 pa.array(np.add.reduceat(common.astype(np.int64), at[:-1])),
                 pa.array(np.add.reduceat(base, at[:-1])),
                 pa.array(np.add.reduceat(log_p, at[:-1])),
-                pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(signed(tokens[rare]))),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, at), pa.int32()), pa.array(signed(tokens[rare]))),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(to_join, at), pa.int32()), pa.array(signed(keys))),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "key", "train", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays(cols, ["row", "key", "train", "n_tokens", "n_known", "base", "score", "rare", "keys"])
 
-    schema = "row long, key long, train boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    schema = "row long, key long, train boolean, n_tokens long, n_known long, base double, score double, rare array<long>, keys array<long>"
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "key", "train", "text")
     scored = ws.write(numbered.mapInArrow(run, schema), "scored")
     c, total = F.coalesce("n", F.lit(0)), float(model.total)
     seen = F.log10((c - F.lit(model.discount)) / F.lit(max(total, 1.0)))
-    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row").agg(
-        F.count("n").alias("more"),
-        F.sum(F.log10((c + 1.0) / F.lit(total + model.kinds + 1))).alias("rare_base"),
-        F.sum(F.when(F.col("n").isNull(), F.lit(model.log_unseen())).otherwise(seen)).alias("rare_score"),
+    rare = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").select(
+        "row",
+        F.col("n").isNotNull().cast("long").alias("more"),
+        F.log10((c + 1.0) / F.lit(total + model.kinds + 1)).alias("rare_base"),
+        F.when(F.col("n").isNull(), F.lit(model.log_unseen())).otherwise(seen).alias("rare_score"),
+    )
+    deep = scored.select("row", F.explode("keys").alias("key")).join(others, "key").select(
+        "row", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("rare_base"), F.col("value").alias("rare_score")
     )
+    joined = rare.unionByName(deep).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "rare_base", "rare_score")])
     zero = F.lit(0.0)
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return scored.drop("rare", "keys").join(joined, "row", "left").select(
         F.col("key").alias(key), "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
