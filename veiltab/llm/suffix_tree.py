@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from veiltab.llm.shared import plain, workspace
 from veiltab.llm.text import LOWER, column_bytes, follow, hash_ranges, row_chunks, signed, words
+from veiltab.session import small_side
 
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)
 HELD_COUNTS = 1 << 20  # counts a task holds before it hands them on
@@ -93,16 +94,17 @@ def contexts_of(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarr
 
 
 def bit_mask(key: np.ndarray) -> np.ndarray:
-    """The four bits (some may be equal) of a key in its word of the bit map."""
+    """The four bits (some may be equal) of a key in its word of the bit map. The word is told by the upper
+    22 bits at most; none of the lowest 18 has a part in it."""
     one = np.uint64(1)
     mask = np.zeros(len(key), np.uint64)
     for k in range(4):
-        mask |= one << ((key >> np.uint64(6 * k)) & np.uint64(63))
+        mask |= one << ((key >> np.uint64(18 + 6 * k)) & np.uint64(63))
     return mask
 
 
 class BitMap:
-    """Which 64-bit keys may be in a table: never wrong about one that is."""
+    """Which 64-bit keys may be in a table (at most MAP_WORDS words): never wrong about one that is."""
 
     def __init__(self, table: DataFrame, key: str):
         rows = table.count()
@@ -110,7 +112,7 @@ class BitMap:
         self.shift = np.uint64(64 - (self.size.bit_length() - 1))
         mask = F.lit(0).cast("long")
         for k in range(4):
-            mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftright(`{key}`, {6 * k}) & 63 as int))"))
+            mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftright(`{key}`, {18 + 6 * k}) & 63 as int))"))
         place = F.shiftrightunsigned(key, int(self.shift)).alias("place")
         at, bits = _collect(table.groupBy(place).agg(F.bit_or(mask).alias("bits")), "place", "bits")  # at most MAP_WORDS rows
         self.words = np.zeros(self.size, np.uint64)
@@ -170,9 +172,10 @@ class Model:
 class _Counter:
     """Counts of a task, handed on before they become many."""
 
-    def __init__(self):
+    def __init__(self, rows=None):
+        """rows: batches from the parts and the counts, ordered by key."""
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
+        self.size, self.rows = 0, rows or _count_rows
 
     def add(self, key: np.ndarray, parts: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         _, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -189,13 +192,55 @@ class _Counter:
         n = np.bincount(kind, n, len(first)).astype(np.int64)
         self.held, self.size = [(key[first], n, *(p[first] for p in parts))], len(first)
         if len(first) > keep:
-            cols = [pa.array(signed(p[first])) for p in parts] + [pa.array(n)]
-            names = [*NAMES[-len(parts) :], "n"]
-            for a in range(0, len(first), 1 << 18):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 18) for c in cols], names)
+            yield from self.rows([p[first] for p in parts], n)
             self.held, self.size = [], 0
 
 
+def _count_rows(parts: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    cols = [pa.array(signed(p)) for p in parts] + [pa.array(n)]
+    for a in range(0, len(n), 1 << 18):
+        yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 18) for c in cols], [*NAMES[-len(parts) :], "n"])
+
+
+class _Packed:
+    """Counts of 64-bit keys as blocks of bytes, one a bucket of keys: 40 bits of a key beyond the bucket's, plane
+    by plane, and a count of at most 255. A quarter of the bytes that rows of keys would shuffle."""
+
+    SCHEMA = "bucket int, keys binary, n binary"
+
+    def __init__(self, keys: int):
+        """keys: at most so many; a bucket gets a million or less, so one task can hold it."""
+        self.bits = max(6, min(24, (keys >> 20).bit_length()))
+
+    def __call__(self, parts: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = parts[0]
+        planes = np.ascontiguousarray((key >> np.uint64(24 - self.bits)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        few = np.minimum(n, 255).astype(np.uint8)
+        bucket, first = np.unique(key >> np.uint64(64 - self.bits), return_index=True)
+        cuts = [*zip(first, np.append(first[1:], len(key)))]
+        cols = [pa.array(bucket.astype(np.int32)), pa.array([planes[a:b].T.tobytes() for a, b in cuts]), pa.array([few[a:b].tobytes() for a, b in cuts])]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "keys", "n"])
+
+    def often(self, blocks: DataFrame, least: int) -> DataFrame:
+        """(key) of those counted ``least`` times, the bits beyond those kept being zero."""
+        bits = self.bits
+
+        def merge(block: pa.Table) -> pa.Table:
+            keys, ns = [], []
+            for planes, n in zip(block.column("keys"), block.column("n")):
+                few = np.frombuffer(n.as_py(), np.uint8)
+                low = np.zeros((len(few), 8), np.uint8)
+                low[:, :5] = np.frombuffer(planes.as_py(), np.uint8).reshape(5, -1).T
+                keys.append(low.view("<u8").ravel())
+                ns.append(few)
+            key, kind = np.unique(np.concatenate(keys), return_inverse=True)
+            key = key[np.bincount(kind, np.concatenate(ns), len(key)) >= least]
+            top = np.uint64(block.column("bucket")[0].as_py() << (64 - bits))
+            return pa.table({"key": signed(top | (key << np.uint64(24 - bits)))})
+
+        return blocks.groupBy("bucket").applyInArrow(merge, "key long")
+
+
 def _token_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, bounds = column_bytes(batch.column(column))
@@ -214,8 +259,8 @@ class Suffixes:
     """The parameters; see the module's text."""
 
     order: int = 3
-    least: int = 2
-    evidence: float = 8.0
+    least: int = 4  # 255 at most
+    evidence: float = 16.0
     discount: float | None = None  # None: by how many tokens were seen once and twice
     share: float = 2.0**-19  # of the training tokens, to be broadcast; changes no result
 
@@ -251,26 +296,27 @@ class Suffixes:
         """(order, key, value, n) of the states and listed pairs, order by order."""
         tree = texts.sparkSession.createDataFrame([], "order int, key long, value double, n long")
         begin, end = (F.lit(int(signed(np.array([x]))[0])) for x in (BEGIN, END))
-        again = counts.where(F.col("n") >= self.least)  # of the contexts and next tokens seen more seldom no pair counts
+        again = counts.where(F.col("n") >= self.least)  # a pair is not seen more often than its tokens
         contexts = again.select(F.when(F.col("h") == end, begin).otherwise(F.col("h")).alias("ctx"), F.col("n").alias("size"))
         before = again.select(F.col("h").alias("back"), F.log10((F.col("n") - model.discount) / float(model.total or 1)).alias("log_q"))
         for k in range(1, self.order + 1):
-            pairs = self._pairs(texts, k, None if k == 1 else BitMap(contexts, "ctx"))
             if k == 1:
-                pairs = pairs.withColumn("back", F.col("h"))
-            p = (F.col("n") - model.discount) / F.col("size")
-            gain = F.col("n") * (F.log10(p) - F.col("log_q"))
-            pairs = pairs.join(contexts, "ctx").join(before, "back").withColumn("p", p)
-            pairs = ws.write(pairs.withColumn("listed", gain >= self.evidence / np.log(10)).mapInArrow(_name, PAIR), f"pairs{k}")
+                found = self._first_pairs(texts, ws, model, again)
+            else:
+                found = self._longer_pairs(texts, k, BitMap(contexts, "ctx"), BitMap(pairs, "pair"))
+            found = found.join(_sized(contexts), "ctx").join(_sized(before), "back")
+            pairs = ws.write(found.mapInArrow(_name, PAIR), f"pairs{k}").withColumn("p", (F.col("n") - model.discount) / F.col("size"))
+            pairs = pairs.withColumn("listed", F.col("n") * (F.log10("p") - F.col("log_q")) >= self.evidence / np.log(10))
             listed = pairs.where("listed")
             states = listed.groupBy("ctx").agg(
                 F.max("size").alias("n"), F.log10((1 - F.sum("p")) / (1 - F.sum(F.pow(F.lit(10.0), "log_q")))).alias("rest")
             )
             states = ws.write(states, f"states{k}")
+            rests = _sized(states.select("ctx", "rest"))
             tree = tree.unionByName(
                 states.select(F.lit(k).alias("order"), F.col("ctx").bitwiseXOR(F.lit(int(STATE) - 2**64)).alias("key"), F.col("rest").alias("value"), "n")
             ).unionByName(
-                listed.join(states.select("ctx", "rest"), "ctx").select(
+                listed.join(rests, "ctx").select(
                     F.lit(k).alias("order"), F.col("pair").alias("key"), (F.log10("p") - F.col("log_q") - F.col("rest")).alias("value"), "n"
                 )
             )
@@ -279,50 +325,84 @@ class Suffixes:
             model.order = k
             if k == self.order:
                 break
-            longer = listed.where(F.col("h") != end)
+            longer = listed.where("not ends")
             if k > 1:
-                longer = longer.join(contexts.select(F.col("ctx").alias("back")), "back", "left_semi")
+                longer = longer.join(_sized(contexts.select(F.col("ctx").alias("back"))), "back", "left_semi")
             # a pair that is listed is the hash of the context one longer
             contexts = ws.write(longer.select(F.col("pair").alias("ctx"), F.col("n").alias("size")), f"contexts{k + 1}")
             own = F.when(F.col("listed"), F.log10("p")).otherwise(F.coalesce("rest", F.lit(0.0)) + F.col("log_q"))
-            before = pairs.join(states.select("ctx", "rest"), "ctx", "left").select(F.col("pair").alias("back"), own.alias("log_q"))
+            before = pairs.join(rests, "ctx", "left").select(F.col("pair").alias("back"), own.alias("log_q"))
         return tree
 
-    def _pairs(self, texts: DataFrame, k: int, contexts: BitMap | None) -> DataFrame:
-        """(ctx, h, n), from order 2 on also back, of the pairs of a context and its next token that were
-        seen often enough; back is the pair of the context's suffix. With a bit map only contexts it may hold."""
-        shared = texts.sparkSession.sparkContext.broadcast(contexts)
+    def _first_pairs(self, texts: DataFrame, ws, model: Model, again: DataFrame) -> DataFrame:
+        """(ctx, h, back, n) of the pairs of two tokens seen often enough; back is the token.
+
+        Most pairs are seen once. A first pass counts packed hashes of them and tells which may be seen often
+        enough, a second one counts those exactly."""
+        sc = texts.sparkSession.sparkContext
+        packed = _Packed(model.total)
+        tokens_map = sc.broadcast(BitMap(again, "h"))
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, counter = tokens_map.value, _Counter(packed)
+            for _, _, _, tokens, at in _token_batches(batches, 0):
+                own, go = contexts_of(tokens, at, 1)[0], wanted.may_hold(tokens)
+                go[1:] &= go[:-1] | (own[1:] == BEGIN)
+                pair = follow(own[go], tokens[go])
+                yield from counter.add(pair, (pair,))
+            yield from counter.flush()
+
+        often = ws.write(packed.often(texts.mapInArrow(pack, packed.SCHEMA), self.least), "often")
+        shared = sc.broadcast(BitMap(often, "key"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, counter = shared.value, _Counter()
+            for _, _, _, tokens, at in _token_batches(batches, 0):
+                own = contexts_of(tokens, at, 1)[0]
+                pair = follow(own, tokens)
+                go = np.flatnonzero(wanted.may_hold(pair))
+                yield from counter.add(pair[go], (own[go], tokens[go]))
+            yield from counter.flush()
+
+        rows = texts.mapInArrow(count, "ctx long, h long, n long").groupBy("ctx", "h").agg(F.sum("n").alias("n"))
+        return rows.where(F.col("n") >= self.least).withColumn("back", F.col("h"))
+
+    def _longer_pairs(self, texts: DataFrame, k: int, contexts: BitMap, shorter: BitMap) -> DataFrame:
+        """(ctx, h, back, n) of the pairs of a context and its next token seen often enough; back is the pair
+        of the context's suffix, which was then seen often enough too. Contexts and backs are as the maps tell."""
+        shared = texts.sparkSession.sparkContext.broadcast((contexts, shorter))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (contexts, shorter), counter = shared.value, _Counter()
             for _, _, _, tokens, at in _token_batches(batches, 0):
                 own = contexts_of(tokens, at, k)
-                if wanted is None:
-                    yield from counter.add(follow(own[0], tokens), (own[0], tokens))
-                    continue
                 go = np.flatnonzero(own[-1])
-                go = go[wanted.may_hold(own[-1][go])]
+                go = go[contexts.may_hold(own[-1][go])]
+                back = follow(own[-2][go], tokens[go])
+                held = shorter.may_hold(back)
+                go, back = go[held], back[held]
                 ctx, nxt = own[-1][go], tokens[go]
-                yield from counter.add(follow(ctx, nxt), (follow(own[-2][go], nxt), ctx, nxt))
+                yield from counter.add(follow(ctx, nxt), (back, ctx, nxt))
             yield from counter.flush()
 
-        n = F.sum("n").alias("n")
-        if contexts is None:
-            rows = texts.mapInArrow(pairs, "ctx long, h long, n long").groupBy("ctx", "h").agg(n)
-        else:
-            rows = texts.mapInArrow(pairs, "back long, ctx long, h long, n long").groupBy("ctx", "h").agg(n, F.max("back").alias("back"))
-        return rows.where(F.col("n") >= self.least)
+        rows = texts.mapInArrow(count, "back long, ctx long, h long, n long")
+        return rows.groupBy("ctx", "h").agg(F.sum("n").alias("n"), F.max("back").alias("back")).where(F.col("n") >= self.least)
+
+
+PAIR = "ctx long, back long, n long, size long, log_q double, pair long, ends boolean"
 
 
-PAIR = "ctx long, h long, back long, n long, size long, p double, log_q double, listed boolean, pair long"
+def _sized(table: DataFrame) -> DataFrame:
+    """To be broadcast if its rows, which are counted, fit."""
+    return small_side(table, table.count())
 
 
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the hash of the context and its next token."""
+    """Add the hash of the context and its next token, and whether that is the end."""
     names = [c.split()[0] for c in PAIR.split(", ")]
     for batch in batches:
         ctx, h = (batch.column(n).to_numpy().view(np.uint64) for n in ("ctx", "h"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(signed(follow(ctx, h)))], names)
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-2]), pa.array(signed(follow(ctx, h))), pa.array(h == END)], names)
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", parameters: Suffixes | None = None) -> DataFrame:
