@@ -79,8 +79,8 @@ class Dictionary:
         return sum(math.log10(self.p(self.context(row, i, min(order, i + 1)), t)) for i, t in enumerate(row))
 
 
-@pytest.mark.parametrize("share", [2.0**-19, 2.0**-9, 2.0])  # all keys broadcast, some, none
-def test_scores_equal_a_dictionary_tree(spark, sf, share):
+@pytest.mark.parametrize("held_keys", [1 << 21, 300, 0])  # all keys broadcast, some, none
+def test_scores_equal_a_dictionary_tree(spark, sf, held_keys):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     extra = ["again and again the same few words " * 3, "the same few words again", "a b z q " * 9, "a b z w"]
     docs = docs[:200] + [(10**6 + k, t) for k, t in enumerate(extra * 2)]
@@ -88,7 +88,7 @@ def test_scores_equal_a_dictionary_tree(spark, sf, share):
     set_up = {"order": 3, "least": 2, "evidence": 4.0}
     plain = Dictionary([t for k, t in docs if not held[k]], **set_up)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("key") % 7 != 2, parameters=suffix_tree.Suffixes(share=share, **set_up)).collect()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("key") % 7 != 2, parameters=suffix_tree.Suffixes(held=held_keys, **set_up)).collect()}
     assert max(len(ctx) for ctx in plain.rest) == 3
     for k, text in docs:
         assert math.isclose(got[k], plain.score(text, 3), rel_tol=1e-9)
@@ -126,8 +126,8 @@ def test_contexts_help_and_order_zero_does_not_see_them(spark, cyclic):
 
 
 def test_rare_keys_are_joined(spark, cyclic):
-    """A share so high that every token and state is joined gives the same scores."""
-    one, two = (suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(share=x)).orderBy("key").collect() for x in (0.0, 2.0))
+    """That every token and state is joined changes no score."""
+    one, two = (suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(held=x)).orderBy("key").collect() for x in (1 << 21, 0))
     for a, b in zip(one, two, strict=True):
         assert (a["n_known"], a["n_tokens"]) == (b["n_known"], b["n_tokens"])
         assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)

@@ -17,10 +17,10 @@ enough and the tree grows with the corpus. Its tables are written and joined by
 
 A text's score uses the longest suffix state at each token. It is a sum: order 0 of each token, and for each
 order the log weight of the state's rest and, if the token is listed, what it has beyond that. So a
-text is a bag of keys (states and listed pairs) and the tree a table (key, value). Keys that make up ``share``
-of the training tokens are looked up in a broadcast table, which has at most 1/share entries for tokens and for
-the states and pairs of each order. The others go through a bit map of fixed size, which only spares rows,
-and those it lets pass are joined by shuffle; none of them is hot in the training texts.
+text is a bag of keys (states and listed pairs) and the tree a table (key, value). The ``held`` keys seen most
+and as many tokens are looked up in broadcast tables. The others go through a bit map of bounded size, which
+only spares rows, and those it lets pass are joined by shuffle; none of them is hot in the training texts, as
+``held`` others are seen at least as often.
 
 Words are identified by a mixed 64-bit hash, contexts by a hash of those; among 10^9 different words a
 collision has odds of 1 in 37, among 10^8 keys of 1 in 3,700. A collision joins the counts of the two.
@@ -57,10 +57,10 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         """keys: sorted and distinct."""
-        self.bits = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
+        self.bits = np.uint64(64 - max(1, int(len(keys)).bit_length()))
         self.keys = np.append(keys, np.uint64(2**64 - 1))
         slots = np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits
-        self.first = np.searchsorted(keys, slots)
+        self.first = np.searchsorted(keys, slots).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash, -1 for those that are not there."""
@@ -129,9 +129,9 @@ class Model:
     kinds: int
     discount: float
     order: int  # of the longest states
-    common: Lookup  # tokens of at least the share
+    common: Lookup  # tokens seen most
     counts: np.ndarray
-    keys: Lookup | None = None  # states and listed pairs of at least the share
+    keys: Lookup | None = None  # states and listed pairs seen most
     values: np.ndarray | None = None
     others: BitMap | None = None  # of the other states and pairs
 
@@ -262,7 +262,7 @@ class Suffixes:
     least: int = 4  # 255 at most
     evidence: float = 16.0
     discount: float | None = None  # None: by how many tokens were seen once and twice
-    share: float = 2.0**-19  # of the training tokens, to be broadcast; changes no result
+    held: int = 1 << 21  # entries of a broadcast table at most (16 bytes each); changes no result
 
     def fit(self, texts: DataFrame, ws) -> tuple[Model, DataFrame, DataFrame]:
         """The model of a table (text), the counts of all its tokens (h, n), and all states and listed
@@ -280,18 +280,29 @@ class Suffixes:
         ).first()
         total, n1, n2 = of["n"] or 0, of["n1"], of["n2"]
         discount = self.discount or (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
-        few = self.share * total
-        h, n = _collect(counts.where(F.col("n") >= few), "h", "n")
+        h, n = _collect(counts.where(self._seen_most(counts)), "h", "n")
         by = np.argsort(h.view(np.uint64))
         model = Model(total, of["v"], discount, 0, Lookup(h.view(np.uint64)[by]), n[by])
         tree = ws.write(self._grow(texts, ws, model, counts), "tree")
-        key, value = _collect(tree.where(F.col("n") >= few), "key", "value")
+        most = self._seen_most(tree)
+        key, value = _collect(tree.where(most), "key", "value")
         by = np.argsort(key.view(np.uint64))
         model.keys, model.values = Lookup(key.view(np.uint64)[by]), value[by]
-        others = tree.where(F.col("n") < few)
+        others = tree.where(~most)
         model.others = BitMap(others, "key")
         return model, counts, others
 
+    def _seen_most(self, table: DataFrame) -> Column:
+        """A condition that ``held`` rows of (n) at most meet, those with the largest n."""
+        size = F.floor(F.log2("n") * 4).cast("int")
+        cut, rows = 1 << 10, 0
+        for r in sorted(table.groupBy(size.alias("size")).count().collect(), reverse=True):  # below 256 rows
+            rows += r["count"]
+            if rows > self.held:
+                break
+            cut = r["size"]
+        return size >= cut
+
     def _grow(self, texts: DataFrame, ws, model: Model, counts: DataFrame) -> DataFrame:
         """(order, key, value, n) of the states and listed pairs, order by order."""
         tree = texts.sparkSession.createDataFrame([], "order int, key long, value double, n long")
