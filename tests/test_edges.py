@@ -1,6 +1,7 @@
 """Edges, levels and bins: exact partitions, closed at the top, never mutated."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,25 @@ def test_private_bounds_contain_the_bulk(spark):
     df = spark.range(5000).select((F.col("id") % 900 + 100).cast("double").alias("x"))
     r = hist.private_bounds(df, ["x"], 1.0, "t").first()
     assert (r["lower"], r["upper"]) == (64.0, 1024.0)
+
+
+@pytest.mark.parametrize("height, q, noise", [(1, 4, 0.0), (4, 5, 0.0), (6, 16, 0.02), (7, 9, 0.2)])
+def test_tree_cuts_equal_a_walk_over_the_edges(spark, height, q, noise):
+    """Also where noise makes the mass fall from one edge to the next."""
+    rng = random.Random(height)
+    leaves = [rng.random() ** 3 for _ in range(2**height)]
+    leaves = [x / sum(leaves) for x in leaves]
+    stats = []
+    for level in range(height):
+        width = 2 ** (height - 1 - level)
+        for b in range(2 ** (level + 1)):
+            stats.append((level, b, sum(leaves[b * width : (b + 1) * width]) + rng.gauss(0, noise)))
+    stat = {(level, b): x for level, b, x in stats}
+    bits = [[((i >> (height - 1 - level)), level) for level in range(height)] for i in range(2**height)]
+    mass = [sum(stat[level, up - 1] for up, level in row if up % 2) for row in bits]
+    cuts, i = [0], 0
+    while (i := next((j for j in range(i + 1, 2**height - 1) if mass[j + 1] > mass[cuts[-1]] + 1 / q), None)) is not None:
+        cuts.append(i)
+    got = hist.tree_quantiles(spark.createDataFrame(stats, "level int, bin long, stat double"), 3.0, height, q).orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(len(cuts)))
+    assert [r["edge"] for r in got] == [c * 3.0 / 2**height for c in cuts]

@@ -14,6 +14,7 @@ from veiltab.functions.budget import sigma_of
 from veiltab.functions.hashing import gaussian, laplace
 from veiltab.functions.ranking import bucket_count
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
+from veiltab.session import Workspace
 
 MIN_MASS = 1e-9
 
@@ -250,20 +251,40 @@ def private_edges(
     return out
 
 
-def tree_quantiles(stats: DataFrame, domain_top: float, height: int, q: int) -> list[float]:
-    """Cut points of about 1/q mass from noisy dyadic statistics (level, bin, stat) of one column.
+def tree_quantiles(stats: DataFrame, domain_top: float, height: int, q: int) -> DataFrame:
+    """(i, edge): cut points of about 1/q mass from noisy dyadic statistics (level, bin, stat) of one column.
 
-    The mass below leaf edge i is the sum of the left siblings on the way to it, one per set bit.
+    A cut at leaf edge a is followed by one at the first later edge j with mass(j + 1) - mass(a) > 1/q; edge 0 is
+    always one. Noisy masses need not rise, so each edge finds its successor in maxima of dyadic blocks: the
+    first block after it that goes high enough, then the first half of that, and so on. Pointers are doubled
+    by self-joins and followed from 0.
     """
-    n = 2**height
-    density = prefix_mass(stats, height)
-    rows = [(r["i"], r["mass"]) for r in density.orderBy("i").collect()]  # 2^height - 1 rows
-    cuts, last = [0.0], 0.0
-    for (i, here), (_, after) in zip(rows, rows[1:]):
-        if after - last > 1.0 / q:
-            cuts.append(i * domain_top / n)
-            last = here
-    return cuts
+    spark, n = stats.sparkSession, 2**height
+    ws = Workspace(spark, "cuts")
+    mass = ws.write(prefix_mass(stats, height), "mass")
+    ahead = mass.where("i > 1").selectExpr("i - 1 as j", "mass", f"explode(sequence(0, {height})) as level")
+    blocks = ws.write(
+        ahead.selectExpr("level", "shiftright(j, level) as block", "mass").groupBy("level", "block").agg(F.max("mass").alias("top")),
+        "blocks",
+    )
+    start = mass.union(spark.range(1).selectExpr("id", "0D")).withColumn("need", F.col("mass") + F.lit(1.0 / q))
+    tries = start.selectExpr("i", "need", f"explode(sequence(0, {height - 1})) as level")
+    tries = tries.withColumn("block", F.expr("shiftright(i + shiftleft(1L, level), level)")).where("block % 2 = 1")
+    at = tries.join(blocks, ["level", "block"]).where("top > need").groupBy("i").agg(
+        F.expr("min(struct(shiftleft(block, level) as j, level, need))").alias("s")
+    ).select("i", "s.*")
+    for level in range(height - 1, 0, -1):  # a block of this level to the first of its halves that is high enough
+        left = blocks.where(F.col("level") == level - 1).select(F.col("block").alias("half"), "top")
+        right = F.col("top").isNull() | (F.col("top") <= F.col("need"))
+        moved = F.col("j") + F.when((F.col("level") >= level) & right, F.lit(1 << (level - 1))).otherwise(0)
+        at = at.join(left, F.shiftright("j", level - 1) == F.col("half"), "left").select("i", moved.alias("j"), "level", "need")
+    jump = ws.write(at.select("i", "j"), "jump")
+    cuts = ws.write(spark.range(1).withColumnRenamed("id", "i"), "cuts")
+    for _ in range(height):  # the first 2^k cuts after k turns
+        cuts = ws.write(cuts.union(cuts.join(jump, "i").select("j")), "cuts")
+        jump = ws.write(jump.join(jump.selectExpr("i as j", "j as k"), "j").selectExpr("i", "k as j"), "jump")
+    place = F.row_number().over(W.orderBy("i")) - 1  # at most one cut per leaf
+    return cuts.select(place.alias("i"), (F.col("i") * F.lit(domain_top) / F.lit(n)).alias("edge"))
 
 
 def prefix_mass(stats: DataFrame, height: int) -> DataFrame:

@@ -7,7 +7,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from veiltab.functions.literals import small_table
 from veiltab.functions.bins import bin_table
 from veiltab.operators import encode as enc
 from veiltab.operators import histograms as hist
@@ -241,8 +240,7 @@ def e6(spark, sf):
 TREE_H = 6
 
 
-@query(
-    "e7_tree_prefix_mass",
+TREE_SQL = (
     f"WITH {ENC}, leaf AS (SELECT CAST(least({2**TREE_H - 1}, floor(l_extendedprice * {2**TREE_H})) AS BIGINT) AS leaf, "
     "count(*) AS cnt FROM enc GROUP BY 1), "
     "tree AS ("
@@ -254,11 +252,14 @@ TREE_H = 6
     + f"), noisy AS (SELECT level, bin, cnt / CAST(({rows_sql('enc')}) AS DOUBLE) + {sql.d(math.sqrt(2.0))} / "
     f"({rows_sql('enc')}) / {sql.d(math.sqrt(2 * 0.01 / TREE_H))} * "
     + sql.gauss(SEED, "tree", "'l_extendedprice'", "level", "bin")
-    + f" AS stat FROM tree), e AS (SELECT unnest(range(1, {2**TREE_H})) AS i) "
-    "SELECT i, round(sum(stat), 6) AS mass FROM e JOIN noisy ON "
+    + f" AS stat FROM tree), e AS (SELECT unnest(range(1, {2**TREE_H})) AS i), "
+    "mass AS (SELECT i, sum(stat) AS mass FROM e JOIN noisy ON "
     f"(i // CAST(2 ** ({TREE_H - 1} - level) AS BIGINT)) % 2 = 1 AND bin = (i // CAST(2 ** ({TREE_H - 1} - level) AS BIGINT)) - 1 "
-    "GROUP BY i",
+    "GROUP BY i)"
 )
+
+
+@query("e7_tree_prefix_mass", f"{TREE_SQL} SELECT i, round(mass, 6) AS mass FROM mass")
 def e7(spark, sf):
     """Mass below each leaf edge of the noisy dyadic tree of one column."""
     stats = _noisy_tree(spark, sf)
@@ -271,10 +272,19 @@ def _noisy_tree(spark, sf):
     return t.noisy_stats(e, e.count(), 0.01, SEED, "tree").select("level", F.col("b1").alias("bin"), "stat")
 
 
-@query("e7_tree_quantiles")
+TREE_Q = 16
+
+
+@query(
+    "e7_tree_quantiles",
+    TREE_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", edges AS (SELECT i, mass FROM mass UNION ALL SELECT 0, 0.0), nxt AS (SELECT a.i, min(b.i) - 1 AS j FROM edges a "
+    f"JOIN mass b ON b.i - 1 > a.i AND b.mass > a.mass + {sql.d(1.0 / TREE_Q)} GROUP BY a.i), "
+    "cuts AS (SELECT CAST(0 AS BIGINT) AS i UNION ALL SELECT j FROM cuts JOIN nxt USING (i)) "
+    f"SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS i, i / CAST({2**TREE_H} AS DOUBLE) AS edge FROM cuts",
+)
 def e7_cuts(spark, sf):
-    cuts = hist.tree_quantiles(_noisy_tree(spark, sf), 1.0, TREE_H, 16)
-    return small_table(spark, [(i, c) for i, c in enumerate(cuts)], "i int, edge double")
+    return hist.tree_quantiles(_noisy_tree(spark, sf), 1.0, TREE_H, TREE_Q)
 
 
 CDF_AT = {"l_extendedprice": [0.05, 0.25, 0.5, 0.9, 1.0], "l_quantity": [0.0, 1.0, 10.0, 25.5, 49.0, 60.0]}
