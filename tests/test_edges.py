@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veiltab.functions.bins import add_bins, bin_table
 from veiltab.operators import histograms as hist
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
-from veiltab.operators.marginals import Marginals, column_sets
+from veiltab.operators.marginals import Marginals, box_queries, column_sets
 
 
 @pytest.mark.parametrize(
@@ -138,3 +138,23 @@ def test_tree_cuts_equal_a_walk_over_the_edges(spark, height, q, noise):
     got = hist.tree_quantiles(spark.createDataFrame(stats, "level int, bin long, stat double"), 3.0, height, q).orderBy("i").collect()
     assert [r["i"] for r in got] == list(range(len(cuts)))
     assert [r["edge"] for r in got] == [c * 3.0 / 2**height for c in cuts]
+
+
+def test_boxes_of_several_sets_in_one_scan(spark):
+    rng = random.Random(3)
+    cell = lambda: rng.choice([None, 0.0, 1.0, *(rng.random() for _ in range(5))])
+    rows = [(cell(), cell(), cell()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    at = {"x": 0, "y": 1, "z": 2}
+    boxes = []
+    for q in range(1000):
+        cols = rng.choice([("x",), ("y", "x"), ("x", "y", "z"), ("z", "y")])
+        boxes.append((q, {c: (round(rng.uniform(-0.2, 1), 2), round(rng.uniform(0, 1.2), 2)) for c in cols}))
+    got = box_queries(df, boxes, len(rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    found = {r["query_id"]: r["stat"] for r in got.collect()}
+    for q, box in boxes:
+        n = sum(all(r[at[c]] is not None and lo <= r[at[c]] < hi for c, (lo, hi) in box.items()) for r in rows)
+        assert math.isclose(found[q], n / len(rows))
+    assert box_queries(df, [], 300).collect() == []

@@ -413,41 +413,38 @@ def dense_histogram(df: DataFrame, edges: dict[str, list[float]], n_rows: int) -
 def box_queries(df: DataFrame, boxes: list[tuple[int, dict[str, tuple[float, float]]]], n_rows: int) -> DataFrame:
     """(query_id, stat): fraction of rows in each box of half-open intervals.
 
-    All bounds of a column set cut its space into elementary cells. Rows are counted per cell once;
-    each box then sums the cells it covers, joined on the first column's bin. Rows are never paired
-    with boxes.
+    The bounds of all boxes over a column set cut its space into elementary cells. One scan counts the rows
+    per set and cell; each box then sums the cells it covers, joined on the first column's bin. Rows are
+    never paired with boxes.
     """
     spark = df.sparkSession
-    groups: dict[tuple[str, ...], list] = {}
-    for q, box in boxes:
-        groups.setdefault(tuple(sorted(box)), []).append((q, box))
+    if not boxes:
+        return small_table(spark, [], "query_id int, stat double")
+    sets = sorted({tuple(sorted(box)) for _, box in boxes})
     inf = float("inf")
+    cuts = {(s, c): sorted({float(x) for _, box in boxes if tuple(sorted(box)) == cols for x in box[c]}) for s, cols in enumerate(sets) for c in cols}
+    binned = add_bins(df.select(*sorted({c for _, c in cuts})), {f"b{s}_{c}": (c, [-inf, *at, inf]) for (s, c), at in cuts.items()})
+    place = {at: {x: i for i, x in enumerate(xs)} for at, xs in cuts.items()}
+    asked = []
+    for q, box in boxes:
+        cols = tuple(sorted(box))
+        s = sets.index(cols)
+        # bins of [lo, hi): after lo's cut, up to and including hi's
+        first = [place[s, c][float(box[c][0])] + 1 for c in cols]
+        last = [place[s, c][float(box[c][1])] for c in cols]
+        if all(a <= b for a, b in zip(first, last)):
+            asked.append((q, s, first, last))
+    cells = F.array(*[
+        F.struct(F.lit(s).alias("s"), F.array(*[F.col(f"b{s}_{c}").cast("int") for c in cols]).alias("b")) for s, cols in enumerate(sets)
+    ])
+    counts = (
+        binned.select(F.explode(cells).alias("cell")).select("cell.*").where("forall(b, x -> x is not null)")
+        .groupBy("s", "b").agg(F.count(F.lit(1)).alias("cnt")).withColumn("at", F.get("b", F.lit(0)))
+    )
+    want = small_table(spark, asked, "query_id int, s int, first array<int>, last array<int>")
+    want = want.withColumn("at", F.explode(F.sequence(F.get("first", F.lit(0)), F.get("last", F.lit(0)))))
+    inside = F.expr("forall(transform(b, (x, i) -> x between get(first, i) and get(last, i)), y -> y)")
+    found = counts.join(want, ["s", "at"]).where(inside).groupBy("query_id").agg(F.sum("cnt").alias("cnt"))
     out = small_table(spark, [(q,) for q, _ in boxes], "query_id int")
-    found = None
-    for cols, members in groups.items():
-        cuts = {c: sorted({x for _, box in members for x in map(float, box[c])}) for c in cols}
-        binned = add_bins(df.select(*cols), {f"b_{c}": (c, [-inf, *cuts[c], inf]) for c in cols})
-        keys = [f"b_{c}" for c in cols]
-        counts = binned.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
-        rows = []
-        for q, box in members:
-            row = [q]
-            for c in cols:  # bins of [lo, hi): after lo's cut, up to and including hi's
-                row += [cuts[c].index(float(box[c][0])) + 1, cuts[c].index(float(box[c][1]))]
-            if all(row[i] <= row[i + 1] for i in range(1, len(row), 2)):
-                rows.append(tuple(row))
-        if not rows:
-            continue
-        schema = "query_id int, " + ", ".join(f"from_{i} int, to_{i} int" for i in range(len(cols)))
-        asked = small_table(spark, rows, schema)
-        asked = asked.withColumn(keys[0], F.explode(F.expr("sequence(from_0, to_0)")))
-        inside = reduce(
-            lambda a, b: a & b,
-            [F.col(keys[i]).between(F.col(f"from_{i}"), F.col(f"to_{i}")) for i in range(len(cols))],
-        )
-        part = counts.join(asked, keys[0]).where(inside).groupBy("query_id").agg(F.sum("cnt").alias("cnt"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = small_table(spark, [], "query_id int, cnt long")
     stat = F.coalesce("cnt", F.lit(0)) / F.lit(float(n_rows))
     return out.join(found, "query_id", "left").select("query_id", stat.alias("stat"))
