@@ -88,7 +88,7 @@ def test_scores_equal_a_dictionary_tree(spark, sf, held_keys):
     set_up = {"order": 3, "least": 2, "evidence": 4.0}
     plain = Dictionary([t for k, t in docs if not held[k]], **set_up)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("key") % 7 != 2, parameters=suffix_tree.Suffixes(held=held_keys, **set_up)).collect()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(df, F.col("key") % 7 != 2, parameters=suffix_tree.Suffixes(held=held_keys, share=1 / (held_keys + 1), **set_up)).collect()}
     assert max(len(ctx) for ctx in plain.rest) == 3
     for k, text in docs:
         assert math.isclose(got[k], plain.score(text, 3), rel_tol=1e-9)
@@ -127,7 +127,7 @@ def test_contexts_help_and_order_zero_does_not_see_them(spark, cyclic):
 
 def test_rare_keys_are_joined(spark, cyclic):
     """That every token and state is joined changes no score."""
-    one, two = (suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(held=x)).orderBy("key").collect() for x in (1 << 21, 0))
+    one, two = (suffix_tree.score(cyclic, F.lit(True), "key", parameters=suffix_tree.Suffixes(held=x, share=1 / (x + 0.5))).orderBy("key").collect() for x in (1 << 21, 0))
     for a, b in zip(one, two, strict=True):
         assert (a["n_known"], a["n_tokens"]) == (b["n_known"], b["n_tokens"])
         assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)

@@ -18,7 +18,7 @@ enough and the tree grows with the corpus. Its tables are written and joined by
 A text's score uses the longest suffix state at each token. It is a sum: order 0 of each token, and for each
 order the log weight of the state's rest and, if the token is listed, what it has beyond that. So a
 text is a bag of keys (states and listed pairs) and the tree a table (key, value). The ``held`` keys seen most
-and as many tokens are looked up in broadcast tables. The others go through a bit map of bounded size, which
+and the tokens that make up ``share`` of all are looked up in broadcast tables. The others go through a bit map of bounded size, which
 only spares rows, and those it lets pass are joined by shuffle; none of them is hot in the training texts, as
 ``held`` others are seen at least as often.
 
@@ -263,6 +263,7 @@ class Suffixes:
     evidence: float = 16.0
     discount: float | None = None  # None: by how many tokens were seen once and twice
     held: int = 1 << 21  # entries of a broadcast table at most (16 bytes each); changes no result
+    share: float = 2.0**-20  # of the training tokens: those that are broadcast, at most 1/share; changes no result
 
     def fit(self, texts: DataFrame, ws) -> tuple[Model, DataFrame, DataFrame]:
         """The model of a table (text), the counts of all its tokens (h, n), and all states and listed
@@ -280,7 +281,7 @@ class Suffixes:
         ).first()
         total, n1, n2 = of["n"] or 0, of["n1"], of["n2"]
         discount = self.discount or (n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
-        h, n = _collect(counts.where(self._seen_most(counts)), "h", "n")
+        h, n = _collect(counts.where(F.col("n") >= self.share * total), "h", "n")
         by = np.argsort(h.view(np.uint64))
         model = Model(total, of["v"], discount, 0, Lookup(h.view(np.uint64)[by]), n[by])
         tree = ws.write(self._grow(texts, ws, model, counts), "tree")
