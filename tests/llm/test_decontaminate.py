@@ -95,3 +95,15 @@ def test_query_equals_sql(spark, sf):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("room", [None, 0])
+def test_hit_rows_are_broadcast_only_while_small(spark, monkeypatch, room):
+    if room is not None:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", room)
+    items = spark.createDataFrame([("i", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    hot = [(None, "x one two three four five six seven eight nine ten y", "a")] * 40 + [(None, "other words", "b")] * 40
+    docs = spark.createDataFrame([*hot, (1, None, "c"), (2, "", "d")], "doc_id long, text string, source string").repartition(7)
+    assert sorted(r["source"] for r in decontaminate.clean(docs, items).collect()) == ["b"] * 40 + ["c", "d"]
+    cut = decontaminate.clean(docs, items, mode="spans").collect()
+    assert len(cut) == 82 and sum(r["text"] == "x y" for r in cut) == 40

@@ -150,6 +150,12 @@ def clean(
     found = find(docs, items, n, key, text, item, item_text).where("n_hit > 0")
     own = found.select(F.col(f"`{key}`").alias("_key"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.xxhash64(f"`{text}`") == F.col("_hash"))
+    own = own.dropDuplicates(["_key", "_hash"]) if mode == "spans" else own.select("_key", "_hash").distinct()
+    own = workspace(docs.sparkSession, "contaminated").write(own, "rows")
+    size = F.lit(64) + F.coalesce(F.octet_length(F.col("_key").cast("string")), F.lit(0))
+    size = size + 8 * F.size("_spans") if mode == "spans" else size
+    if (own.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+        own = F.broadcast(own)
     if mode == "documents":
         return docs.join(own, same, "left_anti")
     pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(RAW_PIECE), F.lit(0))
@@ -157,5 +163,5 @@ def clean(
     hit = lambda i: F.exists("_spans", lambda s: (s["pos"] <= i + 1) & (i + 1 < s["pos"] + s["len"]))
     left = F.concat(F.array_join(F.filter(pieces, lambda p, i: ~hit(i)), ""), tail)
     cut = F.when(F.col("_spans").isNull(), F.col(f"`{text}`")).otherwise(left)
-    joined = docs.join(own.dropDuplicates(["_key", "_hash"]), same, "left")
+    joined = docs.join(own, same, "left")
     return joined.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
