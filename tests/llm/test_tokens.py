@@ -1,8 +1,10 @@
 """Operators 4, 5 and 10 against the tokenizers library, one text at a time."""
 
 import hashlib
+import json
 import random
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -144,3 +146,77 @@ def test_files_of_odd_rows(spark, edge):
     want = sorted([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in edge.collect())
     assert sorted(r["ids"] for r in got) == want
     assert spark.read.parquet(f"{to}/manifest").agg(F.sum("documents")).first()[0] == len(got)
+
+
+def runs(spark, cache):
+    """The folders that runs wrote below a cache."""
+    return sorted({r["_metadata"]["file_path"].rsplit("/", 1)[0] for r in spark.read.parquet(cache).select("_metadata").distinct().collect()})
+
+
+def test_a_second_run_encodes_nothing(spark, edge):
+    path, cache = public_tokenizers.path(FILES[0]), folder(spark, "cache")
+    first = sorted(map(tuple, token_counts.count_tokens(edge.drop("n_tokens", "key"), path, cache).na.fill(-1).collect()))
+    before = runs(spark, cache)
+    again = sorted(map(tuple, token_counts.count_tokens(edge.drop("n_tokens", "key"), path, cache).na.fill(-1).collect()))
+    assert again == first and runs(spark, cache) == before and len(before) == 1
+
+
+def test_runs_that_write_at_once(spark, edge):
+    path, cache = public_tokenizers.path(FILES[0]), folder(spark, "cache")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: sorted(map(tuple, token_counts.count_tokens(edge, path, cache).na.fill(-1).collect())), range(4)))
+    assert all(g == got[0] for g in got) and len(got[0]) == edge.count()
+
+
+ADDED = ["[USER: a]", "[USER: a] [x]", "<|endoftext|>", "a!b", "\n\n##", "é ."]
+
+
+@pytest.fixture(scope="module")
+def with_added(tmp_path_factory):
+    """The byte-level file with added tokens that hold spaces and marks."""
+    with open(public_tokenizers.path(FILES[0]), encoding="utf-8") as f:
+        spec = json.load(f)
+    like = spec["added_tokens"][0]
+    spec["added_tokens"] += [like | {"id": 50257 + k, "content": w} for k, w in enumerate(w for w in ADDED if w != like["content"])]
+    path = tmp_path_factory.mktemp("added") / "tokenizer.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    return str(path)
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from([*ODD, *ADDED, "[USER:", " a]", "##", "USER"]), max_size=20).map("".join), max_size=6))
+def test_added_tokens_with_spaces_and_marks(with_added, texts):
+    tok = Tokenizer.from_file(with_added)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(json_encoder(with_added), texts) == want
+    assert ids_of(bpe.model(with_added).encoder, texts) == want
+
+
+@pytest.mark.parametrize("change", [
+    {"pre_tokenizer": None},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"normalizer": {"type": "NFC"}},
+    {"model": {"ignore_merges": True}},
+    {"added_tokens": {"lstrip": True}},
+    {"added_tokens": {"single_word": True}},
+])
+def test_unknown_rules_are_refused(tmp_path, change):
+    with open(public_tokenizers.path(FILES[0]), encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, value in change.items():
+        if part == "model":
+            spec["model"] |= value
+        elif part == "added_tokens":
+            spec["added_tokens"][0] |= value
+        else:
+            spec[part] = value
+    path = tmp_path / "tokenizer.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    for make in (bpe.model, json_encoder):
+        with pytest.raises(ValueError):
+            make(str(path))
+
+
+def test_forced_boundaries_need_byte_level():
+    with pytest.raises(ValueError):
+        bpe.model(public_tokenizers.path(FILES[1]))

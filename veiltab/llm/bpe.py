@@ -7,7 +7,9 @@ to whole byte arrays at once and equal fragments are encoded once; inside a frag
 cut at the remaining marked pairs, the pieces are merged independently and their ids concatenated.
 
 Defined cases: NULL and empty texts have no ids and decode to the empty text; special strings in a
-text become their special id; repeated rows are rows of their own; an empty table gives an empty one.
+text become their special id, the longest where several start; a tokenizer file of another kind is
+refused; a text of any length is one row of one task; other columns, also of the names used here, are
+not read; repeated rows are rows of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veiltab.llm.fragments import FragmentEncoder, gather, id_type, once, certain_cuts
+from veiltab.llm.fragments import FragmentEncoder, certain_cuts, cuts_around, gather, id_type, once, supported
 from veiltab.llm.shared import plain
 from veiltab.llm.text import column_bytes, row_chunks
 
@@ -48,6 +50,8 @@ class ForcedBoundaryBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if supported(spec) != "byte level":
+            raise ValueError("forced boundaries are those of byte-level BPE")
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
@@ -71,8 +75,8 @@ class ForcedBoundaryBPE:
                 own = np.frombuffer(self.token[vocab[word]], np.uint8)
                 self.cut_pair[own[:-1], own[1:]] = False
         self.pattern = regex.compile(PRE_TOKEN)
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.encoder = FragmentEncoder(self._fragments, id_type(self.size), self._cuts)
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.encoder = FragmentEncoder(self._fragments, id_type(self.size), cuts_around(list(self.special), self._cuts))
         self.pre: dict[str, list[int]] = {}
         self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.token_size = np.array([len(t) for t in self.token], np.int64)

@@ -5,10 +5,14 @@ space, and between an ASCII letter and a mark of ``MARKS``. No pre-token spans s
 look-ahead of the split patterns reaches over it, so the fragments' ids, concatenated, are the ids of
 the text. Equal fragments of a chunk are found by hash
 and verified by a second hash; a bounded dictionary keyed by the bytes carries ids between chunks.
+
+The cuts hold for the split rules of ``SPLITS``; a tokenizer file with others is refused. Its added tokens
+may hold any characters: no cut is made inside an occurrence of one.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,7 +27,23 @@ CACHE_FRAGMENTS = 400_000  # emptied when full; a bound on memory, not on texts
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 MARKS = np.zeros(256, bool)
-MARKS[list(b".,;:!?*#$%&")] = True  # none starts a contraction or occurs in a special string
+MARKS[list(b".,;:!?*#$%&")] = True  # none starts a contraction
+
+# The normaliser and pre-tokenizer of the two supported kinds of file.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+LOWER_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPLITS = {
+    "byte level": (None, BYTE_LEVEL),
+    "lower-case words": (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        ]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": LOWER_WORDS}, "behavior": "Removed", "invert": True},
+            BYTE_LEVEL | {"use_regex": False},
+        ]},
+    ),
+}
 
 
 def certain_cuts(data: np.ndarray) -> np.ndarray:
@@ -43,6 +63,57 @@ def certain_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _without_offsets(rule):
+    """A rule of a tokenizer file without the setting that only moves offsets."""
+    if isinstance(rule, dict):
+        return {k: _without_offsets(v) for k, v in rule.items() if k != "trim_offsets"}
+    return [_without_offsets(r) for r in rule] if isinstance(rule, list) else rule
+
+
+def supported(spec: dict) -> str:
+    """The kind of a tokenizers file, by name of ``SPLITS``; ValueError if its ids cannot be promised."""
+    rules = _without_offsets(spec.get("normalizer")), _without_offsets(spec.get("pre_tokenizer"))
+    kind = next((name for name, own in SPLITS.items() if own == rules), None)
+    model = spec["model"]
+    if kind is None or model.get("type", "BPE") != "BPE":
+        raise ValueError("only byte-level BPE and lower-casing BPE with word ends are supported")
+    suffix = "</w>" if kind == "lower-case words" else None
+    if (model.get("end_of_word_suffix") or None) != suffix:
+        raise ValueError("the end of a word is marked in another way than its kind of file does")
+    for name in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback", "fuse_unk"):
+        if model.get(name):
+            raise ValueError(f"a model with {name} is not supported")
+    for t in spec.get("added_tokens", []):
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or not t["content"]:
+            raise ValueError(f"added token {t['content']!r} reaches beyond its own text")
+        if t.get("normalized") and spec.get("normalizer") is not None:
+            raise ValueError(f"added token {t['content']!r} is looked for in normalised text")
+    return kind
+
+
+def cuts_around(tokens: list[str], cuts: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """The same cuts but for those inside occurrences of added tokens."""
+    torn = []
+    for word in sorted({*tokens}):
+        # letters before it, as a cut may look at bytes before the token
+        own = np.frombuffer(b"aaa" + word.encode(), np.uint8)
+        if cuts(own)[4:].any():
+            torn.append(word.encode())
+    if not torn:
+        return cuts
+
+    def cut(data: np.ndarray) -> np.ndarray:
+        out, raw = cuts(data), data.tobytes()
+        for word in torn:
+            at = raw.find(word)
+            while at >= 0:
+                out[at + 1 : at + len(word)] = False
+                at = raw.find(word, at + 1)
+        return out
+
+    return cut
+
+
 def ranges(data: np.ndarray, bounds: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of fragments, and for each row bound the number of fragments before it."""
     if not len(data):
@@ -151,8 +222,7 @@ def json_encoder(path: str) -> FragmentEncoder:
     """Encoder of a tokenizers file: the library encodes each distinct fragment.
 
     Special strings in texts are handled as the library's default does; nothing is added, truncated
-    or padded. Holds for byte-level BPE and for lower-casing BPE with word ends, whose normaliser and
-    pre-tokenizer don't look over a certain cut.
+    or padded. Files that ``supported`` doesn't know are refused.
     """
     return once(("json", path), lambda: _json_encoder(path))
 
@@ -161,6 +231,12 @@ def _json_encoder(path: str) -> FragmentEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    supported(spec)
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+    start = os.path.commonprefix(added).encode()  # where they have none in common each is looked for
+    signs = [start] if start else [a.encode() for a in added]
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
@@ -193,7 +269,7 @@ def _json_encoder(path: str) -> FragmentEncoder:
         return [raw[a:b] for a, b in zip([0, *stop], stop)]
 
     def encode(fragments: list[bytes]) -> list[Sequence[int] | bytes]:
-        one = [k for k, f in enumerate(fragments) if SPACE[f[0]] and not SPACE[f[-1]] and b"<|" not in f]
+        one = [k for k, f in enumerate(fragments) if SPACE[f[0]] and not SPACE[f[-1]] and not any(s in f for s in signs)]
         out: list[Sequence[int] | bytes] = [()] * len(fragments)
         for a in range(0, len(one), JOINED):
             own = [fragments[k] for k in one[a : a + JOINED]]
@@ -204,4 +280,4 @@ def _json_encoder(path: str) -> FragmentEncoder:
             out[k] = ids
         return out
 
-    return FragmentEncoder(encode, kind)
+    return FragmentEncoder(encode, kind, cuts_around(added, certain_cuts))

@@ -12,6 +12,7 @@ from veiltab.llm import (
     align, bpe, decontaminate, hard_negatives, importance, packing, quality_rules, reply_trees, simhash, suffix_tree, token_counts, token_files, warc,
 )
 from veiltab.llm.shared import folder, table, workspace
+from veiltab.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)
-    counts = token_counts.count_tokens(docs, path, folder(spark, "token-cache"))
+    counts = token_counts.count_tokens(docs, path, f"{shared_dir(spark).rstrip('/')}/token-cache")
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 

@@ -5,14 +5,19 @@ library and of the options, digest the SHA-256 of the normalised text. Only dige
 count are encoded, once each, and appended. The normalisation must not change counts; here it reads
 NULL as the empty text and nothing more, as the tokenizer normalises by itself.
 
+Each run that finds misses writes a folder of its own below that of the version, so runs never share
+an output folder; a reader takes all folders it finds. Two runs that encode the same digest leave equal
+rows, of which one is read.
+
 Defined cases: NULL and empty texts have no tokens; repeated texts are encoded once and counted for
-each row; an empty table appends nothing. Two writers that append the same digest leave equal rows,
-of which one is read.
+each row; an empty table, or one without a miss, writes nothing to the cache; a text of any length is one
+row of one task; other columns, also of the names used here, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +30,7 @@ from veiltab.llm.shared import plain, workspace
 from veiltab.llm.text import column_bytes
 from veiltab.session import BROADCAST_BYTES
 
-CACHE = "digest binary, n_tokens long, version string"
+CACHE = "digest binary, n_tokens long"
 
 
 def version_of(path: str) -> str:
@@ -36,10 +41,16 @@ def version_of(path: str) -> str:
     return own.hexdigest()
 
 
+def of_version(cache: str, version: str) -> str:
+    return f"{cache.rstrip('/')}/version={version}"
+
+
 def stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """(digest, n_tokens) of one tokenizer version, each digest once."""
-    spark.createDataFrame([], CACHE).write.mode("append").partitionBy("version").parquet(cache)  # makes the folder
-    rows = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
+    path = spark._jvm.org.apache.hadoop.fs.Path(of_version(cache, version))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], CACHE)
+    rows = spark.read.schema(CACHE).option("recursiveFileLookup", "true").parquet(of_version(cache, version))
     return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -51,7 +62,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, key: str = "doc_id", te
     rows = plain(docs, key=key, text=text).select("key", normal.alias("text"), F.unhex(F.sha2(normal, 256)).alias("digest"))
     own = ws.write(rows.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     misses = ws.write(own.select("digest").distinct().join(stored(spark, cache, version), "digest", "left_anti"), "misses")
-    few = misses.count() * 64 <= BROADCAST_BYTES
+    n_misses = misses.count()
+    few = n_misses * 64 <= BROADCAST_BYTES
     texts = rows.select("digest", "text").join(F.broadcast(misses) if few else misses, "digest", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +73,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, key: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["digest", "n_tokens"])
 
     counted = texts.dropDuplicates(["digest"]).mapInArrow(encode, "digest binary, n_tokens long")
-    counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
+    if n_misses:
+        counted.write.parquet(f"{of_version(cache, version)}/run={uuid.uuid4().hex}")
     # one row per digest, written, so that the join below reads plain shuffles and a hot digest can be split
     known = ws.write(own.select("digest").distinct().join(stored(spark, cache, version), "digest"), "known")
     return own.join(known, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
