@@ -33,6 +33,19 @@ def released() -> Iterator[None]:
         del _open[before:]
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``size`` bytes (one longer row is a batch) for what runs inside: by default
+    10,000 rows make one, which for rows that carry whole sets is tens of megabytes on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for files, below the folder that all executors share."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veiltab.llm.shared import plain, workspace
+from veiltab.llm.shared import narrow_batches, plain, workspace
 from veiltab.llm.text import column_bytes, follow, mix, row_chunks, same_as, words
 
 FAN = 16  # children of a node
@@ -418,10 +418,12 @@ def _named(texts: DataFrame, rows: DataFrame | None, first: Column, distance: in
     else:
         from veiltab.llm import similar
 
-        rows, of = ws.write(similar.fingerprints(texts, shingle), "fingerprints"), ["code", "total"]
-        codes = rows.groupBy(of).agg(first.alias("first"), F.min("row").alias("row"))
-        codes = ws.write(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
-        roots = similar.unit_roots(codes, texts, similarity, shingle, codes.count(), ws)
+        of = ["code", "total"]
+        with narrow_batches(texts.sparkSession):
+            rows = ws.write(similar.fingerprints(texts, shingle), "fingerprints")
+            codes = rows.groupBy(of).agg(first.alias("first"), F.min("row").alias("row"))
+            codes = ws.write(codes.withColumn("id", F.monotonically_increasing_id()), "codes")
+            roots = similar.unit_roots(codes, texts, similarity, shingle, codes.count(), ws)
     named = codes.join(roots, F.col("id") == F.col("node"), "left").select(*of, "first", F.coalesce("root", "id").alias("root"))
     # written, so that joins read plain shuffles and a large component can be split
     return rows, of, ws.write(named, "named")

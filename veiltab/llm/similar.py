@@ -37,6 +37,7 @@ from veiltab.llm.simhash import (
 from veiltab.llm.text import column_bytes, mix, row_chunks
 
 ORDER_BITS = 20  # of the hash buckets that shingles are counted in
+OPEN_NODES = 1 << 17  # pairs of a query and a code that a search holds at once
 FEW_EDGES = 1 << 18  # edges whose components one process finds
 
 FOUND = "a long, b long, apart int, copy int, node long, task long, part int, ids binary, codes binary"
@@ -130,7 +131,10 @@ Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def search_run(codes: np.ndarray, queries: np.ndarray, distance: int, step: int = 64) -> Pairs:
-    """a, b, distance: near pairs of Gray-ordered codes, a forest; a code of the queries (numbers) is in each."""
+    """a, b, distance: near pairs of Gray-ordered codes, a forest; a code of the queries (numbers) is in each.
+
+    Fewer queries descend at once the more codes there are, so that memory follows the codes."""
+    step = max(1, min(step, OPEN_NODES // max(1, len(codes))))
     index, label, out = Index(codes), np.arange(len(codes)), [(np.zeros(0, np.int64),) * 3]
     for s in range(0, len(queries), step):
         own = queries[s : s + step]
@@ -183,6 +187,7 @@ def proposals(units: DataFrame, copies: DrawnCopies, count: int, ws) -> DataFram
         if not held:
             return
         copy, rank, ids, code = (np.concatenate(x) for x in zip(*held))
+        held.clear()  # the batches go before the search begins
         task = TaskContext.get().partitionId()
         node = (rank.view(np.uint64) ^ flip) >> (np.uint64(64) - np.asarray(copies.head, np.uint64)[copy])
         starts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (copy[1:] != copy[:-1])))
