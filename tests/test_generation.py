@@ -1,5 +1,9 @@
 """Search rounds, end-to-end fits and maintained counts."""
 
+import re
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +444,29 @@ def test_stream_of_changes_equals_recount(spark, sf, tmp_path):
     more = PAIRS.counts(e)
     assert again.counts.exceptAll(more).count() == 0 and more.exceptAll(again.counts).count() == 0
     assert len(again._done()) <= MaintainedCounts.KEEP + 1
+
+
+def test_product_histograms_of_forty_columns(spark, capsys):
+    rng = np.random.default_rng(5)
+    names = [f"c{i}" for i in range(40)]
+    x = rng.random((300, 40))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    df = df.withColumn("c3", F.when(F.col("c3") > 0.1, F.col("c3")))  # a product with NULL is in no cell
+    x[:, 3] = np.where(x[:, 3] > 0.1, x[:, 3], np.nan)
+    domain = Domain(tuple(Column(n, CONTINUOUS) for n in names))
+    moments = {n: {"mean": 0.5, "std": 0.25} for n in names}
+    module = Covariance(domain, moments, 16)
+    counts = module.counts(df)
+    got = {(r["workload_id"], r["cell"]): r["cnt"] for r in counts.collect()}
+    want = {}
+    z, edges = (x - 0.5) / 0.25, np.array(module.edges)
+    for p, (a, b) in enumerate(module.pairs):
+        prod = z[:, names.index(a)] * z[:, names.index(b)]
+        cell = np.searchsorted(edges, prod[~np.isnan(prod)], "right") - 1
+        for c, n in zip(*np.unique(cell[(cell >= 0) & (cell < 15)], return_counts=True)):
+            want[p, int(c)] = int(n)
+    assert module.n_workloads == 780 and got == want
+    module.counts(df).explain("formatted")
+    assert len(re.findall(r"\n\(\d+\) Exchange", capsys.readouterr().out)) == 1  # no side that is joined
+    assert module.counts(df, [7]).select("workload_id").distinct().collect() == [(7,)]
+    assert module.counts(df, []).count() == 0

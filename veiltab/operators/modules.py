@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltab.functions.literals import array_sql, small_table
+from veiltab.functions.literals import array_lit, array_sql, small_table
 from veiltab.functions.bins import add_bins
 from veiltab.operators.domain import CONTINUOUS, ORDINAL, Domain, linspace
 from veiltab.operators.marginals import StatModule
@@ -124,28 +124,22 @@ class Covariance(StatModule):
         return f"cast(nullif(nullif({found}, 0), {self.n_edges}) - 1 as bigint)"
 
     def counts(self, encoded: DataFrame, selected: list[int] | None = None) -> DataFrame:
-        keep = list(range(len(self.pairs))) if selected is None else selected
-        z = {
-            n: (F.col(n) - F.lit(self.moments[n]["mean"])) / F.lit(self.moments[n]["std"])
-            for p in keep
-            for n in self.pairs[p]
-        }
-        df = encoded.select(*[z[a].alias(f"z_{a}") for a in z])
-        df = df.select(
-            *[(F.col(f"z_{self.pairs[p][0]}") * F.col(f"z_{self.pairs[p][1]}")).alias(f"p{p}") for p in keep]
-        )
-        binned = add_bins(df, {f"b{p}": (f"p{p}", self.edges) for p in keep}, outside=True)
-        cells = F.array(
-            *[
-                F.struct(F.lit(p).alias("workload_id"), F.col(f"b{p}").cast("long").alias("cell"))
-                for p in keep
-            ]
-        )
+        """Pairs are data: each row's standardised values are held once and met with a table of pairs, so the
+        generated code grows with the columns, not with their square."""
+        keep = range(len(self.pairs)) if selected is None else selected
+        names = sorted({n for p in keep for n in self.pairs[p]})
+        place = {n: i for i, n in enumerate(names)}
+        z = [(F.col(n).cast("double") - self.moments[n]["mean"]) / F.lit(self.moments[n]["std"]) for n in names]
+        pairs = [[p, *(place[n] for n in self.pairs[p])] for p in keep]
+        if not pairs:
+            return small_table(encoded.sparkSession, [], "workload_id int, cell long, cnt long")
+        each = encoded.select(F.array(*z).alias("z"), F.explode(array_lit(pairs)).alias("pair"))
+        side = lambda i: F.get("z", F.get("pair", F.lit(i)))
+        each = each.select(F.get("pair", F.lit(0)).cast("int").alias("workload_id"), (side(1) * side(2)).alias("product"))
+        cells = add_bins(each, {"cell": ("product", self.edges)}, outside=True)
         inside = (F.col("cell") >= 0) & (F.col("cell") < self.n_edges - 1)
-        return (
-            binned.select(F.explode(cells).alias("c")).select("c.*").where(inside)
-            .groupBy("workload_id", "cell").agg(F.count(F.lit(1)).alias("cnt"))
-        )
+        cells = cells.where(inside).select("workload_id", F.col("cell").cast("long").alias("cell"))
+        return cells.groupBy("workload_id", "cell").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 class Chain:
