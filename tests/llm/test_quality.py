@@ -177,3 +177,21 @@ def test_words_of_rows_to_avoid_against_plain_counts(spark):
     assert np.isclose(got.cut, np.quantile([want[k] for k in held], 0.9, method="higher"), atol=1e-5)
     none = importance.fit_avoided(docs, avoid.limit(0), clean, 0.1)
     assert none.cut == float("inf") and not none.scores(*column_bytes(pa.array(texts, pa.string()))).any()
+
+
+def test_all_target_rows_are_used_and_large_samples_shuffled(spark, monkeypatch):
+    many = spark.range(20_100).select(F.col("id").alias("doc_id"))
+    assert importance.target_sample(many, "doc_id").agg(F.count("key"), F.count_if("fit")).first()[0] == 20_100
+    docs = spark.createDataFrame([(i if i % 9 else None, f"a b{i % 7} c{i % 31}") for i in range(400)], "doc_id long, text string")
+    target, avoid = docs.where("doc_id % 2 = 0").select("doc_id"), docs.where("doc_id % 7 = 3").select("doc_id")
+
+    def result():
+        out, weights, least = importance.resample(docs, target, avoid=avoid, miss=0.1)
+        return sorted(map(tuple, out.collect()), key=str), weights.log_ratio.tolist(), least
+
+    sample = importance.target_sample(target, "doc_id")
+    small = result()
+    held = [r["key_value"] for r in importance.resample(docs, target)[0].join(sample.where("not fit"), F.col("doc_id") == F.col("key")).collect()]
+    assert small[2] == np.quantile(held, 0.1, method="lower")
+    monkeypatch.setattr("veiltab.session.BROADCAST_BYTES", 0)
+    assert result() == small

@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
-Two generative models over hashed n-grams (words and pairs of words): of the target, from a bounded
-sample of labelled rows, and of the raw text, from all rows. A text's weight is the ratio of its
+Two generative models over hashed n-grams (words and pairs of words): of the target, from half of all
+labelled rows, and of the raw text, from all rows. A text's weight is the ratio of its
 probabilities under the two; its key is the log weight plus Gumbel noise, and the k largest keys are a
 sample without replacement in proportion to the weights. k is given, or taken such that the sample
 holds all but ``miss`` of the target rows that were held out of the fit.
@@ -22,6 +22,7 @@ named columns are read, so other columns may have any names; ``keep_sampled`` pa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 
 from veiltab.llm.shared import plain, workspace
 from veiltab.llm.text import column_bytes, follow, hash_ranges, mix, row_chunks, words
+from veiltab.session import lookup
 
 BITS = 16
-TARGET_ROWS = 20_000  # labelled rows that are used, half to fit and half to set k
 PRIOR = 32  # n-grams of the raw text that each bucket of the target model starts with
 PIECES = 1 << 12  # parts of a range of keys that are counted at once
 FEW_KEYS = 20_000
@@ -87,15 +88,19 @@ class Weights:
         return weight, weight + noise
 
 
-def target_sample(target: DataFrame, key: str, rows: int = TARGET_ROWS) -> DataFrame:
-    """(key, fit): at most ``rows`` target keys, by hash; fit marks the half that the model learns from."""
-    order = F.xxhash64("key", F.lit("target"))
+def target_sample(target: DataFrame, key: str) -> DataFrame:
+    """(key, fit): all target keys; fit marks the half, by hash, that the model learns from."""
     own = plain(target, key=key).where("key is not null").distinct()
-    return own.orderBy(order, "key").limit(rows).select("key", (order % 2 == 0).alias("fit"))
+    return own.select("key", (F.xxhash64("key", F.lit("target")) % 2 == 0).alias("fit"))
+
+
+def marked(docs: DataFrame, sample: DataFrame, how: str = "left") -> DataFrame:
+    """Rows with what the sample has on their key: by broadcast, or by shuffle if the sample is large."""
+    return lookup(docs, sample, ["key"], sample.count(), how)
 
 
 def fit(docs: DataFrame, sample: DataFrame, seed: int) -> Weights:
-    """docs (key, text); sample (key, fit) has at most TARGET_ROWS rows."""
+    """docs (key, text); sample (key, fit)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -109,8 +114,7 @@ def fit(docs: DataFrame, sample: DataFrame, seed: int) -> Weights:
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)], ["b", "raw", "target"])
 
-    marked = docs.join(F.broadcast(sample), "key", "left").select("text", "fit")
-    counts = marked.mapInArrow(count, "b int, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked(docs, sample).select("text", "fit").mapInArrow(count, "b int, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     got = counts.toArrow()  # a row per bucket at most
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got.column("b").to_numpy()
@@ -155,7 +159,7 @@ def _words_once(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float) -> Avoided:
-    """docs (key, text); avoid and clean (key, fit) have at most TARGET_ROWS rows each.
+    """docs (key, text); avoid and clean (key, fit).
 
     Rows that hold a word are counted over all docs. The cut loses the share ``loss`` of the clean rows,
     which the model doesn't learn from.
@@ -176,9 +180,8 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
         counts = [pa.array(np.append(t[some], n)) for t, n in zip(total, rows)]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *counts], ["b", "raw", "own"])
 
-    marked = docs.join(F.broadcast(avoid.where("fit")), "key", "left").select("text", "fit")
-    counts = marked.mapInArrow(count, "b int, raw long, own long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
-    got = counts.where("own > 0 or b < 0").toArrow()  # words of TARGET_ROWS rows, a row per bucket at most
+    counts = marked(docs, avoid.where("fit")).select("text", "fit").mapInArrow(count, "b int, raw long, own long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
+    got = counts.where("own > 0 or b < 0").toArrow()  # a row per bucket at most
     b, raw, own = (got.column(c).to_numpy() for c in ("b", "raw", "own"))
     model = Avoided(np.zeros(1 << WORD_BITS, np.float32))
     if not own[b < 0].sum():
@@ -189,11 +192,12 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.scores(*column_bytes(batch.column(0))))], ["score"])
+            yield pa.RecordBatch.from_arrays([pa.array(model.scores(*column_bytes(batch.column(0))))], ["key"])
 
-    held = docs.join(F.broadcast(clean.select("key")), "key").select("text").mapInArrow(run, "score double").toArrow()
-    if held.num_rows:  # bounded by TARGET_ROWS numbers
-        model.cut = float(np.quantile(held.column("score").to_numpy(), 1 - loss, method="higher"))
+    held = marked(docs, clean.select("key"), "inner").select("text").mapInArrow(run, "key double")
+    held = workspace(docs.sparkSession, "avoided").write(held, "held")
+    if rows := held.count():
+        model.cut = kth_largest(held, rows - math.ceil((rows - 1) * (1 - loss)))
     return model
 
 
@@ -258,8 +262,10 @@ def _resampled(docs, target, k, miss, key, text, target_key, seed, avoid, loss)
     if k is not None:
         least = kth_largest(scored, k)
     else:
-        held = scored.join(F.broadcast(sample.where("not fit").withColumnRenamed("key", "id")), "id").select("key").toArrow()
-        least = float(np.quantile(held.column("key").to_numpy(), miss, method="lower")) if held.num_rows else float("-inf")  # of TARGET_ROWS keys at most
+        own = scored.select(F.col("id").alias("key"), F.col("key").alias("value"))
+        held = ws.write(marked(own, sample.where("not fit"), "inner").select(F.col("value").alias("key")), "held")
+        rows = held.count()
+        least = kth_largest(held, rows - math.floor((rows - 1) * miss)) if rows else float("-inf")
     taken = F.col("key") >= least
     extra = []
     if avoided:
