@@ -470,3 +470,30 @@ def test_product_histograms_of_forty_columns(spark, capsys):
     assert len(re.findall(r"\n\(\d+\) Exchange", capsys.readouterr().out)) == 1  # no side that is joined
     assert module.counts(df, [7]).select("workload_id").distinct().collect() == [(7,)]
     assert module.counts(df, []).count() == 0
+
+
+@pytest.mark.parametrize("candidates", [1, 4])
+def test_a_round_in_one_pass_equals_joins(spark, monkeypatch, candidates):
+    """Swaps, guided edits, null bins, zeros, modules, rows without a partner and odd bins among them."""
+    n, (m, chain) = 61, mixed_chain([("a", "o"), ("o", "x"), ("a", "x")], 3)
+    targets = ms.measure_all(chain, mixed_rows(spark, 500), 500, 1e6, "s", "r")
+    g = Generator(m, n, "s").matching(chain)
+    rows = [(i, *r) for i, r in enumerate(mixed_rows(spark, n).collect())]
+    rows[7] = (7, None, 3, 0.5)  # NULL in a column without a null bin
+    table = spark.createDataFrame(rows, "row_id long, a int, o long, x double")
+    e = Edits(g.targets, n, ["mutate", "fill", "continuous", "swap", "cross1"], "s", candidates=candidates)
+    state, res = to_state(table, MIXED, 3), g.residuals(targets, table)
+    pairs, weights = e.pairs(state, 1), [0.2, 0.2, 0.2, 0.3, 0.1]
+    args = pairs, 1, weights, e.quantiles(state), e.lacking(res, 1), e.potentials(g.targets.cell_map(spark), res)
+
+    def result():
+        got = e.best(*args).collect()
+        return sorted((r["row_id"], *(r[c] for c in ("v", "b", "cand", "op", "c1", "c2", "x1", "x2", "y1", "y2", "change"))) for r in got)
+
+    one = result()
+    assert "Join" not in e.best(*args[:4], None, args[5])._jdf.queryExecution().executedPlan().toString()  # before: a round was two joins and two windows
+    monkeypatch.setattr("veiltab.session.BROADCAST_BYTES", 0)
+    joined = result()
+    assert len(one) == n * (candidates == 4 or 1) and len({r[4] for r in one}) > 3
+    for a, b in zip(one, joined):
+        assert a[:-1] == b[:-1] and abs(a[-1] - b[-1]) < 1e-14
