@@ -479,7 +479,8 @@ def test_a_round_in_one_pass_equals_joins(spark, monkeypatch, candidates):
     targets = ms.measure_all(chain, mixed_rows(spark, 500), 500, 1e6, "s", "r")
     g = Generator(m, n, "s").matching(chain)
     rows = [(i, *r) for i, r in enumerate(mixed_rows(spark, n).collect())]
-    rows[7] = (7, None, 3, 0.5)  # NULL in a column without a null bin
+    for i in range(5, 25):
+        rows[i] = (i, None, *rows[i][2:])  # NULL in a column without a null bin
     table = spark.createDataFrame(rows, "row_id long, a int, o long, x double")
     e = Edits(g.targets, n, ["mutate", "fill", "continuous", "swap", "cross1"], "s", candidates=candidates)
     state, res = to_state(table, MIXED, 3), g.residuals(targets, table)
