@@ -8,15 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from veiltab import TableSynthesizer
+from veiltab.functions.hashing import hash_int, hash_long, uniform_of
 from veiltab.operators import measure as ms
 from veiltab.operators.domain import CATEGORICAL, CONTINUOUS, ORDINAL, Column, Domain, linspace
 from veiltab.operators.edits import Edits, expand_operators, mixed_weights, slots_of, to_state, update_weights
 from veiltab.operators.marginals import Marginals, column_sets
 from veiltab.operators.matching import deal, ranked, tree_edges
 from veiltab.operators.modules import Chain, Covariance, NullCounts, SparseCounts
+from veiltab.operators.rounds import ArrayRounds, TableRounds, in_arrays
 from veiltab.operators.sampling import resample
 from veiltab.plans.generator import Generator, should_stop
 from veiltab.plans.synthesizer import fit_dp_adaptive, fit_zcdp
+from veiltab.session import Workspace
 
 DOMAIN = Domain(
     (
@@ -498,3 +501,44 @@ def test_a_round_in_one_pass_equals_joins(spark, monkeypatch, candidates):
     assert len(one) == n * (candidates == 4 or 1) and len({r[4] for r in one}) > 3
     for a, b in zip(one, joined):
         assert a[:-1] == b[:-1] and abs(a[-1] - b[-1]) < 1e-14
+
+
+def test_numpy_hashes_equal_sparks(spark):
+    keys = [0, 1, -1, 7, 1 << 40, -(1 << 62), (1 << 63) - 1]
+    df = spark.createDataFrame([(k, c) for k in keys for c in (0, 1, 5)], "k long, c int")
+    rows = df.selectExpr("k", "c", "xxhash64('s|r|1') as s", "xxhash64('s|r|1', k, c) as h").selectExpr(
+        "*", "xxhash64(h, 3) as d", "(shiftrightunsigned(xxhash64(h, 3), 12) + 0.5D) / 4503599627370496D as u"
+    )
+    k, c, s, h, d, u = (np.array(x) for x in zip(*rows.collect()))
+    assert (hash_int(c, hash_long(k, s)) == h).all()
+    own = hash_int(np.int64(3), hash_long(h, np.int64(42)))
+    assert (own == d).all() and (uniform_of(own) == u).all()
+
+
+@pytest.mark.parametrize("n", [700, 701])  # all rows paired, and one alone
+def test_rounds_over_arrays_equal_rounds_over_tables(spark, n):
+    """Same edits, sets, counts and rows in each of three rounds, with NULLs and other modules."""
+    d = Domain(tuple(Column(c.name, c.role, c.size, c.edges, has_nulls=c.name == "o") for c in DOMAIN.columns))
+    m = Marginals(d, column_sets(d, 2), 3)
+    df = table(spark, n)
+    moments = {"o": {"mean": 3.0, "std": 2.5}, "x": {"mean": 0.4, "std": 0.3}}
+    chain = Chain([m, Covariance(d, moments), NullCounts(d)])
+    g = Generator(m, n, "s").matching(chain)
+    targets = ms.measure_all(chain, df, n, 1e4, "s", "r")
+    start = g.start_table(spark, 0.1)
+    state = to_state(start, d, 3).persist()
+    ops = expand_operators(g.operators, d)
+    edits = Edits(g.targets, n, ops, "s", "run", 4)
+    assert in_arrays(edits)
+    res, cells = g.residuals(targets, start), g.targets.cell_map(spark)
+    work = Workspace(spark, "both")
+    one, two = ArrayRounds(edits, state, res, work), TableRounds(edits, state, res, cells, Workspace(spark, "other"))
+    a = b = state
+    weights = [1.0 / len(ops)] * len(ops)
+    for k in (1, 2, 3):
+        (a, pick, tally), (b, *other) = one.step(a, k, weights), two.step(b, k, weights)
+        assert [pick, tally] == other and pick is not None
+        assert abs(one.distance - two.distance) < 1e-9
+        assert edits.quantiles(a) == edits.quantiles_of(one.counts) == two.quantiles
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert "merged" not in work._turn  # before: every round joined and wrote the residuals of all cells
