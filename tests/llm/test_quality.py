@@ -195,3 +195,19 @@ def test_all_target_rows_are_used_and_large_samples_shuffled(spark, monkeypatch)
     assert small[2] == np.quantile(held, 0.1, method="lower")
     monkeypatch.setattr("veiltab.session.BROADCAST_BYTES", 0)
     assert result() == small
+
+
+def test_counts_travel_as_slices():
+    """A task hands on a row per slice, not one per bucket; their sums are those of the buckets."""
+    rng = np.random.default_rng(3)
+    size = (1 << importance.WORD_BITS) + importance.SLICE
+    tasks = [rng.integers(0, 3, (2, size)) * rng.choice([0, 1, 1 << 40], size) for _ in range(3)]
+    tasks[0][:, :-1], tasks[1][:, : 5 * importance.SLICE] = 0, 0
+    batches = [importance._sliced(t) for t in tasks]
+    assert [b.num_rows for b in batches] == [1, 252, 257]
+    got = np.zeros((2, size), np.int64)
+    for b in importance._summed(iter(batches)):
+        got[:, b.column(0).to_numpy()] = b.column(1).to_numpy(), b.column(2).to_numpy()
+    raw, own = sum(tasks)
+    assert (got[0] == raw).all() and (got[1] == np.where(raw > 0, own, 0)).all()
+    assert not [*importance._summed(iter([importance._sliced(np.zeros((2, size), np.int64))]))]

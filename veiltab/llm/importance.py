@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltab.llm.shared import plain, workspace
+from veiltab.llm.shared import narrow_batches, plain, workspace
 from veiltab.llm.text import column_bytes, follow, hash_ranges, mix, row_chunks, words
 from veiltab.session import lookup
 
@@ -43,6 +43,8 @@ FEW_KEYS = 20_000
 WORD_BITS = 20  # of the hash buckets of single words, for rows to avoid
 WORD_PRIOR = 1  # rows
 STRONGEST = 3  # words of a row that its score is made of
+SLICE = 1 << 12  # buckets whose counts travel as one row
+CHUNK = 1 << 19  # bytes of text at once
 
 
 def buckets_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ class Weights:
         """Log weight and key of each row. Weights are summed as integers, so their order doesn't matter."""
         weight = np.zeros(len(bounds) - 1)
         noise = np.zeros(len(bounds) - 1)
-        for a, b in row_chunks(bounds):
+        for a, b in row_chunks(bounds, CHUNK):
             own, local = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
             bucket, at = buckets_of(own, local)
             total = np.zeros(len(bucket) + 1, np.int64)
@@ -99,6 +101,31 @@ def marked(docs: DataFrame, sample: DataFrame, how: str = "left") -> DataFrame:
     return lookup(docs, sample, ["key"], sample.count(), how)
 
 
+def _sliced(total: np.ndarray) -> pa.RecordBatch:
+    """A task's counts of buckets, raw and own, as a row per slice: byte plane by byte plane, as most planes are zeros."""
+    parts = np.flatnonzero(total[0].reshape(-1, SLICE).any(1))
+    cols = [pa.array([t[k * SLICE : (k + 1) * SLICE].view(np.uint8).reshape(-1, 8).T.tobytes() for k in parts], pa.binary()) for t in total]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), *cols], ["part", "raw", "own"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of slices; what a task holds doesn't grow with the rows."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, *blocks in zip(*(c.to_pylist() for c in batch.columns)):
+            own = held.setdefault(part, np.zeros((2, SLICE), np.int64))
+            for t, block in zip(own, blocks):
+                t += np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    for part, own in held.items():
+        some = np.flatnonzero(own[0])
+        yield pa.RecordBatch.from_arrays([pa.array((part * SLICE + some).astype(np.int32)), *(pa.array(t[some]) for t in own)], ["b", "raw", "own"])
+
+
+def _counted(rows: DataFrame, count) -> DataFrame:
+    """(b, raw, own) of what ``count`` hands on in slices."""
+    return rows.mapInArrow(count, "part int, raw binary, own binary").repartition("part").mapInArrow(_summed, "b int, raw long, own long")
+
+
 def fit(docs: DataFrame, sample: DataFrame, seed: int) -> Weights:
     """docs (key, text); sample (key, fit)."""
 
@@ -107,18 +134,16 @@ def fit(docs: DataFrame, sample: DataFrame, seed: int) -> Weights:
         for batch in batches:
             data, bounds = column_bytes(batch.column(0))
             learn = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in row_chunks(bounds):
+            for a, b in row_chunks(bounds, CHUNK):
                 bucket, at = buckets_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 total[0] += np.bincount(bucket, minlength=1 << BITS)
                 total[1] += np.bincount(bucket[np.repeat(learn[a:b], np.diff(at))], minlength=1 << BITS)
-        some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in total)], ["b", "raw", "target"])
+        yield _sliced(total)
 
-    counts = marked(docs, sample).select("text", "fit").mapInArrow(count, "b int, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    got = counts.toArrow()  # a row per bucket at most
+    got = _counted(marked(docs, sample).select("text", "fit"), count).toArrow()  # a row per bucket at most
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got.column("b").to_numpy()
-    raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
+    raw[at], target[at] = got.column("raw").to_numpy(), got.column("own").to_numpy()
     if not target.sum():
         return Weights(np.zeros(1 << BITS, np.int64), seed)
     expected = target.sum() * (raw + 1) / (raw.sum() + len(raw))
@@ -138,7 +163,7 @@ class Avoided:
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out = np.zeros(len(bounds) - 1)
-        for a, b in row_chunks(bounds):
+        for a, b in row_chunks(bounds, CHUNK):
             row, bucket = _words_once(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
             ratio = self.log_ratio[bucket]
             some = ratio > 0
@@ -166,29 +191,26 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << WORD_BITS), np.int64)
-        rows = np.zeros(2, np.int64)
+        total = np.zeros((2, (1 << WORD_BITS) + SLICE), np.int64)  # the rows themselves follow the buckets
         for batch in batches:
             data, bounds = column_bytes(batch.column(0))
             learn = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False).astype(bool)
-            rows += len(learn), int(learn.sum())
-            for a, b in row_chunks(bounds):
+            total[:, 1 << WORD_BITS] += len(learn), int(learn.sum())
+            for a, b in row_chunks(bounds, CHUNK):
                 row, bucket = _words_once(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                total[0] += np.bincount(bucket, minlength=1 << WORD_BITS)
-                total[1] += np.bincount(bucket[learn[a:b][row]], minlength=1 << WORD_BITS)
-        some = np.flatnonzero(total[0])
-        counts = [pa.array(np.append(t[some], n)) for t, n in zip(total, rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), *counts], ["b", "raw", "own"])
-
-    counts = marked(docs, avoid.where("fit")).select("text", "fit").mapInArrow(count, "b int, raw long, own long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own"))
-    got = counts.where("own > 0 or b < 0").toArrow()  # a row per bucket at most
+                np.add.at(total[0], bucket, 1)
+                np.add.at(total[1], bucket[learn[a:b][row]], 1)
+        yield _sliced(total)
+
+    got = _counted(marked(docs, avoid.where("fit")).select("text", "fit"), count).where("own > 0").toArrow()  # a row per bucket at most
     b, raw, own = (got.column(c).to_numpy() for c in ("b", "raw", "own"))
     model = Avoided(np.zeros(1 << WORD_BITS, np.float32))
-    if not own[b < 0].sum():
+    rows = b >> WORD_BITS > 0
+    if not own[rows].sum():
         return model
-    share = own[b < 0].sum() / raw[b < 0].sum()
+    share = own[rows].sum() / raw[rows].sum()
     ratio = np.log((own + WORD_PRIOR) / (share * raw + WORD_PRIOR))
-    model.log_ratio[b[b >= 0]] = np.maximum(ratio[b >= 0], 0)
+    model.log_ratio[b[~rows]] = np.maximum(ratio[~rows], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +262,12 @@ def resample(
     return out, weights, least
 
 
-def _resampled(docs, target, k, miss, key, text, target_key, seed, avoid, loss) -> tuple[DataFrame, Weights, float, Avoided | None]:
+def _resampled(docs, *others) -> tuple[DataFrame, Weights, float, Avoided | None]:
+    with narrow_batches(docs.sparkSession):
+        return _resampled_narrow(docs, *others)
+
+
+def _resampled_narrow(docs, target, k, miss, key, text, target_key, seed, avoid, loss) -> tuple[DataFrame, Weights, float, Avoided | None]:
     ws = workspace(docs.sparkSession, "importance")
     rows = plain(docs, key=key, text=text)
     sample = ws.write(target_sample(target, target_key), "target")
@@ -285,9 +312,11 @@ def keep_sampled(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = column_bytes(batch.column(at))
-            keep = weights.rows(batch.column(own), data, bounds)[1] >= least
-            if avoided:
-                keep &= avoided.scores(data, bounds) <= avoided.cut
-            yield batch.filter(pa.array(keep))
+            for a, b in row_chunks(bounds):  # what is handed on is small, however large the batch
+                part, local = data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                keep = weights.rows(batch.column(own).slice(a, b - a), part, local)[1] >= least
+                if avoided:
+                    keep &= avoided.scores(part, local) <= avoided.cut
+                yield batch.slice(a, b - a).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
