@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veiltab.llm import suffix_tree
 from veiltab.llm.queries import QUERIES
-from veiltab.llm.shared import workspace
+from veiltab.llm.shared import own_shuffles, workspace
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -143,3 +143,29 @@ def test_odd_rows(spark):
     nothing = suffix_tree.score(df, F.lit(False)).collect()
     assert all(r["score"] == r["base_score"] == r["n_known"] == r["train_tokens"] == 0 for r in nothing)
     assert suffix_tree.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_few_seldom_pairs_are_shuffled(spark, monkeypatch):
+    """Pairs after two tokens that are seen once travel packed: only those seen often are rows, each counted exactly."""
+    texts = [f"a b s{k} ." for k in range(400)] + ["a b c d"] * 30 + [f"u{k} u{k} u{k}" for k in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    blocks, often = [], suffix_tree._Packed.often
+
+    def counted(self, frame, least):
+        blocks.append(often(self, frame, least).cache())
+        return blocks[-1]
+
+    monkeypatch.setattr(suffix_tree._Packed, "often", counted)
+    ws = workspace(spark, "t")
+    suffix_tree.Suffixes(evidence=1.0).fit(df, ws)
+    assert len(blocks) == 2 and 0 < blocks[1].count() < 10
+    pairs = spark.read.parquet(f"{ws.path}/pairs2-0").collect()
+    assert {30, 430} <= {r["n"] for r in pairs} and all(r["n"] >= 4 for r in pairs)  # a text's begin, a, then b: 430
+
+
+def test_setting_for_shuffle_files_is_put_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with own_shuffles(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before

@@ -34,18 +34,28 @@ def released() -> Iterator[None]:
 
 
 @contextmanager
-def narrow_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
-    """Arrow batches of at most ``size`` bytes (one longer row is a batch) for what runs inside: by default
-    10,000 rows make one, which for rows that carry whole sets is tens of megabytes on both sides."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def own_shuffles(spark: SparkSession):
+    """Shuffle files of a query that runs inside go when it ends, not when the driver collects its garbage: for
+    work that reads only written tables again."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def narrow_batches(spark: SparkSession, size: int = 8 << 20):
+    """Arrow batches of at most ``size`` bytes (one longer row is a batch) for what runs inside: by default
+    10,000 rows make one, which for rows that carry whole sets is tens of megabytes on both sides."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for files, below the folder that all executors share."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

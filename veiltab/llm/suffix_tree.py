@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veiltab.llm.shared import plain, workspace
+from veiltab.llm.shared import own_shuffles, plain, workspace
 from veiltab.llm.text import LOWER, column_bytes, follow, hash_ranges, row_chunks, signed, words
 from veiltab.session import small_side
 
@@ -315,7 +315,7 @@ class Suffixes:
             if k == 1:
                 found = self._first_pairs(texts, ws, model, again)
             else:
-                found = self._longer_pairs(texts, k, BitMap(contexts, "ctx"), BitMap(pairs, "pair"))
+                found = self._longer_pairs(texts, ws, model, k, BitMap(contexts, "ctx"), BitMap(pairs, "pair"))
             found = found.join(_sized(contexts), "ctx").join(_sized(before), "back")
             pairs = ws.write(found.mapInArrow(_name, PAIR), f"pairs{k}").withColumn("p", (F.col("n") - model.discount) / F.col("size"))
             pairs = pairs.withColumn("listed", F.col("n") * (F.log10("p") - F.col("log_q")) >= self.evidence / np.log(10))
@@ -379,22 +379,46 @@ class Suffixes:
         rows = texts.mapInArrow(count, "ctx long, h long, n long").groupBy("ctx", "h").agg(F.sum("n").alias("n"))
         return rows.where(F.col("n") >= self.least).withColumn("back", F.col("h"))
 
-    def _longer_pairs(self, texts: DataFrame, k: int, contexts: BitMap, shorter: BitMap) -> DataFrame:
+    def _longer_pairs(self, texts: DataFrame, ws, model: Model, k: int, contexts: BitMap, shorter: BitMap) -> DataFrame:
         """(ctx, h, back, n) of the pairs of a context and its next token seen often enough; back is the pair
-        of the context's suffix, which was then seen often enough too. Contexts and backs are as the maps tell."""
-        shared = texts.sparkSession.sparkContext.broadcast((contexts, shorter))
+        of the context's suffix, which was then seen often enough too. Contexts and backs are as the maps tell.
+
+        After contexts of two tokens most pairs are seldom seen, so a first pass counts packed hashes, like that of
+        two tokens. After longer ones it would spare few rows."""
+        sc = texts.sparkSession.sparkContext
+        maps = sc.broadcast((contexts, shorter))
+
+        def candidates(tokens: np.ndarray, at: np.ndarray, maps: tuple[BitMap, BitMap]) -> tuple[np.ndarray, ...]:
+            """Pair, back, context and next token of those that the maps let pass."""
+            own = contexts_of(tokens, at, k)
+            go = np.flatnonzero(own[-1])
+            go = go[maps[0].may_hold(own[-1][go])]
+            back = follow(own[-2][go], tokens[go])
+            held = maps[1].may_hold(back)
+            go, back = go[held], back[held]
+            return follow(own[-1][go], tokens[go]), back, own[-1][go], tokens[go]
+
+        often = None
+        if k == 2:
+            packed = _Packed(model.total)
+
+            def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held, counter = maps.value, _Counter(packed)
+                for _, _, _, tokens, at in _token_batches(batches, 0):
+                    pair = candidates(tokens, at, held)[0]
+                    yield from counter.add(pair, (pair,))
+                yield from counter.flush()
+
+            often = sc.broadcast(BitMap(ws.write(packed.often(texts.mapInArrow(pack, packed.SCHEMA), self.least), f"often{k}"), "key"))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (contexts, shorter), counter = shared.value, _Counter()
+            held, counter = maps.value, _Counter()
             for _, _, _, tokens, at in _token_batches(batches, 0):
-                own = contexts_of(tokens, at, k)
-                go = np.flatnonzero(own[-1])
-                go = go[contexts.may_hold(own[-1][go])]
-                back = follow(own[-2][go], tokens[go])
-                held = shorter.may_hold(back)
-                go, back = go[held], back[held]
-                ctx, nxt = own[-1][go], tokens[go]
-                yield from counter.add(follow(ctx, nxt), (back, ctx, nxt))
+                pair, *parts = candidates(tokens, at, held)
+                if often is not None:
+                    go = often.value.may_hold(pair)
+                    pair, parts = pair[go], [p[go] for p in parts]
+                yield from counter.add(pair, tuple(parts))
             yield from counter.flush()
 
         rows = texts.mapInArrow(count, "back long, ctx long, h long, n long")
@@ -425,7 +449,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     ws = workspace(spark, "suffixtree")
     rows = plain(docs, key=key, text=text).withColumn("train", train)
-    model, counts, others = (parameters or Suffixes()).fit(rows.where("train").select("text"), ws)
+    with own_shuffles(spark):
+        model, counts, others = (parameters or Suffixes()).fit(rows.where("train").select("text"), ws)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
