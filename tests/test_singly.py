@@ -54,7 +54,7 @@ def test_registered_fits_end_by_the_stop_rule_itself(spark, sf, monkeypatch):
         raise Seen
 
     monkeypatch.setattr(Generator, "fit", fit)
-    for name in (q.h12,):
+    for name in (q.h12, q.h14, q.i4):
         with pytest.raises(Seen):
             name(spark, sf)
-    assert seen == [(1e-4, 5, 10, 1000)] 
+    assert seen == [(1e-4, 5, 10, 1000)] * 3
