@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veiltab import session
 from veiltab.llm.shared import narrow_batches, plain, workspace
 from veiltab.llm.text import column_bytes, follow, hash_ranges, mix, row_chunks, words
 from veiltab.session import lookup
@@ -101,6 +102,38 @@ def marked(docs: DataFrame, sample: DataFrame, how: str = "left") -> DataFrame:
     return lookup(docs, sample, ["key"], sample.count(), how)
 
 
+class Known:
+    """Which rows a sample (key, ...) of distinct keys has: its sorted keys go with the tasks, 8 bytes each, as a table of
+    rows costs the driver some hundred bytes a key. Past half of what may be broadcast rows meet it by shuffle."""
+
+    def __init__(self, sample: DataFrame):
+        self.sample, self.keys = sample.select("key"), None
+        if sample.count() * 16 <= session.BROADCAST_BYTES:
+            own = sample.select(F.col("key").cast("long").alias("key")).toArrow().column("key").to_numpy()
+            self.keys = np.sort(own)
+
+    def rows(self, docs: DataFrame, value: str, how: str = "left") -> DataFrame:
+        """(value, mark) of docs (key, ...), where ``has`` reads the mark; inner: rows of others may be missing."""
+        if self.keys is not None:
+            return docs.select(value, F.col("key").cast("long").alias("mark"))
+        return marked(docs, self.sample.withColumn("mark", F.lit(True)), how).select(value, "mark")
+
+    @property
+    def has(self):
+        """Rows of a batch's marks that are in the sample."""
+        keys = self.keys
+
+        def of(mark: pa.Array) -> np.ndarray:
+            if keys is None or not len(keys):
+                flags = mark if keys is None else pa.nulls(len(mark), pa.bool_())
+                return pc.fill_null(flags, False).to_numpy(zero_copy_only=False).astype(bool)
+            own = pc.fill_null(mark, 0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            return (keys[at] == own) & mark.is_valid().to_numpy(zero_copy_only=False)
+
+        return of
+
+
 def _sliced(total: np.ndarray) -> pa.RecordBatch:
     """A task's counts of buckets, raw and own, as a row per slice: byte plane by byte plane, as most planes are zeros."""
     parts = np.flatnonzero(total[0].reshape(-1, SLICE).any(1))
@@ -128,19 +161,21 @@ def _counted(rows: DataFrame, count) -> DataFrame:
 
 def fit(docs: DataFrame, sample: DataFrame, seed: int) -> Weights:
     """docs (key, text); sample (key, fit)."""
+    known = Known(sample.where("fit"))
+    has = known.has
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             data, bounds = column_bytes(batch.column(0))
-            learn = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False).astype(bool)
+            learn = has(batch.column(1))
             for a, b in row_chunks(bounds, CHUNK):
                 bucket, at = buckets_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 total[0] += np.bincount(bucket, minlength=1 << BITS)
                 total[1] += np.bincount(bucket[np.repeat(learn[a:b], np.diff(at))], minlength=1 << BITS)
         yield _sliced(total)
 
-    got = _counted(marked(docs, sample).select("text", "fit"), count).toArrow()  # a row per bucket at most
+    got = _counted(known.rows(docs, "text"), count).toArrow()  # a row per bucket at most
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got.column("b").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("own").to_numpy()
@@ -189,12 +224,14 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
     Rows that hold a word are counted over all docs. The cut loses the share ``loss`` of the clean rows,
     which the model doesn't learn from.
     """
+    known = Known(avoid.where("fit"))
+    has = known.has
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, (1 << WORD_BITS) + SLICE), np.int64)  # the rows themselves follow the buckets
         for batch in batches:
             data, bounds = column_bytes(batch.column(0))
-            learn = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False).astype(bool)
+            learn = has(batch.column(1))
             total[:, 1 << WORD_BITS] += len(learn), int(learn.sum())
             for a, b in row_chunks(bounds, CHUNK):
                 row, bucket = _words_once(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
@@ -202,7 +239,7 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
                 np.add.at(total[1], bucket[learn[a:b][row]], 1)
         yield _sliced(total)
 
-    got = _counted(marked(docs, avoid.where("fit")).select("text", "fit"), count).where("own > 0").toArrow()  # a row per bucket at most
+    got = _counted(known.rows(docs, "text"), count).where("own > 0").toArrow()  # a row per bucket at most
     b, raw, own = (got.column(c).to_numpy() for c in ("b", "raw", "own"))
     model = Avoided(np.zeros(1 << WORD_BITS, np.float32))
     rows = b >> WORD_BITS > 0
@@ -212,11 +249,15 @@ def fit_avoided(docs: DataFrame, avoid: DataFrame, clean: DataFrame, loss: float
     ratio = np.log((own + WORD_PRIOR) / (share * raw + WORD_PRIOR))
     model.log_ratio[b[~rows]] = np.maximum(ratio[~rows], 0)
 
+    spared = Known(clean)
+    held_out = spared.has
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.scores(*column_bytes(batch.column(0))))], ["key"])
+            own = batch.column(0).filter(pa.array(held_out(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([pa.array(model.scores(*column_bytes(own)))], ["key"])
 
-    held = marked(docs, clean.select("key"), "inner").select("text").mapInArrow(run, "key double")
+    held = spared.rows(docs, "text", "inner").mapInArrow(run, "key double")
     held = workspace(docs.sparkSession, "avoided").write(held, "held")
     if rows := held.count():
         model.cut = kth_largest(held, rows - math.ceil((rows - 1) * (1 - loss)))
@@ -289,8 +330,15 @@ def _resampled_narrow(docs, target, k, miss, key, text, target_key, seed, avoid,
     if k is not None:
         least = kth_largest(scored, k)
     else:
-        own = scored.select(F.col("id").alias("key"), F.col("key").alias("value"))
-        held = ws.write(marked(own, sample.where("not fit"), "inner").select(F.col("value").alias("key")), "held")
+        unseen = Known(sample.where("not fit"))
+        has = unseen.has
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has(batch.column(1))))], ["key"])
+
+        values = scored.select(F.col("id").alias("key"), F.col("key").alias("value"))
+        held = ws.write(unseen.rows(values, "value", "inner").mapInArrow(own, "key double"), "held")
         rows = held.count()
         least = kth_largest(held, rows - math.floor((rows - 1) * miss)) if rows else float("-inf")
     taken = F.col("key") >= least
