@@ -1,5 +1,7 @@
 """Edits tried one after another, and fits that end by the operator's own stop rule."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -11,7 +13,7 @@ from veiltab.operators.modules import Chain
 from veiltab.operators.rounds import ArrayRounds
 from veiltab.plans import queries_synth as q
 from veiltab.plans.generator import DEFAULT_OPERATORS, Generator
-from veiltab.session import Workspace
+from veiltab.session import Workspace, shuffles_dropped
 
 
 @pytest.mark.parametrize("singly", [10, 1 << 15])
@@ -58,3 +60,24 @@ def test_registered_fits_end_by_the_stop_rule_itself(spark, sf, monkeypatch):
         with pytest.raises(Seen):
             name(spark, sf)
     assert seen == [(1e-4, 5, 10, 1000)] * 3
+
+
+def test_a_search_keeps_only_the_tables_it_reads(spark):
+    """Before: two states and two scored tables stayed for as long as the session."""
+    m, n = Marginals(DOMAIN, column_sets(DOMAIN, 2), 3), 2000
+    targets = Workspace(spark, "given").write(ms.measure_all(Chain([m]), table(spark, n), n, 1e4, "s", "r"), "targets")
+    g = Generator(m, n, "s", run="kept", rounds=3)
+    held = lambda fitted: sorted(p.name.split("-")[0] for p in Path(fitted.work.path).glob("*"))
+    first = g.fit(targets)
+    assert held(first).count("scored") == 1 and "state" not in held(first) and first.table.count() == n
+    more = g.fit(targets, first.table, on_start=first.work.close)
+    assert held(more).count("scored") == 1 and "state" not in held(more) and not Path(first.work.path).exists()
+    assert more.log[0][1] == pytest.approx(first.log[-1][1], rel=1e-9) and more.table.count() == n
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
